@@ -31,6 +31,11 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def CI(cond: str) -> str:
+    """count of rows where ``cond`` holds (0, never NULL, on no match)."""
+    return f"count(*) FILTER (WHERE {cond})"
+
+
 def R(x: str) -> str:
     return f"round(CAST({x} AS DOUBLE), 6)"
 
@@ -306,3 +311,357 @@ def q_top2(spark, sf):
     g = table(spark, sf, "events").groupBy("event_type").agg(
         F.round(F.avg("value"), 6).alias("avg_value"))
     return P.arg_max(g, "event_type", "avg_value")
+
+
+# ---------------------------------------------------------------- transforms
+from tabsmith.operators import clean as C  # noqa: E402
+from tabsmith.operators import missing as M  # noqa: E402
+from tabsmith.operators import transform as TR  # noqa: E402
+from tabsmith.plans.contacts import RAW_SQL, STANDARD_NAMES, raw_contacts  # noqa: E402
+
+_STD_COLS = ["id"] + [("in_default AS default" if n == "default" else n) for n in STANDARD_NAMES] \
+    + ["deposit"]
+
+
+@register("prj1_rename_fixed_map", W(f", raw AS ({RAW_SQL})\nSELECT id, V1 AS age, V2 AS job, "
+                                     "V3, V4, V5, V6, V7, V8, V9, V10, V11, V12, V13, V14, V15, V16, "
+                                     "Class FROM raw"))
+def q_prj1(spark, sf):
+    """PRJ1 rename by a fixed map; absent names ignored."""
+    return TR.rename(raw_contacts(spark, sf), {"V1": "age", "V2": "job", "V99": "nope"})
+
+
+@register("prj2_positional_rename", W(f", raw AS ({RAW_SQL})\nSELECT " + ", ".join(
+    ["id"] + [f"V{i + 1} AS \"{n}\"" for i, n in enumerate(STANDARD_NAMES)] + ["Class AS deposit"])
+    + " FROM raw"))
+def q_prj2(spark, sf):
+    """PRJ2 positional rename V<n> → standard name, Class → deposit."""
+    return TR.positional_rename(raw_contacts(spark, sf), STANDARD_NAMES)
+
+
+@register("prj3_drop_column", W("SELECT " + ", ".join(
+    c for c in ALL_CONTACT_COLS if c != "poutcome") + " FROM contacts"))
+def q_prj3(spark, sf):
+    """PRJ3 drop a column if present (second name absent → no-op)."""
+    return TR.drop_if_present(contacts(spark, sf), "poutcome", "not_there")
+
+
+@register("prj7_recode_label", W(
+    "SELECT id, CASE WHEN deposit = 1 THEN 0 WHEN deposit = 2 THEN 1 ELSE deposit END AS deposit "
+    "FROM contacts"))
+def q_prj7(spark, sf):
+    """PRJ7 simultaneous label recode {1→0, 2→1}."""
+    return TR.recode_label(contacts(spark, sf).select("id", "deposit"), "deposit")
+
+
+@register("prj8_string_nan", W(
+    "SELECT id, coalesce(CAST(balance_n AS VARCHAR), 'nan') AS balance_n, "
+    "coalesce(CAST(day AS VARCHAR), 'nan') AS day FROM contacts"))
+def q_prj8(spark, sf):
+    """PRJ8 cast to string with missing → 'nan'."""
+    return TR.as_string_nan(contacts(spark, sf).select("id", "balance_n", "day"),
+                            ["balance_n", "day"])
+
+
+@register("flt1_drop_unknown_job", W(
+    "SELECT id, job FROM contacts WHERE job IS DISTINCT FROM 'unknown'"))
+def q_flt1(spark, sf):
+    """FLT1 drop sentinel rows, keep missing ones."""
+    return TR.drop_marker_rows(contacts(spark, sf).select("id", "job"), "job")
+
+
+@register("flt2_flt3_rule_predicates_balance_n", W(
+    "SELECT id, coalesce(balance_n BETWEEN -500 AND 5000, false) AS in_range, "
+    "coalesce(balance_n >= 0, false) AS non_negative FROM contacts"))
+def q_flt23(spark, sf):
+    """FLT2/FLT3 NULL-safe closed-interval and one-sided rules (missing fails)."""
+    df = contacts(spark, sf)
+    dt = dict((f.name, f.dataType) for f in df.schema.fields)
+    return df.select("id", C.between("balance_n", -500, 5000).predicate(dt["balance_n"]).alias("in_range"),
+                     C.ge("balance_n", 0).predicate(dt["balance_n"]).alias("non_negative"))
+
+
+@register("lim1_preview_contacts", W("SELECT * FROM contacts ORDER BY id LIMIT 5"))
+def q_lim1(spark, sf):
+    """LIM1 first-n preview in key order."""
+    return TR.preview(contacts(spark, sf), 5, "id")
+
+
+# ---------------------------------------------------------------- missing values
+def _mt_sql():
+    parts = []
+    for c in ALL_CONTACT_COLS:
+        parts.append(f"SELECT '{c}' AS column_name, 'NaN' AS missing_type, count(*) - count({c}) AS count, "
+                     f"{R(f'(count(*) - count({c})) * 100.0 / count(*)')} AS percentage FROM contacts")
+        if c in CATEGORICAL:
+            for m in M.MISSING_MARKERS:
+                parts.append(
+                    f"SELECT '{c}' AS column_name, '{m}' AS missing_type, count(*) FILTER (WHERE {c} = '{m}') AS count, "
+                    f"{R(f'count(*) FILTER (WHERE {c} = {chr(39)}{m}{chr(39)}) * 100.0 / count(*)')} AS percentage "
+                    f"FROM contacts HAVING count(*) FILTER (WHERE {c} = '{m}') > 0")
+    return W(union(parts))
+
+
+@register("agg8_missing_types_contacts", _mt_sql())
+def q_agg8(spark, sf):
+    """AGG8 NULL count and per-marker counts (markers only when present)."""
+    return M.missing_types(contacts(spark, sf))
+
+
+_SPARK_TYPES = {"id": "bigint", "age": "int", "balance": "double", "balance_n": "double",
+                "day": "int", "duration": "double", "campaign": "int", "pdays": "int",
+                "previous": "int", "deposit": "int"}
+
+
+def _mr_sql():
+    parts = []
+    for c in ALL_CONTACT_COLS:
+        if c in CATEGORICAL:
+            tot = f"(count(*) - count({c})) + " + " + ".join(
+                f"count(*) FILTER (WHERE {c} = '{m}')" for m in M.MISSING_MARKERS)
+        else:
+            tot = f"(count(*) - count({c}))"
+        dtype = _SPARK_TYPES.get(c, "string")
+        parts.append(f"SELECT '{c}' AS column_name, '{dtype}' AS dtype, "
+                     f"{'true' if c in CATEGORICAL else 'false'} AS is_categorical, "
+                     f"({tot}) AS total_missing, ({tot}) * 100.0 / count(*) AS missing_percentage "
+                     f"FROM contacts")
+    return W(f", t AS ({union(parts)})\nSELECT column_name, dtype, is_categorical, "
+             f"CAST(total_missing AS BIGINT) AS total_missing, {R('missing_percentage')} AS missing_percentage, "
+             "CASE WHEN total_missing = 0 THEN 'none' WHEN round(missing_percentage, 2) < 1 THEN 'drop_rows' "
+             "WHEN round(missing_percentage, 2) < 10 THEN 'impute_mode_or_mean' "
+             "ELSE 'model_impute_or_drop_column' END AS recommendation FROM t")
+
+
+@register("agg9_missing_report_contacts", _mr_sql())
+def q_agg9(spark, sf):
+    """AGG8 totals + AGG9 recommendation tier per column."""
+    return M.missing_report(contacts(spark, sf))
+
+
+_MODE_EDU = ("(SELECT education FROM contacts WHERE job IS DISTINCT FROM 'unknown' AND "
+             "education IS NOT NULL AND education <> 'unknown' GROUP BY education "
+             "ORDER BY count(*) DESC, education LIMIT 1)")
+_CLEAN_COLS = [c for c in ALL_CONTACT_COLS if c != "poutcome"]
+CLEANED_SQL = ("SELECT " + ", ".join(
+    f"CASE WHEN education = 'unknown' THEN {_MODE_EDU} ELSE education END AS education"
+    if c == "education" else c for c in _CLEAN_COLS)
+    + " FROM contacts WHERE job IS DISTINCT FROM 'unknown'")
+
+
+def WC(sql: str) -> str:
+    """contacts + cleaned (after the missing-value policy) CTEs."""
+    return W(f", cleaned AS ({CLEANED_SQL})\n{sql}")
+
+
+def cleaned_contacts(spark, sf):
+    return M.apply_policy(contacts(spark, sf))[0]
+
+
+@register("cln1_missing_policy_contacts", WC("SELECT * FROM cleaned"))
+def q_cln1(spark, sf):
+    """CLN1 missing-value policy: drop job=unknown rows, fill education mode,
+    keep contact, drop poutcome."""
+    return cleaned_contacts(spark, sf)
+
+
+@register("cln2_policy_audit_contacts", W(f"""
+SELECT * FROM (VALUES (1, 'job', 'drop_rows'), (2, 'education', 'fill_mode'), (3, 'contact', 'keep'),
+  (4, 'poutcome', 'drop_column')) AS s(step, column_name, action)
+JOIN (SELECT 1 AS step, count(*) FILTER (WHERE job = 'unknown') AS affected, CAST(NULL AS VARCHAR) AS fill_value FROM contacts
+  UNION ALL SELECT 2, count(*) FILTER (WHERE job IS DISTINCT FROM 'unknown' AND education = 'unknown'), {_MODE_EDU} FROM contacts
+  UNION ALL SELECT 3, count(*) FILTER (WHERE job IS DISTINCT FROM 'unknown' AND contact = 'unknown'), NULL FROM contacts
+  UNION ALL SELECT 4, NULL, NULL) AS a USING (step)"""))
+def q_cln2(spark, sf):
+    """CLN2 policy audit: rows removed, values replaced (with fill), kept."""
+    return M.apply_policy(contacts(spark, sf))[1]
+
+
+@register("cln2_policy_shape_contacts", WC(
+    "SELECT (SELECT count(*) FROM contacts) AS rows_before, CAST(19 AS BIGINT) AS cols_before, "
+    "(SELECT count(*) FROM cleaned) AS rows_after, CAST(18 AS BIGINT) AS cols_after, "
+    "(SELECT count(*) FROM contacts) - (SELECT count(*) FROM cleaned) AS rows_removed"))
+def q_cln2s(spark, sf):
+    """CLN2 shape before/after."""
+    c = contacts(spark, sf)
+    return M.policy_shape(c, M.apply_policy(c)[0])
+
+
+def _rule_sql(r: C.Rule, col=None) -> str:
+    c = col or r.column
+    if r.op == "between":
+        return f"coalesce({c} BETWEEN {r.lo} AND {r.hi}, false)"
+    op = {"ge": ">=", "gt": ">"}[r.op]
+    return f"coalesce({c} {op} {r.lo}, false)"
+
+
+def _audit_sql(src: str, rules) -> str:
+    ff = "CASE " + " ".join(f"WHEN NOT {_rule_sql(r)} THEN {k}" for k, r in enumerate(rules, 1)) + " END"
+    parts = [f"SELECT {k} AS rule_order, '{r.name}' AS rule, '{r.column}' AS column_name, "
+             f"'{r.condition}' AS condition, count(*) FILTER (WHERE ff = {k}) AS records_removed FROM f"
+             for k, r in enumerate(rules, 1)]
+    return f"f AS (SELECT {ff} AS ff FROM {src})\n" + union(parts)
+
+
+@register("cln3_rule_audit_contacts", WC(", " + _audit_sql("cleaned", C.REFERENCE_RULES)))
+def q_cln3(spark, sf):
+    """CLN3 sequential business-rule audit (seven rules, one pass)."""
+    return C.rule_audit(cleaned_contacts(spark, sf))
+
+
+LINEITEM_RULES = [C.between("l_quantity", 3, 48), C.ge("l_discount", 0.01),
+                  C.gt("l_tax", 0.0), C.between("l_linenumber", 1, 6)]
+
+
+@register("cln3_rule_audit_lineitem", "WITH " + _audit_sql("lineitem", LINEITEM_RULES))
+def q_cln3l(spark, sf):
+    """CLN3 on rules that remove rows: each rule counts only survivors of earlier rules."""
+    return C.rule_audit(table(spark, sf, "lineitem"), LINEITEM_RULES)
+
+
+@register("cln3_rule_filter_lineitem", "SELECT l_orderkey, l_linenumber, l_quantity, l_discount, "
+          "l_tax FROM lineitem WHERE " + " AND ".join(_rule_sql(r) for r in LINEITEM_RULES))
+def q_cln3f(spark, sf):
+    """CLN3 filter: rows passing every rule (predicates pushed to the scan)."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity",
+                                             "l_discount", "l_tax")
+    return C.apply_rules(li, LINEITEM_RULES)
+
+
+def ruled_contacts(spark, sf):
+    return C.apply_rules(cleaned_contacts(spark, sf))
+
+
+RULED_SQL = "SELECT * FROM cleaned WHERE " + " AND ".join(_rule_sql(r) for r in C.REFERENCE_RULES)
+
+
+def WR(sql: str) -> str:
+    return WC(f", ruled AS ({RULED_SQL})\n{sql}")
+
+
+def _winsor_sql(src="ruled", cols=WINSOR_COLS):
+    q = ", ".join(f"quantile_cont({c}, 0.01) AS {c}_lo, quantile_cont({c}, 0.99) AS {c}_hi" for c in cols)
+    parts = [f"SELECT '{c}' AS column_name, {R(f'{c}_lo')} AS lower_bound, {R(f'{c}_hi')} AS upper_bound, "
+             f"(SELECT count(*) FROM {src} WHERE {c} < {c}_lo OR {c} > {c}_hi) AS records_affected FROM b"
+             for c in cols]
+    return f", b AS (SELECT {q} FROM {src}), wb AS ({union(parts)})\n"
+
+
+@register("cln4_winsor_bounds_contacts", WR(_winsor_sql() + "SELECT * FROM wb WHERE records_affected > 0"))
+def q_cln4(spark, sf):
+    """CLN4 winsor bounds (1 % / 99 %) and rows strictly outside."""
+    return C.winsor_bounds(ruled_contacts(spark, sf))
+
+
+def _clip_sql(c):
+    return (f"CASE WHEN CAST({c} AS DOUBLE) < {c}_lo THEN {c}_lo WHEN CAST({c} AS DOUBLE) > {c}_hi "
+            f"THEN {c}_hi ELSE CAST({c} AS DOUBLE) END")
+
+
+@register("cln4_winsorized_contacts", WR(
+    ", b AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.01) AS {c}_lo, quantile_cont({c}, 0.99) AS {c}_hi"
+                                  for c in WINSOR_COLS) + " FROM ruled)\n"
+    "SELECT id, " + ", ".join(f"{R(_clip_sql(c))} AS {c}" for c in WINSOR_COLS) + " FROM ruled, b"))
+def q_cln4w(spark, sf):
+    """CLN4 clipped table (NULL passes through, bounds broadcast as one row)."""
+    df = ruled_contacts(spark, sf)
+    return C.winsorize(df).select("id", *WINSOR_COLS)
+
+
+@register("cln5_target_check", WR(
+    "SELECT deposit AS value, count(*) AS count, row_number() OVER (ORDER BY deposit) AS position "
+    "FROM ruled WHERE deposit IS NOT NULL GROUP BY deposit"))
+def q_cln5(spark, sf):
+    """CLN5 target check: sorted unique values and counts."""
+    return C.target_check(ruled_contacts(spark, sf))
+
+
+DOMAIN_COLS_C = ["job", "marital", "education", "in_default", "housing", "loan", "contact", "month"]
+
+
+def _domain_from_cleaned(spark, sf):
+    """Expected domains = column info (AGG10) of the cleaned table, exploded."""
+    info = P.column_info(cleaned_contacts(spark, sf))
+    return info.where(F.col("type") == "categorical").select(
+        "column_name", F.explode("values").alias("value"))
+
+
+_OBS_SQL = union([f"SELECT DISTINCT '{c}' AS column_name, coalesce(CAST({c} AS VARCHAR), 'nan') AS value "
+                  f"FROM contacts" for c in DOMAIN_COLS_C])
+_EXP_SQL = union([f"SELECT DISTINCT '{c}' AS column_name, coalesce(CAST({c} AS VARCHAR), 'nan') AS value "
+                  f"FROM cleaned" for c in DOMAIN_COLS_C])
+
+
+@register("set1_unexpected_values", WC(
+    f", obs AS ({_OBS_SQL}), exp AS ({_EXP_SQL})\n"
+    "SELECT column_name, value FROM obs EXCEPT SELECT column_name, value FROM exp"))
+def q_set1(spark, sf):
+    """SET1 observed categories minus the expected domain (left-anti join)."""
+    return C.unexpected_values(contacts(spark, sf), _domain_from_cleaned(spark, sf), DOMAIN_COLS_C)
+
+
+@register("cln6_domain_check", WC(
+    f", obs AS ({_OBS_SQL}), exp AS ({_EXP_SQL}),\n"
+    "j AS (SELECT coalesce(o.column_name, e.column_name) AS column_name, coalesce(o.value, e.value) AS value, "
+    "o.value IS NOT NULL AS a, e.value IS NOT NULL AS e FROM obs o FULL JOIN exp e "
+    "ON o.column_name = e.column_name AND o.value = e.value)\n"
+    "SELECT column_name, string_agg(CASE WHEN e THEN value END, '|' ORDER BY value) AS expected, "
+    "string_agg(CASE WHEN a THEN value END, '|' ORDER BY value) AS actual, "
+    "coalesce(string_agg(CASE WHEN a AND NOT e THEN value END, '|' ORDER BY value), '') AS unexpected, "
+    "count(*) FILTER (WHERE e) AS n_expected, count(*) FILTER (WHERE a) AS n_actual, count(*) FILTER (WHERE a AND NOT e) AS n_unexpected, "
+    "count(*) FILTER (WHERE a AND NOT e) > 0 AS has_unexpected FROM j GROUP BY column_name"))
+def q_cln6(spark, sf):
+    """CLN6 category domain check (expected, actual, unexpected)."""
+    d = C.domain_check(contacts(spark, sf), _domain_from_cleaned(spark, sf), DOMAIN_COLS_C)
+    return d.select("column_name", F.array_join("expected", "|").alias("expected"),
+                    F.array_join("actual", "|").alias("actual"),
+                    F.array_join("unexpected", "|").alias("unexpected"),
+                    "n_expected", "n_actual", "n_unexpected", "has_unexpected")
+
+
+@register("cln7_cleaning_summary", WC(
+    "SELECT count(*) AS original_rows, CAST(18 AS BIGINT) AS original_columns, "
+    f"count(*) FILTER (WHERE {' AND '.join(_rule_sql(r) for r in C.REFERENCE_RULES)}) AS cleaned_rows, "
+    "CAST(18 AS BIGINT) AS cleaned_columns, "
+    f"count(*) - count(*) FILTER (WHERE {' AND '.join(_rule_sql(r) for r in C.REFERENCE_RULES)}) AS rows_removed, "
+    f"{R('count(*) FILTER (WHERE ' + ' AND '.join(_rule_sql(r) for r in C.REFERENCE_RULES) + ') * 100.0 / count(*)')} AS retention_rate, "
+    f"{R('100.0 - count(*) FILTER (WHERE ' + ' AND '.join(_rule_sql(r) for r in C.REFERENCE_RULES) + ') * 100.0 / count(*)')} AS removal_rate "
+    "FROM cleaned"))
+def q_cln7(spark, sf):
+    """CLN7 cleaning summary (retention and removal rates)."""
+    return C.cleaning_summary(cleaned_contacts(spark, sf))
+
+
+@register("cln8_short_summary", WR(
+    _winsor_sql() + ", " + _audit_sql("cleaned", C.REFERENCE_RULES).replace("f AS", "f AS", 1)
+    .replace("\n", "\n", 1).split("\n", 1)[0] + "\n, ra AS (" + _audit_sql("cleaned", C.REFERENCE_RULES)
+    .split("\n", 1)[1] + ")\n"
+    "SELECT rule AS step, 'business_rule' AS type, column_name, condition, records_removed AS records, "
+    "CAST(NULL AS DOUBLE) AS lower_bound, CAST(NULL AS DOUBLE) AS upper_bound FROM ra UNION ALL "
+    "SELECT column_name || '_winsorization', 'winsorization', column_name, NULL, records_affected, "
+    "lower_bound, upper_bound FROM wb WHERE records_affected > 0"))
+def q_cln8(spark, sf):
+    """CLN8 short per-rule / per-winsor summary."""
+    cl = cleaned_contacts(spark, sf)
+    return C.short_summary(C.rule_audit(cl), C.winsor_bounds(C.apply_rules(cl)))
+
+
+@register("cln9_schema_preview", WR(union([
+    f"SELECT '{c}' AS column_name, '{'categorical' if c in CATEGORICAL else 'numerical'}' AS type_class, "
+    f"CAST(count(DISTINCT {c}) AS BIGINT) AS n_unique FROM ruled" for c in _CLEAN_COLS])))
+def q_cln9(spark, sf):
+    """CLN9 post-clean schema preview: type class and distinct count."""
+    return C.schema_preview(ruled_contacts(spark, sf))
+
+
+_POST_NUM = ["age", "balance", "balance_n", "day", "duration", "campaign", "pdays", "previous", "deposit"]
+
+
+@register("cln_post_outlier_describe", WR(
+    ", b AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.01) AS {c}_lo, quantile_cont({c}, 0.99) AS {c}_hi"
+                                  for c in WINSOR_COLS) + " FROM ruled),\n"
+    "w AS (SELECT " + ", ".join(_clip_sql(c) + f" AS {c}" if c in WINSOR_COLS else c for c in _POST_NUM)
+    + " FROM ruled, b)\n" + _describe_sql("w", _POST_NUM)))
+def q_post(spark, sf):
+    """Describe after rules + winsorizing (the outlier report's statistics)."""
+    return P.describe(C.winsorize(ruled_contacts(spark, sf)), _POST_NUM)
