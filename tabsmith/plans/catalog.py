@@ -665,3 +665,331 @@ _POST_NUM = ["age", "balance", "balance_n", "day", "duration", "campaign", "pday
 def q_post(spark, sf):
     """Describe after rules + winsorizing (the outlier report's statistics)."""
     return P.describe(C.winsorize(ruled_contacts(spark, sf)), _POST_NUM)
+
+
+# ---------------------------------------------------------------- histograms
+from tabsmith.operators import evaluate as EV  # noqa: E402
+from tabsmith.operators import features as FE  # noqa: E402
+from tabsmith.operators import histogram as H  # noqa: E402
+from tabsmith.operators import split as SP  # noqa: E402
+
+
+def _hist_sql(src: str, x: str, bins: int, group: str | None = None) -> str:
+    g = f"{group} AS label, " if group else ""
+    gsel = "label, " if group else ""
+    gby = " GROUP BY label" if group else ""
+    jn = "USING (label)" if group else "ON true"
+    w = f"((hi - lo) / {float(bins)})"
+    return f"""v AS (SELECT {g}CAST({x} AS DOUBLE) AS x FROM {src} WHERE {x} IS NOT NULL{' AND ' + group + ' IS NOT NULL' if group else ''}),
+mm AS (SELECT {gsel}min(x) AS mn, max(x) AS mx FROM v{gby}),
+r AS (SELECT {gsel}CASE WHEN mn = mx THEN mn - 0.5 ELSE mn END AS lo, CASE WHEN mn = mx THEN mx + 0.5 ELSE mx END AS hi FROM mm),
+c AS (SELECT {gsel}least(CAST(floor((x - lo) * {float(bins)} / (hi - lo)) AS INTEGER), {bins - 1}) AS bin, count(*) AS count
+      FROM v JOIN r {jn} GROUP BY {gsel}bin),
+g AS (SELECT CAST(range AS INTEGER) AS bin FROM range({bins}))
+SELECT {('r.' + gsel) if group else ''}g.bin, {R(f'lo + g.bin * {w}')} AS lower, {R(f'lo + (g.bin + 1) * {w}')} AS upper,
+  coalesce(c.count, 0) AS count
+FROM g CROSS JOIN r LEFT JOIN c ON c.bin = g.bin{' AND c.label = r.label' if group else ''}"""
+
+
+@register("agg18_histogram_lineitem_price", "WITH " + _hist_sql("lineitem", "l_extendedprice", 30))
+def q_agg18(spark, sf):
+    """AGG18 30-bin equi-width histogram, last bin right-closed, empty bins kept."""
+    return H.histogram(table(spark, sf, "lineitem"), "l_extendedprice", 30)
+
+
+@register("agg19_histogram_duration_by_deposit", W(", " + _hist_sql("contacts", "duration", 30, "deposit")))
+def q_agg19(spark, sf):
+    """AGG19 per-class histogram, each class with its own range."""
+    return H.histogram_by_class(contacts(spark, sf), "duration", "deposit", 30)
+
+
+def _adaptive_sql():
+    hist = _hist_sql("part", "p_retailprice", 30)
+    parts = [f"SELECT 'p_retailprice' AS column_name, 'histogram' AS kind, bin AS position, "
+             f"CAST(NULL AS VARCHAR) AS value, lower, upper, count FROM hist"]
+    for c, k in (("p_size", 20), ("p_brand", 20), ("p_type", 20)):
+        parts.append(f"SELECT '{c}', 'top_values', CAST(position AS INTEGER), value, NULL, NULL, count FROM ("
+                     f"SELECT CAST({c} AS VARCHAR) AS value, count(*) AS count, "
+                     f"row_number() OVER (ORDER BY count(*) DESC, {c}) AS position FROM part "
+                     f"WHERE {c} IS NOT NULL GROUP BY {c}) WHERE position <= {k}")
+    return f"WITH hist AS (WITH {hist})\n" + union(parts)
+
+
+@register("agg20_adaptive_distribution_part", _adaptive_sql())
+def q_agg20(spark, sf):
+    """AGG20 adaptive distribution: histogram above 50 distinct values, else top values."""
+    return H.adaptive_distribution(table(spark, sf, "part"),
+                                   ["p_retailprice", "p_size", "p_brand", "p_type"])
+
+
+# ---------------------------------------------------------------- features
+ENC_COLS = ["job", "marital", "education", "in_default", "housing", "loan", "contact", "month"]
+SCALE_COLS = ["age", "balance", "day", "duration", "campaign", "pdays", "previous"]
+
+
+def _enc_sql_maps(src="cleaned"):
+    return ", ".join(
+        f"m_{c} AS (SELECT value, CAST(row_number() OVER (ORDER BY value) - 1 AS INTEGER) AS code FROM "
+        f"(SELECT DISTINCT coalesce(CAST({c} AS VARCHAR), 'nan') AS value FROM {src}))" for c in ENC_COLS)
+
+
+def _enc_sql_select(src="cleaned", decoded=False):
+    sel = ", ".join(f"m_{c}.code AS {c}" for c in ENC_COLS)
+    if decoded:
+        sel += ", " + ", ".join(f"m_{c}.value AS {c}_decoded" for c in ("job", "education"))
+    joins = " ".join(f"JOIN m_{c} ON coalesce(CAST({src}.{c} AS VARCHAR), 'nan') = m_{c}.value"
+                     for c in ENC_COLS)
+    return f"SELECT {src}.id, {sel} FROM {src} {joins}"
+
+
+@register("fe1_label_encode_contacts", WC(", " + _enc_sql_maps() + "\n" + _enc_sql_select()))
+def q_fe1(spark, sf):
+    """FE1 label encoding: sorted distinct values → 0..k-1 (missing = 'nan')."""
+    cl = cleaned_contacts(spark, sf)
+    enc = FE.LabelEncoder.fit(cl, ENC_COLS)
+    return enc.transform(cl).select("id", *ENC_COLS)
+
+
+@register("fe2_encoding_mapping", WC("\n" + union([
+    f"SELECT '{c}' AS feature, value, CAST(row_number() OVER (ORDER BY value) - 1 AS INTEGER) AS code "
+    f"FROM (SELECT DISTINCT coalesce(CAST({c} AS VARCHAR), 'nan') AS value FROM cleaned)" for c in ENC_COLS])))
+def q_fe2(spark, sf):
+    """FE2 encoder mapping table (feature, value, code)."""
+    return FE.encoding_mapping(cleaned_contacts(spark, sf), ENC_COLS)
+
+
+@register("fe3_decode_contacts", WC(", " + _enc_sql_maps() + "\n" + _enc_sql_select(decoded=True)))
+def q_fe3(spark, sf):
+    """FE3 decode codes back to text (<col>_decoded), strict on unknown codes."""
+    cl = cleaned_contacts(spark, sf)
+    enc = FE.LabelEncoder.fit(cl, ENC_COLS)
+    coded = enc.transform(cl).select("id", *ENC_COLS)
+    return enc.inverse(coded, ["job", "education"])
+
+
+@register("fe4_standardize_contacts", WC(
+    ", st AS (SELECT " + ", ".join(f"avg(CAST({c} AS DOUBLE)) AS {c}_m, stddev_pop(CAST({c} AS DOUBLE)) AS {c}_s"
+                                   for c in SCALE_COLS) + " FROM cleaned)\n"
+    "SELECT id, " + ", ".join(
+        f"{R(f'CASE WHEN {c} IS NULL THEN NULL WHEN {c}_s = 0 THEN 0.0 ELSE ({c} - {c}_m) / {c}_s END')} AS {c}"
+        for c in SCALE_COLS) + " FROM cleaned, st"))
+def q_fe4(spark, sf):
+    """FE4 standardisation with the population std (constant column → 0)."""
+    return FE.standardize(cleaned_contacts(spark, sf).select("id", *SCALE_COLS), SCALE_COLS)
+
+
+@register("fe5_minmax_contacts", WC(
+    ", st AS (SELECT " + ", ".join(f"min(CAST({c} AS DOUBLE)) AS {c}_lo, max(CAST({c} AS DOUBLE)) AS {c}_hi"
+                                   for c in SCALE_COLS) + " FROM cleaned)\n"
+    "SELECT id, " + ", ".join(
+        f"{R(f'CASE WHEN {c} IS NULL THEN NULL WHEN {c}_hi = {c}_lo THEN 0.0 ELSE ({c} - {c}_lo) / ({c}_hi - {c}_lo) END')} AS {c}"
+        for c in SCALE_COLS) + " FROM cleaned, st"))
+def q_fe5(spark, sf):
+    """FE5 min-max scaling to [0, 1] (constant column → 0)."""
+    return FE.minmax_scale(cleaned_contacts(spark, sf).select("id", *SCALE_COLS), SCALE_COLS)
+
+
+@register("fe6_binarize_contacts", WC("SELECT id, " + ", ".join(
+    f"CAST({c} > 0 AS DOUBLE) AS {c}" for c in SCALE_COLS) + " FROM cleaned"))
+def q_fe6(spark, sf):
+    """FE6 binarise at > 0."""
+    return FE.binarize(cleaned_contacts(spark, sf).select("id", *SCALE_COLS), SCALE_COLS)
+
+
+# ---------------------------------------------------------------- splits
+SCORED_SQL = ("SELECT id, CASE WHEN deposit = 2 THEN 1 ELSE 0 END AS label, "
+              "least(1.0, floor(duration / 5) / 1000.0) AS score, "
+              "CASE WHEN least(1.0, floor(duration / 5) / 1000.0) >= 0.5 THEN 1 ELSE 0 END AS prediction "
+              "FROM contacts")
+
+
+def scored_contacts(spark, sf):
+    """SQL-made scores: label from the target, score from ``duration`` with ties."""
+    c = contacts(spark, sf)
+    score = F.least(F.lit(1.0), F.floor(F.col("duration") / 5) / 1000.0)
+    return c.select("id", F.when(F.col("deposit") == 2, 1).otherwise(0).alias("label"),
+                    score.alias("score"), F.when(score >= 0.5, 1).otherwise(0).alias("prediction"))
+
+
+def WS(sql: str) -> str:
+    return W(f", scored AS ({SCORED_SQL})\n{sql}")
+
+
+def _rank_sql(src, k=None, frac=None, shuffle=True, seed=42):
+    order = f"md5(CAST(id AS VARCHAR) || '{seed}'), id" if shuffle else "id"
+    rk = f"row_number() OVER (PARTITION BY label ORDER BY {order})"
+    if k is not None:
+        return f"SELECT id, label, CAST(({rk} - 1) % {k} AS INTEGER) AS fold FROM {src}"
+    return (f"SELECT id, label, {rk} <= floor(count(*) OVER (PARTITION BY label) * {frac} + 0.5) AS is_test "
+            f"FROM {src}")
+
+
+@register("spl1_holdout_80_20", WS(_rank_sql("scored", frac=0.2)))
+def q_spl1(spark, sf):
+    """SPL1 exact stratified 80/20 hold-out (seed 42)."""
+    return SP.holdout(scored_contacts(spark, sf).select("id", "label"), "label", "id", 0.2, 42)
+
+
+@register("spl2_kfold10", WS(_rank_sql("scored", k=10)))
+def q_spl2(spark, sf):
+    """SPL2 stratified shuffled 10-fold assignment."""
+    return SP.kfold(scored_contacts(spark, sf).select("id", "label"), "label", "id", 10, 42)
+
+
+@register("spl2_kfold5", WS(_rank_sql("scored", k=5)))
+def q_spl2b(spark, sf):
+    """SPL2 stratified shuffled 5-fold assignment."""
+    return SP.kfold(scored_contacts(spark, sf).select("id", "label"), "label", "id", 5, 42)
+
+
+@register("spl3_unshuffled_kfold3", WS(_rank_sql("scored", k=3, shuffle=False)))
+def q_spl3(spark, sf):
+    """SPL3 stratified unshuffled 3-fold assignment (rank by key)."""
+    return SP.kfold(scored_contacts(spark, sf).select("id", "label"), "label", "id", 3, shuffle=False)
+
+
+@register("spl2_fold_sizes_orders", f"""
+WITH o AS (SELECT o_orderkey AS id, CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS label FROM orders),
+f AS ({_rank_sql('o', k=10)})
+SELECT fold, label, count(*) AS n FROM f GROUP BY fold, label""")
+def q_spl_sizes(spark, sf):
+    """SPL2 per-fold class sizes on orders (sizes differ by at most one per class)."""
+    o = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0).alias("label"))
+    return SP.kfold(o, "label", "id", 10, 42).groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- evaluation
+@register("evl1_confusion_matrix", WS(
+    "SELECT label, count(*) FILTER (WHERE prediction = 0) AS pred_0, "
+    "count(*) FILTER (WHERE prediction = 1) AS pred_1 FROM scored GROUP BY label"))
+def q_evl1(spark, sf):
+    """EVL1 confusion matrix (rows true, columns predicted)."""
+    return EV.confusion_matrix(scored_contacts(spark, sf))
+
+
+def _auc_sql(src, group=None):
+    g = f"{group}, " if group else ""
+    part = f"PARTITION BY {group} " if group else ""
+    gb = f" GROUP BY {group}" if group else ""
+    return (f"d AS (SELECT {g}score AS s, count(*) FILTER (WHERE label = 1) AS pos, "
+            f"count(*) FILTER (WHERE label <> 1) AS neg FROM {src} GROUP BY {g}score),\n"
+            f"rs AS (SELECT {g}s, pos, neg, sum(pos) OVER ({part}ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS tps "
+            f"FROM d),\n"
+            f"a AS (SELECT {g}sum(neg * (tps - pos + pos * 0.5)) / (sum(pos) * sum(neg)) AS auc FROM rs{gb})")
+
+
+def _metric_cols(src_alias=""):
+    tp = "count(*) FILTER (WHERE label = 1 AND prediction = 1)"
+    fp = "count(*) FILTER (WHERE label <> 1 AND prediction = 1)"
+    fn = "count(*) FILTER (WHERE label = 1 AND prediction <> 1)"
+    return (f"{R('count(*) FILTER (WHERE label = prediction) * 1.0 / count(*)')} AS accuracy, "
+            f"{R(f'coalesce({tp} * 1.0 / nullif({tp} + {fp}, 0), 0)')} AS precision, "
+            f"{R(f'coalesce({tp} * 1.0 / nullif({tp} + {fn}, 0), 0)')} AS recall, "
+            f"{R(f'coalesce(2.0 * {tp} / nullif(2 * {tp} + {fp} + {fn}, 0), 0)')} AS f1")
+
+
+@register("evl2_evl4_metrics", WS(", " + _auc_sql("scored") + "\n"
+                                  f"SELECT {_metric_cols()}, (SELECT {R('auc')} FROM a) AS auc FROM scored"))
+def q_evl24(spark, sf):
+    """EVL2-EVL4 accuracy, precision, recall, F1 (0/0 → 0) and exact ROC AUC."""
+    return EV.classification_metrics(scored_contacts(spark, sf))
+
+
+def _folded_sql():
+    return (f", folds AS ({_rank_sql('scored', k=10)}),\n"
+            "fs AS (SELECT s.*, f.fold FROM scored s JOIN folds f USING (id))")
+
+
+@register("evl4_metrics_by_fold", WS(
+    _folded_sql() + ", " + _auc_sql("fs", "fold") + "\n"
+    f"SELECT m.*, {R('a.auc')} AS auc FROM (SELECT fold, {_metric_cols()} FROM fs GROUP BY fold) m "
+    "JOIN a USING (fold)"))
+def q_evl4f(spark, sf):
+    """EVL2-EVL4 per fold in one grouped query (all folds at once)."""
+    s = scored_contacts(spark, sf)
+    f = SP.kfold(s, "label", "id", 10, 42)
+    return EV.classification_metrics(f, group="fold")
+
+
+@register("evl5_roc_curve", WS(f""",
+d AS (SELECT score AS s, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label <> 1) AS neg
+      FROM scored GROUP BY score),
+r AS (SELECT s, sum(pos) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS tps,
+      sum(neg) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS fps, row_number() OVER (ORDER BY s DESC) AS idx FROM d),
+t AS (SELECT max(idx) AS last, max(tps) AS P, max(fps) AS N FROM r),
+k AS (SELECT r.*, lag(tps) OVER (ORDER BY idx) AS tp0, lead(tps) OVER (ORDER BY idx) AS tp2,
+      lag(fps) OVER (ORDER BY idx) AS fp0, lead(fps) OVER (ORDER BY idx) AS fp2 FROM r)
+SELECT CAST('inf' AS DOUBLE) AS threshold, 0.0 AS fpr, 0.0 AS tpr
+UNION ALL
+SELECT {R('s')}, {R('fps * 1.0 / N')}, {R('tps * 1.0 / P')} FROM k, t
+WHERE idx = 1 OR idx = last OR fp2 - 2 * fps + fp0 <> 0 OR tp2 - 2 * tps + tp0 <> 0"""))
+def q_evl5(spark, sf):
+    """EVL5 ROC curve with collinear points dropped, starting at (0, 0, inf)."""
+    return EV.roc_curve(scored_contacts(spark, sf))
+
+
+@register("evl6_pr_curve", WS(f""",
+d AS (SELECT score AS s, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label <> 1) AS neg
+      FROM scored GROUP BY score),
+r AS (SELECT s, sum(pos) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS tps,
+      sum(neg) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS fps FROM d),
+t AS (SELECT max(tps) AS P FROM r)
+SELECT {R('s')} AS threshold, {R('coalesce(tps * 1.0 / nullif(tps + fps, 0), 0)')} AS precision,
+  {R('CASE WHEN P = 0 THEN 1.0 ELSE tps * 1.0 / P END')} AS recall FROM r, t
+UNION ALL SELECT NULL, 1.0, 0.0"""))
+def q_evl6(spark, sf):
+    """EVL6 precision-recall curve ending at (recall 0, precision 1)."""
+    return EV.pr_curve(scored_contacts(spark, sf))
+
+
+def _report_sql():
+    rows = []
+    for l in (0, 1):
+        tp = f"count(*) FILTER (WHERE label = {l} AND prediction = {l})"
+        fp = f"count(*) FILTER (WHERE label <> {l} AND prediction = {l})"
+        fn = f"count(*) FILTER (WHERE label = {l} AND prediction <> {l})"
+        rows.append((f"coalesce({tp} * 1.0 / nullif({tp} + {fp}, 0), 0)",
+                     f"coalesce({tp} * 1.0 / nullif({tp} + {fn}, 0), 0)",
+                     f"coalesce(2.0 * {tp} / nullif(2 * {tp} + {fp} + {fn}, 0), 0)",
+                     f"count(*) FILTER (WHERE label = {l})"))
+    parts = [f"SELECT '{l}' AS class_label, {R(p)} AS precision, {R(r)} AS recall, {R(f)} AS f1, "
+             f"{s} AS support FROM scored" for l, (p, r, f, s) in zip((0, 1), rows)]
+    parts.append("SELECT 'accuracy', NULL, NULL, "
+                 f"{R('count(*) FILTER (WHERE label = prediction) * 1.0 / count(*)')}, count(*) FROM scored")
+    parts.append("SELECT 'macro avg', " + ", ".join(
+        R(f"({rows[0][j]} + {rows[1][j]}) / 2.0") for j in range(3)) + ", count(*) FROM scored")
+    parts.append("SELECT 'weighted avg', " + ", ".join(
+        R(f"({rows[0][j]} * {rows[0][3]} + {rows[1][j]} * {rows[1][3]}) * 1.0 / count(*)") for j in range(3))
+        + ", count(*) FROM scored")
+    return WS(union(parts))
+
+
+@register("evl7_classification_report", _report_sql())
+def q_evl7(spark, sf):
+    """EVL7 classification report (per class, accuracy, macro and weighted averages)."""
+    return EV.classification_report(scored_contacts(spark, sf))
+
+
+@register("evl8_cv_summary", WS(
+    _folded_sql() + ", " + _auc_sql("fs", "fold") + ",\n"
+    f"m AS (SELECT fold, {_metric_cols()} FROM fs GROUP BY fold),\n"
+    "mm AS (SELECT m.*, a.auc FROM m JOIN a USING (fold))\n" + union([
+        f"SELECT '{k}' AS metric, {R(f'avg({k})')} AS mean, {R(f'stddev_samp({k})')} AS std FROM mm"
+        for k in ("accuracy", "precision", "recall", "f1", "auc")])))
+def q_evl8(spark, sf):
+    """EVL8 cross-validation summary: mean and sample std per metric over folds."""
+    s = scored_contacts(spark, sf)
+    per_fold = EV.classification_metrics(SP.kfold(s, "label", "id", 10, 42), group="fold")
+    return EV.cv_summary(per_fold)
+
+
+@register("evl10_score_distribution", WS(
+    ", all_h AS (WITH " + _hist_sql("scored", "score", 50) + "),\n"
+    "cls_h AS (WITH " + _hist_sql("scored", "score", 30, "label") + ")\n"
+    "SELECT 'all' AS scope, CAST(NULL AS INTEGER) AS label, bin, lower, upper, count FROM all_h UNION ALL "
+    "SELECT 'by_class', label, bin, lower, upper, count FROM cls_h"))
+def q_evl10(spark, sf):
+    """EVL10 score distribution overall (50 bins) and per true class (30 bins)."""
+    return H.score_distribution(scored_contacts(spark, sf))
