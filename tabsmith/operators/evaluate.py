@@ -57,9 +57,11 @@ def _prf(tp, fp, fn):
 
 
 def classification_metrics(scored: DataFrame, label: str = "label", prediction: str = "prediction",
-                           score: str | None = "score", pos_label=1, group=None) -> DataFrame:
+                           score: str | None = "score", pos_label=1, group=None,
+                           auc_pos_label=None) -> DataFrame:
     """EVL2-EVL4: ``accuracy, precision, recall, f1`` (0/0 → 0) and, with a
-    score column, ``auc`` — per group when ``group`` is given."""
+    score column, ``auc`` — per group when ``group`` is given.  ``auc_pos_label``
+    (default ``pos_label``) is the class whose probability ``score`` holds."""
     g = _groups(group)
     c = _counts(scored, label, prediction, pos_label, g)
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
@@ -67,7 +69,7 @@ def classification_metrics(scored: DataFrame, label: str = "label", prediction:
     out = c.select(*g, ratio("correct", "n").alias("accuracy"), pr.alias("precision"),
                    rc.alias("recall"), f1.alias("f1"))
     if score is not None:
-        a = auc(scored, label, score, pos_label, group)
+        a = auc(scored, label, score, pos_label if auc_pos_label is None else auc_pos_label, group)
         out = out.join(a, g, "left") if g else out.crossJoin(a)
     return out
 

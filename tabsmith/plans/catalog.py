@@ -993,3 +993,272 @@ def q_evl8(spark, sf):
 def q_evl10(spark, sf):
     """EVL10 score distribution overall (50 bins) and per true class (30 bins)."""
     return H.score_distribution(scored_contacts(spark, sf))
+
+
+# ---------------------------------------------------------------- models
+from tabsmith.operators import models as MD  # noqa: E402
+from tabsmith.plans import model_data as MDATA  # noqa: E402
+
+_FEATS = MDATA.FEATURES
+
+
+def _model_sql():
+    """SQL twin of ``model_data.model_table(scale='standard')`` as CTE ``mt``."""
+    enc_cols = ", ".join(f"m_{c}.code AS {c}" for c in MDATA.ENCODED)
+    joins = " ".join(f"JOIN m_{c} ON coalesce(CAST(cleaned.{c} AS VARCHAR), 'nan') = m_{c}.value"
+                     for c in MDATA.ENCODED)
+    enc = (f"enc AS (SELECT cleaned.id, CASE WHEN deposit = 2 THEN 1 ELSE 0 END AS label, "
+           + ", ".join(f"CAST(cleaned.{c} AS DOUBLE) AS {c}" for c in MDATA.SCALED)
+           + f", {enc_cols} FROM cleaned {joins})")
+    st = ("st AS (SELECT " + ", ".join(f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s" for c in MDATA.SCALED)
+          + " FROM enc)")
+    sel = ", ".join(
+        f"CASE WHEN {c}_s = 0 THEN 0.0 ELSE ({c} - {c}_m) / {c}_s END AS {c}" if c in MDATA.SCALED
+        else f"CAST({c} AS DOUBLE) AS {c}" for c in _FEATS)
+    mt = f"mt AS (SELECT id, label, {sel} FROM enc, st)"
+    return ", " + _enc_sql_maps() + ",\n" + enc + ",\n" + st + ",\n" + mt + "\n"
+
+
+def _gnb_params_sql():
+    pc = ("pc AS (SELECT label AS class, count(*) AS n, "
+          + ", ".join(f"avg({c}) AS m_{c}, var_pop({c}) AS v_{c}" for c in _FEATS) + " FROM mt GROUP BY label)")
+    vm = "vm AS (SELECT greatest(" + ", ".join(f"var_pop({c})" for c in _FEATS) + ") AS vmax, count(*) AS total_n FROM mt)"
+    parts = [f"SELECT class, '{c}' AS feature, m_{c} AS mean, v_{c} + 1e-9 * vmax AS var, n * 1.0 / total_n AS prior, n "
+             f"FROM pc, vm" for c in _FEATS]
+    return f", {pc}, {vm},\ngp AS ({union(parts)})\n"
+
+
+@register("mod1_gaussian_nb_params_sql", WC(_model_sql() + _gnb_params_sql()
+                                           + f"SELECT class, feature, {R('mean')} AS mean, {R('var')} AS var, "
+                                             f"{R('prior')} AS prior, n FROM gp"))
+def q_mod1p(spark, sf):
+    """MOD1 / MOD15 Gaussian NB parameters fitted in one grouped aggregate
+    (class means, smoothed variances, empirical priors)."""
+    mt = MDATA.model_table(spark, sf)
+    return MD.gaussian_nb_fit(mt, _FEATS).withColumn("class", F.col("class").cast("int"))
+
+
+def _gnb_score_sql():
+    import math as _m
+    wide = "pw AS (SELECT " + ", ".join(
+        [f"max(CASE WHEN class = {k} THEN prior END) AS prior_{k}" for k in (0, 1)]
+        + [f"max(CASE WHEN class = {k} AND feature = '{c}' THEN {v} END) AS {v}_{k}_{c}"
+           for k in (0, 1) for c in _FEATS for v in ("mean", "var")]) + " FROM gp)"
+    jll = {}
+    for k in (0, 1):
+        terms = [f"ln(prior_{k})"] + [
+            f"- 0.5 * ({_m.log(2 * _m.pi)!r} + ln(var_{k}_{c})) - 0.5 * ({c} - mean_{k}_{c}) * ({c} - mean_{k}_{c}) / var_{k}_{c}"
+            for c in _FEATS]
+        jll[k] = " ".join(terms)
+    return (f", {wide},\nj AS (SELECT id, label, {jll[0]} AS j0, {jll[1]} AS j1 FROM mt, pw)\n"
+            "SELECT id, label, CASE WHEN j1 > j0 THEN 1 ELSE 0 END AS prediction, "
+            f"{R('exp(j1 - greatest(j0, j1)) / (exp(j0 - greatest(j0, j1)) + exp(j1 - greatest(j0, j1)))')} AS score "
+            "FROM j")
+
+
+@register("mod1_gaussian_nb_scores_sql", WC(_model_sql() + _gnb_params_sql() + _gnb_score_sql()))
+def q_mod1s(spark, sf):
+    """MOD1 / MOD8 Gaussian NB scoring from the SQL-fitted parameters."""
+    mt = MDATA.model_table(spark, sf)
+    params = MD.gaussian_nb_fit(mt, _FEATS)
+    return MD.gaussian_nb_score(mt, params, _FEATS)
+
+
+@register("mod2_bernoulli_nb_params_sql", WC(_model_sql() + ", " + (
+    "pc AS (SELECT label AS class, count(*) AS n, " + ", ".join(
+        f"count(*) FILTER (WHERE {c} > 0) AS c_{c}" for c in _FEATS) + " FROM mt GROUP BY label)\n")
+    + union([f"SELECT class, '{c}' AS feature, {R(f'(c_{c} + 1.0) / (n + 2.0)')} AS prob, "
+             f"{R('n * 1.0 / (SELECT count(*) FROM mt)')} AS prior, n FROM pc" for c in _FEATS])))
+def q_mod2(spark, sf):
+    """MOD2 Bernoulli NB parameters (binarised at > 0, alpha = 1)."""
+    mt = MDATA.model_table(spark, sf)
+    return MD.bernoulli_nb_fit(mt, _FEATS).withColumn("class", F.col("class").cast("int"))
+
+
+def _mnb_sql():
+    mm = "mm AS (SELECT " + ", ".join(f"min({c}) AS {c}_lo, max({c}) AS {c}_hi" for c in _FEATS) + " FROM mt)"
+    mx = ("mx AS (SELECT label, " + ", ".join(
+        f"CASE WHEN {c}_hi = {c}_lo THEN 0.0 ELSE ({c} - {c}_lo) / ({c}_hi - {c}_lo) END AS {c}" for c in _FEATS)
+        + " FROM mt, mm)")
+    pc = ("pc AS (SELECT label AS class, count(*) AS n, " + ", ".join(f"sum({c}) AS s_{c}" for c in _FEATS)
+          + " FROM mx GROUP BY label)")
+    denom = "(" + " + ".join(f"s_{c}" for c in _FEATS) + f" + {float(len(_FEATS))})"
+    return (f", {mm}, {mx}, {pc}\n" + union([
+        f"SELECT class, '{c}' AS feature, {R(f'(s_{c} + 1.0) / {denom}')} AS prob, "
+        f"{R('n * 1.0 / (SELECT count(*) FROM mt)')} AS prior, n FROM pc" for c in _FEATS]))
+
+
+@register("mod3_multinomial_nb_params_sql", WC(_model_sql() + _mnb_sql()))
+def q_mod3(spark, sf):
+    """MOD3 multinomial NB parameters on min-max scaled inputs (alpha = 1)."""
+    mt = MDATA.model_table(spark, sf, scale="minmax")
+    return MD.multinomial_nb_fit(mt, _FEATS).withColumn("class", F.col("class").cast("int"))
+
+
+@register("mod15_nb_priors_sql", WC(_model_sql() + f"""
+SELECT label AS class, count(*) AS n, {R('count(*) * 1.0 / sum(count(*)) OVER ()')} AS prior FROM mt GROUP BY label"""))
+def q_mod15(spark, sf):
+    """MOD15 NB parameter report: class counts and priors."""
+    mt = MDATA.model_table(spark, sf)
+    p = MD.gaussian_nb_fit(mt, _FEATS)
+    return p.select(F.col("class").cast("int").alias("class"), "n", "prior").distinct()
+
+
+# spark.ml estimators: iterative / seeded, so no SQL oracle (rows-only check);
+# properties are covered by tests/test_models.py.
+def _cv_frame(spark, sf, scale="standard", k=10):
+    return MDATA.assembled(MDATA.with_folds(MDATA.model_table(spark, sf, scale), k))
+
+
+@register("mod1_gaussian_nb_cv10")
+def q_mod1cv(spark, sf):
+    """MOD1 + MOD10: spark.ml Gaussian NB, stratified 10-fold metrics per fold."""
+    return MD.cross_validate(_cv_frame(spark, sf), MD.gaussian_nb())[0]
+
+
+@register("mod10_nb_oof_predictions")
+def q_mod10(spark, sf):
+    """MOD10 pooled out-of-fold predictions (id, label, fold, prediction, score)."""
+    return MD.cross_validate(_cv_frame(spark, sf), MD.gaussian_nb())[1]
+
+
+@register("mod8_nb_holdout_report")
+def q_mod8(spark, sf):
+    """MOD8 + EVL7: Gaussian NB fitted on the 80 % part, report on the 20 % part."""
+    d = MDATA.assembled(MDATA.model_table(spark, sf)).transform(
+        lambda t: t)
+    d = SP.holdout(d, "label", "id", 0.2, 42)
+    _, scored, _ = MD.holdout_evaluate(d, MD.gaussian_nb())
+    return EV.classification_report(scored)
+
+
+@register("mod9_nb_type_comparison")
+def q_mod9(spark, sf):
+    """MOD9: Gaussian / Bernoulli / multinomial NB, 5-fold AUC and accuracy
+    (population std), best by mean AUC."""
+    std = _cv_frame(spark, sf, "standard", 5)
+    mm = _cv_frame(spark, sf, "minmax", 5)
+    g = MD.nb_comparison(std, [MD.gaussian_nb(), MD.bernoulli_nb()])
+    m = MD.nb_comparison(mm, [MD.multinomial_nb()]).drop("is_best")
+    allr = g.drop("is_best").unionByName(m)
+    best = allr.agg(F.min(F.struct((-F.col("auc_mean")).alias("a"), F.col("model").alias("m"))).alias("b"))
+    return allr.crossJoin(best).withColumn("is_best", F.col("model") == F.col("b.m")).drop("b")
+
+
+@register("mod4_logistic_cv10")
+def q_mod4(spark, sf):
+    """MOD4 + MOD10: L2 logistic regression (C = 1), 10-fold; precision / recall /
+    F1 for the majority class (label 0) and AUC for the deposit probability."""
+    return MD.cross_validate(_cv_frame(spark, sf), MD.logistic_regression(1.0), pos_label=0,
+                             auc_pos_label=1)[0]
+
+
+@register("mod11_lr_accuracy_cv")
+def q_mod11(spark, sf):
+    """MOD11 accuracy-only CV summary (mean, population std, per-fold list size)."""
+    m = MD.cross_validate(_cv_frame(spark, sf), MD.logistic_regression(1.0), pos_label=0)[0]
+    return m.agg(F.avg("accuracy").alias("accuracy_mean"), F.stddev_pop("accuracy").alias("accuracy_std"),
+                 F.count(F.lit(1)).alias("n_folds"))
+
+
+@register("mod14_lr_coefficients")
+def q_mod14(spark, sf):
+    """MOD14 LR coefficients sorted by absolute value (sign kept), full data."""
+    d = MDATA.assembled(MDATA.model_table(spark, sf))
+    model = MD.fit_model(MD.logistic_regression(1.0), d)
+    return MD.lr_coefficients(model, _FEATS, spark)
+
+
+@register("mod5_random_forest_cv10")
+def q_mod5(spark, sf):
+    """MOD5 + MOD10: 100-tree forest (depth cap 20, sqrt features, balanced class
+    weights per training part), 10-fold metrics."""
+    return MD.cross_validate(_cv_frame(spark, sf, "none"), MD.random_forest(100, None, 1, True))[0]
+
+
+@register("mod13_rf_feature_importance")
+def q_mod13(spark, sf):
+    """MOD6 + MOD13: 100-tree forest without class weights on all rows; importances."""
+    d = MDATA.assembled(MDATA.model_table(spark, sf, "none"))
+    model = MD.fit_model(MD.random_forest(100, None, 1, False), d)
+    return MD.feature_importance(model, _FEATS, spark)
+
+
+@register("mod7_rf_holdout_metrics")
+def q_mod7(spark, sf):
+    """MOD7 final forest (150 trees, depth 10, leaf ≥ 2, balanced) on 80 %, metrics on 20 %."""
+    d = SP.holdout(MDATA.assembled(MDATA.model_table(spark, sf, "none")), "label", "id", 0.2, 42)
+    return MD.holdout_evaluate(d, MD.random_forest(150, 10, 2, True))[2]
+
+
+@register("mod12_rf_grid_search")
+def q_mod12(spark, sf):
+    """MOD12 grid search: trees {50, 100, 150} × depth {5, 10, 15, cap} × leaf {1, 2, 4}
+    (36 settings; spark.ml has no min-split parameter) × 3 unshuffled stratified
+    folds, exact ROC AUC; one row per setting, best flagged."""
+    from pyspark.ml.classification import RandomForestClassifier
+    d = MDATA.assembled(SP.kfold(MDATA.model_table(spark, sf, "none"), "label", "id", 3, shuffle=False))
+    est = RandomForestClassifier(featureSubsetStrategy="sqrt", impurity="gini", seed=42, maxBins=64)
+    grid = {"numTrees": [50, 100, 150], "maxDepth": [5, 10, 15, 20], "minInstancesPerNode": [1, 2, 4]}
+    return MD.grid_search(d, est, grid, "fold", parallelism=4)[0]
+
+
+@register("snk5_model_params")
+def q_snk5(spark, sf):
+    """SNK5 parameter export of the final forest, tagged with its model id, plus
+    the class priors of the NB refit on the 80 % part (training scope recorded)."""
+    spec = MD.random_forest(150, 10, 2, True)
+    p = MD.model_params(spec, spark, "rf_final")
+    d = SP.holdout(MDATA.model_table(spark, sf), "label", "id", 0.2, 42).where(~F.col("is_test"))
+    pri = MD.gaussian_nb_fit(d, _FEATS).select("class", "prior").distinct()
+    return p.unionByName(pri.select(F.lit("gaussian_nb_train80").alias("model_id"),
+                                    F.concat(F.lit("prior_"), F.col("class").cast("string")).alias("param"),
+                                    F.col("prior").cast("string").alias("value")))
+
+
+def _nb_cv_sql():
+    folds = (", folds AS (SELECT id, CAST((row_number() OVER (PARTITION BY label ORDER BY "
+             "md5(CAST(id AS VARCHAR) || '42'), id) - 1) % 10 AS INTEGER) AS fold FROM mt),\n"
+             "mtf AS (SELECT mt.*, folds.fold FROM mt JOIN folds USING (id)),\n"
+             "tr AS (SELECT k.kfold, mtf.* FROM (SELECT DISTINCT fold AS kfold FROM mtf) k "
+             "JOIN mtf ON mtf.fold <> k.kfold),\n")
+    pc = ("pc AS (SELECT kfold, label AS class, count(*) AS n, "
+          + ", ".join(f"avg({c}) AS m_{c}, var_pop({c}) AS v_{c}" for c in _FEATS)
+          + " FROM tr GROUP BY kfold, label),\n")
+    vm = ("vm AS (SELECT kfold, count(*) AS total_n, greatest(" + ", ".join(f"var_pop({c})" for c in _FEATS)
+          + ") AS vmax FROM tr GROUP BY kfold),\n")
+    wide = ("pw AS (SELECT pc.kfold, " + ", ".join(
+        [f"max(CASE WHEN class = {k} THEN n * 1.0 / total_n END) AS prior_{k}" for k in (0, 1)]
+        + [f"max(CASE WHEN class = {k} THEN m_{c} END) AS mean_{k}_{c}, "
+           f"max(CASE WHEN class = {k} THEN v_{c} + 1e-9 * vmax END) AS var_{k}_{c}"
+           for k in (0, 1) for c in _FEATS]) + " FROM pc JOIN vm USING (kfold) GROUP BY pc.kfold),\n")
+    import math as _m
+    jll = {k: " ".join([f"ln(prior_{k})"] + [
+        f"- 0.5 * ({_m.log(2 * _m.pi)!r} + ln(var_{k}_{c})) - 0.5 * ({c} - mean_{k}_{c}) * ({c} - mean_{k}_{c}) / var_{k}_{c}"
+        for c in _FEATS]) for k in (0, 1)}
+    j = (f"j AS (SELECT id, label, fold, {jll[0]} AS j0, {jll[1]} AS j1 FROM mtf JOIN pw ON mtf.fold = pw.kfold),\n"
+         "sc AS (SELECT id, label, fold, CASE WHEN j1 > j0 THEN 1 ELSE 0 END AS prediction, "
+         "exp(j1 - greatest(j0, j1)) / (exp(j0 - greatest(j0, j1)) + exp(j1 - greatest(j0, j1))) AS score FROM j)\n")
+    return folds + pc + vm + wide + j
+
+
+def nb_cv_scores(spark, sf):
+    mt = MDATA.with_folds(MDATA.model_table(spark, sf), 10)
+    return MD.gaussian_nb_cv(mt, _FEATS)
+
+
+@register("mod10_gaussian_nb_cv10_scores_sql", WC(_model_sql() + _nb_cv_sql()
+                                                 + f"SELECT id, label, fold, prediction, {R('score')} AS score FROM sc"))
+def q_mod10s(spark, sf):
+    """MOD1 + MOD10 one-pass Gaussian NB 10-fold CV: out-of-fold predictions from
+    fold-complement sufficient statistics (no per-fold refit)."""
+    return nb_cv_scores(spark, sf)
+
+
+@register("mod10_gaussian_nb_cv10_metrics_sql", WC(
+    _model_sql() + _nb_cv_sql().rstrip("\n") + ",\n" + _auc_sql("sc", "fold") + "\n"
+    f"SELECT m.*, {R('a.auc')} AS auc FROM (SELECT fold, {_metric_cols()} FROM sc GROUP BY fold) m "
+    "JOIN a USING (fold)"))
+def q_mod10m(spark, sf):
+    """MOD10 per-fold accuracy / precision / recall / F1 / AUC of the one-pass NB CV."""
+    return EV.classification_metrics(nb_cv_scores(spark, sf), group="fold")

@@ -15,6 +15,7 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.driver.memory": "16g",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
