@@ -1262,3 +1262,47 @@ def q_mod10s(spark, sf):
 def q_mod10m(spark, sf):
     """MOD10 per-fold accuracy / precision / recall / F1 / AUC of the one-pass NB CV."""
     return EV.classification_metrics(nb_cv_scores(spark, sf), group="fold")
+
+
+# ---------------------------------------------------------------- sources / remaining projections
+from tabsmith import sources as SRC  # noqa: E402
+from tabsmith.session import scratch_path  # noqa: E402
+
+
+@register("rep1_replace_unknown_contact", W(
+    "SELECT id, CASE WHEN contact = 'unknown' THEN 'not_recorded' ELSE contact END AS contact FROM contacts"))
+def q_rep1(spark, sf):
+    """REP1 replace a sentinel by a given value."""
+    return TR.replace_marker(contacts(spark, sf).select("id", "contact"), "contact", "unknown", "not_recorded")
+
+
+@register("agg10_column_info_contacts", W(f"""
+, pairs AS (SELECT DISTINCT column_name, coalesce(value, 'nan') AS value FROM ({_vc_union('contacts', CATEGORICAL)}))
+SELECT column_name, 'categorical' AS type, string_agg(value, '|' ORDER BY value) AS values_joined, count(*) AS count
+FROM pairs GROUP BY column_name
+UNION ALL
+SELECT column_name, 'numerical', NULL, NULL FROM (VALUES {", ".join(f"('{c}')" for c in ALL_CONTACT_COLS if c not in CATEGORICAL)}) t(column_name)"""))
+def q_agg10i(spark, sf):
+    """AGG10 column-information document rows (type class, sorted values, count)."""
+    ci = P.column_info(contacts(spark, sf))
+    return ci.select("column_name", "type", F.array_join("values", "|").alias("values_joined"), "count")
+
+
+_CSV_COLS = ["id", "age", "job", "balance_n", "duration", "deposit"]
+
+
+@register("src1_csv_round_trip_contacts", W(
+    "SELECT id, age, CASE WHEN id % 13 = 0 THEN NULL ELSE job END AS job, balance_n, duration, deposit "
+    "FROM contacts"))
+def q_src1(spark, sf):
+    """SRC1 / SNK1: write a delimited file (missing written as ``NA``, some labels as
+    ``n/a``), read it back with a schema; the NA vocabulary becomes NULL and
+    numbers keep their types.  The file lives in the shared checkpoint folder."""
+    c = contacts(spark, sf).select(*_CSV_COLS)
+    txt = c.select("id", "age", F.when(F.col("id") % 13 == 0, F.lit("n/a")).otherwise(F.col("job")).alias("job"),
+                   F.coalesce(F.col("balance_n").cast("string"), F.lit("NA")).alias("balance_n"),
+                   "duration", "deposit")
+    path = scratch_path(spark, "contacts_csv")
+    SRC.write_table(txt, path, fmt="csv")
+    return SRC.read_table(spark, path, fmt="csv", schema="id bigint, age int, job string, balance_n double, "
+                                                         "duration double, deposit int")
