@@ -242,13 +242,20 @@ def domain_check(df: DataFrame, domain: DataFrame, cols: Sequence[str] | None =
         F.count_if(a & ~e).alias("n_unexpected"))
 
     def lst(flag, n):
-        return F.when(F.col(n) <= max_values,
-                      F.array_sort(F.collect_list(F.when(flag, F.col("value")))))
-
-    lists = j.join(counts, "column_name").groupBy("column_name", "n_expected", "n_actual",
-                                                  "n_unexpected").agg(
-        lst(e, "n_expected").alias("expected"), lst(a, "n_actual").alias("actual"),
-        lst(a & ~e, "n_unexpected").alias("unexpected"))
+        # the cap is applied inside the aggregate (collect_list skips NULLs), so
+        # a column above max_values contributes no list entries at all
+        return F.array_sort(F.collect_list(F.when(flag & (F.col(n) <= max_values), F.col("value"))))
+
+    def capped(c, n):
+        return F.when(F.col(n) <= max_values, F.col(c))
+
+    lists = (j.join(counts, "column_name")
+             .groupBy("column_name", "n_expected", "n_actual", "n_unexpected").agg(
+                 lst(e, "n_expected").alias("expected"), lst(a, "n_actual").alias("actual"),
+                 lst(a & ~e, "n_unexpected").alias("unexpected"))
+             .withColumns({"expected": capped("expected", "n_expected"),
+                           "actual": capped("actual", "n_actual"),
+                           "unexpected": capped("unexpected", "n_unexpected")}))
     return lists.select("column_name", "expected", "actual", "unexpected", "n_expected",
                         "n_actual", "n_unexpected",
                         (F.col("n_unexpected") > 0).alias("has_unexpected"))

@@ -90,9 +90,23 @@ def _splits(sc: DataFrame, n_buckets: int) -> list[float]:
     return [-math.inf] + inner + [math.inf]
 
 
-def running_sums(sc: DataFrame, g: list[str], n_buckets: int = 256) -> DataFrame:
+ROWS_PER_RANGE = 2_000_000
+
+
+def _auto_buckets(sc: DataFrame) -> int:
+    """Score ranges so that one range holds ~ROWS_PER_RANGE distinct scores."""
+    n = sc.count()
+    return int(min(65_536, max(256, math.ceil(n / ROWS_PER_RANGE))))
+
+
+def running_sums(sc: DataFrame, g: list[str], n_buckets: int | None = None) -> DataFrame:
     """For each distinct score (descending): ``tps``, ``fps`` = positives /
-    negatives with score >= s, and ``idx`` = 1-based position in the group."""
+    negatives with score >= s, and ``idx`` = 1-based position in the group.
+
+    ``n_buckets=None`` sizes the score ranges from the number of distinct
+    scores, so the window inside one range stays bounded."""
+    if n_buckets is None:
+        n_buckets = _auto_buckets(sc)
     splits = _splits(sc, n_buckets)  # ≤ n_buckets values reach the driver
     b = Bucketizer(splits=splits, inputCol="s", outputCol="__b", handleInvalid="keep").transform(sc)
     b = b.withColumn("__b", (F.lit(len(splits)) - F.col("__b")).cast("int"))  # descending ranges
@@ -113,7 +127,7 @@ def running_sums(sc: DataFrame, g: list[str], n_buckets: int = 256) -> DataFrame
 
 # ---------------------------------------------------------------- EVL4
 def auc(scored: DataFrame, label: str = "label", score: str = "score", pos_label=1,
-        group=None, n_buckets: int = 256) -> DataFrame:
+        group=None, n_buckets: int | None = None) -> DataFrame:
     """EVL4: exact ROC AUC with ties counted half (trapezoids on the full curve).
 
     AUC = Σ_s neg_s · (P_above_s + pos_s / 2) / (P · N)."""
@@ -130,7 +144,7 @@ def auc(scored: DataFrame, label: str = "label", score: str = "score", pos_label
 
 # ---------------------------------------------------------------- EVL5 / EVL6
 def roc_curve(scored: DataFrame, label: str = "label", score: str = "score", pos_label=1,
-              group=None, drop_intermediate: bool = True, n_buckets: int = 256) -> DataFrame:
+              group=None, drop_intermediate: bool = True, n_buckets: int | None = None) -> DataFrame:
     """EVL5: ``(threshold, fpr, tpr)``; starts at (0, 0) with an infinite threshold;
     with ``drop_intermediate`` collinear points are dropped (second
     differences of both counts are zero).  Neighbours are found by equi-joins
@@ -159,7 +173,7 @@ def roc_curve(scored: DataFrame, label: str = "label", score: str = "score", pos
 
 
 def pr_curve(scored: DataFrame, label: str = "label", score: str = "score", pos_label=1,
-             group=None, n_buckets: int = 256) -> DataFrame:
+             group=None, n_buckets: int | None = None) -> DataFrame:
     """EVL6: ``(threshold, precision, recall)`` at every distinct score, plus the
     closing point (recall 0, precision 1) with a NULL threshold."""
     g = _groups(group)

@@ -1200,7 +1200,7 @@ def q_mod12(spark, sf):
     d = MDATA.assembled(SP.kfold(MDATA.model_table(spark, sf, "none"), "label", "id", 3, shuffle=False))
     est = RandomForestClassifier(featureSubsetStrategy="sqrt", impurity="gini", seed=42, maxBins=64)
     grid = {"numTrees": [50, 100, 150], "maxDepth": [5, 10, 15, 20], "minInstancesPerNode": [1, 2, 4]}
-    return MD.grid_search(d, est, grid, "fold", parallelism=4)[0]
+    return MD.grid_search(d, est, grid, "fold", parallelism=8)[0]
 
 
 @register("snk5_model_params")
