@@ -83,20 +83,22 @@ def score_counts(scored: DataFrame, label: str, score: str, pos_label, g) -> Dat
             .agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg")))
 
 
-def _splits(sc: DataFrame, n_buckets: int) -> list[float]:
-    grid = [i / n_buckets for i in range(1, n_buckets)]
-    row = sc.agg(F.percentile_approx("s", grid, max(10_000, 10 * n_buckets)).alias("q")).first()
-    inner = sorted({x for x in (row["q"] or []) if x is not None and not math.isinf(x)}) or [0.0]
-    return [-math.inf] + inner + [math.inf]
-
-
 ROWS_PER_RANGE = 2_000_000
 
 
-def _auto_buckets(sc: DataFrame) -> int:
-    """Score ranges so that one range holds ~ROWS_PER_RANGE distinct scores."""
-    n = sc.count()
-    return int(min(65_536, max(256, math.ceil(n / ROWS_PER_RANGE))))
+def _splits(sc: DataFrame, n_buckets: int | None) -> list[float]:
+    """Range boundaries at approximate quantiles of the distinct scores.
+
+    With ``n_buckets=None`` the same job also counts the distinct scores; only
+    when one range would exceed ``ROWS_PER_RANGE`` a finer grid is computed."""
+    nb = n_buckets or 256
+    grid = [i / nb for i in range(1, nb)]
+    row = sc.agg(F.percentile_approx("s", grid, max(10_000, 10 * nb)).alias("q"),
+                 F.count(F.lit(1)).alias("n")).first()
+    if n_buckets is None and row["n"] > nb * ROWS_PER_RANGE:
+        return _splits(sc, int(min(65_536, math.ceil(row["n"] / ROWS_PER_RANGE))))
+    inner = sorted({x for x in (row["q"] or []) if x is not None and not math.isinf(x)}) or [0.0]
+    return [-math.inf] + inner + [math.inf]
 
 
 def running_sums(sc: DataFrame, g: list[str], n_buckets: int | None = None) -> DataFrame:
@@ -105,8 +107,6 @@ def running_sums(sc: DataFrame, g: list[str], n_buckets: int | None = None) -> D
 
     ``n_buckets=None`` sizes the score ranges from the number of distinct
     scores, so the window inside one range stays bounded."""
-    if n_buckets is None:
-        n_buckets = _auto_buckets(sc)
     splits = _splits(sc, n_buckets)  # ≤ n_buckets values reach the driver
     b = Bucketizer(splits=splits, inputCol="s", outputCol="__b", handleInvalid="keep").transform(sc)
     b = b.withColumn("__b", (F.lit(len(splits)) - F.col("__b")).cast("int"))  # descending ranges
