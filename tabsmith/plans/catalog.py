@@ -1308,3 +1308,29 @@ def q_src1(spark, sf):
     SRC.write_table(txt, path, fmt="csv")
     return SRC.read_table(spark, path, fmt="csv", schema="id bigint, age int, job string, balance_n double, "
                                                          "duration double, deposit int")
+
+
+@register("src3_domains_from_json", WC(
+    "\n" + union([f"SELECT DISTINCT '{c}' AS column_name, coalesce(CAST({c} AS VARCHAR), 'nan') AS value FROM cleaned"
+                  for c in CATEGORICAL if c != "poutcome"])))
+def q_src3(spark, sf):
+    """SRC3 / SNK2: the column-information document of the cleaned table is written
+    as JSON and read back as expected domains ``(column, value)``."""
+    info = P.column_info(cleaned_contacts(spark, sf)).withColumnRenamed("column_name", "column")
+    path = scratch_path(spark, "column_info_json")
+    SRC.write_report(info, path)
+    return SRC.read_domains(spark, path).withColumnRenamed("column", "column_name")
+
+
+@register("src4_reload_encoded_table", WC(", " + _enc_sql_maps() + "\n" + _enc_sql_select()))
+def q_src4(spark, sf):
+    """SRC4 / SNK1: write the encoded table and its mapping, reload both; the
+    reloaded mapping decodes the reloaded table."""
+    cl = cleaned_contacts(spark, sf)
+    enc = FE.LabelEncoder.fit(cl, ENC_COLS)
+    t_path, m_path = scratch_path(spark, "encoded"), scratch_path(spark, "mapping")
+    SRC.write_table(enc.transform(cl).select("id", *ENC_COLS), t_path)
+    SRC.write_table(enc.mapping_df, m_path)
+    table_df, mapping = SRC.load_encoded(spark, t_path, m_path)
+    assert mapping is not None
+    return table_df
