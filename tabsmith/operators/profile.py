@@ -220,6 +220,16 @@ def distinct_values(df: DataFrame, cols: Sequence[str] | None = None,
                     (F.col("count") > max_values).alias("truncated")))
 
 
+def distinct_values_long(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """AGG10, whole: every ``(column, value)`` pair once, missing as ``nan``.
+
+    No list is built, so a near-unique column stays spread over the shuffle
+    partitions; this is the form to use where ``distinct_values`` truncates."""
+    cols = list(cols) if cols is not None else categorical_columns(df)
+    return long_values(df, cols).select(
+        "column_name", F.coalesce("value", F.lit("nan")).alias("value")).distinct()
+
+
 def column_info(df: DataFrame, max_values: int = 1000) -> DataFrame:
     """Column metadata document rows ``(column, type, values, count)``.
 

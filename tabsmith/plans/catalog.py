@@ -1334,3 +1334,36 @@ def q_src4(spark, sf):
     table_df, mapping = SRC.load_encoded(spark, t_path, m_path)
     assert mapping is not None
     return table_df
+
+
+@register("agg10_distinct_values_long_contacts", W(f"""
+SELECT DISTINCT column_name, coalesce(value, 'nan') AS value FROM ({_vc_union('contacts', ALL_CONTACT_COLS)})"""))
+def q_agg10l(spark, sf):
+    """AGG10 whole: every distinct ``(column, value)`` of every column (the
+    near-unique ``id`` included), no list cap."""
+    return P.distinct_values_long(contacts(spark, sf), ALL_CONTACT_COLS)
+
+
+@register("fe7_feature_vector", WC(_model_sql() + "SELECT id, label, " + ", ".join(
+    f"{R(c)} AS v{i:02d}" for i, c in enumerate(_FEATS)) + " FROM mt"))
+def q_fe7(spark, sf):
+    """FE7 feature vector of the model table, unpacked by position: entry i is
+    feature i in table order (checks the assembler order and values)."""
+    from pyspark.ml.functions import vector_to_array
+    d = MDATA.assembled(MDATA.model_table(spark, sf))
+    arr = vector_to_array(F.col("features"))
+    return d.select("id", "label", *[arr[i].alias(f"v{i:02d}") for i in range(len(_FEATS))])
+
+
+@register("snk4_pipeline_reload_scores", WC(_model_sql() + _gnb_params_sql() + _gnb_score_sql()))
+def q_snk4(spark, sf):
+    """SNK4: spark.ml Gaussian NB fitted on all rows, saved with its assembler as
+    one PipelineModel in the shared folder, loaded back and used to score the
+    raw feature columns (the feature list travels with the model).  spark.ml's
+    Gaussian NB equals the SQL fit, so the SQL scoring is the oracle."""
+    mt = MDATA.model_table(spark, sf)
+    model = MD.fit_model(MD.gaussian_nb(), MDATA.assembled(mt))
+    path = scratch_path(spark, "nb_pipeline")
+    MD.save_pipeline(model, _FEATS, path)
+    loaded = MD.load_pipeline(path)
+    return MD._score_cols(loaded.transform(mt), ["id", "label"])
