@@ -12,12 +12,17 @@ first hex digits of the hash; a small ``(label, bucket)`` count table gives
 each bucket its offset (running sum over at most 16^digits rows per class)
 and ``row_number`` runs inside ``(label, bucket)`` only.  The join of the
 offset table and the window share the ``(label, bucket)`` partitioning.
+The number of digits follows the row count (about ``ROWS_PER_BUCKET`` rows
+per bucket), so a bucket stays small at any scale.  For the unshuffled
+split the buckets are key ranges cut at approximate quantiles of the key,
+so clustered keys still give buckets of similar size.
 """
 
 from __future__ import annotations
 
 import math
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,12 +31,24 @@ def hash_key(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
 
 
-def _digits_for(n: int, rows_per_bucket: int = 2_000_000) -> int:
+ROWS_PER_BUCKET = 2_000_000
+
+
+def _digits_for(n: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
     if n <= 0:
         return 3
     return int(min(6, max(3, math.ceil(math.log(max(n / rows_per_bucket, 1.0), 16)))))
 
 
+def _key_ranges(df: DataFrame, key: str, n_buckets: int) -> list[float]:
+    """Range boundaries of ``key`` at approximate key quantiles
+    (≤ n_buckets values reach the driver)."""
+    grid = [i / n_buckets for i in range(1, n_buckets)]
+    q = df.agg(F.percentile_approx(F.col(key).cast("double"), grid, max(10_000, 10 * n_buckets))).first()[0]
+    inner = sorted({x for x in (q or []) if x is not None and not math.isinf(x)})
+    return [-math.inf] + inner + [math.inf]
+
+
 def stratified_rank(df: DataFrame, label: str, key: str, seed: int = 42,
                     shuffle: bool = True, digits: int | None = 3) -> DataFrame:
     """Add ``__rank`` (1-based, inside the class) and ``__n_class``.
@@ -46,13 +63,10 @@ def stratified_rank(df: DataFrame, label: str, key: str, seed: int = 42,
         base = df.withColumn("__h", h).withColumn("__b", F.substring("__h", 1, digits))
         order = [F.col("__h"), F.col(key)]
     else:
-        nb = 16 ** digits
-        mm = df.agg(F.min(key).alias("__mn"), F.max(key).alias("__mx"))
-        k = F.col(key).cast("double")
-        width = (F.col("__mx").cast("double") - F.col("__mn").cast("double") + F.lit(1.0)) / F.lit(float(nb))
-        base = (df.crossJoin(F.broadcast(mm))
-                .withColumn("__b", F.floor((k - F.col("__mn").cast("double")) / width).cast("long"))
-                .drop("__mn", "__mx"))
+        splits = _key_ranges(df, key, min(16 ** digits, 65_536))
+        base = (Bucketizer(splits=splits, inputCol="__k", outputCol="__b", handleInvalid="keep")
+                .transform(df.withColumn("__k", F.col(key).cast("double")))
+                .withColumn("__b", F.col("__b").cast("long")).drop("__k"))
         order = [F.col(key)]
     counts = base.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__c"))
     wcls = Window.partitionBy(label).orderBy("__b")
@@ -72,7 +86,7 @@ def n_test(n_class: Column, frac: float) -> Column:
 
 
 def holdout(df: DataFrame, label: str, key: str, test_frac: float = 0.2, seed: int = 42,
-            digits: int | None = 3) -> DataFrame:
+            digits: int | None = None) -> DataFrame:
     """SPL1: add ``is_test`` (boolean): exactly ``round(test_frac * n_class)`` rows of
     every class are test rows."""
     r = stratified_rank(df, label, key, seed, True, digits)
@@ -81,7 +95,7 @@ def holdout(df: DataFrame, label: str, key: str, test_frac: float = 0.2, seed: i
 
 
 def kfold(df: DataFrame, label: str, key: str, k: int = 10, seed: int = 42,
-          shuffle: bool = True, digits: int | None = 3) -> DataFrame:
+          shuffle: bool = True, digits: int | None = None) -> DataFrame:
     """SPL2 (shuffled) / SPL3 (``shuffle=False``): add ``fold`` in ``0..k-1``."""
     r = stratified_rank(df, label, key, seed, shuffle, digits)
     return r.withColumn("fold", ((F.col("__rank") - 1) % k).cast("int")).drop("__rank", "__n_class")

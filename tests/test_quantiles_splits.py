@@ -69,3 +69,14 @@ def test_unshuffled_folds_follow_key(spark):
     f = SP.kfold(_frame(spark), "label", "id", 3, shuffle=False).where("label = 0").orderBy("id")
     folds = [r["fold"] for r in f.limit(6).collect()]
     assert folds == [0, 1, 2, 0, 1, 2]
+
+
+def test_unshuffled_rank_with_clustered_keys(spark):
+    # keys clustered at both ends: quantile ranges keep the buckets even, and the
+    # two-level rank equals a one-level row_number by key
+    from pyspark.sql import Window
+    keys = list(range(4000)) + [10**9 + i for i in range(3)] + [10**12 + i for i in range(1000)]
+    df = spark.createDataFrame([(k, 1 if k % 7 == 0 else 0) for k in keys], "id long, label int")
+    a = SP.stratified_rank(df, "label", "id", shuffle=False, digits=1).select("id", "__rank")
+    b = df.select("id", F.row_number().over(Window.partitionBy("label").orderBy("id")).alias("__rank"))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
