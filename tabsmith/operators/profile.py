@@ -367,13 +367,19 @@ def box_data(df: DataFrame, cols: Sequence[str], whisker: float = 1.5) -> DataFr
 
 # ---------------------------------------------------------------- SRT/TOP/SET
 def sort_desc(df: DataFrame, value: str, key: str) -> DataFrame:
-    """SRT1: order by ``value`` descending, ties by ``key``; adds a 1-based ``rank``."""
+    """SRT1: order by ``value`` descending, ties by ``key``; adds a 1-based ``rank``.
+
+    For report tables whose size is fixed by the model or the category set
+    (importances, coefficients, per-category aggregates): the rank is one
+    window over the whole input.  Large row sets use ``top_k`` or the
+    two-level ranks of ``split`` / ``evaluate``."""
     w = Window.orderBy(F.desc(value), F.asc(key))
     return df.withColumn("rank", F.row_number().over(w))
 
 
 def sorted_distinct(df: DataFrame, col: str) -> DataFrame:
-    """SRT2: sorted distinct non-missing values with their position."""
+    """SRT2: sorted distinct non-missing values with their position (for a
+    target or another bounded label set)."""
     d = df.select(F.col(col).alias("value")).where(F.col("value").isNotNull()).distinct()
     return d.withColumn("position", F.row_number().over(Window.orderBy("value"))).orderBy("value")
 
@@ -386,10 +392,22 @@ def top_k(df: DataFrame, value: str, k: int, key: str) -> DataFrame:
     return df.orderBy(F.desc(value), F.asc(key)).limit(k)
 
 
-def top_k_per_group(df: DataFrame, group: str, value: str, k: int, key: str) -> DataFrame:
-    """TOP1 per group: ``row_number() <= k`` inside each group."""
-    w = Window.partitionBy(group).orderBy(F.desc(value), F.asc(key))
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def top_k_per_group(df: DataFrame, group: str, value: str, k: int, key: str,
+                    salt_buckets: int = 64) -> DataFrame:
+    """TOP1 per group: the ``k`` rows with the largest ``value`` (ties by
+    ``key``) inside each group, with their ``rank``.
+
+    Exact in two steps so a hot group never sits in one task: rows are first
+    ranked inside ``(group, hash(key) % salt_buckets)`` and only each
+    sub-group's top ``k`` survive (the group's top ``k`` are among them);
+    the final rank then runs over at most ``salt_buckets · k`` rows per group."""
+    order = [F.desc(value), F.asc(key)]
+    salt = F.pmod(F.xxhash64(F.col(key)), F.lit(salt_buckets))
+    pre = (df.withColumn("__salt", salt)
+           .withColumn("__r", F.row_number().over(Window.partitionBy(group, "__salt").orderBy(*order)))
+           .where(F.col("__r") <= k).drop("__salt", "__r"))
+    w = Window.partitionBy(group).orderBy(*order)
+    return pre.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def arg_max(df: DataFrame, item: str, metric: str) -> DataFrame:
