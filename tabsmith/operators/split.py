@@ -12,8 +12,11 @@ first hex digits of the hash; a small ``(label, bucket)`` count table gives
 each bucket its offset (running sum over at most 16^digits rows per class)
 and ``row_number`` runs inside ``(label, bucket)`` only.  The join of the
 offset table and the window share the ``(label, bucket)`` partitioning.
-The number of digits follows the row count (about ``ROWS_PER_BUCKET`` rows
-per bucket), so a bucket stays small at any scale.  For the unshuffled
+Five hex digits by default (16^5 ≈ 1 M buckets per class) keep a bucket
+near a million rows up to ~10^12 rows per class without a counting pass;
+``digits=None`` sizes them from the row count instead (about
+``ROWS_PER_BUCKET`` rows per bucket).  The offset window runs over the
+``(label, bucket)`` count table only, at most 16^digits rows per class.  For the unshuffled
 split the buckets are key ranges cut at approximate quantiles of the key,
 so clustered keys still give buckets of similar size.
 """
@@ -86,7 +89,7 @@ def n_test(n_class: Column, frac: float) -> Column:
 
 
 def holdout(df: DataFrame, label: str, key: str, test_frac: float = 0.2, seed: int = 42,
-            digits: int | None = None) -> DataFrame:
+            digits: int | None = 5) -> DataFrame:
     """SPL1: add ``is_test`` (boolean): exactly ``round(test_frac * n_class)`` rows of
     every class are test rows."""
     r = stratified_rank(df, label, key, seed, True, digits)
@@ -95,7 +98,7 @@ def holdout(df: DataFrame, label: str, key: str, test_frac: float = 0.2, seed: i
 
 
 def kfold(df: DataFrame, label: str, key: str, k: int = 10, seed: int = 42,
-          shuffle: bool = True, digits: int | None = None) -> DataFrame:
+          shuffle: bool = True, digits: int | None = 5) -> DataFrame:
     """SPL2 (shuffled) / SPL3 (``shuffle=False``): add ``fold`` in ``0..k-1``."""
     r = stratified_rank(df, label, key, seed, shuffle, digits)
     return r.withColumn("fold", ((F.col("__rank") - 1) % k).cast("int")).drop("__rank", "__n_class")

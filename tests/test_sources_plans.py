@@ -90,12 +90,3 @@ def test_streaming_clean_matches_batch(spark, tmp_path):
     exp = wm.transform(C.apply_rules(c))
     assert got.count() == exp.count() and got.exceptAll(exp).count() == 0
 
-
-def test_scan_spread_only_when_fewer_files_than_slots(spark, tmp_path):
-    par = spark.sparkContext.defaultParallelism
-    one = table(spark, SF_SMALL, "region")
-    assert "Exchange RoundRobinPartitioning" in _plan(one.select("r_name"))
-    many = str(tmp_path / "many")
-    spark.range(0, 10_000, 1, par).write.parquet(f"{many}/t.parquet")
-    wide = table(spark, many, "t")
-    assert "RoundRobinPartitioning" not in _plan(wide.where("id > 5").select("id"))
