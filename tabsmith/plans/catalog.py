@@ -1367,3 +1367,26 @@ def q_snk4(spark, sf):
     MD.save_pipeline(model, _FEATS, path)
     loaded = MD.load_pipeline(path)
     return MD._score_cols(loaded.transform(mt), ["id", "label"])
+
+
+_NUMERIC_TABLE_SCHEMA = ("column_name string, count bigint, mean double, std double, min double, p25 double, "
+                         "p50 double, p75 double, max double, missing bigint, missing_pct double")
+
+
+@register("snk3_numeric_table_csv_round_trip", W(_describe_sql("contacts", CONTACT_NUM, True)))
+def q_snk3(spark, sf):
+    """SNK3: the numeric feature table (AGG3) written as a CSV statistics table
+    (header, one file) in the shared folder and read back with its schema."""
+    path = scratch_path(spark, "numeric_table_csv")
+    SRC.write_report(P.numeric_table(contacts(spark, sf), CONTACT_NUM), path, fmt="csv")
+    return SRC.read_table(spark, path, fmt="csv", schema=_NUMERIC_TABLE_SCHEMA)
+
+
+@register("snk2_missing_report_json_round_trip", _mr_sql())
+def q_snk2(spark, sf):
+    """SNK2: the missing-value report (AGG8 + AGG9) written as a JSON report
+    in the shared folder and read back with the report's own schema."""
+    rep = M.missing_report(contacts(spark, sf))
+    path = scratch_path(spark, "missing_report_json")
+    SRC.write_report(rep, path)
+    return spark.read.schema(rep.schema).json(path)
