@@ -392,22 +392,16 @@ def top_k(df: DataFrame, value: str, k: int, key: str) -> DataFrame:
     return df.orderBy(F.desc(value), F.asc(key)).limit(k)
 
 
-def top_k_per_group(df: DataFrame, group: str, value: str, k: int, key: str,
-                    salt_buckets: int = 64) -> DataFrame:
+def top_k_per_group(df: DataFrame, group: str, value: str, k: int, key: str) -> DataFrame:
     """TOP1 per group: the ``k`` rows with the largest ``value`` (ties by
     ``key``) inside each group, with their ``rank``.
 
-    Exact in two steps so a hot group never sits in one task: rows are first
-    ranked inside ``(group, hash(key) % salt_buckets)`` and only each
-    sub-group's top ``k`` survive (the group's top ``k`` are among them);
-    the final rank then runs over at most ``salt_buckets · k`` rows per group."""
-    order = [F.desc(value), F.asc(key)]
-    salt = F.pmod(F.xxhash64(F.col(key)), F.lit(salt_buckets))
-    pre = (df.withColumn("__salt", salt)
-           .withColumn("__r", F.row_number().over(Window.partitionBy(group, "__salt").orderBy(*order)))
-           .where(F.col("__r") <= k).drop("__salt", "__r"))
-    w = Window.partitionBy(group).orderBy(*order)
-    return pre.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ``row_number() <= k`` plans as a partial ``WindowGroupLimit`` before the
+    shuffle (k ≤ ``spark.sql.optimizer.windowGroupLimitThreshold``): every
+    map task forwards only its own top ``k`` per group, so a group holding a
+    third of the rows reaches its final task as at most k rows per map task."""
+    w = Window.partitionBy(group).orderBy(F.desc(value), F.asc(key))
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def arg_max(df: DataFrame, item: str, metric: str) -> DataFrame:

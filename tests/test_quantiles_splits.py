@@ -83,13 +83,14 @@ def test_unshuffled_rank_with_clustered_keys(spark):
 
 
 def test_top_k_per_group_hot_group_equals_one_level(spark):
-    # group "a" holds most rows; the salted two-step top-k equals a plain
-    # row_number over the whole group, ties included
+    # group "a" holds most rows; the limited window (partial top-k per map
+    # task) equals a plain row_number over the whole group, ties included
     from pyspark.sql import Window
     from tabsmith.operators import profile as P
     rows = [("a", i, float(i % 97)) for i in range(6000)] + [("b", i, float(i % 5)) for i in range(50)]
     df = spark.createDataFrame(rows, "g string, k long, v double")
-    a = P.top_k_per_group(df, "g", "v", 7, "k", salt_buckets=16)
+    a = P.top_k_per_group(df.repartition(8), "g", "v", 7, "k")
+    assert "WindowGroupLimit" in a._jdf.queryExecution().executedPlan().toString()
     w = Window.partitionBy("g").orderBy(F.desc("v"), F.asc("k"))
     b = df.withColumn("rank", F.row_number().over(w)).where("rank <= 7")
     assert a.count() == 14 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
