@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tabsmith.functions import round_doubles
 from tabsmith.operators import profile as P
 from tabsmith.plans.contacts import (CATEGORICAL, CONTACTS_SQL, contacts, table)
+from tabsmith.session import checkpoint_dir
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -909,7 +910,9 @@ def _folded_sql():
 def q_evl4f(spark, sf):
     """EVL2-EVL4 per fold in one grouped query (all folds at once)."""
     s = scored_contacts(spark, sf)
-    f = SP.kfold(s, "label", "id", 10, 42)
+    # the fold assignment feeds a sizing job and the metrics job: write it once
+    checkpoint_dir(spark)
+    f = SP.kfold(s, "label", "id", 10, 42).checkpoint()
     return EV.classification_metrics(f, group="fold")
 
 
@@ -981,7 +984,8 @@ def q_evl7(spark, sf):
 def q_evl8(spark, sf):
     """EVL8 cross-validation summary: mean and sample std per metric over folds."""
     s = scored_contacts(spark, sf)
-    per_fold = EV.classification_metrics(SP.kfold(s, "label", "id", 10, 42), group="fold")
+    checkpoint_dir(spark)
+    per_fold = EV.classification_metrics(SP.kfold(s, "label", "id", 10, 42).checkpoint(), group="fold")
     return EV.cv_summary(per_fold)
 
 
