@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -45,8 +44,10 @@ def get_spark(master: str | None = None, app: str = "tabsmith",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster is expected to set it to a shared file system.  Only when it is
-    unset (local tests) a private folder is created and registered.
+    The cluster is expected to set it to a shared file system; outside local
+    mode an unset folder is an error, because a folder of the driver's machine
+    is not visible to the executors.  In local mode (tests) a private folder is
+    created and registered.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -55,14 +56,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
+        master = sc.master or ""
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf_dir = tempfile.mkdtemp(prefix="tabsmith-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder for written tables."""
-    base = checkpoint_dir(spark)
-    base = base[len("file:"):] if base.startswith("file:") else base
-    path = os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
-    return path
+    """A fresh sub-folder of the shared checkpoint folder for written tables.
+
+    The scheme of the folder is kept, so the path means the same store on the
+    driver and on every executor.
+    """
+    return f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back.
+
+    Cuts the lineage: what follows reads finished files, so a lost executor
+    never recomputes what stands before.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
