@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabsmith.llm.hostrules import host_quality
 from tabsmith.llm.partenum import ngram_jaccard_join
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -26,3 +27,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark, sf):
     """Set size and link component of every document: 4-word shingles, Jaccard at least 0.85."""
     return ngram_jaccard_join(documents(spark, sf), "doc_id", "text", width=4, percent=85)
+
+
+@register("op10_host_quality_rules")
+def op10(spark, sf):
+    """Rule counts of every document, and verdicts that include its host's shrunk failure rate."""
+    out = host_quality(documents(spark, sf), "text", "source")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                      "base_failed", "kept")
