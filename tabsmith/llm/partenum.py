@@ -21,9 +21,10 @@ Candidates are checked exactly and without all pairs of a group:
 3. components of those links are taken; a bucket whose other members now lie in
    one component needs nothing more;
 4. in the other buckets members of different components are compared, hot
-   buckets in salted blocks.  The join condition holds the size ratio and a
-   256-bit parity sketch whose distance never exceeds the true difference, so
-   only near pairs leave the join.
+   buckets in salted blocks.  The join condition holds the size ratio, a
+   256-bit parity sketch whose distance never exceeds the true difference, and
+   the eight signatures before the shared one, so only near pairs leave the
+   join, and not once for each bucket they share.
 
 Every step is a shuffle by signature or set id over narrow rows; texts travel
 only for sets that are candidates.
@@ -38,13 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsmith.llm.textops import _M1, mix, shingle_sets, signed, slices, text_buffer  # noqa: F401
+from tabsmith.llm.textops import _M1, mix, shingle_sets, signed, slices
 from tabsmith.session import written
 
 #: A side of a join is broadcast only if it has at most so many narrow rows.
 BROADCAST_ROWS = 200_000
 #: Members of one bucket that are compared in one salted block.
 BLOCK = 1024
+#: A pair of one bucket is passed over if it agrees on one of so many earlier signatures.
+BEFORE = 8
 _SKETCH = ["s0", "s1", "s2", "s3"]
 
 
@@ -73,11 +76,12 @@ def instance_params(percent: int, k2: int) -> tuple[np.ndarray, list[tuple[int,
     return np.array(edges), out
 
 
-def signatures(s: np.ndarray, edges: np.ndarray, params, n2: int, subsets) -> np.ndarray:
-    """All signatures of one shingle set (sorted distinct 64-bit hashes)."""
+def signatures(s: np.ndarray, edges: np.ndarray, params, n2: int, subsets) -> tuple[np.ndarray, np.ndarray]:
+    """All signatures of one shingle set (sorted distinct 64-bit hashes) in the order of
+    (instance, group, subset), and which of them the set emits."""
     band = int(np.searchsorted(edges, len(s), "right")) - 1
     high, mixed = s >> np.uint64(32), mix(s ^ _M1)
-    out = []
+    out, emit = [], []
     for inst in (band, band + 1):
         k, groups, spare = params[inst]
         if k == 0:
@@ -92,8 +96,9 @@ def signatures(s: np.ndarray, edges: np.ndarray, params, n2: int, subsets) -> np
         some = np.stack([filled[:, c].any(axis=1) for c in subsets], axis=1)
         place = np.arange(sums.size, dtype=np.uint64).reshape(sums.shape)
         sig = mix(sums + mix(place + (np.uint64(inst) << np.uint64(40)) + _M1))
-        out.append(sig.ravel() if (~some.all(axis=1)).sum() > spare else sig[some])
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+        out.append(sig.ravel())
+        emit.append((some | ((~some.all(axis=1)).sum() > spare)).ravel())
+    return (np.concatenate(out), np.concatenate(emit)) if out else (np.empty(0, np.uint64), np.empty(0, bool))
 
 
 def set_id(s: np.ndarray) -> np.uint64:
@@ -178,8 +183,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def to_signatures(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [(set_id(s), signatures(s, edges, params, n2, subsets))
-                         for s in shingle_sets(part.column("text"), width) if len(s)]
+                found = []
+                for s in shingle_sets(part.column("text"), width):
+                    if len(s):
+                        sig, emit = signatures(s, edges, params, n2, subsets)
+                        found.append((set_id(s), sig[emit]))
                 if found:
                     sid = np.repeat(np.array([f[0] for f in found], np.uint64), [len(f[1]) for f in found])
                     yield pa.RecordBatch.from_arrays(
@@ -245,20 +253,49 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     comp = components(first)
 
     # buckets whose members, the pivot apart, lie in more than one component
-    rest = (multi.filter("sid <> piv").select("sig", "sid")
+    rest = (multi.filter("sid <> piv")
             .join(comp.withColumnRenamed("id", "sid"), "sid", "left")
             .withColumn("c", F.coalesce("c", "sid")))
-    open_ = (rest.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"))
-             .filter("lo < hi").select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-    rest = written(rest.join(open_, "sig").join(info.drop("id"), "sid"), "open")
-    right = rest.select(F.col("sig").alias("sig"), F.col("sid").alias("b"), F.col("c").alias("r_c"),
-                        *(F.col(c).alias(f"r_{c}") for c in ["n", *_SKETCH]),
-                        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"))
-    left = rest.select(F.col("sig").alias("sig"), F.col("sid").alias("a"), F.col("c").alias("l_c"),
-                       *(F.col(c).alias(f"l_{c}") for c in ["n", *_SKETCH]),
-                       F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("salt"))
-    cross = (left.join(right, (left["sig"] == right["sig"]) & (left["salt"] == right["salt"])
-                       & (F.col("a") < F.col("b")) & (F.col("l_c") != F.col("r_c")) & close)
+    open_ = written(rest.groupBy("sig").agg(
+        F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.first("piv").alias("piv"))
+        .filter("lo < hi").select("sig", "piv", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "open")
+    members = rest.select("sig", "sid").join(open_, "sig", "left_semi").select("sid").distinct()
+
+    def to_ordered(batches):
+        # a signature and the ones just before it: a pair that agrees there too was met before
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = []
+                for sid, s in zip(part.column("sid").to_numpy(), shingle_sets(part.column("text"), width)):
+                    sig, emit = signatures(s, edges, params, n2, subsets)
+                    before = np.zeros((len(sig), BEFORE), np.int64)
+                    known = np.zeros((len(sig), BEFORE), bool)
+                    for j in range(min(BEFORE, len(sig))):
+                        before[j + 1:, j], known[j + 1:, j] = signed(sig)[:-j - 1], emit[:-j - 1]
+                    found.append((signed(sig)[emit], np.full(emit.sum(), sid), before[emit], known[emit]))
+                if found:
+                    sig, sid, before, known = (np.concatenate(x) for x in zip(*found))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(sig), pa.array(sid),
+                         *(pa.array(np.ascontiguousarray(before[:, j]), mask=~known[:, j]) for j in range(BEFORE))],
+                        ["sig", "sid", *past])
+
+    past = [f"p{j}" for j in range(BEFORE)]
+    again = (texts.join(members, "sid")
+             .mapInArrow(to_ordered, ", ".join(f"{c} long" for c in ["sig", "sid", *past]))
+             .join(open_, "sig").filter("sid <> piv").drop("piv")
+             .join(comp.withColumnRenamed("id", "sid"), "sid", "left").withColumn("c", F.coalesce("c", "sid")))
+    again = written(again.join(info.drop("id"), "sid"), "open")
+    values = ["n", "c", *_SKETCH, *past]
+    right = again.select(F.col("sig").alias("r_sig"), F.col("sid").alias("b"), *(F.col(c).alias(f"r_{c}") for c in values),
+                         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("r_salt"))
+    left = again.select(F.col("sig").alias("l_sig"), F.col("sid").alias("a"), *(F.col(c).alias(f"l_{c}") for c in values),
+                        F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("l_salt"))
+    met = F.lit(False)
+    for c in past:
+        met = met | F.coalesce(F.col(f"l_{c}") == F.col(f"r_{c}"), F.lit(False))
+    cross = (left.join(right, (F.col("l_sig") == F.col("r_sig")) & (F.col("l_salt") == F.col("r_salt"))
+                       & (F.col("a") < F.col("b")) & (F.col("l_c") != F.col("r_c")) & close & ~met)
              .select("a", "b").distinct())
     second = links(cross)
     comp = components(comp.select(F.col("id").alias("a"), F.col("c").alias("b")).filter("a <> b").union(second))
