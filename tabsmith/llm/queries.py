@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tabsmith.llm.bpe import decode, encode
 from tabsmith.llm.hostrules import host_quality
 from tabsmith.llm.partenum import ngram_jaccard_join
 
@@ -23,6 +26,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@register("op1_bpe_lexicon")
+def op1(spark, sf):
+    """Token ids of every document by the transducer lexicon, and the text they decode to."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = encode(documents(spark, sf).select("doc_id", "text"), path, "text", "ids").select("doc_id", "ids")
+    out = ids.withColumn("decoded", decode(F.col("ids"), path))
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @register("op8_ngram_jaccard_join")
 def op8(spark, sf):
     """Set size and link component of every document: 4-word shingles, Jaccard at least 0.85."""
