@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tabsmith.llm.bpe import decode, encode
 from tabsmith.llm.hostrules import host_quality
 from tabsmith.llm.partenum import ngram_jaccard_join
+from tabsmith.llm.secrets import BASE, count_kind, digest, scan_secrets
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -38,6 +39,17 @@ def op1(spark, sf):
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@register("op2_secret_links")
+def op2(spark, sf):
+    """Secrets of every document: the base kinds, and weak parts whose complement is near."""
+    out = scan_secrets(documents(spark, sf), "doc_id", "text")
+    base = F.filter("spans", lambda s: s["kind"].isin(BASE))
+    out = out.select("doc_id", "spans", base.alias("base"))
+    return out.select(
+        "doc_id", *(count_kind("base", k).cast("long").alias(f"n_{k}") for k in BASE),
+        F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
+
+
 @register("op8_ngram_jaccard_join")
 def op8(spark, sf):
     """Set size and link component of every document: 4-word shingles, Jaccard at least 0.85."""
