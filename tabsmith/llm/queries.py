@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsmith.llm.bpe import decode, encode
+from tabsmith.llm.chat import CONTROL, format_chats, read_loss, read_turns
 from tabsmith.llm.hostrules import host_quality
 from tabsmith.llm.partenum import ngram_jaccard_join
+from tabsmith.llm.quartile import edited_fingerprints
 from tabsmith.llm.secrets import BASE, count_kind, digest, scan_secrets
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -32,7 +34,7 @@ def op1(spark, sf):
     """Token ids of every document by the transducer lexicon, and the text they decode to."""
     path = public_tokenizers.path("word_bpe_49k.json")
     ids = encode(documents(spark, sf).select("doc_id", "text"), path, "text", "ids").select("doc_id", "ids")
-    out = ids.withColumn("decoded", decode(F.col("ids"), path))
+    out = decode(ids, path, "ids", "decoded")
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
@@ -50,6 +52,55 @@ def op2(spark, sf):
         F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
 
 
+@register("op4_quartile_digest")
+def op4(spark, sf):
+    """Quartile bucket digests of every document and its edited text, with likenesses."""
+    out = edited_fingerprints(documents(spark, sf), "doc_id", "text")
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
+                      "edited_fingerprint", "near_edited", "near_next")
+
+
+OP7_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+coded AS (
+  SELECT *, {escaped_role} AS e_role, {escaped_text} AS e_text,
+    coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) = role, false) AS same
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), ''))
+    AS loss_sha256,
+  CAST(sum(length(e_text) + CASE WHEN same THEN 6 ELSE 20 + length(e_role) END) AS BIGINT) AS formatted_chars
+FROM coded GROUP BY conv_id
+"""
+
+
+def _escaped(column: str) -> str:
+    for raw, code in CONTROL:
+        column = f"replace({column}, '{raw}', '{code}')"
+    return column
+
+
+@register("op7_relational_chat", OP7_SQL.format(escaped_role=_escaped("role"), escaped_text=_escaped("text")))
+def op7(spark, sf):
+    """All conversations formatted, and what the formatted text gives back."""
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    out = format_chats(turns.union(more))
+    out = out.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"),
+                     read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 @register("op8_ngram_jaccard_join")
 def op8(spark, sf):
     """Set size and link component of every document: 4-word shingles, Jaccard at least 0.85."""
