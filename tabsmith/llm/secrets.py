@@ -47,7 +47,7 @@ _SPAN = "array<struct<kind:string,start:int,stop:int>>"
 def _matches(text: Column, pattern: str, kind: str, quick: Column, least: int = 0) -> Column:
     """Spans (kind, start, stop) of all matches; with ``least`` of those whose last group is that long."""
     groups = pattern if least else f"()({pattern})"
-    whole = rf"(?s)(.*?){groups}"
+    whole = rf"(?s)\G(.*?){groups}"      # \G: the rest behind the last match is read once
     parts = F.arrays_zip(*(F.transform(F.regexp_extract_all(text, F.lit(whole), F.lit(g)), F.length).alias(n)
                            for g, n in ((1, "gap"), (2, "head"), (3, "tail"))))
 
@@ -116,7 +116,7 @@ def _linked(rows: DataFrame, reach: int) -> DataFrame:
     found = find_parts(rows, "text")
     weak = F.exists("parts", lambda p: ~p["kind"].isin(BASE)) & (F.size("parts") > 1)
     # paragraph of a position: how many blank lines end before it
-    breaks = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?s)(.*?\n[\x20\t\r]*\n)"), F.lit(1)),
+    breaks = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?s)\G(.*?\n[\x20\t\r]*\n)"), F.lit(1)),
                          F.length)
     ends = F.aggregate(breaks, F.array().cast("array<int>"), lambda a, n: F.concat(
         a, F.array(n + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)))))
