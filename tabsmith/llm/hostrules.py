@@ -129,15 +129,14 @@ def reject_by_rules(docs: DataFrame, text_col: str = "text", host_col: str = "so
                     limit: float = 0.5) -> DataFrame:
     """The documents that pass, with the columns they had.
 
-    Two passes over the texts: one for the host totals, one that filters by
-    the document's own counts and the rejected hosts, so no text is shuffled.
+    One pass over the texts: rows and counts are written, the host totals and
+    the filter read what is written, and no text is shuffled.
     """
-    flags = rule_counts(docs.select(F.col(host_col).alias("__host"), F.col(text_col).alias("__x")), "__x")
-    bad = written(host_verdicts(flags.select("__host", "base_failed"), "__host", limit)
-                  .filter("host_rejected").select("host"), "hosts")
-    if bad.count() <= BROADCAST_ROWS:
-        bad = F.broadcast(bad)
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"),
                       F.col(host_col).alias("__host"), F.col(text_col).alias("__x"))
-    passed = rule_counts(row, "__x").filter(~F.col("base_failed"))
-    return (passed.join(bad, passed["__host"].eqNullSafe(bad["host"]), "left_anti").select("__row.*"))
+    flags = written(rule_counts(row, "__x").select("__row", "__host", "base_failed"), "rules")
+    bad = written(host_verdicts(flags, "__host", limit).filter("host_rejected").select("host"), "hosts")
+    if bad.count() <= BROADCAST_ROWS:
+        bad = F.broadcast(bad)
+    passed = flags.filter(~F.col("base_failed"))
+    return passed.join(bad, passed["__host"].eqNullSafe(bad["host"]), "left_anti").select("__row.*")

@@ -164,7 +164,6 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not 0 <= k2 < n2 or not 50 <= percent <= 100:
         raise ValueError("need 0 <= k2 < n2 and 50 <= percent <= 100")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    id_type = docs.schema["id"].dataType
     subsets = [list(c) for c in combinations(range(n2), n2 - k2)]
     edges, params = instance_params(percent, k2)
 
@@ -305,6 +304,6 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                      .select("id", "n", F.coalesce("c", "sid").alias("c")), "placed")
     least = placed.filter("c is not null").groupBy("c").agg(F.min("id").alias("least"))
     return (placed.join(least, "c", "left")
-            .select(F.col("id").cast(id_type).alias(id_col), F.col("n").alias("n_shingles"),
+            .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                     F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("least"))
-                    .cast(id_type).alias("component_id")))
+                    .alias("component_id")))

@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabsmith.llm.binpack import best_fit
 from tabsmith.llm.bpe import decode, encode
 from tabsmith.llm.chat import CONTROL, format_chats, read_loss, read_turns
 from tabsmith.llm.hostrules import host_quality
+from tabsmith.llm.linecrf import quality
+from tabsmith.llm.nnpu import toxicity
 from tabsmith.llm.partenum import ngram_jaccard_join
 from tabsmith.llm.quartile import edited_fingerprints
 from tabsmith.llm.secrets import BASE, count_kind, digest, scan_secrets
+from tabsmith.llm.warc import read_archives, write_archives
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -33,7 +37,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark, sf):
     """Token ids of every document by the transducer lexicon, and the text they decode to."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    ids = encode(documents(spark, sf).select("doc_id", "text"), path, "text", "ids").select("doc_id", "ids")
+    ids = encode(documents(spark, sf), path, "text", "ids", keep=["doc_id"])
     out = decode(ids, path, "ids", "decoded")
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
@@ -52,6 +56,13 @@ def op2(spark, sf):
         F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
 
 
+@register("op3_nnpu_toxicity")
+def op3(spark, sf):
+    """Toxicity of every document by positive-unlabelled classifiers; one crc32 fold is held out."""
+    out = toxicity(documents(spark, sf).select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 @register("op4_quartile_digest")
 def op4(spark, sf):
     """Quartile bucket digests of every document and its edited text, with likenesses."""
@@ -60,6 +71,33 @@ def op4(spark, sf):
                       "edited_fingerprint", "near_edited", "near_next")
 
 
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM m
+"""
+
+
+@register("op5_zstd_warc", OP5_SQL)
+def op5(spark, sf):
+    """All pages written to zstd WARC archives and read back, repeated payloads as revisits."""
+    records = read_archives(write_archives(spark.read.parquet(f"{sf}/pages.parquet")))
+    return records.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest",
+                          F.col("type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"))
+
+
+@register("op6_line_crf_quality")
+def op6(spark, sf):
+    """Quality of every document from line marginals of a chain CRF; one crc32 fold is held out."""
+    out = quality(documents(spark, sf).select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 OP7_SQL = """
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -107,6 +145,12 @@ def op8(spark, sf):
     return ngram_jaccard_join(documents(spark, sf), "doc_id", "text", width=4, percent=85)
 
 
+@register("op9_variable_best_fit")
+def op9(spark, sf):
+    """Every document packed into sequences of several permitted lengths, by words."""
+    return best_fit(documents(spark, sf), "doc_id", text_col="text")
+
+
 @register("op10_host_quality_rules")
 def op10(spark, sf):
     """Rule counts of every document, and verdicts that include its host's shrunk failure rate."""

@@ -135,12 +135,19 @@ def _linked(rows: DataFrame, reach: int) -> DataFrame:
     linked = linked.groupBy("key").agg(F.collect_list(F.struct("kind", "start", "stop")).alias("linked"))
 
     order = F.array(*(F.lit(k) for k in KINDS))
-    spans = F.coalesce("linked", F.filter("parts", lambda p: p["kind"].isin(BASE)))
-    return (found.join(linked, "key", "left").select(
-        *kept, F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(
+
+    def sorted_spans(spans: Column) -> Column:
+        ranked = F.array_sort(F.transform(spans, lambda s: F.struct(
             s["start"].alias("start"), F.array_position(order, s["kind"]).alias("rank"), s["stop"].alias("stop"),
-            s["kind"].alias("kind")))), lambda s: F.struct(
-                s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))).alias("spans")))
+            s["kind"].alias("kind"))))
+        return F.transform(ranked, lambda s: F.struct(
+            s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
+
+    # rows without weak parts never take part in the join
+    alone = F.filter("parts", lambda p: p["kind"].isin(BASE))
+    keyed = found.filter("key is not null").join(linked, "key", "left")
+    return (found.filter("key is null").select(*kept, sorted_spans(alone).alias("spans"))
+            .unionByName(keyed.select(*kept, sorted_spans(F.coalesce("linked", alone)).alias("spans"))))
 
 
 def count_kind(spans, kind: str) -> Column:
