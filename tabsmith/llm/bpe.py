@@ -18,13 +18,17 @@ from __future__ import annotations
 import heapq
 import json
 import mmap
+import re
 import struct
 import unicodedata
 import uuid
+from array import array
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -32,14 +36,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsmith.llm.textops import slices
-from tabsmith.session import scratch_path
+from tabsmith.session import scratch_path, written
 
+#: Fixed value: the pattern of words for which a faster form is known.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPACE = regex.compile(r"\s")
+LETTER = re.compile(r"[^\W\d_]")
+NO_WORD = 0xFFFFFFFF
 #: Words of the lexicon; all others are merged when they occur.
-LEXICON_WORDS = 32_768
+LEXICON_WORDS = 131_072
 #: Longer words never enter the lexicon.
 LEXICON_CHARS = 64
 #: Looked-up words that a task remembers before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 
 
 def byte_letters() -> list[str]:
@@ -60,12 +69,16 @@ class Tokenizer:
         self.vocab = model["vocab"]
         self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): r for r, m in enumerate(model["merges"])}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.added.items()}
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pattern = regex.compile(split, regex.V0)
         self.cut = regex.compile("(" + "|".join(
             regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.letters = byte_letters()
+        # the standard library's classes agree on texts without these characters, and are faster
+        self.plain = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+") if split == PATTERN else None
+        odd = [c for c in map(chr, range(0x250)) if unicodedata.category(c) in ("Nl", "No")
+               or c.isspace() != bool(SPACE.match(c)) or bool(LETTER.match(c)) != unicodedata.category(c).startswith("L")]
+        self.odd = re.compile("[" + re.escape("".join(odd)) + "\u0250-\U0010ffff]")
 
     def pieces(self, text: str) -> list[str]:
         """Words of a text in order; an added token is returned as a 1-tuple of its id."""
@@ -81,7 +94,10 @@ class Tokenizer:
 
     def _words(self, text: str) -> list[str]:
         # character-wise lower case: no final sigma; white space never is part of a piece
-        return self.pattern.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if self.plain and not self.odd.search(text):
+            return self.plain.findall(text)
+        return self.pattern.findall(text)
 
     def merge(self, word: str) -> list[int]:
         """Token ids of one word: the lowest ranked pair is merged first, the leftmost of equals."""
@@ -117,6 +133,18 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
+@lru_cache(maxsize=4)
+def token_strings(path: str) -> pa.Array:
+    """The string of every token id."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    ids = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+    out: list = [None] * (max(ids.values()) + 1)
+    for text, i in ids.items():
+        out[i] = text
+    return pa.array(out, pa.string())
+
+
 def _common(a: tuple, b: tuple) -> int:
     n = 0
     while n < len(a) and n < len(b) and a[n] == b[n]:
@@ -195,7 +223,7 @@ def compile_lexicon(words: dict[str, list[int]]) -> bytes:
 
     first, finals, labels, targets, emits = [0], [], bytearray(), [], []
     for s in order:
-        finals.append(0xFFFFFFFF if s.final is None else place(s.final))
+        finals.append(NO_WORD if s.final is None else place(s.final))
         for b, (t, o) in sorted(s.arcs.items()):
             labels.append(b)
             targets.append(t.number)
@@ -216,30 +244,53 @@ class Lexicon:
         magic, states, arcs, pool, _ = struct.unpack_from("<4sIIII", self.map)
         if magic != b"MAT1":
             raise ValueError(f"{path} holds no lexicon")
-        words, at = memoryview(self.map)[20:20 + 4 * (2 * states + 1 + 2 * arcs + pool)].cast("I"), 0
+        words, at = np.frombuffer(self.map, np.uint32, 2 * states + 1 + 2 * arcs + pool, 20), 0
         cuts = []
         for n in (states + 1, states, arcs, arcs, pool):
             cuts.append(words[at:at + n])
             at += n
-        self.first, self.finals, self.targets, self.emits, self.pool = cuts
-        self.labels, self.root = 20 + 4 * at, states - 1
-
-    def find(self, word: str) -> list[int] | None:
-        """Token ids of a word, or None if the lexicon lacks it."""
-        state, out, base = self.root, [], self.labels
-        for b in word.encode("utf-8"):
-            arc = self.map.find(b.to_bytes(1, "little"), base + self.first[state], base + self.first[state + 1]) - base
-            if arc < 0:
-                return None
-            if e := self.emits[arc]:
-                out.extend(self.pool[e + 1:e + 1 + self.pool[e]])
-            state = self.targets[arc]
-        e = self.finals[state]
-        if e == 0xFFFFFFFF:
-            return None
-        if e:
-            out.extend(self.pool[e + 1:e + 1 + self.pool[e]])
-        return out
+        first, self.finals, self.targets, self.emits, self.pool = cuts
+        labels = np.frombuffer(self.map, np.uint8, arcs, 20 + 4 * at)
+        self.keys = np.repeat(np.arange(states, dtype=np.int64), np.diff(first.astype(np.int64))) * 256 + labels
+        self.root = states - 1
+
+    def find(self, words: list[str]) -> list[bytes | None]:
+        """Token ids (int32 bytes) of each word, None where the lexicon lacks it.
+
+        All words walk the automaton together, one byte a step; an arc is found
+        by its state and byte in the sorted table of arcs.
+        """
+        raw = [w.encode("utf-8") for w in words]
+        size = np.array([len(r) for r in raw], np.int64)
+        start = np.concatenate([[0], np.cumsum(size)[:-1]])
+        data = np.frombuffer(b"".join(raw) + b"\0", np.uint8)
+        state = np.full(len(raw), self.root, np.int64)
+        alive, who, pieces = np.arange(len(raw)), [], []
+        for step in range(int(size.max(initial=0))):
+            alive = alive[size[alive] > step]
+            key = state[alive] * 256 + data[start[alive] + step]
+            arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            known = self.keys[arc] == key
+            state[alive[~known]] = -1
+            alive, arc = alive[known], arc[known]
+            state[alive] = self.targets[arc]
+            who.append(alive)
+            pieces.append(self.emits[arc])
+        done = np.flatnonzero(state >= 0)
+        done = done[self.finals[state[done]] != NO_WORD]
+        who.append(done)
+        pieces.append(self.finals[state[done]])
+        found = np.zeros(len(raw), bool)
+        found[done] = True
+        who, pieces = np.concatenate(who), np.concatenate(pieces).astype(np.int64)
+        used = found[who] & (pieces > 0)
+        order = np.argsort(who[used], kind="stable")
+        who, pieces = who[used][order], pieces[used][order]
+        n = self.pool[pieces].astype(np.int64)
+        ends = np.cumsum(n)
+        ids = self.pool[np.repeat(pieces + 1 - (ends - n), n) + np.arange(n.sum())].astype(np.int32).tobytes()
+        stop = np.cumsum(np.bincount(who, n, len(raw)).astype(np.int64)) * 4
+        return [ids[a:b] if f else None for a, b, f in zip([0, *stop[:-1].tolist()], stop.tolist(), found.tolist())]
 
 
 @lru_cache(maxsize=2)
@@ -253,12 +304,13 @@ def word_counts(docs: DataFrame, text_col: str, tokenizer_path: str) -> DataFram
         t, seen = tokenizer(tokenizer_path), Counter()
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()),
-                                               pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            short = [w for w in seen if len(w) <= LEXICON_CHARS and type(w) is str]
+            return pa.RecordBatch.from_arrays([pa.array(short, pa.string()),
+                                               pa.array([seen[w] for w in short], pa.int64())], ["word", "n"])
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    seen.update(w for w in t.pieces(text) if len(w) <= LEXICON_CHARS and type(w) is str)
+                    seen.update(t.pieces(text))
                 if len(seen) > REMEMBERED:
                     yield out()
                     seen.clear()
@@ -269,11 +321,23 @@ def word_counts(docs: DataFrame, text_col: str, tokenizer_path: str) -> DataFram
 
 
 def build_lexicon(docs: DataFrame, text_col: str, tokenizer_path: str, words: int = LEXICON_WORDS) -> str:
-    """Compile the ``words`` most frequent words of all texts (ties by word) and ship the
-    file to the executors; returns its name there."""
+    """Compile the most frequent words of all texts and ship the file to the executors;
+    returns its name there.
+
+    All words from the smallest count on that leaves at most ``words`` enter; the
+    count is found from how many words have each count, so the driver gets the
+    lexicon's words and nothing else.
+    """
     spark = docs.sparkSession
     t = tokenizer(tokenizer_path)
-    top = word_counts(docs, text_col, tokenizer_path).orderBy(F.desc("n"), "word").limit(words)
+    counts = written(word_counts(docs, text_col, tokenizer_path).filter("n > 1"), "counts")
+    least, total = 1 << 62, 0
+    for r in counts.groupBy("n").agg(F.count("*").alias("m")).orderBy(F.desc("n")).limit(words).collect():
+        total += r.m
+        if total > words:
+            break
+        least = r.n
+    top = counts.filter(F.col("n") >= least)
     data = compile_lexicon({r.word: t.merge(r.word) for r in top.collect()})
     name = f"lexicon-{uuid.uuid4().hex}.mat"
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_path(spark, 'lexicon')}/{name}")
@@ -284,56 +348,70 @@ def build_lexicon(docs: DataFrame, text_col: str, tokenizer_path: str, words: in
     return name
 
 
-def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", out_col: str = "ids",
-           words: int = LEXICON_WORDS) -> DataFrame:
-    """``docs`` with the token ids of ``text_col`` in ``out_col`` (array of int).
+_SEEN: dict[str, dict] = {}
+
 
-    Null and empty texts have no ids.  Every other column, repeated rows and
-    nulls included, is kept; a column named ``out_col`` is replaced.  Empty
-    input: no rows.  Special tokens are neither added nor skipped: their
-    strings in a text give their ids.
+def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", out_col: str = "ids",
+           keep: list[str] | None = None, words: int = LEXICON_WORDS) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all by default) and the token ids of ``text_col`` in
+    ``out_col`` (array of int).
+
+    Null and empty texts have no ids.  Repeated rows and nulls in other columns
+    are kept; a column named ``out_col`` is replaced.  Empty input: no rows.
+    Special tokens are neither added nor skipped: their strings in a text give
+    their ids.
     """
     name = build_lexicon(docs, text_col, tokenizer_path, words)
-    kept = docs.drop(out_col) if text_col != out_col else docs
-    plain = kept.select(F.struct(*(F.col(f"`{c}`") for c in kept.columns)).alias("row"),
-                        F.col(f"`{text_col}`").alias("text"))
+    kept = [c for c in (docs.columns if keep is None else keep) if c != out_col]
+    plain = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches):
         t, lexicon = tokenizer(tokenizer_path), _mapped(name)
-        seen: dict = {}
+        if name not in _SEEN:
+            _SEEN.clear()
+            _SEEN[name] = {}
+        seen = _SEEN[name]               # word -> its ids as int32 bytes
         for batch in batches:
             for part in slices(batch, "text"):
-                ids = []
-                for text in part.column("text").to_pylist():
-                    found: list[int] = []
-                    for w in t.pieces(text) if text else ():
-                        got = seen.get(w)
-                        if got is None:
-                            got = list(w) if type(w) is tuple else lexicon.find(w) or t.merge(w)
-                            if len(w) <= LEXICON_CHARS:
-                                seen[w] = got
-                        found += got
-                    ids.append(pa.array(found, pa.int32()))
+                texts = [t.pieces(text) if text else [] for text in part.column("text").to_pylist()]
                 if len(seen) > REMEMBERED:
                     seen.clear()
-                offsets = [0]
-                for x in ids:
-                    offsets.append(offsets[-1] + len(x))
+                new = set().union(*texts).difference(seen)
+                plain_words = [w for w in new if type(w) is str]
+                for w, got in zip(plain_words, lexicon.find(plain_words)):
+                    seen[w] = array("i", t.merge(w)).tobytes() if got is None else got
+                seen.update((w, array("i", w).tobytes()) for w in new if type(w) is tuple)
+                ids = [b"".join(map(seen.__getitem__, pieces)) for pieces in texts]
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
+                values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()),
-                                                                  pa.concat_arrays(ids))], ["row", "ids"])
+                    [part.column("row"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)],
+                    ["row", "ids"])
 
     schema = plain.select("row").schema.add("ids", T.ArrayType(T.IntegerType()))
     done = plain.mapInArrow(run, schema)
     return done.select("row.*", F.col("ids").alias(out_col))
 
 
-def decode(ids, tokenizer_path: str):
-    """Column of decoded texts for a column of token ids: the tokens joined by one blank
-    (the file names no decoder).  Null ids give null, no ids an empty text."""
-    @F.pandas_udf("string")
-    def run(batch):
-        strings = tokenizer(tokenizer_path).strings
-        return batch.map(lambda x: None if x is None else " ".join([strings[i] for i in x.tolist()]))
+def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """``df`` with the text of the token ids in ``ids_col``: the tokens joined by one blank
+    (the file names no decoder).  Null ids give null, no ids an empty text; a column
+    named ``out_col`` is replaced, all other columns and rows stay."""
+    kept = [c for c in df.columns if c != out_col]
+    plain = df.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col(f"`{ids_col}`").alias("ids"))
 
-    return run(ids)
+    def run(batches):
+        strings = token_strings(tokenizer_path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids = part.column("ids")
+                tokens = pc.list_flatten(ids)
+                ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())])
+                text = pc.binary_join(pa.ListArray.from_arrays(
+                    pa.array(ends, pa.int32()), strings.take(tokens)), " ")
+                text = pc.if_else(pc.is_null(ids), pa.scalar(None, pa.string()), text)
+                yield pa.RecordBatch.from_arrays([part.column("row"), text], ["row", "text"])
+
+    return (plain.mapInArrow(run, plain.select("row").schema.add("text", "string"))
+            .select("row.*", F.col("text").alias(out_col)))
