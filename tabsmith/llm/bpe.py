@@ -47,8 +47,8 @@ NO_WORD = 0xFFFFFFFF
 LEXICON_WORDS = 131_072
 #: Longer words never enter the lexicon.
 LEXICON_CHARS = 64
-#: Looked-up words that a task remembers before it starts anew.
-REMEMBERED = 120_000
+#: Words outside the lexicon that a task remembers before it starts anew.
+REMEMBERED = 100_000
 
 
 def byte_letters() -> list[str]:
@@ -348,7 +348,7 @@ def build_lexicon(docs: DataFrame, text_col: str, tokenizer_path: str, words: in
     return name
 
 
-_SEEN: dict[str, dict] = {}
+_SEEN: dict[str, tuple[dict, dict]] = {}
 
 
 def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", out_col: str = "ids",
@@ -369,17 +369,21 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", out_col
         t, lexicon = tokenizer(tokenizer_path), _mapped(name)
         if name not in _SEEN:
             _SEEN.clear()
-            _SEEN[name] = {}
-        seen = _SEEN[name]               # word -> its ids as int32 bytes
+            _SEEN[name] = {}, {}
+        seen, hits = _SEEN[name]         # word -> its ids as int32 bytes; those of the lexicon
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = [t.pieces(text) if text else [] for text in part.column("text").to_pylist()]
-                if len(seen) > REMEMBERED:
+                if len(seen) > len(hits) + REMEMBERED:
                     seen.clear()
+                    seen.update(hits)    # words of the lexicon stay: it bounds them
                 new = set().union(*texts).difference(seen)
                 plain_words = [w for w in new if type(w) is str]
                 for w, got in zip(plain_words, lexicon.find(plain_words)):
-                    seen[w] = array("i", t.merge(w)).tobytes() if got is None else got
+                    if got is None:
+                        seen[w] = array("i", t.merge(w)).tobytes()
+                    else:
+                        seen[w] = hits[w] = got
                 seen.update((w, array("i", w).tobytes()) for w in new if type(w) is tuple)
                 ids = [b"".join(map(seen.__getitem__, pieces)) for pieces in texts]
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
