@@ -24,7 +24,8 @@ Candidates are checked exactly and without all pairs of a group:
    buckets in salted blocks.  The join condition holds the size ratio, a
    256-bit parity sketch whose distance never exceeds the true difference, and
    the eight signatures before the shared one, so only near pairs leave the
-   join, and not once for each bucket they share.
+   join, and not once for each bucket they share;
+5. a 2048-bit sketch settles most remaining pairs, the texts decide the rest.
 
 Every step is a shuffle by signature or set id over narrow rows; texts travel
 only for sets that are candidates.
@@ -38,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabsmith.llm.textops import _M1, mix, shingle_sets, signed, slices
 from tabsmith.session import written
@@ -48,6 +50,8 @@ BROADCAST_ROWS = 200_000
 BLOCK = 1024
 #: A pair of one bucket is passed over if it agrees on one of so many earlier signatures.
 BEFORE = 8
+#: Bits of the sketch that pairs are checked with before their texts.
+WIDE_BITS = 2048
 _SKETCH = ["s0", "s1", "s2", "s3"]
 
 
@@ -105,9 +109,9 @@ def set_id(s: np.ndarray) -> np.uint64:
     return mix(np.sum(mix(s), dtype=np.uint64, keepdims=True) + np.uint64(len(s)))[0]
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """256 parities of the counts of shingles by hash; two sketches differ in at most as many bits as the sets."""
-    odd = (np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
+def sketch(s: np.ndarray, bits: int = 256) -> np.ndarray:
+    """Parities of the counts of shingles by hash; two sketches differ in at most as many bits as the sets."""
+    odd = (np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
@@ -176,8 +180,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 sk = np.array([sketch(s) for s in sets], np.int64).reshape(len(sets), 4)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), sid,
-                     *(pa.array(np.ascontiguousarray(sk[:, j])) for j in range(4))],
-                    ["id", "n", "sid", *_SKETCH])
+                     *(pa.array(np.ascontiguousarray(sk[:, j])) for j in range(4)),
+                     pa.array([sketch(s, WIDE_BITS) if len(s) else None for s in sets], pa.list_(pa.int64()))],
+                    ["id", "n", "sid", *_SKETCH, "wide"])
 
     def to_signatures(batches):
         for batch in batches:
@@ -196,6 +201,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     schema = docs.select("id").schema.add("n", "long").add("sid", "long")
     for c in _SKETCH:
         schema = schema.add(c, "long")
+    schema = schema.add("wide", T.ArrayType(T.LongType()))
     sets = written(docs.mapInArrow(to_sets, schema), "sets")
 
     # buckets with at least two different sets, each row with the bucket's pivot
@@ -207,7 +213,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # the candidates' sizes, sketches and one text each
     wanted = multi.select("sid").distinct()
     info = written(sets.join(wanted, "sid").groupBy("sid").agg(
-        F.min("id").alias("id"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in _SKETCH)), "candidates")
+        F.min("id").alias("id"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in [*_SKETCH, "wide"])), "candidates")
+    wide = info.select("sid", "n", "wide")
+    info = info.drop("wide")
 
     def check_set(batches):
         # a repeated id may bring another text: keep the one that makes the set
@@ -237,6 +245,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     [pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
     def links(pairs: DataFrame) -> DataFrame:
+        # the wide sketch settles most pairs before any text is moved
+        ends = [wide.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), F.col("wide").alias(f"wide_{k}")) for k in "ab"]
+        bits = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        pairs = written(pairs.join(ends[0], "a").join(ends[1], "b").filter(
+            bits * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b"), "pairs")
         of = texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
         on = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
         return written(pairs.join(of, "b").join(on, "a").select("a", "b", "text_a", "text_b")
@@ -258,33 +271,35 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     open_ = written(rest.groupBy("sig").agg(
         F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.first("piv").alias("piv"))
         .filter("lo < hi").select("sig", "piv", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "open")
-    members = rest.select("sig", "sid").join(open_, "sig", "left_semi").select("sid").distinct()
+    # what a member brings to the comparison is joined once per set, not once per signature
+    own = ["sid", "c", "n", *_SKETCH]
+    members = (rest.join(open_.select("sig"), "sig", "left_semi").select("sid", "c").distinct()
+               .join(info.drop("id"), "sid"))
 
     def to_ordered(batches):
         # a signature and the ones just before it: a pair that agrees there too was met before
         for batch in batches:
             for part in slices(batch, "text"):
                 found = []
-                for sid, s in zip(part.column("sid").to_numpy(), shingle_sets(part.column("text"), width)):
+                for s in shingle_sets(part.column("text"), width):
                     sig, emit = signatures(s, edges, params, n2, subsets)
                     before = np.zeros((len(sig), BEFORE), np.int64)
                     known = np.zeros((len(sig), BEFORE), bool)
                     for j in range(min(BEFORE, len(sig))):
                         before[j + 1:, j], known[j + 1:, j] = signed(sig)[:-j - 1], emit[:-j - 1]
-                    found.append((signed(sig)[emit], np.full(emit.sum(), sid), before[emit], known[emit]))
+                    found.append((signed(sig)[emit], before[emit], known[emit]))
                 if found:
-                    sig, sid, before, known = (np.concatenate(x) for x in zip(*found))
+                    at = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+                    sig, before, known = (np.concatenate(x) for x in zip(*found))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(sig), pa.array(sid),
+                        [pa.array(sig), *(part.column(c).take(at) for c in own),
                          *(pa.array(np.ascontiguousarray(before[:, j]), mask=~known[:, j]) for j in range(BEFORE))],
-                        ["sig", "sid", *past])
+                        ["sig", *own, *past])
 
     past = [f"p{j}" for j in range(BEFORE)]
-    again = (texts.join(members, "sid")
-             .mapInArrow(to_ordered, ", ".join(f"{c} long" for c in ["sig", "sid", *past]))
-             .join(open_, "sig").filter("sid <> piv").drop("piv")
-             .join(comp.withColumnRenamed("id", "sid"), "sid", "left").withColumn("c", F.coalesce("c", "sid")))
-    again = written(again.join(info.drop("id"), "sid"), "open")
+    again = texts.join(members, "sid").mapInArrow(
+        to_ordered, ", ".join(f"{c} long" for c in ["sig", *own, *past]))
+    again = written(join_checked(again, open_, "sig").filter("sid <> piv").drop("piv"), "open")
     values = ["n", "c", *_SKETCH, *past]
     right = again.select(F.col("sig").alias("r_sig"), F.col("sid").alias("b"), *(F.col(c).alias(f"r_{c}") for c in values),
                          F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("r_salt"))
