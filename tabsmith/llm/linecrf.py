@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf["y"].to_numpy()
         if len(set(y.tolist())) < 2:
-            return pd.DataFrame({"w": []})
+            return pd.DataFrame({"w": pd.Series([], dtype=object)})
         return pd.DataFrame({"w": [fit_crf([line_features(t) for t in pdf["text"]], y).tolist()]})
 
     models = sample.groupBy("shard").applyInPandas(fit, T.StructType([T.StructField("w", T.ArrayType(T.DoubleType()))]))

@@ -151,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x[i, list(find.of(text))] = 1
         positive = pdf["p"].to_numpy() == 1
         if positive.all() or not positive.any():
-            return pd.DataFrame({"w": []})
+            return pd.DataFrame({"w": pd.Series([], dtype=object)})
         return pd.DataFrame({"w": [fit_nnpu(x, positive, prior).tolist()]})
 
     models = (sample.withColumn("shard", F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(SHARDS)))
