@@ -10,8 +10,8 @@ the clean documents, and where that difference turns negative the step goes
 back instead of fitting it further.
 
 Features are the words of a text and the 5-letter grams of ``<word>``, hashed;
-those that toxic documents have far more often than clean ones
-are kept, the clean rate estimated as in the risk.  The classifiers
+those that toxic documents have far more often than unlabelled
+ones are kept.  The classifiers
 are numpy models, one per shard of the training sample, each fitted in a task
 of its own; the score of a document is the mean of their probabilities.  A
 document's score depends on its text alone.
@@ -38,8 +38,8 @@ from tabsmith.session import written
 HASHES = 1 << 18
 FEATURES = 512
 SHARDS = 2
-#: A feature is kept if so many toxic documents and this share of them have it, so many times as often as clean ones.
-SUPPORT, SUPPORT_SHARE, LIFT = 5, 0.03, 6.0
+#: A feature is kept if so many toxic documents and this share of them have it, so many times as often as the unlabelled.
+SUPPORT, SUPPORT_SHARE, LIFT = 4, 0.02, 2.0
 MAX_POSITIVE, MAX_UNLABELLED = 4_000, 12_000
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
@@ -80,7 +80,7 @@ class Features:
 
 
 def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 300, rate: float = 0.1,
-             ridge: float = 2e-3) -> np.ndarray:
+             ridge: float = 5e-4) -> np.ndarray:
     """Weights (last: intercept) of a linear scorer that minimises the non-negative PU risk."""
     x = np.hstack([x.astype(np.float64), np.ones((len(x), 1))])
     p, u = x[positive], x[~positive]
@@ -138,12 +138,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return {}, [], 0.0
     each = (sample.mapInArrow(count, "f long, p long, u long").groupBy("f")
             .agg(F.sum("p").alias("p"), F.sum("u").alias("u")))
-    # rate among the toxic, and the clean rate: the unlabelled one without its toxic share
-    rp = F.col("p") / np_
-    rc = F.greatest((F.col("u") + 1) / nu - prior * rp, F.lit(1 / nu)) / (1 - prior)
-    gain = F.col("p") * F.log(rp / rc)
+    rp, ru = (F.col("p") + 0.5) / (np_ + 1), (F.col("u") + 0.5) / (nu + 1)
+    gain = F.col("p") * F.log(rp / ru)       # how much the toxic documents favour the feature
     kept = {r.f: i for i, r in enumerate(
-        each.filter((rp > LIFT * rc) & (F.col("p") >= max(SUPPORT, SUPPORT_SHARE * np_))).orderBy(F.desc(gain), "f").limit(FEATURES).collect())}
+        each.filter((rp > LIFT * ru) & (F.col("p") >= max(SUPPORT, SUPPORT_SHARE * np_))).orderBy(F.desc(gain), "f").limit(FEATURES).collect())}
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         find, x = Features(kept), np.zeros((len(pdf), len(kept)), np.uint8)
