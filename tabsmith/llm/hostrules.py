@@ -112,16 +112,16 @@ def host_quality(docs: DataFrame, text_col: str = "text", host_col: str = "sourc
     null ids and a null host are kept as they are; columns that clash with the
     result's are replaced.  Empty input: no rows.
     """
-    spare = [c for c in docs.columns if c not in (text_col, host_col, "kept")]
+    spare = [c for c in docs.columns if c not in (text_col, host_col, "kept", "base_failed", *COUNTS)]
     flags = written(rule_counts(docs.select(*spare, F.col(host_col).alias("__host"), F.col(text_col).alias("__x")),
                                 "__x").drop("__x"), "rules")
     bad = written(host_verdicts(flags, "__host", limit).filter("host_rejected")
-                  .select("host", F.lit(True).alias("__bad")), "hosts")
+                  .select(F.col("host").alias("__bad_host"), F.lit(True).alias("__bad")), "hosts")
     if bad.count() <= BROADCAST_ROWS:
         bad = F.broadcast(bad)
-    out = flags.join(bad, flags["__host"].eqNullSafe(bad["host"]), "left")
+    out = flags.join(bad, F.col("__host").eqNullSafe(F.col("__bad_host")), "left")
     return out.select(
-        *spare, F.col("__host").alias(host_col), *COUNTS, "base_failed",
+        *(F.col(f"`{c}`") for c in spare), F.col("__host").alias(host_col), *COUNTS, "base_failed",
         (~F.col("base_failed") & F.col("__bad").isNull()).alias("kept"))
 
 
