@@ -37,6 +37,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,6 +116,17 @@ def sketch(s: np.ndarray, bits: int = 256) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
+def pack_texts(column: pa.Array) -> pa.Array:
+    """Texts as zstd frames: candidates' texts are shuffled, so they travel small."""
+    plan = zstandard.ZstdCompressor(level=6)
+    return pa.array([plan.compress((t or "").encode("utf-8")) for t in column.to_pylist()], pa.binary())
+
+
+def unpack_texts(column: pa.Array) -> pa.Array:
+    plan = zstandard.ZstdDecompressor()
+    return pa.array([plan.decompress(t).decode("utf-8") for t in column.to_pylist()], pa.large_string())
+
+
 def join_checked(left: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
     """Join; ``small`` (a written narrow table) is broadcast only after its rows are counted."""
     if small.count() <= BROADCAST_ROWS:
@@ -222,23 +234,24 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for part in slices(batch, "text"):
                 sid = signed([set_id(s) if len(s) else 0 for s in shingle_sets(part.column("text"), width)])
-                yield part.filter(pa.array(sid == part.column("sid").to_numpy()))
+                part = part.filter(pa.array(sid == part.column("sid").to_numpy()))
+                yield pa.RecordBatch.from_arrays([part.column("sid"), pack_texts(part.column("text"))], ["sid", "text"])
 
     rep = info.select(F.col("id").alias("rep"), "sid")
     texts = written(
         join_checked(docs, rep, docs["id"].eqNullSafe(rep["rep"])).select("sid", "text")
-        .mapInArrow(check_set, "sid long, text string").dropDuplicates(["sid"]), "texts")
+        .mapInArrow(check_set, "sid long, text binary").dropDuplicates(["sid"]), "texts")
 
     def verify(batches):
         last: dict[int, np.ndarray] = {}
         for batch in batches:
             for part in slices(batch, "text_b"):
                 a, b = part.column("a").to_numpy(), part.column("b").to_numpy()
-                other = shingle_sets(part.column("text_b"), width)
+                other = shingle_sets(unpack_texts(part.column("text_b")), width)
                 keep = np.zeros(len(a), bool)
                 for i, x in enumerate(a.tolist()):
                     if x not in last:
-                        last = {x: shingle_sets(part.column("text_a").slice(i, 1), width)[0]}
+                        last = {x: shingle_sets(unpack_texts(part.column("text_a").slice(i, 1)), width)[0]}
                     both = len(np.intersect1d(last[x], other[i], assume_unique=True))
                     keep[i] = 100 * both >= percent * (len(last[x]) + len(other[i]) - both)
                 yield pa.RecordBatch.from_arrays(
@@ -281,7 +294,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for part in slices(batch, "text"):
                 found = []
-                for s in shingle_sets(part.column("text"), width):
+                for s in shingle_sets(unpack_texts(part.column("text")), width):
                     sig, emit = signatures(s, edges, params, n2, subsets)
                     before = np.zeros((len(sig), BEFORE), np.int64)
                     known = np.zeros((len(sig), BEFORE), bool)
