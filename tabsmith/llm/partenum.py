@@ -25,7 +25,9 @@ Candidates are checked exactly and without all pairs of a group:
    256-bit parity sketch whose distance never exceeds the true difference, and
    the eight signatures before the shared one, so only near pairs leave the
    join, and not once for each bucket they share;
-5. a 2048-bit sketch settles most remaining pairs, the texts decide the rest.
+5. a 2048-bit sketch settles most remaining pairs, the texts decide the rest:
+   first each set against its smallest near partner, then the pairs whose ends
+   still lie in different components.
 
 Every step is a shuffle by signature or set id over narrow rows; texts travel
 only for sets that are candidates.
@@ -197,13 +199,16 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     ["id", "n", "sid", *_SKETCH, "wide"])
 
     def to_signatures(batches):
+        met: set[int] = set()                # ids of the sets of this task: copies emit once
         for batch in batches:
             for part in slices(batch, "text"):
                 found = []
                 for s in shingle_sets(part.column("text"), width):
-                    if len(s):
+                    own_id = set_id(s) if len(s) else None
+                    if own_id is not None and int(own_id) not in met:
+                        met.add(int(own_id))
                         sig, emit = signatures(s, edges, params, n2, subsets)
-                        found.append((set_id(s), sig[emit]))
+                        found.append((own_id, sig[emit]))
                 if found:
                     sid = np.repeat(np.array([f[0] for f in found], np.uint64), [len(f[1]) for f in found])
                     yield pa.RecordBatch.from_arrays(
@@ -257,25 +262,44 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
-    def links(pairs: DataFrame) -> DataFrame:
+    def near(pairs: DataFrame) -> DataFrame:
         # the wide sketch settles most pairs before any text is moved
         ends = [wide.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), F.col("wide").alias(f"wide_{k}")) for k in "ab"]
         bits = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        pairs = written(pairs.join(ends[0], "a").join(ends[1], "b").filter(
+        return written(pairs.join(ends[0], "a").join(ends[1], "b").filter(
             bits * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b"), "pairs")
+
+    def proven(pairs: DataFrame) -> DataFrame:
         of = texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
         on = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
         return written(pairs.join(of, "b").join(on, "a").select("a", "b", "text_a", "text_b")
                        .mapInArrow(verify, "a long, b long"), "links")
 
+    def links(pairs: DataFrame, comp: DataFrame | None = None) -> DataFrame:
+        """Components with the proven links of ``pairs``; a pair inside one component moves no text.
+
+        First every set with its smallest near partner, then the pairs that are still apart.
+        """
+        def edges_of(labels):
+            return labels.select(F.col("id").alias("a"), F.col("c").alias("b")).filter("a <> b")
+
+        pairs = near(pairs)
+        tried = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        found = proven(tried)
+        comp = components(found if comp is None else edges_of(comp).union(found))
+        ends = [comp.select(F.col("id").alias(k), F.col("c").alias(f"c_{k}")) for k in "ab"]
+        apart = written(pairs.join(ends[0], "a", "left").join(ends[1], "b", "left")
+                        .filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+                        .join(tried, ["a", "b"], "left_anti"), "apart")
+        return components(edges_of(comp).union(proven(apart)))
+
     def named(prefix: str, key: str) -> DataFrame:
         return info.select(F.col("sid").alias(key), *(F.col(c).alias(f"{prefix}{c}") for c in ["n", *_SKETCH]))
 
     close = _ratio(percent, "l_n", "r_n") & _sketch_close(percent, "l_", "r_")
     star = (multi.filter("sid <> piv").select(F.col("piv").alias("a"), F.col("sid").alias("b")).distinct()
             .join(named("r_", "b"), "b").join(named("l_", "a"), "a").filter(close).select("a", "b"))
-    first = links(star)
-    comp = components(first)
+    comp = links(star)
 
     # buckets whose members, the pivot apart, lie in more than one component
     rest = (multi.filter("sid <> piv")
@@ -324,8 +348,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cross = (left.join(right, (F.col("l_sig") == F.col("r_sig")) & (F.col("l_salt") == F.col("r_salt"))
                        & (F.col("a") < F.col("b")) & (F.col("l_c") != F.col("r_c")) & close & ~met)
              .select("a", "b").distinct())
-    second = links(cross)
-    comp = components(comp.select(F.col("id").alias("a"), F.col("c").alias("b")).filter("a <> b").union(second))
+    comp = links(cross, comp)
 
     # the smallest document id of each component, back on every document
     placed = written(sets.select("id", "n", "sid").join(comp.withColumnRenamed("id", "sid"), "sid", "left")
