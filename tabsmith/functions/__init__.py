@@ -78,6 +78,12 @@ def nan_to_null(c, dt: T.DataType | None = None) -> Column:
     return F.when(F.isnan(cc), F.lit(None)).otherwise(cc)
 
 
+def number(c) -> Column:
+    """The column as double with NaN as NULL: what every numeric statistic reads."""
+    x = col_of(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def normalize_nan(df: DataFrame) -> DataFrame:
     """NaN → NULL in every floating column, so NaN never orders above values."""
     fl = {f.name for f in df.schema.fields
@@ -89,11 +95,12 @@ def normalize_nan(df: DataFrame) -> DataFrame:
 
 
 def clip(c, lo, hi) -> Column:
-    """Clip into [lo, hi]; NULL stays NULL (``least/greatest`` would not)."""
+    """Clip into [lo, hi]; NULL stays NULL and NaN stays NaN (``least/greatest`` would not)."""
     cc = col_of(c)
     lo_c = col_of(lo) if isinstance(lo, (str, Column)) else F.lit(lo)
     hi_c = col_of(hi) if isinstance(hi, (str, Column)) else F.lit(hi)
-    return (F.when(cc < lo_c, lo_c)
+    return (F.when(F.isnan(cc), cc)
+            .when(cc < lo_c, lo_c)
             .when(cc > hi_c, hi_c)
             .otherwise(cc))
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsmith.functions import clip, holds, numeric_columns, pct, type_class
+from tabsmith.functions import clip, holds, number, numeric_columns, pct, type_class
 from tabsmith.operators import quantiles as Q
 from tabsmith.operators.profile import long_values
 
@@ -148,12 +148,10 @@ def winsor_bounds(df: DataFrame, cols: Sequence[str] = WINSOR_COLUMNS, lower: fl
     b = qr.select(*[F.col(c)[0].alias(f"{c}__lo") for c in cols] +
                   [F.col(c)[1].alias(f"{c}__hi") for c in cols])
     j = df.select(*cols).crossJoin(F.broadcast(b))
-    keys = [F.col(f"{c}__{s}") for c in cols for s in ("lo", "hi")]
-    g = j.groupBy(*keys).agg(*[
-        F.count_if((F.col(c) < F.col(f"{c}__lo")) | (F.col(c) > F.col(f"{c}__hi"))).alias(f"{c}__n")
+    # the bounds are the same on every row, so max() carries them through the one aggregate
+    g = j.agg(*[F.max(f"{c}__{s}").alias(f"{c}__{s}") for c in cols for s in ("lo", "hi")], *[
+        F.count_if((number(c) < F.col(f"{c}__lo")) | (number(c) > F.col(f"{c}__hi"))).alias(f"{c}__n")
         for c in cols])
-    # an empty input has no group: fall back to the bound row with zero counts
-    g = b.join(g, [f"{c}__{s}" for c in cols for s in ("lo", "hi")], "left")
     out = g.select(F.inline(F.array(*[F.struct(
         F.lit(c).alias("column_name"), F.col(f"{c}__lo").cast("double").alias("lower_bound"),
         F.col(f"{c}__hi").cast("double").alias("upper_bound"),
@@ -229,7 +227,8 @@ def domain_check(df: DataFrame, domain: DataFrame, cols: Sequence[str] | None =
     n_actual, n_unexpected, has_unexpected)``.
 
     Lists are sorted and built only while a column has at most ``max_values``
-    values of that kind (counts are always exact)."""
+    values of that kind (counts are always exact); ``unexpected_values`` gives
+    the whole set in long form."""
     cols = [c for c in (cols or DOMAIN_COLUMNS) if c in df.columns]
     obs = observed_pairs(df, cols).withColumn("__a", F.lit(True))
     exp = (domain.where(F.col("column_name").isin(cols)).select("column_name", "value")

@@ -36,8 +36,18 @@ def confusion_matrix(scored: DataFrame, labels: Sequence = (0, 1), label: str =
                      prediction: str = "prediction", group=None) -> DataFrame:
     """EVL1: rows = true label, one ``pred_<l>`` count column per label (all shown)."""
     g = _groups(group)
-    return (scored.groupBy(*g, label)
-            .agg(*[F.count_if(F.col(prediction) == F.lit(l)).alias(f"pred_{l}") for l in labels]))
+    names = [f"pred_{l}" for l in labels]
+    got = scored.groupBy(*g, label).agg(
+        *[F.count_if(F.col(prediction) == F.lit(l)).alias(f"pred_{l}") for l in labels])
+    # a label that is never true still has its row of zeros
+    kind = scored.schema[label].dataType
+    every = scored.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(l).cast(kind) for l in labels])).alias(label),
+        *[F.lit(0).cast("bigint").alias(x) for x in names])
+    if g:
+        every = scored.select(*g).distinct().crossJoin(every)
+    return (got.unionByName(every).groupBy(*g, label)
+            .agg(*[F.sum(x).alias(x) for x in names]))
 
 
 def _counts(scored, label, prediction, pos_label, g):

@@ -1,9 +1,8 @@
 """Feature preparation (FE1-FE7).
 
 * Label encoding: the mapping is a DataFrame ``(feature, value, code)`` built
-  from the distinct values (sorted by byte order, missing = ``nan``).  The
-  fitted encoder holds it as a literal map when it is small, so transform is
-  a narrow projection; otherwise it joins the mapping (size checked at fit).
+  from the distinct values (sorted by byte order, missing = ``nan``), joined to
+  encode and to decode at any number of categories.
 * Scalers take their statistics from a one-row aggregate cross-joined as a
   broadcast; the population std is used (the spark.ml scaler would use the
   sample std and centre nothing by default).
@@ -20,8 +19,6 @@ from pyspark.sql import functions as F
 from tabsmith.functions import string_or_nan
 from tabsmith.operators.profile import long_values
 
-MAP_LITERAL_LIMIT = 10_000
-
 
 def encoding_mapping(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """FE2: ``(feature, value, code)``; codes 0..k-1 follow the sorted values.
@@ -36,69 +33,50 @@ def encoding_mapping(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 class LabelEncoder:
-    """FE1 / FE3: fit on the distinct values, transform to int codes, inverse to text."""
+    """FE1 / FE3: fit on the distinct values, transform to int codes, inverse to text.
+
+    Both directions join the mapping table, whatever its size; AQE broadcasts
+    it while it is small."""
 
-    def __init__(self, cols: Sequence[str], mapping: dict[str, dict[str, int]],
-                 mapping_df: DataFrame):
+    def __init__(self, cols: Sequence[str], mapping_df: DataFrame):
         self.cols = list(cols)
-        self.mapping = mapping
         self.mapping_df = mapping_df
 
     @classmethod
-    def fit(cls, df: DataFrame, cols: Sequence[str], max_categories: int = 100_000) -> "LabelEncoder":
-        m = encoding_mapping(df, cols)
-        sizes = {r["feature"]: r["n"] for r in m.groupBy("feature").agg(
-            F.count(F.lit(1)).alias("n")).collect()}
-        too_big = {c: n for c, n in sizes.items() if n > max_categories}
-        if too_big:
-            raise ValueError(f"too many categories to label-encode: {too_big}")
-        total = sum(sizes.values())
-        mapping: dict[str, dict[str, int]] = {}
-        if total <= MAP_LITERAL_LIMIT:
-            for r in m.collect():
-                mapping.setdefault(r["feature"], {})[r["value"]] = r["code"]
-        return cls(cols, mapping, m)
-
-    def _lookup(self, c: str, strict: bool) -> Column:
-        mp = self.mapping[c]
-        lit_map = F.create_map(*[x for k, v in sorted(mp.items()) for x in (F.lit(k), F.lit(v))])
-        code = F.element_at(lit_map, string_or_nan(c)) if mp else F.lit(None).cast("int")
-        if strict:
-            code = F.when(code.isNull(), F.raise_error(
-                F.concat(F.lit(f"unseen category in {c}: "), string_or_nan(c)))).otherwise(code)
-        return code.cast("int")
+    def fit(cls, df: DataFrame, cols: Sequence[str]) -> "LabelEncoder":
+        """The mapping is checkpointed in the shared folder: it is read once per column."""
+        return cls(cols, encoding_mapping(df, cols).checkpoint())
+
+    def _joined(self, df: DataFrame, c: str, have: str, want: str, key: Column) -> DataFrame:
+        m = self.mapping_df.where(F.col("feature") == c).select(
+            F.col(have).alias("__have"), F.col(want).alias("__want"))
+        return df.withColumn("__key", key).join(m, F.col("__key") == F.col("__have"), "left")
 
     def transform(self, df: DataFrame, strict: bool = True) -> DataFrame:
         """Replace each encoded column by its int code.  ``strict`` raises on an
         unseen category, otherwise it becomes NULL."""
-        if self.mapping:
-            return df.withColumns({c: self._lookup(c, strict) for c in self.cols})
         out = df
         for c in self.cols:
-            m = self.mapping_df.where(F.col("feature") == c).select(
-                F.col("value").alias("__v"), F.col("code").alias("__code"))
-            out = out.withColumn("__v", string_or_nan(c)).join(m, "__v", "left")
-            code = F.col("__code")
+            out = self._joined(out, c, "value", "code", string_or_nan(c))
+            code = F.col("__want")
             if strict:
-                code = F.when(code.isNull(), F.raise_error(F.lit(f"unseen category in {c}"))).otherwise(code)
-            out = out.withColumn(c, code.cast("int")).drop("__v", "__code")
+                code = F.when(code.isNull(), F.raise_error(
+                    F.concat(F.lit(f"unseen category in {c}: "), F.col("__key")))).otherwise(code)
+            out = out.withColumn(c, code.cast("int")).drop("__key", "__have", "__want")
         return out
 
     def inverse(self, df: DataFrame, cols: Sequence[str] | None = None,
                 strict: bool = True) -> DataFrame:
         """FE3: add ``<col>_decoded`` with the original text of each code."""
-        cols = list(cols) if cols is not None else self.cols
-        out = {}
-        for c in cols:
-            mp = self.mapping[c]
-            inv = F.create_map(*[x for k, v in sorted(mp.items(), key=lambda t: t[1])
-                                 for x in (F.lit(v), F.lit(k))])
-            val = F.element_at(inv, F.col(c).cast("int"))
+        out = df
+        for c in list(cols) if cols is not None else self.cols:
+            out = self._joined(out, c, "code", "value", F.col(c).cast("int"))
+            val = F.col("__want")
             if strict:
-                val = F.when(val.isNull() & F.col(c).isNotNull(), F.raise_error(
-                    F.concat(F.lit(f"unknown code in {c}: "), F.col(c).cast("string")))).otherwise(val)
-            out[f"{c}_decoded"] = val
-        return df.withColumns(out)
+                val = F.when(val.isNull() & F.col("__key").isNotNull(), F.raise_error(
+                    F.concat(F.lit(f"unknown code in {c}: "), F.col("__key").cast("string")))).otherwise(val)
+            out = out.withColumn(f"{c}_decoded", val).drop("__key", "__have", "__want")
+        return out
 
 
 def standard_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:

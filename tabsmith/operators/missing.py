@@ -33,10 +33,14 @@ def _wide_counts(df: DataFrame, markers: Sequence[str]):
         miss = x.isNull()
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             miss = miss | F.isnan(x)
+        elif isinstance(f.dataType, T.StringType) and "NaN" in markers:
+            miss = miss | (x == F.lit("NaN"))    # one NaN entry per column
         aggs.append(F.count_if(miss).alias(f"n{i}"))
         plan.append((f.name, "NaN", f"n{i}", True))
         if isinstance(f.dataType, T.StringType):
             for j, m in enumerate(markers):
+                if m == "NaN":
+                    continue
                 aggs.append(F.count_if(x == F.lit(m)).alias(f"m{i}_{j}"))
                 plan.append((f.name, m, f"m{i}_{j}", False))
     return df.agg(*aggs), plan
@@ -45,7 +49,7 @@ def _wide_counts(df: DataFrame, markers: Sequence[str]):
 def missing_types(df: DataFrame, markers: Sequence[str] = MISSING_MARKERS) -> DataFrame:
     """AGG8 detail: ``(column_name, missing_type, count, percentage)``.
 
-    The ``NaN`` entry (NULL or NaN) is always present; a marker entry only
+    The ``NaN`` entry (NULL, NaN or that text) is always present; a marker entry only
     when it occurs.  Markers are only counted in string columns."""
     wide, plan = _wide_counts(df, markers)
     long = wide.select(F.inline(F.array(*[
@@ -121,7 +125,9 @@ def apply_policy(df: DataFrame, policy: Sequence[Step] = REFERENCE_POLICY
     the rows as a one-row broadcast, never through the driver.
     """
     cur = df
-    alive = F.lit(True)
+    # the same steps without dropping rows: __alive marks the rows still there, __a<i> what step i hits
+    seen = df.withColumn("__alive", F.lit(True))
+    alive = F.col("__alive")
     audit_aggs = []
     audit_meta = []
     fills = []
@@ -131,30 +137,33 @@ def apply_policy(df: DataFrame, policy: Sequence[Step] = REFERENCE_POLICY
         x = F.col(st.column)
         hit = x.eqNullSafe(F.lit(st.marker)) if st.marker is not None else F.lit(False)
         if st.action == "drop_rows":
-            audit_aggs.append(F.count_if(alive & hit).alias(f"a{i}"))
+            audit_aggs.append(F.count_if(f"__a{i}").alias(f"a{i}"))
             cur = cur.where(~hit)
-            alive = alive & ~hit
+            seen = seen.withColumn(f"__a{i}", alive & hit).withColumn("__alive", alive & ~hit)
         elif st.action == "fill_mode":
-            audit_aggs.append(F.count_if(alive & hit).alias(f"a{i}"))
+            fill = F.col(f"__fill{i}")
+            audit_aggs += [F.count_if(f"__a{i}").alias(f"a{i}"), F.max(fill).alias(f"__fill{i}")]
             m = _mode_row(cur, st.column, st.marker, f"__fill{i}")
-            fills.append((i, m))
+            fills.append(i)
+            # without any other value there is no mode: the marker stays
             cur = cur.crossJoin(F.broadcast(m)).withColumn(
-                st.column, F.when(hit, F.col(f"__fill{i}")).otherwise(x)).drop(f"__fill{i}")
+                st.column, F.when(hit, F.coalesce(fill, x)).otherwise(x)).drop(f"__fill{i}")
+            seen = (seen.crossJoin(F.broadcast(m)).withColumn(f"__a{i}", alive & hit & fill.isNotNull())
+                    .withColumn(st.column, F.when(hit, F.coalesce(fill, x)).otherwise(x)))
         elif st.action == "keep":
-            audit_aggs.append(F.count_if(alive & hit).alias(f"a{i}"))
+            audit_aggs.append(F.count_if(f"__a{i}").alias(f"a{i}"))
+            seen = seen.withColumn(f"__a{i}", alive & hit)
         elif st.action == "drop_column":
             audit_aggs.append(F.lit(None).cast("bigint").alias(f"a{i}"))
-            cur = cur.drop(st.column)
+            cur, seen = cur.drop(st.column), seen.drop(st.column)
         else:
             raise ValueError(f"unknown action {st.action}")
         audit_meta.append((i, st))
-    counts = df.agg(*audit_aggs) if audit_aggs else df.sparkSession.range(1).select()
-    for i, m in fills:
-        counts = counts.crossJoin(m)
+    counts = seen.agg(*audit_aggs) if audit_aggs else df.sparkSession.range(1).select()
     structs = [F.struct(
         F.lit(i + 1).alias("step"), F.lit(st.column).alias("column_name"),
         F.lit(st.action).alias("action"), F.col(f"a{i}").alias("affected"),
-        (F.col(f"__fill{i}") if any(j == i for j, _ in fills)
+        (F.col(f"__fill{i}") if i in fills
          else F.lit(None).cast("string")).alias("fill_value"))
         for i, st in audit_meta]
     audit = counts.select(F.inline(F.array(*structs)))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsmith.functions import categorical_columns, numeric_columns, pct, type_class
+from tabsmith.functions import categorical_columns, number, numeric_columns, pct, type_class
 from tabsmith.operators import quantiles as Q
 
 DESCRIBE_PROBS = [0.25, 0.5, 0.75]
@@ -42,7 +42,8 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, method: str = "au
     """AGG2 (+AGG3 with ``with_missing``): the 8-number describe, long format.
 
     Rows ``(column, count, mean, std, min, p25, p50, p75, max[, missing, missing_pct])``;
-    quartiles are exact and linearly interpolated; std is the sample std.
+    quartiles are exact and linearly interpolated; std is the sample std; NaN
+    counts as missing.
     Low-cardinality columns are answered by one fused aggregate; columns with
     more than ``max_exact_distinct`` distinct values use range narrowing.
     """
@@ -50,7 +51,7 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, method: str = "au
     big = Q.high_cardinality(df, cols, method, max_exact_distinct)
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = number(c)
         aggs += [F.count(x).alias(f"c{i}"), F.avg(x).alias(f"a{i}"),
                  F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"mn{i}"),
                  F.max(x).alias(f"mx{i}")]
@@ -180,13 +181,17 @@ def mode(df: DataFrame, col: str) -> DataFrame:
 
 def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None,
                     approx: bool = False) -> DataFrame:
-    """AGG12: ``(column, n_unique)`` non-missing distinct counts.
+    """AGG12: ``(column, n_unique)`` non-missing distinct counts (NaN is missing,
+    -0.0 equals 0.0).
 
     Exact form: distinct ``(column, value)`` pairs via one shuffle, then a
     count per column (no ``Expand`` of one distinct-aggregate per column).
     ``approx`` uses HLL++ in a single pass.
     """
     cols = list(cols) if cols is not None else df.columns
+    floating = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    df = df.select([F.when(F.col(c) == 0, F.lit(0.0)).when(~F.isnan(c), F.col(c)).alias(c)
+                    if c in floating else F.col(c) for c in cols])
     if approx:
         wide = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)])
         return wide.select(_inline([F.struct(F.lit(c).alias("column_name"),
@@ -230,11 +235,28 @@ def distinct_values_long(df: DataFrame, cols: Sequence[str] | None = None) -> Da
         "column_name", F.coalesce("value", F.lit("nan")).alias("value")).distinct()
 
 
+def domain_document(df: DataFrame) -> DataFrame:
+    """Column metadata in long form ``(column_name, type, value)``: one row per
+    distinct value of a categorical column, one row with a NULL value for any
+    other.  No list is built, so a domain of any size is whole; written as
+    JSON it is the expected-domain input of SRC3."""
+    types = [(f.name, type_class(f.dataType)) for f in df.schema.fields]
+    cats = [n for n, t in types if t == "categorical"]
+    rest = df.sparkSession.createDataFrame([t for t in types if t[0] not in cats],
+                                           "column_name string, type string").withColumn(
+        "value", F.lit(None).cast("string"))
+    if not cats:
+        return rest
+    return distinct_values_long(df, cols=cats).select(
+        "column_name", F.lit("categorical").alias("type"), "value").unionByName(rest)
+
+
 def column_info(df: DataFrame, max_values: int = 1000) -> DataFrame:
     """Column metadata document rows ``(column, type, values, count)``.
 
     Categorical columns carry their distinct values (AGG10); others only the
-    type class.  Written as JSON it is the expected-domain input of SRC3.
+    type class.  This is the readable report; ``domain_document`` holds domains of
+    any size, and SRC3 refuses a report whose list was cut.
     """
     types = [(f.name, type_class(f.dataType)) for f in df.schema.fields]
     cats = [n for n, t in types if t == "categorical"]
@@ -334,8 +356,9 @@ def tukey_counts(df: DataFrame, cols: Sequence[str], whisker: float = 1.5) -> Da
     The one-row fence frame is broadcast (size fixed by the column count)."""
     f = _fences(df, cols, whisker)
     j = df.select(*cols).crossJoin(F.broadcast(f))
-    cnt = j.groupBy(*[F.col(f"{c}__{s}") for c in cols for s in ("q1", "q3", "lo", "hi")]).agg(
-        *[F.count_if((F.col(c) < F.col(f"{c}__lo")) | (F.col(c) > F.col(f"{c}__hi")))
+    cnt = j.agg(
+        *[F.max(f"{c}__{s}").alias(f"{c}__{s}") for c in cols for s in ("q1", "q3", "lo", "hi")],
+        *[F.count_if((number(c) < F.col(f"{c}__lo")) | (number(c) > F.col(f"{c}__hi")))
           .alias(f"{c}__n") for c in cols])
     return cnt.select(_inline([F.struct(
         F.lit(c).alias("column_name"), F.col(f"{c}__q1").alias("q1"), F.col(f"{c}__q3").alias("q3"),
@@ -348,15 +371,14 @@ def box_data(df: DataFrame, cols: Sequence[str], whisker: float = 1.5) -> DataFr
     n_outliers, mean, std)``; whiskers are the extreme data inside the fences."""
     f = _fences(df, cols, whisker)
     j = df.select(*cols).crossJoin(F.broadcast(f))
-    keys = [F.col(f"{c}__{s}") for c in cols for s in ("q1", "q2", "q3", "lo", "hi")]
-    aggs = []
+    aggs = [F.max(f"{c}__{s}").alias(f"{c}__{s}") for c in cols for s in ("q1", "q2", "q3", "lo", "hi")]
     for c in cols:
-        x = F.col(c).cast("double")
+        x = number(c)
         inside = (x >= F.col(f"{c}__lo")) & (x <= F.col(f"{c}__hi"))
         aggs += [F.min(F.when(inside, x)).alias(f"{c}__wl"), F.max(F.when(inside, x)).alias(f"{c}__wh"),
                  F.count_if((x < F.col(f"{c}__lo")) | (x > F.col(f"{c}__hi"))).alias(f"{c}__n"),
                  F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__std")]
-    g = j.groupBy(*keys).agg(*aggs)
+    g = j.agg(*aggs)
     return g.select(_inline([F.struct(
         F.lit(c).alias("column_name"), F.col(f"{c}__q2").alias("median"),
         F.col(f"{c}__q1").alias("q1"), F.col(f"{c}__q3").alias("q3"),

@@ -26,6 +26,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabsmith.functions import number
+
 
 def _interp_positions(n: int, probs: Sequence[float]):
     out = []
@@ -41,24 +43,27 @@ def approx_distinct(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
     """One HLL++ pass over all columns (relative error 5 %)."""
     if not cols:
         return {}
-    row = df.agg(*[F.approx_count_distinct(F.col(c)).alias(c) for c in cols]).first()
+    row = df.agg(*[F.approx_count_distinct(number(c)).alias(c) for c in cols]).first()
     return {c: int(row[c] or 0) for c in cols}
 
 
 def exact_quantiles_narrowing(df: DataFrame, col: str, probs: Sequence[float],
-                              n_buckets: int = 1024, max_window_rows: int = 2_000_000
+                              n_buckets: int = 1024, max_window_rows: int = 100_000
                               ) -> dict[float, float | None]:
     """Exact quantiles of one column by range narrowing (see module doc)."""
-    v = df.select(F.col(col).cast("double").alias("v")).where(
-        F.col("v").isNotNull() & ~F.isnan("v"))
-    n = v.count()
+    v = df.select(number(col).alias("v")).where(F.col("v").isNotNull())
+    below, above = F.col("v") == F.lit(-math.inf), F.col("v") == F.lit(math.inf)
+    n, n_below, n_above = v.agg(F.count("v"), F.count_if(below), F.count_if(above)).first()
     if n == 0:
         return {p: None for p in probs}
+    v = v.where(~below & ~above)
     pos = _interp_positions(n, probs)
     ranks = sorted({r for _, _, lo, hi in pos for r in (lo, hi)})
     # state per rank: (lo_val, hi_val, hi_inclusive, offset, rows_in_range)
-    state = {r: (None, None, True, 0, n) for r in ranks}
-    values: dict[int, float] = {}
+    # infinite values are answered by their counts, only finite ones are narrowed
+    values: dict[int, float] = {r: -math.inf if r < n_below else math.inf
+                                for r in ranks if r < n_below or r >= n - n_above}
+    state = {r: (None, None, True, n_below, n - n_below - n_above) for r in ranks if r not in values}
     while state:
         groups: dict[tuple, list[int]] = {}
         for r, st in state.items():
@@ -114,22 +119,19 @@ def exact_quantiles_narrowing(df: DataFrame, col: str, probs: Sequence[float],
                             nlo = blo if blo is not None else lo
                             nhi = bhi if bhi is not None else hi
                             ninc = hi_inc if bhi is None else last
-                            if row["c"] >= m:  # no progress: finish exactly
-                                new_state[r] = (nlo, nhi, ninc, start, min(m, max_window_rows))
-                            else:
-                                new_state[r] = (nlo, nhi, ninc, start, row["c"])
+                            new_state[r] = (nlo, nhi, ninc, start, row["c"])
                 acc_off = end
         state = new_state
     out = {}
     for p, h, lo, hi in pos:
         a, b_ = values[lo], values[hi]
-        out[p] = a + (h - lo) * (b_ - a)
+        out[p] = a if a == b_ else (hi - h) * a + (h - lo) * b_
     return out
 
 
 def quantile_exprs(cols: Sequence[str], probs: Sequence[float]):
     """Exact ``percentile`` expressions (bounded by the distinct count)."""
-    return [F.percentile(F.col(c).cast("double"), list(probs)).alias(c) for c in cols]
+    return [F.percentile(number(c), list(probs)).alias(c) for c in cols]
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],

@@ -12,10 +12,8 @@ first hex digits of the hash; a small ``(label, bucket)`` count table gives
 each bucket its offset (running sum over at most 16^digits rows per class)
 and ``row_number`` runs inside ``(label, bucket)`` only.  The join of the
 offset table and the window share the ``(label, bucket)`` partitioning.
-Five hex digits by default (16^5 ≈ 1 M buckets per class) keep a bucket
-near a million rows up to ~10^12 rows per class without a counting pass;
-``digits=None`` sizes them from the row count instead (about
-``ROWS_PER_BUCKET`` rows per bucket).  The offset window runs over the
+The number of digits follows the counted rows (about ``ROWS_PER_BUCKET`` rows
+per bucket).  Rows without a label form a class of their own; no row is lost.  The offset window runs over the
 ``(label, bucket)`` count table only, at most 16^digits rows per class.  For the unshuffled
 split the buckets are key ranges cut at approximate quantiles of the key,
 so clustered keys still give buckets of similar size.
@@ -39,8 +37,8 @@ ROWS_PER_BUCKET = 2_000_000
 
 def _digits_for(n: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
     if n <= 0:
-        return 3
-    return int(min(6, max(3, math.ceil(math.log(max(n / rows_per_bucket, 1.0), 16)))))
+        return 1
+    return int(min(6, max(1, math.ceil(math.log(max(n / rows_per_bucket, 1.0), 16)))))
 
 
 def _key_ranges(df: DataFrame, key: str, n_buckets: int) -> list[float]:
@@ -53,7 +51,7 @@ def _key_ranges(df: DataFrame, key: str, n_buckets: int) -> list[float]:
 
 
 def stratified_rank(df: DataFrame, label: str, key: str, seed: int = 42,
-                    shuffle: bool = True, digits: int | None = 3) -> DataFrame:
+                    shuffle: bool = True, digits: int | None = None) -> DataFrame:
     """Add ``__rank`` (1-based, inside the class) and ``__n_class``.
 
     ``shuffle=False`` ranks by ``key`` itself (SPL3); the buckets are then key
@@ -78,7 +76,10 @@ def stratified_rank(df: DataFrame, label: str, key: str, seed: int = 42,
         (F.sum("__c").over(wcls.rowsBetween(Window.unboundedPreceding, Window.currentRow))
          - F.col("__c")).alias("__off"),
         F.sum("__c").over(Window.partitionBy(label)).alias("__n_class"))
-    j = base.join(offsets, [label, "__b"])
+    # null-safe: rows without a label or key are a class and a bucket of their own
+    offsets = offsets.withColumnsRenamed({label: "__l", "__b": "__ob"})
+    j = base.join(offsets, base[label].eqNullSafe(offsets["__l"]) & base["__b"].eqNullSafe(offsets["__ob"])).drop(
+        "__l", "__ob")
     wb = Window.partitionBy(label, "__b").orderBy(*order)
     out = j.withColumn("__rank", F.col("__off") + F.row_number().over(wb))
     return out.drop("__h", "__b", "__off")
@@ -89,7 +90,7 @@ def n_test(n_class: Column, frac: float) -> Column:
 
 
 def holdout(df: DataFrame, label: str, key: str, test_frac: float = 0.2, seed: int = 42,
-            digits: int | None = 5) -> DataFrame:
+            digits: int | None = None) -> DataFrame:
     """SPL1: add ``is_test`` (boolean): exactly ``round(test_frac * n_class)`` rows of
     every class are test rows."""
     r = stratified_rank(df, label, key, seed, True, digits)
@@ -98,7 +99,7 @@ def holdout(df: DataFrame, label: str, key: str, test_frac: float = 0.2, seed: i
 
 
 def kfold(df: DataFrame, label: str, key: str, k: int = 10, seed: int = 42,
-          shuffle: bool = True, digits: int | None = 5) -> DataFrame:
+          shuffle: bool = True, digits: int | None = None) -> DataFrame:
     """SPL2 (shuffled) / SPL3 (``shuffle=False``): add ``fold`` in ``0..k-1``."""
     r = stratified_rank(df, label, key, seed, shuffle, digits)
     return r.withColumn("fold", ((F.col("__rank") - 1) % k).cast("int")).drop("__rank", "__n_class")

@@ -581,10 +581,8 @@ DOMAIN_COLS_C = ["job", "marital", "education", "in_default", "housing", "loan",
 
 
 def _domain_from_cleaned(spark, sf):
-    """Expected domains = column info (AGG10) of the cleaned table, exploded."""
-    info = P.column_info(cleaned_contacts(spark, sf))
-    return info.where(F.col("type") == "categorical").select(
-        "column_name", F.explode("values").alias("value"))
+    """Expected domains = distinct values (AGG10) of the cleaned table in long form."""
+    return P.distinct_values_long(cleaned_contacts(spark, sf))
 
 
 _OBS_SQL = union([f"SELECT DISTINCT '{c}' AS column_name, coalesce(CAST({c} AS VARCHAR), 'nan') AS value "
@@ -601,6 +599,32 @@ def q_set1(spark, sf):
     return C.unexpected_values(contacts(spark, sf), _domain_from_cleaned(spark, sf), DOMAIN_COLS_C)
 
 
+@register("set1_own_domain_customer_names", "SELECT '' AS column_name, '' AS value WHERE false")
+def q_set1_own(spark, sf):
+    """SET1 through SRC3 on near-unique text: a table has nothing unexpected
+    against its own written domain, however many values that has."""
+    names = table(spark, sf, "customer").select("c_name")
+    path = scratch_path(spark, "customer_domain_json")
+    SRC.write_table(P.domain_document(names).withColumnRenamed("column_name", "column"), path, fmt="json")
+    domain = SRC.read_domains(spark, path).withColumnRenamed("column", "column_name")
+    return C.unexpected_values(names, domain, ["c_name"])
+
+
+_KEY_TEXT = "SELECT o_orderkey AS id, concat('k', o_orderkey) AS key_text FROM orders"
+
+
+@register("fe3_decode_order_keys", f"SELECT id, key_text, key_text AS key_text_decoded, CAST(row_number() OVER "
+                                   f"(ORDER BY key_text) - 1 AS INTEGER) AS code FROM ({_KEY_TEXT})")
+def q_fe3_keys(spark, sf):
+    """FE1 / FE3 on a text column with as many categories as rows."""
+    t = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"),
+                                          F.concat(F.lit("k"), F.col("o_orderkey")).alias("key_text"))
+    enc = FE.LabelEncoder.fit(t, ["key_text"])
+    coded = enc.inverse(enc.transform(t))
+    return coded.select("id", F.col("key_text_decoded").alias("key_text"), "key_text_decoded",
+                        F.col("key_text").alias("code"))
+
+
 @register("cln6_domain_check", WC(
     f", obs AS ({_OBS_SQL}), exp AS ({_EXP_SQL}),\n"
     "j AS (SELECT coalesce(o.column_name, e.column_name) AS column_name, coalesce(o.value, e.value) AS value, "
@@ -1320,9 +1344,9 @@ def q_src1(spark, sf):
 def q_src3(spark, sf):
     """SRC3 / SNK2: the column-information document of the cleaned table is written
     as JSON and read back as expected domains ``(column, value)``."""
-    info = P.column_info(cleaned_contacts(spark, sf)).withColumnRenamed("column_name", "column")
+    info = P.domain_document(cleaned_contacts(spark, sf)).withColumnRenamed("column_name", "column")
     path = scratch_path(spark, "column_info_json")
-    SRC.write_report(info, path)
+    SRC.write_table(info, path, fmt="json")
     return SRC.read_domains(spark, path).withColumnRenamed("column", "column_name")
 
 

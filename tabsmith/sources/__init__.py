@@ -23,16 +23,43 @@ def _paths(paths) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
+# One dialect for reading and writing: doubled quotes, blanks kept, "" for an empty text.
+CSV_OPTIONS = dict(quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def _typed(df: DataFrame) -> DataFrame:
+    """Text columns as bigint or double where every present value is one (one aggregate, one row back)."""
+    kinds = ("bigint", "double")
+    bad = df.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(k).isNull()).alias(f"{k}{i}")
+                   for i, c in enumerate(df.columns) for k in kinds],
+                 *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(df.columns)]).first()
+    out = []
+    for i, c in enumerate(df.columns):
+        kind = next((k for k in kinds if bad[f"n{i}"] and bad[f"{k}{i}"] == 0), "string")
+        out.append(F.col(f"`{c}`").try_cast(kind).alias(c))
+    return df.select(out)
+
+
 def read_table(spark: SparkSession, paths: str | Sequence[str],
                schema: T.StructType | str | None = None, fmt: str | None = None,
-               na_values: Iterable[str] = NA_VALUES, header: bool = True) -> DataFrame:
+               na_values: Iterable[str] = NA_VALUES, header: bool = True, multiline: bool = True) -> DataFrame:
     """SRC1: read a parquet / CSV / JSON table.
 
-    ``paths`` may be a list; all existing entries are read as one table (the
-    first-existing-path choice of a single-machine script becomes a union scan).
-    For CSV, every value in ``na_values`` becomes NULL before typing.
+    ``paths`` may be a list of candidates: the first that exists is read.
+    For CSV, every value in ``na_values`` becomes NULL before typing; without
+    a schema a column whose values are all whole numbers becomes bigint, all
+    numbers double, anything else stays text.  Quotes are doubled inside quoted
+    values, which may hold line breaks (``multiline=False`` forbids them, so
+    that one large file can be split between tasks).
     """
     ps = _paths(paths)
+    for p in ps[:-1]:
+        try:
+            return read_table(spark, p, schema, fmt, na_values, header, multiline)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    ps = ps[-1:]
     fmt = fmt or ("csv" if ps[0].endswith(".csv") else
                   "json" if ps[0].endswith(".json") else "parquet")
     if isinstance(schema, str):
@@ -46,7 +73,7 @@ def read_table(spark: SparkSession, paths: str | Sequence[str],
         r = spark.read.schema(schema) if schema is not None else spark.read
         return normalize_nan(r.json(ps))
     # CSV: read as text, normalise the NA vocabulary, then type.
-    reader = spark.read.option("header", header).option("mode", "PERMISSIVE")
+    reader = spark.read.options(header=header, mode="PERMISSIVE", multiLine=multiline, **CSV_OPTIONS)
     if schema is not None:
         text_schema = T.StructType([T.StructField(f.name, T.StringType(), True)
                                     for f in schema.fields])
@@ -64,7 +91,10 @@ def read_table(spark: SparkSession, paths: str | Sequence[str],
         if target is not None and not isinstance(target, T.StringType):
             cleaned = cleaned.try_cast(target)
         cols.append(cleaned.alias(f.name))
-    return normalize_nan(raw.select(cols))
+    out = raw.select(cols)
+    if schema is None and cols:
+        out = _typed(out)
+    return normalize_nan(out)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
@@ -74,7 +104,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.options(header=True, emptyValue='""', **CSV_OPTIONS).csv(path)
     elif fmt == "json":
         w.json(path)
     else:
@@ -82,24 +112,34 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """SNK2 / SNK3: a report table is small; one file keeps it readable."""
-    write_table(df.coalesce(1), path, fmt=fmt)
+    """SNK2 / SNK3: a report table is small; one file keeps it readable.  Domains
+    of any size go through ``write_table`` instead.  ``repartition`` leaves the
+    report's last stage its own parallelism."""
+    write_table(df.repartition(1), path, fmt=fmt)
 
 
-# Column-information documents (SRC3): {"column": ..., "type": ..., "values": [...], "count": n}
+# Column documents (SRC3), one row per value or one row per column with a list:
+# {"column": ..., "type": ..., "value": ...} or {"column": ..., "type": ..., "values": [...], "count": n}
 COLUMN_INFO_SCHEMA = T.StructType([
     T.StructField("column", T.StringType()),
     T.StructField("type", T.StringType()),
+    T.StructField("value", T.StringType()),
     T.StructField("values", T.ArrayType(T.StringType())),
     T.StructField("count", T.LongType()),
 ])
 
 
 def read_domains(spark: SparkSession, path: str) -> DataFrame:
-    """SRC3: column-metadata JSON → expected domain pairs ``(column, value)``."""
+    """SRC3: column-metadata JSON → expected domain pairs ``(column, value)``.
+
+    A column whose list was cut when the document was written (a count without
+    values) is an error, not an empty domain."""
     info = spark.read.schema(COLUMN_INFO_SCHEMA).json(path)
+    cut = F.col("values").isNull() & F.col("value").isNull() & (F.col("count") > 0)
+    values = F.when(cut, F.raise_error(F.concat(F.lit("domain list was cut: "), F.col("column")))
+                    ).otherwise(F.coalesce("values", F.array("value")))
     return (info.where(F.col("type") == "categorical")
-            .select("column", F.explode("values").alias("value")))
+            .select("column", F.explode(values).alias("value")).where(F.col("value").isNotNull()))
 
 
 def load_encoded(spark: SparkSession, table_path: str, mapping_path: str | None):

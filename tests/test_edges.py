@@ -58,7 +58,7 @@ def test_nan_next_to_null(spark):
     audit = C.rule_audit(df, [C.ge("x", 0)]).collect()[0]
     assert audit["records_removed"] == 3
     clipped = {r["id"]: r["x"] for r in df.select("id", C.clip("x", 0.0, 2.0).alias("x")).collect()}
-    assert clipped[3] is None and clipped[1] == 2.0 and clipped[4] == 0.0
+    assert math.isnan(clipped[2]) and clipped[3] is None and clipped[1] == 2.0 and clipped[4] == 0.0
     from tabsmith.functions import normalize_nan
     d = P.describe(normalize_nan(df), ["x"], method="exact").collect()[0]
     assert d["count"] == 2 and d["max"] == 5.0
@@ -67,8 +67,9 @@ def test_nan_next_to_null(spark):
 def test_markers_on_parquet_input(spark):
     vals = ["unknown", "Unknown", "?", "", "NaN", "N/A", None]
     df = spark.createDataFrame([(v,) for v in vals], "s string")
-    mt = {r["missing_type"]: r["count"] for r in M.missing_types(df).collect()
-          if r["missing_type"] != "NaN" or r["count"] == 1}
+    rows = M.missing_types(df).collect()
+    mt = {r["missing_type"]: r["count"] for r in rows}
+    assert len(rows) == len(mt) and mt["NaN"] == 2       # NULL and the text
     for m in ["unknown", "Unknown", "?", ""]:
         assert mt[m] == 1
     tot = M.missing_report(df).collect()[0]
@@ -144,3 +145,56 @@ def test_rule_audit_equals_sequential(spark, ):
         cur = cur.where(r.predicate())
         seq.append(before - cur.count())
     assert one_pass == seq
+
+
+def test_nan_counts_as_missing_in_describe(spark):
+    df = spark.createDataFrame([(x,) for x in (1.0, 2.0, 3.0, float("nan"))], "x double")
+    for method in ("exact", "narrowing"):
+        d = P.describe(df, ["x"], method=method, with_missing=True).collect()[0]
+        assert (d["count"], d["mean"], d["max"], d["missing"]) == (3, 2.0, 3.0, 1)
+        assert (d["p25"], d["p50"], d["p75"]) == (1.5, 2.0, 2.5)
+
+
+def test_winsor_beside_an_all_null_column(spark):
+    df = spark.createDataFrame([(float(i), None) for i in range(200)], "x double, e double")
+    got = {r["column_name"]: r["records_affected"] for r in
+           C.winsor_bounds(df, ["x", "e"], only_affected=False).collect()}
+    assert got == {"x": 4, "e": 0}
+    r = C.WinsorModel.fit(df, ["x", "e"]).transform(df).agg(F.min("x"), F.max("x")).first()
+    assert r[0] == pytest.approx(1.99) and r[1] == pytest.approx(197.01)
+
+
+def test_policy_all_marker_column_and_fill_then_drop(spark):
+    df = spark.createDataFrame([("unknown",)] * 3, "s string")
+    clean, audit = M.apply_policy(df, [M.Step("s", "fill_mode")])
+    assert {r["s"] for r in clean.collect()} == {"unknown"}
+    a = audit.collect()[0]
+    assert a["affected"] == 0 and a["fill_value"] is None
+    df = spark.createDataFrame([("a",), ("a",), ("unknown",)], "s string")
+    clean, audit = M.apply_policy(df, [M.Step("s", "fill_mode"), M.Step("s", "drop_rows")])
+    assert clean.count() == 3
+    assert {r["action"]: r["affected"] for r in audit.collect()} == {"fill_mode": 1, "drop_rows": 0}
+
+
+def test_signed_zero_is_one_value(spark):
+    df = spark.createDataFrame([(0.0,), (-0.0,), (float("nan"),), (None,)], "x double")
+    assert P.distinct_counts(df).collect()[0]["n_unique"] == 1
+
+
+def test_empty_table_has_box_and_tukey_rows(spark):
+    df = spark.createDataFrame([], "x double")
+    assert [r["n_outliers"] for r in P.tukey_counts(df, ["x"]).collect()] == [0]
+    assert [r["median"] for r in P.box_data(df, ["x"]).collect()] == [None]
+
+
+def test_confusion_matrix_shows_labels_never_true(spark):
+    df = spark.createDataFrame([(0, 1), (0, 0)], "label int, prediction int")
+    got = {r["label"]: (r["pred_0"], r["pred_1"]) for r in EV.confusion_matrix(df).collect()}
+    assert got == {0: (1, 1), 1: (0, 0)}
+
+
+def test_encoder_with_many_categories(spark):
+    df = spark.range(12_000).select(F.concat(F.lit("v"), "id").alias("v"))
+    enc = FE.LabelEncoder.fit(df, ["v"])
+    back = enc.inverse(enc.transform(df)).select(F.col("v_decoded").alias("v"))
+    assert back.exceptAll(df).count() == 0 and back.count() == 12_000

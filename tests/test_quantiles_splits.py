@@ -94,3 +94,19 @@ def test_top_k_per_group_hot_group_equals_one_level(spark):
     w = Window.partitionBy("g").orderBy(F.desc("v"), F.asc("k"))
     b = df.withColumn("rank", F.row_number().over(w)).where("rank <= 7")
     assert a.count() == 14 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_narrowing_with_infinite_values(spark):
+    vals = [float(i) for i in range(800)] + [float("inf")] * 200
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    probs = [0.25, 0.5, 0.9]
+    exact = Q.quantiles(df, ["x"], probs, method="exact")["x"]
+    assert Q.exact_quantiles_narrowing(df, "x", probs, n_buckets=8, max_window_rows=50) == exact
+    assert exact[0.9] == float("inf")
+
+
+def test_split_keeps_rows_without_label_or_key(spark):
+    df = spark.createDataFrame([(1, 0), (2, 0), (3, None), (None, 1)], "id long, label int")
+    for shuffle in (True, False):
+        assert SP.kfold(df, "label", "id", 2, shuffle=shuffle).count() == 4
+    assert SP.holdout(df, "label", "id").count() == 4

@@ -90,3 +90,25 @@ def test_streaming_clean_matches_batch(spark, tmp_path):
     exp = wm.transform(C.apply_rules(c))
     assert got.count() == exp.count() and got.exceptAll(exp).count() == 0
 
+
+
+def test_csv_keeps_quotes_breaks_and_blanks(spark, tmp_path):
+    rows = [(1, 'say "hi"', 1.5), (2, "two\nlines", 2.0), (3, " lead", None), (4, "back\\slash,comma", -1.0)]
+    df = spark.createDataFrame(rows, "id long, s string, x double")
+    path = str(tmp_path / "q.csv")
+    S.write_table(df, path, fmt="csv")
+    back = S.read_table(spark, [str(tmp_path / "absent.csv"), path, str(tmp_path / "never.csv")], fmt="csv")
+    assert [t for _, t in back.dtypes] == ["bigint", "string", "double"]
+    assert sorted(map(tuple, back.collect())) == rows
+
+
+def test_domains_of_any_size(spark, tmp_path):
+    df = spark.range(1500).select(F.concat(F.lit("v"), "id").alias("v"), "id")
+    doc = P.domain_document(df).withColumnRenamed("column_name", "column")
+    S.write_table(doc, str(tmp_path / "long"), fmt="json")
+    domain = S.read_domains(spark, str(tmp_path / "long")).withColumnRenamed("column", "column_name")
+    assert domain.count() == 1500 and C.unexpected_values(df, domain, ["v"]).count() == 0
+    import pytest
+    S.write_report(P.column_info(df).withColumnRenamed("column_name", "column"), str(tmp_path / "cut"))
+    with pytest.raises(Exception, match="domain list was cut"):
+        S.read_domains(spark, str(tmp_path / "cut")).collect()
