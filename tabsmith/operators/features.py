@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tabsmith.functions import string_or_nan
 from tabsmith.operators.profile import long_values
+from tabsmith.session import written
 
 
 def encoding_mapping(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -44,8 +45,8 @@ class LabelEncoder:
 
     @classmethod
     def fit(cls, df: DataFrame, cols: Sequence[str]) -> "LabelEncoder":
-        """The mapping is checkpointed in the shared folder: it is read once per column."""
-        return cls(cols, encoding_mapping(df, cols).checkpoint())
+        """The mapping is written to the shared folder: it is read once per column."""
+        return cls(cols, written(encoding_mapping(df, cols), "mapping"))
 
     def _joined(self, df: DataFrame, c: str, have: str, want: str, key: Column) -> DataFrame:
         m = self.mapping_df.where(F.col("feature") == c).select(
