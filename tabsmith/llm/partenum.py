@@ -21,7 +21,8 @@ Candidates are checked exactly and without all pairs of a group:
 3. components of those links are taken; a bucket whose other members now lie in
    one component needs nothing more;
 4. in the other buckets members of different components are compared, hot
-   buckets in salted blocks.  The join condition holds the size ratio, a
+   buckets in blocks: every pair of blocks is a join key of its own, so no key
+   has more rows than two blocks.  The join condition holds the size ratio, a
    256-bit parity sketch whose distance never exceeds the true difference, and
    the eight signatures before the shared one, so only near pairs leave the
    join, and not once for each bucket they share;
@@ -30,7 +31,8 @@ Candidates are checked exactly and without all pairs of a group:
    still lie in different components.
 
 Every step is a shuffle by signature or set id over narrow rows; texts travel
-only for sets that are candidates.
+only for the sets of pairs that both sketches let pass, and are read again from
+the input for the signatures of step 4.
 """
 
 from __future__ import annotations
@@ -49,8 +51,8 @@ from tabsmith.session import written
 
 #: A side of a join is broadcast only if it has at most so many narrow rows.
 BROADCAST_ROWS = 200_000
-#: Members of one bucket that are compared in one salted block.
-BLOCK = 1024
+#: Members of one bucket that are compared with as many others in one task.
+BLOCK = 4096
 #: A pair of one bucket is passed over if it agrees on one of so many earlier signatures.
 BEFORE = 8
 #: Bits of the sketch that pairs are checked with before their texts.
@@ -181,7 +183,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     if not 0 <= k2 < n2 or not 50 <= percent <= 100:
         raise ValueError("need 0 <= k2 < n2 and 50 <= percent <= 100")
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+                       F.xxhash64(text_col).alias("hash"))
     subsets = [list(c) for c in combinations(range(n2), n2 - k2)]
     edges, params = instance_params(percent, k2)
 
@@ -193,10 +196,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 sid = pa.array(signed([set_id(s) if len(s) else 0 for s in sets]), mask=~full)
                 sk = np.array([sketch(s) for s in sets], np.int64).reshape(len(sets), 4)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), sid,
+                    [part.column("id"), part.column("hash"), pa.array([len(s) for s in sets], pa.int64()), sid,
                      *(pa.array(np.ascontiguousarray(sk[:, j])) for j in range(4)),
                      pa.array([sketch(s, WIDE_BITS) if len(s) else None for s in sets], pa.list_(pa.int64()))],
-                    ["id", "n", "sid", *_SKETCH, "wide"])
+                    ["id", "hash", "n", "sid", *_SKETCH, "wide"])
 
     def to_signatures(batches):
         met: set[int] = set()                # ids of the sets of this task: copies emit once
@@ -215,7 +218,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                         [pa.array(signed(np.concatenate([f[1] for f in found]))), pa.array(signed(sid))],
                         ["sig", "sid"])
 
-    schema = docs.select("id").schema.add("n", "long").add("sid", "long")
+    schema = docs.select("id", "hash").schema.add("n", "long").add("sid", "long")
     for c in _SKETCH:
         schema = schema.add(c, "long")
     schema = schema.add("wide", T.ArrayType(T.LongType()))
@@ -227,25 +230,30 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     .withColumn("piv", F.min("sid").over(bucket)).withColumn("top", F.max("sid").over(bucket))
                     .filter("piv < top").drop("top").distinct(), "buckets")
 
-    # the candidates' sizes, sketches and one text each
+    # the candidates' sizes, sketches and the row that has their text
     wanted = multi.select("sid").distinct()
     info = written(sets.join(wanted, "sid").groupBy("sid").agg(
-        F.min("id").alias("id"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in [*_SKETCH, "wide"])), "candidates")
+        F.min(F.struct("id", "hash")).alias("rep"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in [*_SKETCH, "wide"])), "candidates")
     wide = info.select("sid", "n", "wide")
     info = info.drop("wide")
 
-    def check_set(batches):
-        # a repeated id may bring another text: keep the one that makes the set
+    def with_text(of: DataFrame) -> DataFrame:
+        """``of`` (a written narrow table with ``rep``) with the texts; a repeated row comes as often."""
+        here = F.col("id").eqNullSafe(F.col("rep.id")) & (F.col("hash") == F.col("rep.hash"))
+        return join_checked(docs, of, here).select(*(c for c in of.columns if c != "rep"), "text")
+
+    def first_texts(batches):
+        met: set[int] = set()                # of repeated rows one is enough
         for batch in batches:
-            for part in slices(batch, "text"):
-                sid = signed([set_id(s) if len(s) else 0 for s in shingle_sets(part.column("text"), width)])
-                part = part.filter(pa.array(sid == part.column("sid").to_numpy()))
+            sid = batch.column("sid").to_pylist()
+            new = [i for i, x in enumerate(sid) if not (x in met or met.add(x))]
+            for part in slices(batch.take(pa.array(new, pa.int64())), "text"):
                 yield pa.RecordBatch.from_arrays([part.column("sid"), pack_texts(part.column("text"))], ["sid", "text"])
 
-    rep = info.select(F.col("id").alias("rep"), "sid")
-    texts = written(
-        join_checked(docs, rep, docs["id"].eqNullSafe(rep["rep"])).select("sid", "text")
-        .mapInArrow(check_set, "sid long, text binary").dropDuplicates(["sid"]), "texts")
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+        return written(with_text(written(info.select("sid", "rep").join(ends, "sid"), "ends"))
+                       .mapInArrow(first_texts, "sid long, text binary").dropDuplicates(["sid"]), "texts")
 
     def verify(batches):
         last: dict[int, np.ndarray] = {}
@@ -269,7 +277,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return written(pairs.join(ends[0], "a").join(ends[1], "b").filter(
             bits * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b"), "pairs")
 
-    def proven(pairs: DataFrame) -> DataFrame:
+    def proven(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         of = texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
         on = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
         return written(pairs.join(of, "b").join(on, "a").select("a", "b", "text_a", "text_b")
@@ -284,14 +292,15 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             return labels.select(F.col("id").alias("a"), F.col("c").alias("b")).filter("a <> b")
 
         pairs = near(pairs)
+        texts = texts_of(pairs)
         tried = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        found = proven(tried)
+        found = proven(tried, texts)
         comp = components(found if comp is None else edges_of(comp).union(found))
         ends = [comp.select(F.col("id").alias(k), F.col("c").alias(f"c_{k}")) for k in "ab"]
         apart = written(pairs.join(ends[0], "a", "left").join(ends[1], "b", "left")
                         .filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
                         .join(tried, ["a", "b"], "left_anti"), "apart")
-        return components(edges_of(comp).union(proven(apart)))
+        return components(edges_of(comp).union(proven(apart, texts)))
 
     def named(prefix: str, key: str) -> DataFrame:
         return info.select(F.col("sid").alias(key), *(F.col(c).alias(f"{prefix}{c}") for c in ["n", *_SKETCH]))
@@ -310,15 +319,18 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .filter("lo < hi").select("sig", "piv", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "open")
     # what a member brings to the comparison is joined once per set, not once per signature
     own = ["sid", "c", "n", *_SKETCH]
-    members = (rest.join(open_.select("sig"), "sig", "left_semi").select("sid", "c").distinct()
-               .join(info.drop("id"), "sid"))
+    members = written(rest.join(open_.select("sig"), "sig", "left_semi").select("sid", "c").distinct()
+                      .join(info, "sid"), "members")
 
     def to_ordered(batches):
         # a signature and the ones just before it: a pair that agrees there too was met before
+        met: set[int] = set()
         for batch in batches:
-            for part in slices(batch, "text"):
+            sid = batch.column("sid").to_pylist()
+            new = [i for i, x in enumerate(sid) if not (x in met or met.add(x))]
+            for part in slices(batch.take(pa.array(new, pa.int64())), "text"):
                 found = []
-                for s in shingle_sets(unpack_texts(part.column("text")), width):
+                for s in shingle_sets(part.column("text"), width):
                     sig, emit = signatures(s, edges, params, n2, subsets)
                     before = np.zeros((len(sig), BEFORE), np.int64)
                     known = np.zeros((len(sig), BEFORE), bool)
@@ -334,20 +346,23 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                         ["sig", *own, *past])
 
     past = [f"p{j}" for j in range(BEFORE)]
-    again = texts.join(members, "sid").mapInArrow(
+    again = with_text(members).mapInArrow(
         to_ordered, ", ".join(f"{c} long" for c in ["sig", *own, *past]))
-    again = written(join_checked(again, open_, "sig").filter("sid <> piv").drop("piv"), "open")
+    again = written(join_checked(again, open_, "sig").filter("sid <> piv").drop("piv").distinct()
+                    .withColumn("at", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")), "open")
     values = ["n", "c", *_SKETCH, *past]
-    right = again.select(F.col("sig").alias("r_sig"), F.col("sid").alias("b"), *(F.col(c).alias(f"r_{c}") for c in values),
-                         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("r_salt"))
+    # a pair of blocks (low, high) is one key: the left side is block low, the right side block high
     left = again.select(F.col("sig").alias("l_sig"), F.col("sid").alias("a"), *(F.col(c).alias(f"l_{c}") for c in values),
-                        F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("l_salt"))
+                        F.col("at").alias("l_low"), F.explode(F.sequence("at", F.col("blocks") - 1)).alias("l_high"))
+    right = again.select(F.col("sig").alias("r_sig"), F.col("sid").alias("b"), *(F.col(c).alias(f"r_{c}") for c in values),
+                         F.explode(F.sequence(F.lit(0), F.col("at"))).alias("r_low"), F.col("at").alias("r_high"))
     met = F.lit(False)
     for c in past:
         met = met | F.coalesce(F.col(f"l_{c}") == F.col(f"r_{c}"), F.lit(False))
-    cross = (left.join(right, (F.col("l_sig") == F.col("r_sig")) & (F.col("l_salt") == F.col("r_salt"))
-                       & (F.col("a") < F.col("b")) & (F.col("l_c") != F.col("r_c")) & close & ~met)
-             .select("a", "b").distinct())
+    cross = (left.join(right, (F.col("l_sig") == F.col("r_sig")) & (F.col("l_low") == F.col("r_low"))
+                       & (F.col("l_high") == F.col("r_high")) & ((F.col("l_low") < F.col("r_high")) | (F.col("a") < F.col("b")))
+                       & (F.col("l_c") != F.col("r_c")) & close & ~met)
+             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     comp = links(cross, comp)
 
     # the smallest document id of each component, back on every document

@@ -297,8 +297,10 @@ def near_copies(seed, groups=6, size=14):
     return out + ["", None, "One", "one", "a b", "A  b", "same " * 50, "same " * 51]
 
 
-@pytest.mark.parametrize("width, percent, n2, k2", [(4, 85, 2, 1), (5, 80, 3, 1)])
-def test_jaccard_brute(spark, width, percent, n2, k2):
+@pytest.mark.parametrize("width, percent, n2, k2, block", [(4, 85, 2, 1, 3), (5, 80, 3, 1, 4096)])
+def test_jaccard_brute(spark, monkeypatch, width, percent, n2, k2, block):
+    """Blocks of three members make most open buckets span several blocks."""
+    monkeypatch.setattr(partenum, "BLOCK", block)
     texts = near_copies(width) + [t for _, t in rows_of(SF_SMALL)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in
@@ -307,6 +309,23 @@ def test_jaccard_brute(spark, width, percent, n2, k2):
     assert got == dict(enumerate(want))
 
 
+def test_jaccard_repeated_and_null_ids(spark):
+    """Ids that repeat, with the same or another text, and many null ids: links follow the texts."""
+    texts = near_copies(3, groups=3, size=8)
+    ids = [None if i % 3 == 0 else i % 5 for i in range(len(texts))]
+    rows = list(zip(ids, texts)) * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.n_shingles, -1 if r.component_id is None else r.component_id)
+                  for r in partenum.ngram_jaccard_join(docs).collect()))
+    want = []
+    groups = components_brute([t for _, t in rows], 4, 85)
+    for at, (n, root) in enumerate(groups):
+        members = [rows[j][0] for j, (_, c) in enumerate(groups) if c == root] if n else [rows[at][0]]
+        least = min((m for m in members if m is not None), default=-1)
+        want.append((n, least))
+    assert got == sorted(want)
+
+
 def test_signatures_share_one():
     """Sets at the similarity limit always share an emitted signature."""
     rng = np.random.default_rng(5)
