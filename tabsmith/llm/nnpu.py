@@ -43,7 +43,8 @@ SUPPORT, SUPPORT_SHARE, LIFT = 4, 0.02, 2.0
 MAX_POSITIVE, MAX_UNLABELLED = 4_000, 12_000
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
-_REMEMBERED = 200_000
+#: Words whose features a task remembers; a tuple each, so a worker holds a few tens of MB of them.
+_REMEMBERED = 60_000
 
 
 def fold(id_col: str, parts: int) -> Column:
@@ -61,21 +62,20 @@ class Features:
     """Kept features of texts, with a bounded memory of words."""
 
     def __init__(self, kept: dict[int, int] | None = None):
-        self.kept, self.seen = kept, {}
+        self.kept, self.seen = kept, {}        # word -> features
 
     def of(self, text: str | None) -> set[int]:
         found: set[int] = set()
         for w in set(_WORD.findall((text or "").lower())):
             got = self.seen.get(w)
             if got is None:
-                got = word_features(w)
+                got = tuple(word_features(w))
                 if self.kept is not None:
-                    got = {self.kept[f] for f in got if f in self.kept}
+                    got = tuple(self.kept[f] for f in got if f in self.kept)
                 if len(self.seen) >= _REMEMBERED:
                     self.seen.clear()
                 self.seen[w] = got
-            if got:
-                found |= got
+            found.update(got)
         return found
 
 
