@@ -132,6 +132,22 @@ def test_secrets_brute(spark):
         assert got[i] == spans_brute(t), (i, (t or "")[:80])
 
 
+def test_secret_parts_of_any_length(spark):
+    """Keys of 129 and more characters, identifiers of 65 and more, and wide gaps; spans written by hand."""
+    key = "aB3" * 43
+    rows = [
+        (1, f"user=alice {key} z", [("ident", 0, 10), ("key", 11, 140)], "[SECRET] [SECRET] z"),
+        (2, f"{'aB3' * 2000} https://x.y", [("key", 0, 6000), ("endpoint", 6001, 6012)], "[SECRET] [SECRET]"),
+        (3, f"login: {'n' * 65} password=abcdef", [("ident", 0, 72), ("assign", 73, 88)], "[SECRET] [SECRET]"),
+        (4, f"user = {'n' * 5000}, secret=abcdef", [("ident", 0, 5007), ("assign", 5009, 5022)], "[SECRET], [SECRET]"),
+        (5, "user:     alice token=abcdef", [("ident", 0, 15), ("assign", 16, 28)], "[SECRET] [SECRET]"),
+        (6, f"{key} alone", [], f"{key} alone")]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.scan_secrets(docs).collect()}
+    assert got == {r[0]: r[2] for r in rows}
+    assert {tuple(r) for r in secrets.redact(docs).collect()} == {(r[0], r[3]) for r in rows}
+
+
 def test_redact(spark):
     docs = spark.createDataFrame([(1, "a password=abcdef b", 7), (2, None, 8), (3, "x" * 9, 9)],
                                  "doc_id long, text string, spans int")
