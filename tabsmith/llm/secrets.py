@@ -34,7 +34,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 #: Weak parts, of any length: identifiers after a user-like name, mixed tokens, service addresses.
 IDENT = r"(?i:user|username|login|account|client_id|key_id)[\"']?\x20*+[:=]\x20*+[\"']?[A-Za-z0-9_.@-]{3,}+"
-KEY = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[^\s]*[a-z])(?=[^\s]*[A-Z])[A-Za-z0-9+/_=-]{20,}+"
+KEY = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[A-Z0-9+/_=-]*+[a-z])(?=[a-z0-9+/_=-]*+[A-Z])[A-Za-z0-9+/_=-]{20,}+"
 ENDPOINT = r"(?:https?|s3|jdbc:[a-z]+|postgres|mysql|redis|mongodb|ftp)://[A-Za-z0-9._:@/-]+"
 KINDS = ["assign", "access", "hex", "ident", "key", "endpoint"]
 BASE = KINDS[:3]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +66,18 @@ def test_edge_results(spark):
     assert chat.format_chats(chats.limit(0)).collect() == []
 
 
+def test_secrets_without_white_space(spark):
+    """Digits of a key may not borrow letters outside it, and long texts without white space take linear time."""
+    texts = ["user=alice ABCDEFGHIJ0123456789,foo", "user=alice abcdefghij0123456789,FOO", "7," * 400_000,
+             "7," * 400_000 + "user=alice,abC1defghijklmnopqrstu9"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    start = time.monotonic()
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.scan_secrets(docs).collect()}
+    assert time.monotonic() - start < 60
+    assert got == {0: [], 1: [], 2: [], 3: [("ident", 800_000, 800_010), ("key", 800_011, 800_034)]}
+    assert all(got[i] == spans_brute(t) for i, t in enumerate(texts))
+
+
 def test_stage_edges(spark):
     docs = spark.createDataFrame(EDGE, SCHEMA)
     for name, stage in corpus_pipeline.STAGES:
