@@ -6,9 +6,9 @@ part alone proves little: an access identifier of an unusual form, a mixed
 token that may be a key, the address of a service.  Such weak candidates are
 reported only when complementary parts co-occur.
 
-Scopes are paragraphs (runs of text between blank lines), and within a scope
-parts link when the gap between their intervals is at most ``reach`` code
-points.  The interval join is done by order, not by pairs: candidates of one
+Scopes are paragraphs (runs of text between blank lines), and parts of one
+scope link at any distance, unless the caller bounds the gap between their
+intervals by ``reach`` code points.  The interval join is done by order, not by pairs: candidates of one
 scope are sorted by position and each looks up the nearest earlier and the
 nearest later interval of each role.  A weak key is reported when an identifier
 or an endpoint lies within reach, a weak identifier or an endpoint when a
@@ -38,8 +38,8 @@ KEY = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[A-Z0-9+/_=-]*+[a-z])(?=
 ENDPOINT = r"(?:https?|s3|jdbc:[a-z]+|postgres|mysql|redis|mongodb|ftp)://[A-Za-z0-9._:@/-]+"
 KINDS = ["assign", "access", "hex", "ident", "key", "endpoint"]
 BASE = KINDS[:3]
-#: Largest gap, in code points, between parts that belong together.
-REACH = 200
+#: Largest gap, in code points, between parts that belong together; the scope alone decides by default.
+REACH = 2**31 - 1
 
 _SPAN = "array<struct<kind:string,start:int,stop:int>>"
 

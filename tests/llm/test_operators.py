@@ -148,6 +148,19 @@ def test_secret_parts_of_any_length(spark):
     assert {tuple(r) for r in secrets.redact(docs).collect()} == {(r[0], r[3]) for r in rows}
 
 
+def test_secret_scope_decides(spark):
+    """Parts of one paragraph link over any distance, parts of two paragraphs never; spans written by hand."""
+    key = "abC1defghijklmnopqrstu9"
+    rows = [(1, f"user=alice {'x ' * 5000}\n{key}", [("ident", 0, 10), ("key", 10012, 10035)]),
+            (2, f"user=alice\n \n{key}", []),
+            (3, f"https://x.y {'z' * 300} token=abcdef", [("endpoint", 0, 11), ("assign", 313, 325)])]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.scan_secrets(docs).collect()}
+    assert got == {r[0]: r[2] for r in rows}
+    near = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.scan_secrets(docs, reach=200).collect()}
+    assert near == {1: [], 2: [], 3: [("assign", 313, 325)]}
+
+
 def test_redact(spark):
     docs = spark.createDataFrame([(1, "a password=abcdef b", 7), (2, None, 8), (3, "x" * 9, 9)],
                                  "doc_id long, text string, spans int")
