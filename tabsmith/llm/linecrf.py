@@ -37,8 +37,8 @@ _UPPER = re.compile(r"[^\W\d_a-zß-öø-ÿ]")
 _LOCAL = 12
 
 
-def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Features (lines x 3 * local) and weights (lengths) of the lines of a text; at least one line."""
+def local_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Own features (lines x local) and weights (lengths) of the lines of a text; at least one line."""
     lines = (text or "").split("\n")
     rows, seen = [], set()
     for line in lines:
@@ -52,10 +52,19 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             line in seen and bool(words), sum(map(str.isdigit, line)) / n, line.rstrip()[-1:] in (".", "?", "!") if words else 0,
             min(len(line) / m, 20) / 10))
         seen.add(line)
-    x = np.array(rows, np.float64)
+    return np.array(rows, np.float64), np.array([max(len(line), 1) for line in lines], np.float64)
+
+
+def with_neighbours(x: np.ndarray) -> np.ndarray:
+    """Features of each line, of the line before and of the line after (zeros where there is none)."""
     none = np.zeros((1, _LOCAL))
-    return (np.hstack([x, np.vstack([none, x[:-1]]), np.vstack([x[1:], none])]),
-            np.array([max(len(line), 1) for line in lines], np.float64))
+    return np.hstack([x, np.vstack([none, x[:-1]]), np.vstack([x[1:], none])])
+
+
+def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Features (lines x 3 * local) and weights (lengths) of the lines of a text; at least one line."""
+    x, weight = local_features(text)
+    return with_neighbours(x), weight
 
 
 def marginals(score: np.ndarray, couple: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -158,15 +167,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = written(known.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(min(1.0, max_docs / n) * 1_000_000)),
                     "labelled")               # at most about max_docs rows
     sample = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
-              .withColumn("shard", F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(SHARDS))))
+              .select(F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(SHARDS)).alias("shard"), "y", "text"))
+
+    def to_features(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = [local_features(t) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("shard"), part.column("y"), pa.array([x.tobytes() for x, _ in found], pa.binary()),
+                     pa.array([w.tobytes() for _, w in found], pa.binary())], ["shard", "y", "x", "weight"])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf["y"].to_numpy()
         if len(set(y.tolist())) < 2:
             return pd.DataFrame({"w": pd.Series([], dtype=object)})
-        return pd.DataFrame({"w": [fit_crf([line_features(t) for t in pdf["text"]], y).tolist()]})
+        lines = [(with_neighbours(np.frombuffer(x, np.float64).reshape(-1, _LOCAL)), np.frombuffer(w, np.float64))
+                 for x, w in zip(pdf["x"], pdf["weight"])]
+        return pd.DataFrame({"w": [fit_crf(lines, y).tolist()]})
 
-    models = sample.groupBy("shard").applyInPandas(fit, T.StructType([T.StructField("w", T.ArrayType(T.DoubleType()))]))
+    # texts become line features before the shuffle: a group holds numbers, whatever the length of its lines
+    models = (sample.mapInArrow(to_features, "shard long, y int, x binary, weight binary")
+              .groupBy("shard").applyInPandas(fit, T.StructType([T.StructField("w", T.ArrayType(T.DoubleType()))])))
     return [np.array(r.w) for r in models.collect()]
 
 

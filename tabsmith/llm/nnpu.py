@@ -143,16 +143,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     kept = {r.f: i for i, r in enumerate(
         each.filter((rp > LIFT * ru) & (F.col("p") >= max(SUPPORT, SUPPORT_SHARE * np_))).orderBy(F.desc(gain), "f").limit(FEATURES).collect())}
 
+    def to_features(batches):
+        find = Features(kept)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = [sorted(find.of(t)) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("shard"), part.column("p"), pa.array(found, pa.list_(pa.int32()))], ["shard", "p", "f"])
+
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        find, x = Features(kept), np.zeros((len(pdf), len(kept)), np.uint8)
-        for i, text in enumerate(pdf["text"]):
-            x[i, list(find.of(text))] = 1
+        x = np.zeros((len(pdf), len(kept)), np.uint8)
+        for i, found in enumerate(pdf["f"]):
+            x[i, found] = 1
         positive = pdf["p"].to_numpy() == 1
         if positive.all() or not positive.any():
             return pd.DataFrame({"w": pd.Series([], dtype=object)})
         return pd.DataFrame({"w": [fit_nnpu(x, positive, prior).tolist()]})
 
-    models = (sample.withColumn("shard", F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(SHARDS)))
+    # texts become features before the shuffle: a group holds its documents' feature numbers only
+    models = (sample.select(F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(SHARDS)).alias("shard"), "p", "text")
+              .mapInArrow(to_features, "shard long, p int, f array<int>")
               .groupBy("shard").applyInPandas(fit, T.StructType([T.StructField("w", T.ArrayType(T.DoubleType()))])))
     return kept, [np.array(r.w) for r in models.collect()], prior
 

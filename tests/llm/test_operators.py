@@ -180,6 +180,25 @@ def test_held_out(spark, name, label, least):
     assert auc >= least
 
 
+@pytest.mark.parametrize("module, label, row", [(nnpu, "toxic", {"shard", "p", "f"}),
+                                                 (linecrf, "quality", {"shard", "y", "x", "weight"})])
+def test_fit_groups_hold_no_texts(spark, monkeypatch, module, label, row):
+    """What is grouped by shard for the fits has features only, and the fits still come."""
+    from pyspark.sql import GroupedData
+    seen, apply = [], GroupedData.applyInPandas
+
+    def recorded(self, *args):
+        seen.append(set(self._df.columns))
+        return apply(self, *args)
+    monkeypatch.setattr(GroupedData, "applyInPandas", recorded)
+    rows = [(i, f"vile{i % 3} words {'x' * 10_000}" if i % 2 else "kind words\nof text") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(80)], f"doc_id long, {label} int")
+    models = module.train(docs, known)
+    assert seen == [row]
+    assert len(models[1] if module is nnpu else models) == module.SHARDS
+
+
 def test_nnpu_separates():
     rng = np.random.default_rng(0)
     truth = rng.random(2000) < 0.2
