@@ -14,10 +14,13 @@ from tabsmith.llm.chat import CONTROL, format_chats, read_loss, read_turns
 from tabsmith.llm.hostrules import host_quality
 from tabsmith.llm.linecrf import quality
 from tabsmith.llm.nnpu import toxicity
+from tabsmith.llm.pareto import mix
 from tabsmith.llm.partenum import ngram_jaccard_join
 from tabsmith.llm.quartile import edited_fingerprints
+from tabsmith.llm.runs import periodic_runs, strongest, with_repeats
 from tabsmith.llm.secrets import BASE, count_kind, digest, scan_secrets
 from tabsmith.llm.warc import read_archives, write_archives
+from tabsmith.llm.whitening import whiten
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -157,3 +160,32 @@ def op10(spark, sf):
     out = host_quality(documents(spark, sf), "text", "source")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       "base_failed", "kept")
+
+
+@register("op11_bidiagonal_whitening")
+def op11(spark, sf):
+    """Embeddings as whole numbers, whitened on the first 16 components; one row per vector and component."""
+    out = whiten(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding", k=16)
+    out = out.select("vec_id", "n", F.col("deviation").cast("long").alias("deviation"), "explained", "identity_error",
+                     F.posexplode("whitened").alias("at", "whitened"))
+    return out.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened",
+                      F.get("explained", "at").alias("explained"), "identity_error")
+
+
+@register("op12_periodic_runs")
+def op12(spark, sf):
+    """Periodic runs of words of every document, a tenth of them with planted repetitions, and the texts without."""
+    docs = with_repeats(documents(spark, sf).select("doc_id", "text"))
+    out = periodic_runs(docs, keep=["doc_id"]).withColumn("best", strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@register("op13_pareto_mix")
+def op13(spark, sf):
+    """Words that a mix of the sources at weights 5, 2, 1 takes of every document."""
+    out = mix(documents(spark, sf), "doc_id", "source", "text")
+    return out.select("doc_id", "size", "source_size", "target", "taken")
