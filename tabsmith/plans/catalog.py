@@ -971,7 +971,8 @@ def q_evl6(spark, sf):
     return EV.pr_curve(scored_contacts(spark, sf))
 
 
-def _report_sql():
+def _report_body():
+    """The report over a CTE ``scored``."""
     rows = []
     for l in (0, 1):
         tp = f"count(*) FILTER (WHERE label = {l} AND prediction = {l})"
@@ -990,10 +991,10 @@ def _report_sql():
     parts.append("SELECT 'weighted avg', " + ", ".join(
         R(f"({rows[0][j]} * {rows[0][3]} + {rows[1][j]} * {rows[1][3]}) * 1.0 / count(*)") for j in range(3))
         + ", count(*) FROM scored")
-    return WS(union(parts))
+    return union(parts)
 
 
-@register("evl7_classification_report", _report_sql())
+@register("evl7_classification_report", WS(_report_body()))
 def q_evl7(spark, sf):
     """EVL7 classification report (per class, accuracy, macro and weighted averages)."""
     return EV.classification_report(scored_contacts(spark, sf))
@@ -1024,8 +1025,12 @@ def q_evl10(spark, sf):
 
 
 # ---------------------------------------------------------------- models
+from tabsmith.operators import bayes as NB  # noqa: E402
+from tabsmith.operators import forests as FO  # noqa: E402
+from tabsmith.operators import logistic as LG  # noqa: E402
 from tabsmith.operators import models as MD  # noqa: E402
 from tabsmith.plans import model_data as MDATA  # noqa: E402
+from tabsmith.session import written  # noqa: E402
 
 _FEATS = MDATA.FEATURES
 
@@ -1063,7 +1068,7 @@ def q_mod1p(spark, sf):
     """MOD1 / MOD15 Gaussian NB parameters fitted in one grouped aggregate
     (class means, smoothed variances, empirical priors)."""
     mt = MDATA.model_table(spark, sf)
-    return MD.gaussian_nb_fit(mt, _FEATS).withColumn("class", F.col("class").cast("int"))
+    return NB.gaussian_nb_fit(mt, _FEATS).withColumn("class", F.col("class").cast("int"))
 
 
 def _gnb_score_sql():
@@ -1088,8 +1093,7 @@ def _gnb_score_sql():
 def q_mod1s(spark, sf):
     """MOD1 / MOD8 Gaussian NB scoring from the SQL-fitted parameters."""
     mt = MDATA.model_table(spark, sf)
-    params = MD.gaussian_nb_fit(mt, _FEATS)
-    return MD.gaussian_nb_score(mt, params, _FEATS)
+    return NB.score(mt, NB.fit(mt, _FEATS), _FEATS)
 
 
 @register("mod2_bernoulli_nb_params_sql", WC(_model_sql() + ", " + (
@@ -1100,7 +1104,7 @@ def q_mod1s(spark, sf):
 def q_mod2(spark, sf):
     """MOD2 Bernoulli NB parameters (binarised at > 0, alpha = 1)."""
     mt = MDATA.model_table(spark, sf)
-    return MD.bernoulli_nb_fit(mt, _FEATS).withColumn("class", F.col("class").cast("int"))
+    return NB.bernoulli_nb_fit(mt, _FEATS).withColumn("class", F.col("class").cast("int"))
 
 
 def _mnb_sql():
@@ -1120,71 +1124,168 @@ def _mnb_sql():
 def q_mod3(spark, sf):
     """MOD3 multinomial NB parameters on min-max scaled inputs (alpha = 1)."""
     mt = MDATA.model_table(spark, sf, scale="minmax")
-    return MD.multinomial_nb_fit(mt, _FEATS).withColumn("class", F.col("class").cast("int"))
+    return NB.multinomial_nb_fit(mt, _FEATS).withColumn("class", F.col("class").cast("int"))
 
 
 @register("mod15_nb_priors_sql", WC(_model_sql() + f"""
 SELECT label AS class, count(*) AS n, {R('count(*) * 1.0 / sum(count(*)) OVER ()')} AS prior FROM mt GROUP BY label"""))
 def q_mod15(spark, sf):
     """MOD15 NB parameter report: class counts and priors."""
-    mt = MDATA.model_table(spark, sf)
-    p = MD.gaussian_nb_fit(mt, _FEATS)
-    return p.select(F.col("class").cast("int").alias("class"), "n", "prior").distinct()
+    return NB.priors(MDATA.encoded_table(spark, sf))
+
+
+def _nb_scores_sql(kind: str, src: str, name: str) -> str:
+    """CTE ``<name>`` (id, label, fold, prediction, score): every row of ``src`` (with a fold)
+    scored by the naive Bayes of the other folds.  Also ``<name>_pc``, the statistics."""
+    import math as _m
+    stat = {"gaussian": ["avg({c}) AS mean_{c}", "var_pop({c}) AS var_{c}"],
+            "bernoulli": ["(count(*) FILTER (WHERE {c} > 0) + 1.0) / (count(*) + 2.0) AS prob_{c}"],
+            "multinomial": ["sum({c}) + 1.0 AS s_{c}"]}[kind]
+    every = " + ".join(f"s_{c}" for c in _FEATS)
+    cols = ", ".join(t.format(c=c) for c in _FEATS for t in stat)
+    value = {"gaussian": [("mean", "mean_{c}"), ("var", "var_{c} + 1e-9 * vmax")], "bernoulli": [("prob", "prob_{c}")],
+             "multinomial": [("prob", "s_{c} / (" + every + ")")]}[kind]
+    term = {"gaussian": f"- 0.5 * ({_m.log(2 * _m.pi)!r} + ln(var_{{k}}_{{c}})) - 0.5 * ({{c}} - mean_{{k}}_{{c}}) * ({{c}} - mean_{{k}}_{{c}}) / var_{{k}}_{{c}}",
+            "bernoulli": "+ CASE WHEN {c} > 0 THEN ln(prob_{k}_{c}) ELSE ln(1 - prob_{k}_{c}) END",
+            "multinomial": "+ {c} * ln(prob_{k}_{c})"}[kind]
+    jll = {k: f"ln(prior_{k}) " + " ".join(term.format(k=k, c=c) for c in _FEATS) for k in (0, 1)}
+    vmax = "greatest(" + ", ".join(f"var_pop({c})" for c in _FEATS) + ")" if kind == "gaussian" else "0"
+    return (
+        f"{name}_tr AS (SELECT k.kfold, t.* FROM (SELECT DISTINCT fold AS kfold FROM {src}) k JOIN {src} t ON t.fold <> k.kfold),\n"
+        f"{name}_pc AS (SELECT kfold, label AS class, count(*) AS n, {cols} FROM {name}_tr GROUP BY kfold, label),\n"
+        f"{name}_vm AS (SELECT kfold, count(*) AS total_n, {vmax} AS vmax FROM {name}_tr GROUP BY kfold),\n"
+        f"{name}_pw AS (SELECT {name}_pc.kfold, " + ", ".join(
+            [f"max(CASE WHEN class = {k} THEN n * 1.0 / total_n END) AS prior_{k}" for k in (0, 1)]
+            + [f"max(CASE WHEN class = {k} THEN {e.format(c=c)} END) AS {v}_{k}_{c}"
+               for k in (0, 1) for c in _FEATS for v, e in value])
+        + f" FROM {name}_pc JOIN {name}_vm USING (kfold) GROUP BY {name}_pc.kfold),\n"
+        f"{name}_j AS (SELECT id, label, fold, {jll[0]} AS j0, {jll[1]} AS j1 FROM {src} JOIN {name}_pw ON fold = kfold),\n"
+        f"{name} AS (SELECT id, label, fold, CASE WHEN j1 > j0 THEN 1 ELSE 0 END AS prediction, "
+        f"exp(j1 - greatest(j0, j1)) / (exp(j0 - greatest(j0, j1)) + exp(j1 - greatest(j0, j1))) AS score FROM {name}_j)")
+
+
+def _fold_sql(k: int) -> str:
+    return f", folds AS ({_rank_sql('mt', k=k)}),\nmtf AS (SELECT mt.*, folds.fold FROM mt JOIN folds USING (id)),\n"
+
+
+def _fold_metrics_sql(src: str) -> str:
+    return (_auc_sql(src, "fold") + f"\nSELECT m.*, {R('a.auc')} AS auc FROM (SELECT fold, {_metric_cols()} FROM {src} "
+            "GROUP BY fold) m JOIN a USING (fold)")
+
+
+def _folded(spark, sf, k: int, scale: str = "standard"):
+    """The model table with its folds, written once: it feeds the statistics and the scoring."""
+    return written(MDATA.with_folds(MDATA.model_table(spark, sf, scale), k), "folds")
 
 
-# spark.ml estimators: iterative / seeded, so no SQL oracle (rows-only check);
-# properties are covered by tests/test_models.py.
 def _cv_frame(spark, sf, scale="standard", k=10):
     return MDATA.assembled(MDATA.with_folds(MDATA.model_table(spark, sf, scale), k))
 
 
-@register("mod1_gaussian_nb_cv10")
+@register("mod1_gaussian_nb_cv10", WC(_model_sql() + _fold_sql(10) + _nb_scores_sql("gaussian", "mtf", "sc") + ",\n"
+                                      + _fold_metrics_sql("sc")))
 def q_mod1cv(spark, sf):
-    """MOD1 + MOD10: spark.ml Gaussian NB, stratified 10-fold metrics per fold."""
-    return MD.cross_validate(_cv_frame(spark, sf), MD.gaussian_nb())[0]
+    """MOD1 + MOD10: Gaussian NB, stratified 10-fold metrics per fold."""
+    return EV.classification_metrics(written(NB.cross_validate(_folded(spark, sf, 10), _FEATS), "oof"), group="fold")
+
+
+@register("mod2_bernoulli_nb_oof", WC(_model_sql() + _fold_sql(5) + _nb_scores_sql("bernoulli", "mtf", "sc") + "\n"
+                                      f"SELECT id, label, fold, prediction, {R('score')} AS score FROM sc"))
+def q_mod2oof(spark, sf):
+    """MOD2 + MOD8: Bernoulli NB (entries above 0, alpha 1, empirical priors), out-of-fold scores of 5 folds."""
+    return NB.cross_validate(_folded(spark, sf, 5), _FEATS, "bernoulli")
 
 
-@register("mod10_nb_oof_predictions")
+def _minmax_sql() -> str:
+    """CTE ``mx``: the folded model table with every feature scaled to [0, 1] over all rows."""
+    lo = ", ".join(f"min({c}) AS {c}_lo, max({c}) AS {c}_hi" for c in _FEATS)
+    x = ", ".join(f"CASE WHEN {c}_hi = {c}_lo THEN 0.0 ELSE ({c} - {c}_lo) / ({c}_hi - {c}_lo) END AS {c}" for c in _FEATS)
+    return f"mm AS (SELECT {lo} FROM mtf),\nmx AS (SELECT id, label, fold, {x} FROM mtf, mm),\n"
+
+
+@register("mod3_multinomial_nb_oof", WC(_model_sql() + _fold_sql(5) + _minmax_sql() + _nb_scores_sql("multinomial", "mx", "sc")
+                                        + f"\nSELECT id, label, fold, prediction, {R('score')} AS score FROM sc"))
+def q_mod3oof(spark, sf):
+    """MOD3 + MOD8: multinomial NB on min-max data (alpha 1, empirical priors), out-of-fold scores of 5 folds."""
+    return NB.cross_validate(_folded(spark, sf, 5, "minmax"), _FEATS, "multinomial")
+
+
+@register("mod10_nb_oof_predictions", WC(_model_sql() + _fold_sql(10) + _nb_scores_sql("gaussian", "mtf", "sc") + "\n"
+                                         f"SELECT id, label, fold, prediction, {R('score')} AS score FROM sc"))
 def q_mod10(spark, sf):
     """MOD10 pooled out-of-fold predictions (id, label, fold, prediction, score)."""
-    return MD.cross_validate(_cv_frame(spark, sf), MD.gaussian_nb())[1]
+    return NB.cross_validate(_folded(spark, sf, 10), _FEATS)
+
+
+#: CTE ``mtf`` whose fold 0 is the 20 % test part: its model is the one of the 80 % part.
+_HOLDOUT_SQL = (f", hold AS ({_rank_sql('mt', frac=0.2)}),\n"
+                "mtf AS (SELECT mt.*, CASE WHEN hold.is_test THEN 0 ELSE 1 END AS fold FROM mt JOIN hold USING (id)),\n")
+
 
+def _holdout(spark, sf):
+    return written(SP.holdout(MDATA.model_table(spark, sf), "label", "id", 0.2, 42), "holdout")
 
-@register("mod8_nb_holdout_report")
+
+@register("mod8_nb_holdout_report", WC(_model_sql() + _HOLDOUT_SQL + _nb_scores_sql("gaussian", "mtf", "sc")
+                                       + ",\nscored AS (SELECT * FROM sc WHERE fold = 0)\n" + _report_body()))
 def q_mod8(spark, sf):
     """MOD8 + EVL7: Gaussian NB fitted on the 80 % part, report on the 20 % part."""
-    d = MDATA.assembled(MDATA.model_table(spark, sf)).transform(
-        lambda t: t)
-    d = SP.holdout(d, "label", "id", 0.2, 42)
-    _, scored, _ = MD.holdout_evaluate(d, MD.gaussian_nb())
-    return EV.classification_report(scored)
+    d = _holdout(spark, sf)
+    models = NB.fit(d.where(~F.col("is_test")), _FEATS)
+    return EV.classification_report(NB.score(d.where("is_test"), models, _FEATS))
+
 
+def _kind_summary_sql(kind: str) -> str:
+    """Mean and population std of AUC and accuracy over the folds of one kind's scores."""
+    auc = _auc_sql(f"{kind}_sc", "fold")
+    return (f"SELECT '{kind}_nb' AS model, avg(auc) AS auc_mean, stddev_pop(auc) AS auc_std, avg(accuracy) AS accuracy_mean, "
+            f"stddev_pop(accuracy) AS accuracy_std FROM (WITH {auc} SELECT a.fold, a.auc, m.accuracy FROM a JOIN (SELECT fold, "
+            f"count(*) FILTER (WHERE label = prediction) * 1.0 / count(*) AS accuracy FROM {kind}_sc GROUP BY fold) m USING (fold))")
 
-@register("mod9_nb_type_comparison")
+
+@register("mod9_nb_type_comparison", WC(
+    _model_sql() + _fold_sql(5) + _minmax_sql() + ",\n".join(
+        _nb_scores_sql(kind, "mx" if kind == "multinomial" else "mtf", f"{kind}_sc") for kind in NB.KINDS)
+    + ",\ncmp AS (" + union([_kind_summary_sql(kind) for kind in NB.KINDS]) + ")\n"
+    + f"SELECT model, {R('auc_mean')} AS auc_mean, {R('auc_std')} AS auc_std, {R('accuracy_mean')} AS accuracy_mean, "
+    f"{R('accuracy_std')} AS accuracy_std, row_number() OVER (ORDER BY auc_mean DESC, model) = 1 AS is_best FROM cmp"))
 def q_mod9(spark, sf):
     """MOD9: Gaussian / Bernoulli / multinomial NB, 5-fold AUC and accuracy
     (population std), best by mean AUC."""
-    std = _cv_frame(spark, sf, "standard", 5)
-    mm = _cv_frame(spark, sf, "minmax", 5)
-    g = MD.nb_comparison(std, [MD.gaussian_nb(), MD.bernoulli_nb()])
-    m = MD.nb_comparison(mm, [MD.multinomial_nb()]).drop("is_best")
-    allr = g.drop("is_best").unionByName(m)
-    best = allr.agg(F.min(F.struct((-F.col("auc_mean")).alias("a"), F.col("model").alias("m"))).alias("b"))
-    return allr.crossJoin(best).withColumn("is_best", F.col("model") == F.col("b.m")).drop("b")
+    std = _folded(spark, sf, 5)
+    scaled = written(FE.minmax_scale(std, _FEATS), "minmax")
+    return NB.compare({f"{kind}_nb": written(NB.cross_validate(scaled if kind == "multinomial" else std, _FEATS, kind), "oof")
+                       for kind in NB.KINDS})
+
+
+# logistic regression and forests: iterative / seeded, so no oracle for their values;
+# tests/test_models.py covers them, and mod4_logistic_optimality has one for its sums.
+def _lr_table(spark, sf):
+    return MDATA.with_folds(MDATA.model_table(spark, sf), 10)
 
 
 @register("mod4_logistic_cv10")
 def q_mod4(spark, sf):
     """MOD4 + MOD10: L2 logistic regression (C = 1), 10-fold; precision / recall /
     F1 for the majority class (label 0) and AUC for the deposit probability."""
-    return MD.cross_validate(_cv_frame(spark, sf), MD.logistic_regression(1.0), pos_label=0,
-                             auc_pos_label=1)[0]
+    return LG.cross_validate(_lr_table(spark, sf), _FEATS)[1]
+
+
+@register("mod4_logistic_optimality", WC(
+    _model_sql() + _fold_sql(10).rstrip(",\n") + "\n"
+    f"SELECT k.fold, count(*) AS n_train, CAST(sum(label) AS BIGINT) AS positives, {R('sum(label)')} AS expected, "
+    "CAST(0 AS DOUBLE) AS gradient FROM (SELECT DISTINCT fold FROM mtf) k JOIN mtf ON mtf.fold <> k.fold GROUP BY k.fold"))
+def q_mod4opt(spark, sf):
+    """MOD4: optimality of the ten fold models by plain sums over their training rows: the expected
+    positives equal the counted ones, the penalised gradient a row is zero."""
+    models, _, _ = LG.cross_validate(table := _folded(spark, sf, 10), _FEATS)
+    return LG.gradients(table, models, _FEATS)
 
 
 @register("mod11_lr_accuracy_cv")
 def q_mod11(spark, sf):
-    """MOD11 accuracy-only CV summary (mean, population std, per-fold list size)."""
-    m = MD.cross_validate(_cv_frame(spark, sf), MD.logistic_regression(1.0), pos_label=0)[0]
+    """MOD11 accuracy-only CV summary (mean, population std, per-fold list size), from the table of MOD4."""
+    m = LG.cross_validate(_lr_table(spark, sf), _FEATS)[1]
     return m.agg(F.avg("accuracy").alias("accuracy_mean"), F.stddev_pop("accuracy").alias("accuracy_std"),
                  F.count(F.lit(1)).alias("n_folds"))
 
@@ -1192,14 +1293,12 @@ def q_mod11(spark, sf):
 @register("mod14_lr_coefficients")
 def q_mod14(spark, sf):
     """MOD14 LR coefficients sorted by absolute value (sign kept), full data."""
-    d = MDATA.assembled(MDATA.model_table(spark, sf))
-    model = MD.fit_model(MD.logistic_regression(1.0), d)
-    return MD.lr_coefficients(model, _FEATS, spark)
+    return LG.importance(LG.fit(MD.ml_ready(MDATA.model_table(spark, sf)), _FEATS), _FEATS)
 
 
 @register("mod5_random_forest_cv10")
 def q_mod5(spark, sf):
-    """MOD5 + MOD10: 100-tree forest (depth cap 20, sqrt features, balanced class
+    """MOD5 + MOD10: 100-tree forest (no depth limit: 30 levels, sqrt features, balanced class
     weights per training part), 10-fold metrics."""
     return MD.cross_validate(_cv_frame(spark, sf, "none"), MD.random_forest(100, None, 1, True))[0]
 
@@ -1214,35 +1313,45 @@ def q_mod13(spark, sf):
 
 @register("mod7_rf_holdout_metrics")
 def q_mod7(spark, sf):
-    """MOD7 final forest (150 trees, depth 10, leaf ≥ 2, balanced) on 80 %, metrics on 20 %."""
+    """MOD7 final forest (150 trees, depth 10, split >= 5, leaf >= 2, balanced) on 80 %, metrics on 20 %."""
     d = SP.holdout(MDATA.assembled(MDATA.model_table(spark, sf, "none")), "label", "id", 0.2, 42)
-    return MD.holdout_evaluate(d, MD.random_forest(150, 10, 2, True))[2]
+    return FO.holdout_cut(d, FO.Cut(150, 10, 5), 2, True)[2]
 
 
 @register("mod12_rf_grid_search")
 def q_mod12(spark, sf):
-    """MOD12 grid search: trees {50, 100, 150} × depth {5, 10, 15, cap} × leaf {1, 2, 4}
-    (36 settings; spark.ml has no min-split parameter) × 3 unshuffled stratified
-    folds, exact ROC AUC; one row per setting, best flagged."""
-    from pyspark.ml.classification import RandomForestClassifier
+    """MOD12 grid search: trees {50, 100, 150} x depth {5, 10, 15, none} x split {2, 5, 10} x leaf
+    {1, 2, 4} (108 settings) x 3 unshuffled stratified folds, exact ROC AUC; one row per
+    setting, best flagged."""
     d = MDATA.assembled(SP.kfold(MDATA.model_table(spark, sf, "none"), "label", "id", 3, shuffle=False))
-    est = RandomForestClassifier(featureSubsetStrategy="sqrt", impurity="gini", seed=42, maxBins=64,
-                                 cacheNodeIds=True, maxMemoryInMB=512)
-    grid = {"numTrees": [50, 100, 150], "maxDepth": [5, 10, 15, 20], "minInstancesPerNode": [1, 2, 4]}
-    return MD.grid_search(d, est, grid, "fold", parallelism=8)[0]
+    return FO.grid_search(d)[0]
+
+
+def _snk5_sql() -> str:
+    gp = _gnb_params_sql().replace("FROM mt", "FROM tr")
+    rows = [("class_prior", "CAST(NULL AS VARCHAR)", "prior", " WHERE feature = 'age'"),
+            ("class_count", "CAST(NULL AS VARCHAR)", "n", " WHERE feature = 'age'"),
+            ("class_mean", "feature", "mean", ""), ("class_var", "feature", "var", "")]
+    return (f", hold AS ({_rank_sql('mt', frac=0.2)}),\ntr AS (SELECT mt.* FROM mt JOIN hold USING (id) WHERE NOT is_test)" + gp
+            + union([f"SELECT 'gaussian_nb' AS model_id, 'train80' AS scope, class, '{p}' AS param, {f} AS feature, "
+                     f"{R(v)} AS value FROM gp{w}" for p, f, v, w in rows]))
 
 
-@register("snk5_model_params")
+@register("snk5_model_params", WC(_model_sql() + _snk5_sql()))
 def q_snk5(spark, sf):
-    """SNK5 parameter export of the final forest, tagged with its model id, plus
-    the class priors of the NB refit on the 80 % part (training scope recorded)."""
+    """SNK5 parameter export of the Gaussian NB fitted on the 80 % part: class priors, counts, means
+    and variances, with the rows that they were fitted on."""
+    d = _holdout(spark, sf).where(~F.col("is_test"))
+    return MD.nb_params(NB.gaussian_nb_fit(d, _FEATS), "gaussian_nb", "train80")
+
+
+@register("snk5_forest_params")
+def q_snk5f(spark, sf):
+    """SNK5 parameter export of the final forest: its settings, and what the fitted trees became."""
+    d = SP.holdout(MDATA.assembled(MDATA.model_table(spark, sf, "none")), "label", "id", 0.2, 42)
     spec = MD.random_forest(150, 10, 2, True)
-    p = MD.model_params(spec, spark, "rf_final")
-    d = SP.holdout(MDATA.model_table(spark, sf), "label", "id", 0.2, 42).where(~F.col("is_test"))
-    pri = MD.gaussian_nb_fit(d, _FEATS).select("class", "prior").distinct()
-    return p.unionByName(pri.select(F.lit("gaussian_nb_train80").alias("model_id"),
-                                    F.concat(F.lit("prior_"), F.col("class").cast("string")).alias("param"),
-                                    F.col("prior").cast("string").alias("value")))
+    model = MD.fit_model(spec, MD.ml_ready(d.where(~F.col("is_test"))))
+    return MD.model_params(spec, spark, "rf_final", model)
 
 
 def _nb_cv_sql():
@@ -1272,9 +1381,7 @@ def _nb_cv_sql():
 
 
 def nb_cv_scores(spark, sf):
-    # the fold assignment feeds two jobs (statistics, scoring): materialise it once
-    mt = MDATA.with_folds(MDATA.model_table(spark, sf), 10).checkpoint()
-    return MD.gaussian_nb_cv(mt, _FEATS)
+    return NB.cross_validate(_folded(spark, sf, 10), _FEATS)
 
 
 @register("mod10_gaussian_nb_cv10_scores_sql", WC(_model_sql() + _nb_cv_sql()
@@ -1291,7 +1398,7 @@ def q_mod10s(spark, sf):
     "JOIN a USING (fold)"))
 def q_mod10m(spark, sf):
     """MOD10 per-fold accuracy / precision / recall / F1 / AUC of the one-pass NB CV."""
-    return EV.classification_metrics(nb_cv_scores(spark, sf).checkpoint(), group="fold")
+    return EV.classification_metrics(written(nb_cv_scores(spark, sf), "oof"), group="fold")
 
 
 # ---------------------------------------------------------------- sources / remaining projections

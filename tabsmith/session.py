@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -77,23 +79,42 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_guard = threading.Lock()
+#: Writes under way, and the session's own choice before the first of them.
+_writes: dict = {"open": 0, "before": None}
+
+
+@contextmanager
+def _free_shuffles(spark: SparkSession):
+    """Free shuffle files while any write is under way; writes of several threads share the setting."""
+    with _guard:
+        if _writes["open"] == 0:
+            _writes["before"] = spark.conf.get(_FREE_SHUFFLES, None)
+            spark.conf.set(_FREE_SHUFFLES, "true")
+        _writes["open"] += 1
+    try:
+        yield
+    finally:
+        with _guard:
+            _writes["open"] -= 1
+            if _writes["open"] == 0:
+                if _writes["before"] is None:
+                    spark.conf.unset(_FREE_SHUFFLES)
+                else:
+                    spark.conf.set(_FREE_SHUFFLES, _writes["before"])
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
     Cuts the lineage: what follows reads finished files, so a lost executor
     never recomputes what stands before.  Nothing reads the shuffle files of the
     write again, so they are freed with it instead of staying on the executors'
-    disks until the session ends; the session's own choice is put back after.
+    disks until the session ends; the session's own choice is put back after the
+    last write under way.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(_FREE_SHUFFLES, None)
-    spark.conf.set(_FREE_SHUFFLES, "true")
-    try:
+    with _free_shuffles(spark):
         df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_FREE_SHUFFLES)
-        else:
-            spark.conf.set(_FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -4,6 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tabsmith.operators import bayes as NB
+from tabsmith.operators import evaluate as EV
+from tabsmith.operators import forests as FO
+from tabsmith.operators import logistic as LG
 from tabsmith.operators import models as MD
 from tabsmith.operators import split as SP
 from tabsmith.plans import model_data as MDATA
@@ -63,7 +67,7 @@ def test_save_load_scores_identical(spark, mt, tmp_path):
 
 def test_sparkml_gaussian_nb_matches_sql_fit(spark, mt, asm):
     m = MD.fit_model(MD.gaussian_nb(), asm)
-    sql = {(r["class"], r["feature"]): r for r in MD.gaussian_nb_fit(mt, MDATA.FEATURES).collect()}
+    sql = {(r["class"], r["feature"]): r for r in NB.gaussian_nb_fit(mt, MDATA.FEATURES).collect()}
     theta = m.theta.toArray()
     sigma = m.sigma.toArray()
     for k in (0, 1):
@@ -72,17 +76,78 @@ def test_sparkml_gaussian_nb_matches_sql_fit(spark, mt, asm):
             assert sigma[k, i] == pytest.approx(sql[(k, f)]["var"], rel=1e-6, abs=1e-9)
 
 
-def test_one_pass_nb_cv_equals_per_fold_fits(spark, mt):
+@pytest.mark.parametrize("kind", NB.KINDS)
+def test_one_pass_nb_cv_equals_per_fold_fits(spark, mt, kind):
+    """Fold-complement statistics give the model that a fit on the other folds gives."""
     f = MDATA.with_folds(mt, 5)
-    fast = {r["id"]: r for r in MD.gaussian_nb_cv(f, MDATA.FEATURES).collect()}
+    if kind == "multinomial":
+        f = f.withColumns({c: F.abs(F.col(c)) for c in MDATA.FEATURES})
+    fast = {r["id"]: r for r in NB.cross_validate(f, MDATA.FEATURES, kind).collect()}
     for k in (0, 3):
         tr, te = f.where(F.col("fold") != k), f.where(F.col("fold") == k)
-        params = MD.gaussian_nb_fit(tr, MDATA.FEATURES)
-        for r in MD.gaussian_nb_score(te, params, MDATA.FEATURES).collect():
+        for r in NB.score(te, NB.fit(tr, MDATA.FEATURES, kind), MDATA.FEATURES).collect():
             assert r["prediction"] == fast[r["id"]]["prediction"]
             assert r["score"] == pytest.approx(fast[r["id"]]["score"], abs=1e-9)
 
 
+def test_nb_edges(spark):
+    df = spark.createDataFrame([(1, 0, 0, 1.0, 0.0), (2, 1, 0, 0.0, 2.0), (3, 0, 1, 2.0, 0.0), (4, 1, 1, 0.0, 3.0), (5, None, 1, 9.0, 9.0),
+                                (6, 2, 0, None, 1.0)], "id int, label int, fold int, a double, b double")
+    for kind in NB.KINDS:
+        got = {r["id"]: r for r in NB.cross_validate(df, ["a", "b"], kind, keep=("id",)).collect()}
+        assert set(got) == {1, 2, 3, 4, 5, 6}
+        # class 2 is only in fold 0: its own model never predicts it
+        assert {got[i]["prediction"] for i in (1, 2)} <= {0, 1} and all(got[i]["score"] == 0 for i in (1, 2))
+    with pytest.raises(Exception, match="negative value in b"):
+        NB.fit(df.withColumn("b", -F.col("b")), ["a", "b"], "multinomial")
+    with pytest.raises(ValueError):
+        NB.fit(df, ["a"], "other")
+    assert NB.fit(df.limit(0), ["a", "b"]) == {}
+
+
+def test_nb_compare_flags_one(spark, mt):
+    f = MDATA.with_folds(mt, 3)
+    rows = NB.compare({k: NB.cross_validate(f, MDATA.FEATURES, k) for k in ("gaussian", "bernoulli")}).collect()
+    assert len(rows) == 2 and sum(r["is_best"] for r in rows) == 1
+    assert max(rows, key=lambda r: r["auc_mean"])["is_best"]
+
+
+def test_newton_folds_agree_with_spark_ml(spark, mt):
+    """Every fold's coefficients equal a solver run on the other folds; the models are optimal by SQL sums."""
+    d = MDATA.with_folds(mt, 4).cache()
+    models = LG.fit(d, MDATA.FEATURES, fold_col="fold")
+    rows = {r["fold"]: r for r in models.collect()}
+    assert set(rows) == {0, 1, 2, 3} and all(r["gradient"] < 1e-10 and r["iterations"] < 20 for r in rows.values())
+    for k in (0, 2):
+        m = MD.fit_model(MD.logistic_regression(1.0, tol=1e-13), MDATA.assembled(d).where(F.col("fold") != k))
+        assert np.abs(m.coefficients.toArray() - np.array(rows[k]["coefficients"])).max() < 1e-6
+        assert abs(m.intercept - rows[k]["intercept"]) < 1e-6
+    for r in LG.gradients(d, models, MDATA.FEATURES).collect():
+        assert r["n_train"] == rows[r["fold"]]["n_train"]
+        assert abs(r["expected"] - r["positives"]) < 1e-6 and r["gradient"] < 1e-9
+    whole = LG.fit(d, MDATA.FEATURES)
+    m = MD.fit_model(MD.logistic_regression(1.0, tol=1e-13), MDATA.assembled(d))
+    got = LG.importance(whole, MDATA.FEATURES).orderBy("rank").collect()
+    assert [r["feature"] for r in got] == [MDATA.FEATURES[i] for i in np.argsort(-np.abs(m.coefficients.toArray()), kind="stable")]
+    a = {r["id"]: r["score"] for r in MD._score_cols(m.transform(MDATA.assembled(d)), ["id"]).collect()}
+    assert all(abs(r["score"] - a[r["id"]]) < 1e-6 for r in LG.score(d, whole, MDATA.FEATURES).collect())
+    d.unpersist()
+
+
+def test_newton_edges(spark):
+    rows = [(i, i % 2, i % 3, float(i % 2) * 1e3 + i % 5, 7.0, 1e-3 * i) for i in range(40)]
+    rows += [(90, None, 0, 1.0, 7.0, 0.0), (91, 1, 0, None, 7.0, 0.0), (92, 0, 1, float("nan"), 7.0, 0.0)]
+    df = spark.createDataFrame(rows, "id int, label int, fold int, a double, same double, c double")
+    feats = ["a", "same", "c"]
+    models = LG.fit(df, feats, fold_col="fold")       # separable, with a constant feature
+    assert all(r["gradient"] < 1e-6 and np.isfinite(r["coefficients"]).all() for r in models.collect())
+    got = {r["id"]: r for r in LG.score(df, models, feats, ["id", "fold"], "fold").collect()}
+    assert len(got) == len(rows) and got[91]["score"] is None and got[92]["prediction"] is None
+    assert LG.fit(df.limit(0), feats).collect() == [] and LG.fit(df.where("fold = 1"), feats, fold_col="fold").collect() == []
+    one = LG.fit(df.where("label = 1"), feats).first()          # one class: the loss falls without end, slowly
+    assert np.isfinite(one["intercept"])
+
+
 def test_cross_validate_metrics_shape(spark, mt):
     d = MDATA.assembled(MDATA.with_folds(mt, 3))
     m, oof = MD.cross_validate(d, MD.gaussian_nb(), parallelism=3)
@@ -97,10 +162,79 @@ def test_rf_learns_signal(spark, mt):
     assert metrics.collect()[0]["auc"] > 0.7
 
 
-def test_grid_search_small(spark, mt):
-    from pyspark.ml.classification import RandomForestClassifier
-    d = MDATA.assembled(SP.kfold(mt, "label", "id", 3, shuffle=False))
-    est = RandomForestClassifier(featureSubsetStrategy="sqrt", seed=42)
-    res, best = MD.grid_search(d, est, {"numTrees": [5, 10], "maxDepth": [3, 5]}, parallelism=2)
+@pytest.fixture(scope="module")
+def grown(spark, mt):
+    d = MDATA.assembled(SP.kfold(mt, "label", "id", 3, shuffle=False)).select("id", "label", "fold", "features").cache()
+    spec = MD.random_forest(12, None, 2, False, depth_cap=FO.FULL_DEPTH)
+    return d, MD.fit_model(spec, d.where("fold <> 0"))
+
+
+@pytest.mark.parametrize("depth", [1, 4, 9])
+def test_cut_forest_equals_grown_forest(spark, grown, depth):
+    """A full forest cut at a depth scores as the forest of equal seed that was grown to it."""
+    d, full = grown
+    test = d.where("fold = 0")
+    direct = MD.fit_model(MD.random_forest(12, depth, 2, False), d.where("fold <> 0"))
+    want = {r["id"]: r["score"] for r in MD._score_cols(direct.transform(test), ["id"]).collect()}
+    got = FO.cut_scores(full, test, [FO.Cut(12, depth), FO.Cut(12)], ["id"]).collect()
+    assert len(got) == len(want) and all(abs(r["scores"][0] - want[r["id"]]) < 1e-12 for r in got)
+    whole = {r["id"]: r["score"] for r in MD._score_cols(full.transform(test), ["id"]).collect()}
+    assert all(abs(r["scores"][1] - whole[r["id"]]) < 1e-12 for r in got)
+
+
+def test_cut_forest_brute(spark, grown):
+    """Tree counts, depths and minimum splits against a walk down the node table."""
+    d, full = grown
+    nodes = {}
+    for r in FO.node_table(full).collect():
+        nodes.setdefault(r["tree"], {})[r["id"]] = r
+    split = {(r["tree"], r["id"]): (r["f"], r["t"]) for r in spark.read.parquet(
+        FO.node_table(full).inputFiles()[0].rsplit("/", 1)[0]).selectExpr(
+        "treeID AS tree", "nodeData.id AS id", "nodeData.split.featureIndex AS f",
+        "get(nodeData.split.leftCategoriesOrThreshold, 0) AS t").collect()}
+    cuts = [FO.Cut(t, depth, s) for t in (1, 5, 12) for depth in (2, None) for s in (2, 40)]
+
+    def leaf(tree, at, level, cut):
+        """(probability, predicted class or None) below a node, merged like spark.ml merges."""
+        n = nodes[tree][at]
+        if n["left"] < 0 or n["n"] < cut.min_split or (cut.depth is not None and level >= cut.depth):
+            return n["prediction"]
+        a, b = leaf(tree, n["left"], level + 1, cut), leaf(tree, n["right"], level + 1, cut)
+        return n["prediction"] if a is not None and a == b else None
+
+    def walk(tree, x, cut):
+        at, level = 0, 0
+        while leaf(tree, at, level, cut) is None:
+            n = nodes[tree][at]
+            f, t = split[(tree, at)]
+            at, level = (n["left"] if x[f] <= t else n["right"]), level + 1
+        return nodes[tree][at]["p"]
+
+    test = d.where("fold = 0").limit(25).cache()
+    got = {r["id"]: r["scores"] for r in FO.cut_scores(full, test, cuts, ["id"]).collect()}
+    for r in test.collect():
+        x = r["features"].toArray()
+        for cut, s in zip(cuts, got[r["id"]]):
+            assert s == pytest.approx(sum(walk(t, x, cut) for t in range(cut.trees)) / cut.trees, abs=1e-12)
+    with pytest.raises(ValueError):
+        FO.cut_scores(full, test, [FO.Cut(13)], ["id"])
+    assert FO.cut_scores(full, test.limit(0), cuts, ["id"]).collect() == []
+
+
+def test_grid_search_rows_and_best(spark, grown):
+    d, _ = grown
+    res, best = FO.grid_search(d, (3, 6), (2, None), (2, 30), (1, 4), refit=True)
     rows = res.collect()
-    assert len(rows) == 4 and sum(r["is_best"] for r in rows) == 1
+    assert len(rows) == 16 and sum(r["is_best"] for r in rows) == 1
+    top = max(rows, key=lambda r: r["auc_mean"])
+    flagged = next(r for r in rows if r["is_best"])
+    assert flagged["auc_mean"] == top["auc_mean"] and best.cut.trees == flagged["n_trees"]
+    # one setting the long way: grow, cut, score, average over the folds
+    pick = next(r for r in rows if (r["n_trees"], r["max_depth"], r["min_split"], r["min_leaf"]) == (6, None, 30, 4))
+    aucs = []
+    for k in (0, 1, 2):
+        m = MD.fit_model(MD.random_forest(6, None, 4, False, depth_cap=FO.FULL_DEPTH), MD.ml_ready(d).where(F.col("fold") != k))
+        s = FO.CutForest(m, FO.Cut(6, None, 30)).score(d.where(F.col("fold") == k))
+        aucs.append(EV.auc(s).first()[0])
+    assert pick["auc_mean"] == pytest.approx(sum(aucs) / 3, abs=0.02)
+    assert best.score(d).count() == d.count()
