@@ -28,8 +28,13 @@ NA_VALUES = [
 MISSING_MARKERS = ["unknown", "Unknown", "?", "", "NaN", "N/A"]
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def col_of(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    return column(c) if isinstance(c, str) else c
 
 
 def is_numeric_type(dt: T.DataType) -> bool:

@@ -19,9 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsmith.functions import clip, holds, number, numeric_columns, pct, type_class
+from tabsmith.functions import clip, column, holds, number, numeric_columns, pct, type_class
 from tabsmith.operators import quantiles as Q
 from tabsmith.operators.profile import long_values
+from tabsmith.operators.rank import global_rank
 
 
 @dataclass(frozen=True)
@@ -136,27 +137,18 @@ def apply_rules(df: DataFrame, rules: Sequence[Rule] = REFERENCE_RULES) -> DataF
 
 # ---------------------------------------------------------------- CLN4
 def winsor_bounds(df: DataFrame, cols: Sequence[str] = WINSOR_COLUMNS, lower: float = 0.01,
-                  upper: float = 0.99, only_affected: bool = True,
-                  method: str = "auto") -> DataFrame:
+                  upper: float = 0.99, only_affected: bool = True) -> DataFrame:
     """CLN4 report: ``(column_name, lower_bound, upper_bound, records_affected)``.
 
-    Exact interpolated quantiles of all columns (one aggregate for ordinary
-    columns), then one more aggregate counting values strictly outside; the
-    bound row is a one-row broadcast."""
+    Exact interpolated quantiles of all columns, then one more aggregate counting
+    the values strictly outside."""
     cols = [c for c in cols if c in df.columns]
-    qr = Q.quantile_row(df, cols, [lower, upper], method=method)
-    b = qr.select(*[F.col(c)[0].alias(f"{c}__lo") for c in cols] +
-                  [F.col(c)[1].alias(f"{c}__hi") for c in cols])
-    j = df.select(*cols).crossJoin(F.broadcast(b))
-    # the bounds are the same on every row, so max() carries them through the one aggregate
-    g = j.agg(*[F.max(f"{c}__{s}").alias(f"{c}__{s}") for c in cols for s in ("lo", "hi")], *[
-        F.count_if((number(c) < F.col(f"{c}__lo")) | (number(c) > F.col(f"{c}__hi"))).alias(f"{c}__n")
-        for c in cols])
-    out = g.select(F.inline(F.array(*[F.struct(
-        F.lit(c).alias("column_name"), F.col(f"{c}__lo").cast("double").alias("lower_bound"),
-        F.col(f"{c}__hi").cast("double").alias("upper_bound"),
-        F.coalesce(F.col(f"{c}__n"), F.lit(0)).alias("records_affected")) for c in cols])))
-    return out.where(F.col("records_affected") > 0) if only_affected else out
+    q = Q.quantiles(df, cols, [lower, upper])
+    n = df.agg(*[F.count_if((number(c) < F.lit(q[c][lower])) | (number(c) > F.lit(q[c][upper]))).alias(f"n{i}")
+                 for i, c in enumerate(cols)]).first()
+    rows = [(c, q[c][lower], q[c][upper], n[i]) for i, c in enumerate(cols) if n[i] > 0 or not only_affected]
+    return df.sparkSession.createDataFrame(
+        rows, "column_name string, lower_bound double, upper_bound double, records_affected bigint")
 
 
 class WinsorModel:
@@ -200,11 +192,9 @@ def winsorize(df: DataFrame, cols: Sequence[str] = WINSOR_COLUMNS, lower: float
 # ---------------------------------------------------------------- CLN5
 def target_check(df: DataFrame, target: str = "deposit") -> DataFrame:
     """CLN5: ``(value, count, position)``: sorted distinct target values with counts."""
-    vc = df.where(F.col(target).isNotNull()).groupBy(F.col(target).alias("value")).agg(
+    vc = df.where(column(target).isNotNull()).groupBy(column(target).alias("value")).agg(
         F.count(F.lit(1)).alias("count"))
-    from pyspark.sql import Window
-    # the distinct target set is small by nature (class labels)
-    return vc.withColumn("position", F.row_number().over(Window.orderBy("value")))
+    return global_rank(vc, ["value"], out="position")
 
 
 # ---------------------------------------------------------------- CLN6 / SET1

@@ -13,24 +13,21 @@ from __future__ import annotations
 from typing import Sequence
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsmith.functions import string_or_nan
 from tabsmith.operators.profile import long_values
+from tabsmith.operators.rank import global_rank
 from tabsmith.session import written
 
 
 def encoding_mapping(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """FE2: ``(feature, value, code)``; codes 0..k-1 follow the sorted values.
-
-    The window runs per feature over its distinct values only (label
-    encoding presumes a bounded category set)."""
+    """FE2: ``(feature, value, code)``; codes 0..k-1 follow the sorted values, at any number of categories."""
     pairs = long_values(df, cols).select(
         F.col("column_name").alias("feature"),
         F.coalesce("value", F.lit("nan")).alias("value")).distinct()
-    return pairs.withColumn(
-        "code", (F.row_number().over(Window.partitionBy("feature").orderBy("value")) - 1).cast("int"))
+    return global_rank(pairs, ["value"], ["feature"], "code").withColumn("code", (F.col("code") - 1).cast("int"))
 
 
 class LabelEncoder:

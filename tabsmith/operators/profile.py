@@ -19,8 +19,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsmith.functions import categorical_columns, number, numeric_columns, pct, type_class
+from tabsmith.functions import categorical_columns, column, number, numeric_columns, pct, type_class
 from tabsmith.operators import quantiles as Q
+from tabsmith.operators.rank import global_rank
 
 DESCRIBE_PROBS = [0.25, 0.5, 0.75]
 
@@ -37,43 +38,30 @@ def shape(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- AGG2/AGG3
-def describe(df: DataFrame, cols: Sequence[str] | None = None, method: str = "auto",
-             max_exact_distinct: int = 1_000_000, with_missing: bool = False) -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str] | None = None, with_missing: bool = False, **kw) -> DataFrame:
     """AGG2 (+AGG3 with ``with_missing``): the 8-number describe, long format.
 
     Rows ``(column, count, mean, std, min, p25, p50, p75, max[, missing, missing_pct])``;
     quartiles are exact and linearly interpolated; std is the sample std; NaN
-    counts as missing.
-    Low-cardinality columns are answered by one fused aggregate; columns with
-    more than ``max_exact_distinct`` distinct values use range narrowing.
+    counts as missing.  The moments ride on the quantiles' first scan.
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
-    big = Q.high_cardinality(df, cols, method, max_exact_distinct)
-    aggs = [F.count(F.lit(1)).alias("__n")]
+    extra = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(cols):
         x = number(c)
-        aggs += [F.count(x).alias(f"c{i}"), F.avg(x).alias(f"a{i}"),
-                 F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"mn{i}"),
-                 F.max(x).alias(f"mx{i}")]
-        if c not in big:
-            aggs.append(F.percentile(x, DESCRIBE_PROBS).alias(f"q{i}"))
-    wide = df.agg(*aggs)
-    qbig = {c: Q.exact_quantiles_narrowing(df, c, DESCRIBE_PROBS) for c in big}
-    structs = []
+        extra += [F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}")]
+    q, row = Q.quantiles_with(df, cols, DESCRIBE_PROBS, extra, **kw)
+    out = []
     for i, c in enumerate(cols):
-        if c in big:
-            qs = [F.lit(qbig[c][p]).cast("double") for p in DESCRIBE_PROBS]
-        else:
-            qs = [F.col(f"q{i}")[k] for k in range(3)]
-        fields = [F.lit(c).alias("column_name"), F.col(f"c{i}").alias("count"),
-                  F.col(f"a{i}").alias("mean"), F.col(f"s{i}").alias("std"),
-                  F.col(f"mn{i}").alias("min"), qs[0].alias("p25"), qs[1].alias("p50"),
-                  qs[2].alias("p75"), F.col(f"mx{i}").alias("max")]
+        n = row[f"__n{i}"]
+        one = [c, n, row[f"a{i}"], row[f"s{i}"], row[f"mn{i}"], *(q[c][p] for p in DESCRIBE_PROBS), row[f"mx{i}"]]
         if with_missing:
-            miss = F.col("__n") - F.col(f"c{i}")
-            fields += [miss.alias("missing"), pct(miss, F.col("__n")).alias("missing_pct")]
-        structs.append(F.struct(*fields))
-    return wide.select(_inline(structs))
+            missing = row["__rows"] - n
+            one += [missing, missing * 100.0 / row["__rows"] if row["__rows"] else None]
+        out.append(tuple(one))
+    schema = ("column_name string, count bigint, mean double, std double, min double, p25 double, p50 double, p75 double, "
+              "max double" + (", missing bigint, missing_pct double" if with_missing else ""))
+    return df.sparkSession.createDataFrame(out, schema)
 
 
 def numeric_table(df: DataFrame, cols: Sequence[str] | None = None, **kw) -> DataFrame:
@@ -85,7 +73,7 @@ def numeric_table(df: DataFrame, cols: Sequence[str] | None = None, **kw) -> Dat
 def long_values(df: DataFrame, cols: Sequence[str], value_type: str = "string") -> DataFrame:
     """``(column, value)`` rows; NULL values are kept as NULL."""
     return df.select(_inline([
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast(value_type).alias("value"))
+        F.struct(F.lit(c).alias("column_name"), column(c).cast(value_type).alias("value"))
         for c in cols]))
 
 
@@ -107,7 +95,7 @@ def value_counts(df: DataFrame, col: str, normalize: bool = False,
     """
     if normalize:
         return value_share(df, col)
-    base = df.select(F.col(col).alias("value"))
+    base = df.select(column(col).alias("value"))
     if dropna:
         base = base.where(F.col("value").isNotNull())
     vc = base.groupBy("value").agg(F.count(F.lit(1)).alias("count"))
@@ -116,7 +104,7 @@ def value_counts(df: DataFrame, col: str, normalize: bool = False,
 
 def value_share(df: DataFrame, col: str) -> DataFrame:
     """AGG6: value counts with percentage of the total (total is a 1-row broadcast)."""
-    vc = (df.select(F.col(col).alias("value")).where(F.col("value").isNotNull())
+    vc = (df.select(column(col).alias("value")).where(F.col("value").isNotNull())
           .groupBy("value").agg(F.count(F.lit(1)).alias("count")))
     total = vc.agg(F.sum("count").alias("__total"))
     return (vc.crossJoin(F.broadcast(total))
@@ -126,12 +114,12 @@ def value_share(df: DataFrame, col: str) -> DataFrame:
 
 def category_share_by_class(df: DataFrame, col: str, label: str) -> DataFrame:
     """AGG22: per class, each category's count and share within the class."""
-    g = (df.where(F.col(col).isNotNull())
-         .groupBy(F.col(label).alias("label"), F.col(col).alias("value"))
+    g = (df.where(column(col).isNotNull())
+         .groupBy(column(label).alias("label"), column(col).alias("value"))
          .agg(F.count(F.lit(1)).alias("count")))
     tot = g.groupBy("label").agg(F.sum("count").alias("__t"))
-    return (g.join(F.broadcast(tot), "label")
-            .select("label", "value", "count", pct("count", "__t").alias("pct")))
+    # AQE broadcasts the totals while they are small; labels may be many
+    return g.join(tot, "label").select("label", "value", "count", pct("count", "__t").alias("pct"))
 
 
 # ---------------------------------------------------------------- AGG7
@@ -145,7 +133,7 @@ def null_counts(df: DataFrame, cols: Sequence[str] | None = None,
     dtypes = dict((f.name, f.dataType) for f in df.schema.fields)
 
     def miss(c):
-        x = F.col(c)
+        x = column(c)
         m = x.isNull()
         if isinstance(dtypes[c], (T.DoubleType, T.FloatType)):
             m = m | F.isnan(x)
@@ -173,7 +161,7 @@ def mode_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def mode(df: DataFrame, col: str) -> DataFrame:
     """AGG11: one row ``(mode, mode_count)`` (value keeps its type)."""
-    vc = (df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("v"))
+    vc = (df.where(column(col).isNotNull()).groupBy(column(col).alias("v"))
           .agg(F.count(F.lit(1)).alias("n")))
     b = vc.agg(F.min(F.struct((-F.col("n")).alias("nc"), F.col("v"))).alias("b"))
     return b.select(F.col("b.v").alias("mode"), (-F.col("b.nc")).alias("mode_count"))
@@ -297,7 +285,7 @@ def categorical_table(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
 # ---------------------------------------------------------------- AGG13/AGG21
 def imbalance_ratio(df: DataFrame, label: str) -> DataFrame:
     """AGG13: ``(n_classes, majority, minority, ratio)``; ratio only for 2 classes."""
-    vc = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    vc = df.where(column(label).isNotNull()).groupBy(column(label)).agg(F.count(F.lit(1)).alias("n"))
     return vc.agg(F.count(F.lit(1)).alias("n_classes"), F.max("n").alias("majority"),
                   F.min("n").alias("minority")).select(
         "n_classes", "majority", "minority",
@@ -308,102 +296,65 @@ def imbalance_ratio(df: DataFrame, label: str) -> DataFrame:
 
 def positive_rate(df: DataFrame, label: str, positive=1) -> DataFrame:
     """AGG21: share of rows whose label equals ``positive``."""
-    return df.agg(F.avg((F.col(label) == F.lit(positive)).cast("double")).alias("positive_rate"),
+    return df.agg(F.avg((column(label) == F.lit(positive)).cast("double")).alias("positive_rate"),
                   F.count(F.lit(1)).alias("n"))
 
 
 # ---------------------------------------------------------------- AGG15/16/17
-def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                   method: str = "auto", max_exact_distinct: int = 1_000_000) -> DataFrame:
+def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float], **kw) -> DataFrame:
     """AGG15: ``(column, prob, value)`` exact, linearly interpolated."""
-    big = Q.high_cardinality(df, cols, method, max_exact_distinct)
-    small = [c for c in cols if c not in big]
-    parts = []
-    if small:
-        wide = df.agg(*Q.quantile_exprs(small, probs))
-        parts.append(wide.select(_inline([
-            F.struct(F.lit(c).alias("column_name"), F.lit(float(p)).alias("prob"),
-                     F.col(c)[k].alias("value"))
-            for c in small for k, p in enumerate(probs)])))
-    spark = df.sparkSession
-    for c in big:
-        qs = Q.exact_quantiles_narrowing(df, c, probs)
-        parts.append(spark.range(1).select(_inline([
-            F.struct(F.lit(c).alias("column_name"), F.lit(float(p)).alias("prob"),
-                     F.lit(qs[p]).cast("double").alias("value")) for p in probs])))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    got = Q.quantiles(df, cols, probs, **kw)
+    return df.sparkSession.createDataFrame([(c, float(p), got[c][float(p)]) for c in cols for p in probs],
+                                           "column_name string, prob double, value double")
+
+
+def _fences(df: DataFrame, cols: Sequence[str], whisker: float) -> dict[str, tuple]:
+    """``{column: (q1, median, q3, lower fence, upper fence)}`` from exact quartiles (None without values)."""
+    out = {}
+    for c, q in Q.quantiles(df, cols, DESCRIBE_PROBS).items():
+        q1, q2, q3 = (q[p] for p in DESCRIBE_PROBS)
+        span = None if q1 is None else whisker * (q3 - q1)
+        out[c] = (q1, q2, q3, None, None) if q1 is None else (q1, q2, q3, q1 - span, q3 + span)
     return out
 
 
-def _fences(df: DataFrame, cols: Sequence[str], whisker: float) -> DataFrame:
-    """One-row frame with q1/q3/fences per column (exact quartiles)."""
-    sel = []
-    wide = Q.quantile_row(df, cols, [0.25, 0.5, 0.75])
-    for c in cols:
-        q1, q2, q3 = F.col(c)[0], F.col(c)[1], F.col(c)[2]
-        iqr = q3 - q1
-        sel += [q1.alias(f"{c}__q1"), q2.alias(f"{c}__q2"), q3.alias(f"{c}__q3"),
-                (q1 - F.lit(whisker) * iqr).alias(f"{c}__lo"),
-                (q3 + F.lit(whisker) * iqr).alias(f"{c}__hi")]
-    return wide.select(*sel)
-
-
 def tukey_counts(df: DataFrame, cols: Sequence[str], whisker: float = 1.5) -> DataFrame:
-    """AGG16: ``(column, q1, q3, lower_fence, upper_fence, n_outliers)``.
-
-    The one-row fence frame is broadcast (size fixed by the column count)."""
+    """AGG16: ``(column, q1, q3, lower_fence, upper_fence, n_outliers)``; the fences are constants of one scan."""
     f = _fences(df, cols, whisker)
-    j = df.select(*cols).crossJoin(F.broadcast(f))
-    cnt = j.agg(
-        *[F.max(f"{c}__{s}").alias(f"{c}__{s}") for c in cols for s in ("q1", "q3", "lo", "hi")],
-        *[F.count_if((number(c) < F.col(f"{c}__lo")) | (number(c) > F.col(f"{c}__hi")))
-          .alias(f"{c}__n") for c in cols])
-    return cnt.select(_inline([F.struct(
-        F.lit(c).alias("column_name"), F.col(f"{c}__q1").alias("q1"), F.col(f"{c}__q3").alias("q3"),
-        F.col(f"{c}__lo").alias("lower_fence"), F.col(f"{c}__hi").alias("upper_fence"),
-        F.col(f"{c}__n").alias("n_outliers")) for c in cols]))
+    n = df.agg(*[F.count_if((number(c) < F.lit(f[c][3])) | (number(c) > F.lit(f[c][4]))).alias(f"n{i}")
+                 for i, c in enumerate(cols)]).first()
+    return df.sparkSession.createDataFrame(
+        [(c, f[c][0], f[c][2], f[c][3], f[c][4], n[i]) for i, c in enumerate(cols)],
+        "column_name string, q1 double, q3 double, lower_fence double, upper_fence double, n_outliers bigint")
 
 
 def box_data(df: DataFrame, cols: Sequence[str], whisker: float = 1.5) -> DataFrame:
     """AGG17: box-plot data ``(column, median, q1, q3, whisker_low, whisker_high,
     n_outliers, mean, std)``; whiskers are the extreme data inside the fences."""
     f = _fences(df, cols, whisker)
-    j = df.select(*cols).crossJoin(F.broadcast(f))
-    aggs = [F.max(f"{c}__{s}").alias(f"{c}__{s}") for c in cols for s in ("q1", "q2", "q3", "lo", "hi")]
-    for c in cols:
-        x = number(c)
-        inside = (x >= F.col(f"{c}__lo")) & (x <= F.col(f"{c}__hi"))
-        aggs += [F.min(F.when(inside, x)).alias(f"{c}__wl"), F.max(F.when(inside, x)).alias(f"{c}__wh"),
-                 F.count_if((x < F.col(f"{c}__lo")) | (x > F.col(f"{c}__hi"))).alias(f"{c}__n"),
-                 F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__std")]
-    g = j.agg(*aggs)
-    return g.select(_inline([F.struct(
-        F.lit(c).alias("column_name"), F.col(f"{c}__q2").alias("median"),
-        F.col(f"{c}__q1").alias("q1"), F.col(f"{c}__q3").alias("q3"),
-        F.col(f"{c}__wl").alias("whisker_low"), F.col(f"{c}__wh").alias("whisker_high"),
-        F.col(f"{c}__n").alias("n_outliers"), F.col(f"{c}__mean").alias("mean"),
-        F.col(f"{c}__std").alias("std")) for c in cols]))
+    aggs = []
+    for i, c in enumerate(cols):
+        x, lo, hi = number(c), F.lit(f[c][3]).cast("double"), F.lit(f[c][4]).cast("double")
+        inside = (x >= lo) & (x <= hi)
+        aggs += [F.min(F.when(inside, x)).alias(f"wl{i}"), F.max(F.when(inside, x)).alias(f"wh{i}"),
+                 F.count_if((x < lo) | (x > hi)).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}")]
+    g = df.agg(*aggs).first()
+    return df.sparkSession.createDataFrame(
+        [(c, f[c][1], f[c][0], f[c][2], *(g[f"{k}{i}"] for k in ("wl", "wh", "n", "m", "s"))) for i, c in enumerate(cols)],
+        "column_name string, median double, q1 double, q3 double, whisker_low double, whisker_high double, "
+        "n_outliers bigint, mean double, std double")
 
 
 # ---------------------------------------------------------------- SRT/TOP/SET
 def sort_desc(df: DataFrame, value: str, key: str) -> DataFrame:
-    """SRT1: order by ``value`` descending, ties by ``key``; adds a 1-based ``rank``.
-
-    For report tables whose size is fixed by the model or the category set
-    (importances, coefficients, per-category aggregates): the rank is one
-    window over the whole input.  Large row sets use ``top_k`` or the
-    two-level ranks of ``split`` / ``evaluate``."""
-    w = Window.orderBy(F.desc(value), F.asc(key))
-    return df.withColumn("rank", F.row_number().over(w))
+    """SRT1: order by ``value`` descending, ties by ``key``; adds a 1-based ``rank``, at any number of rows."""
+    return global_rank(df, [column(value).desc(), column(key).asc()], out="rank")
 
 
 def sorted_distinct(df: DataFrame, col: str) -> DataFrame:
-    """SRT2: sorted distinct non-missing values with their position (for a
-    target or another bounded label set)."""
-    d = df.select(F.col(col).alias("value")).where(F.col("value").isNotNull()).distinct()
-    return d.withColumn("position", F.row_number().over(Window.orderBy("value"))).orderBy("value")
+    """SRT2: sorted distinct non-missing values with their position, at any number of values."""
+    d = df.select(column(col).alias("value")).where(F.col("value").isNotNull()).distinct()
+    return global_rank(d, ["value"], out="position").orderBy("value")
 
 
 def top_k(df: DataFrame, value: str, k: int, key: str) -> DataFrame:

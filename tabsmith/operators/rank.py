@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabsmith.functions import column
 from tabsmith.session import written
 
 #: Rows of one range, about.
@@ -22,7 +23,7 @@ _UID, _RANGE, _BEFORE = "__uid", "__range", "__before"
 
 
 def running_sum(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), value: Column | None = None,
-                out: str = "running", range_rows: int = RANGE_ROWS) -> DataFrame:
+                out: str = "running", range_rows: int = RANGE_ROWS, rows: int | None = None) -> DataFrame:
     """``df`` with the sum of ``value`` over the rows of its group up to and with its own, in ``order``.
 
     ``order`` are column names or sort expressions of any orderable type; NULL
@@ -30,15 +31,27 @@ def running_sum(df: DataFrame, order: Sequence[str | Column], by: Sequence[str]
     groups.  Rows alike in ``order`` follow each other in an arbitrary but fixed
     order, and are spread over ranges too.  ``value`` is by default 1, which
     gives row numbers.  Sums are long.  An existing column ``out`` is replaced.
+
+    The rows are counted once (``rows``: a bound the caller knows); no more than
+    ``range_rows`` of them make one range and need no offsets.
     """
     df = df.drop(out)
-    keys = [F.col(f"`{c}`") if isinstance(c, str) else c for c in order]
-    groups = [F.col(f"`{c}`") for c in by]
+    keys = [column(c) if isinstance(c, str) else c for c in order]
+    groups = [column(c) for c in by]
     value = F.lit(1) if value is None else value
-    table = written(df.withColumn("__value", F.coalesce(value.cast("long"), F.lit(0).cast("long")))
-                    .withColumn(_UID, F.monotonically_increasing_id()), "unranked")
-    parts = max(1, -(-table.count() // range_rows))
-    table = written(table.repartitionByRange(parts, *groups, *keys, F.col(_UID))
+    table = df.withColumn("__value", F.coalesce(value.cast("long"), F.lit(0).cast("long")))
+    within = (Window.partitionBy(*groups, _RANGE).orderBy(*keys, _UID)
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    names = [column(c) for c in df.columns]
+    if rows is None:
+        table = written(table, "unranked")
+        rows = table.count()
+    table = table.withColumn(_UID, F.monotonically_increasing_id())
+    if rows <= range_rows:
+        return (table.withColumn(_RANGE, F.lit(0)).withColumn(out, F.sum("__value").over(within))
+                .select(*names, out))
+    table = written(table, "numbered")
+    table = written(table.repartitionByRange(-(-rows // range_rows), *groups, *keys, F.col(_UID))
                     .withColumn(_RANGE, F.spark_partition_id()), "ranges")
     earlier = Window.partitionBy(*groups).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = written(table.groupBy(*groups, _RANGE).agg(F.sum("__value").alias("__total"))
@@ -48,13 +61,11 @@ def running_sum(df: DataFrame, order: Sequence[str | Column], by: Sequence[str]
     same = F.col(_RANGE) == F.col("__r")
     for i, g in enumerate(groups):
         same = same & g.eqNullSafe(F.col(f"__by{i}"))
-    within = (Window.partitionBy(*groups, _RANGE).orderBy(*keys, _UID)
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = table.join(small, same).withColumn(out, F.col(_BEFORE) + F.sum("__value").over(within))
-    return placed.select(*(F.col(f"`{c}`") for c in df.columns), out)
+    return placed.select(*names, out)
 
 
 def global_rank(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), out: str = "rank",
-                range_rows: int = RANGE_ROWS) -> DataFrame:
+                range_rows: int = RANGE_ROWS, rows: int | None = None) -> DataFrame:
     """``df`` with the row number (from 1) of every row within its group, in ``order``."""
-    return running_sum(df, order, by, None, out, range_rows)
+    return running_sum(df, order, by, None, out, range_rows, rows)

@@ -14,19 +14,19 @@ and ``row_number`` runs inside ``(label, bucket)`` only.  The join of the
 offset table and the window share the ``(label, bucket)`` partitioning.
 The number of digits follows the counted rows (about ``ROWS_PER_BUCKET`` rows
 per bucket).  Rows without a label form a class of their own; no row is lost.  The offset window runs over the
-``(label, bucket)`` count table only, at most 16^digits rows per class.  For the unshuffled
-split the buckets are key ranges cut at approximate quantiles of the key,
-so clustered keys still give buckets of similar size.
+``(label, bucket)`` count table only, at most 16^digits rows per class.  The unshuffled
+split ranks by the key itself over ranges (``rank.global_rank``), so keys may be text.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabsmith.operators.rank import global_rank
+
 
 def hash_key(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
@@ -41,34 +41,20 @@ def _digits_for(n: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
     return int(min(6, max(1, math.ceil(math.log(max(n / rows_per_bucket, 1.0), 16)))))
 
 
-def _key_ranges(df: DataFrame, key: str, n_buckets: int) -> list[float]:
-    """Range boundaries of ``key`` at approximate key quantiles
-    (≤ n_buckets values reach the driver)."""
-    grid = [i / n_buckets for i in range(1, n_buckets)]
-    q = df.agg(F.percentile_approx(F.col(key).cast("double"), grid, max(10_000, 10 * n_buckets))).first()[0]
-    inner = sorted({x for x in (q or []) if x is not None and not math.isinf(x)})
-    return [-math.inf] + inner + [math.inf]
-
-
 def stratified_rank(df: DataFrame, label: str, key: str, seed: int = 42,
                     shuffle: bool = True, digits: int | None = None) -> DataFrame:
     """Add ``__rank`` (1-based, inside the class) and ``__n_class``.
 
-    ``shuffle=False`` ranks by ``key`` itself (SPL3); the buckets are then key
-    ranges of equal width between the key's min and max.
+    ``shuffle=False`` ranks by ``key`` itself, of any orderable type (SPL3).
     ``digits=None`` picks the number of hash digits from the row count."""
+    if not shuffle:
+        ranked = global_rank(df, [key], [label], "__rank")
+        sizes = df.groupBy(F.col(label).alias("__l")).agg(F.count(F.lit(1)).alias("__n_class"))
+        return ranked.join(sizes, ranked[label].eqNullSafe(sizes["__l"])).drop("__l")
     if digits is None:
         digits = _digits_for(df.count())
-    if shuffle:
-        h = hash_key(key, seed)
-        base = df.withColumn("__h", h).withColumn("__b", F.substring("__h", 1, digits))
-        order = [F.col("__h"), F.col(key)]
-    else:
-        splits = _key_ranges(df, key, min(16 ** digits, 65_536))
-        base = (Bucketizer(splits=splits, inputCol="__k", outputCol="__b", handleInvalid="keep")
-                .transform(df.withColumn("__k", F.col(key).cast("double")))
-                .withColumn("__b", F.col("__b").cast("long")).drop("__k"))
-        order = [F.col(key)]
+    h = hash_key(key, seed)
+    base = df.withColumn("__h", h).withColumn("__b", F.substring("__h", 1, digits))
     counts = base.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__c"))
     wcls = Window.partitionBy(label).orderBy("__b")
     offsets = counts.select(
@@ -80,7 +66,7 @@ def stratified_rank(df: DataFrame, label: str, key: str, seed: int = 42,
     offsets = offsets.withColumnsRenamed({label: "__l", "__b": "__ob"})
     j = base.join(offsets, base[label].eqNullSafe(offsets["__l"]) & base["__b"].eqNullSafe(offsets["__ob"])).drop(
         "__l", "__ob")
-    wb = Window.partitionBy(label, "__b").orderBy(*order)
+    wb = Window.partitionBy(label, "__b").orderBy(F.col("__h"), F.col(key))
     out = j.withColumn("__rank", F.col("__off") + F.row_number().over(wb))
     return out.drop("__h", "__b", "__off")
 
@@ -101,5 +87,6 @@ def holdout(df: DataFrame, label: str, key: str, test_frac: float = 0.2, seed: i
 def kfold(df: DataFrame, label: str, key: str, k: int = 10, seed: int = 42,
           shuffle: bool = True, digits: int | None = None) -> DataFrame:
     """SPL2 (shuffled) / SPL3 (``shuffle=False``): add ``fold`` in ``0..k-1``."""
-    r = stratified_rank(df, label, key, seed, shuffle, digits)
+    r = (stratified_rank(df, label, key, seed, True, digits) if shuffle
+         else global_rank(df, [key], [label], "__rank"))
     return r.withColumn("fold", ((F.col("__rank") - 1) % k).cast("int")).drop("__rank", "__n_class")

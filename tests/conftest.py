@@ -21,6 +21,29 @@ def spark():
     yield s
 
 
+@pytest.fixture
+def collected_plans():
+    """A context that lists the physical plans of all frames collected within."""
+    from contextlib import contextmanager
+
+    @contextmanager
+    def watch(df):
+        kind, seen = type(df), []
+        inner = kind.collect
+
+        def collect(self):
+            seen.append(self._jdf.queryExecution().executedPlan().toString())
+            return inner(self)
+
+        kind.collect = collect
+        try:
+            yield seen
+        finally:
+            kind.collect = inner
+
+    return watch
+
+
 @pytest.fixture(scope="session")
 def duck_small():
     from tests.oracle_harness import duck

@@ -18,7 +18,7 @@ def test_all_null_columns(spark):
     ct = P.categorical_table(df, ["s"]).collect()[0]
     assert ct["most_common"] == "N/A" and ct["most_common_count"] == 0 and ct["unique_values"] == 1
     assert ct["missing_pct"] == 100.0
-    d = P.describe(df, ["d"], method="exact").collect()[0]
+    d = P.describe(df, ["d"]).collect()[0]
     assert d["count"] == 0 and d["mean"] is None and d["p50"] is None
     nc = {r["column_name"]: r["missing_pct"] for r in P.null_counts(df).collect()}
     assert nc["s"] == 100.0 and nc["d"] == 100.0 and nc["id"] == 0.0
@@ -60,7 +60,7 @@ def test_nan_next_to_null(spark):
     clipped = {r["id"]: r["x"] for r in df.select("id", C.clip("x", 0.0, 2.0).alias("x")).collect()}
     assert math.isnan(clipped[2]) and clipped[3] is None and clipped[1] == 2.0 and clipped[4] == 0.0
     from tabsmith.functions import normalize_nan
-    d = P.describe(normalize_nan(df), ["x"], method="exact").collect()[0]
+    d = P.describe(normalize_nan(df), ["x"]).collect()[0]
     assert d["count"] == 2 and d["max"] == 5.0
 
 
@@ -149,10 +149,9 @@ def test_rule_audit_equals_sequential(spark, ):
 
 def test_nan_counts_as_missing_in_describe(spark):
     df = spark.createDataFrame([(x,) for x in (1.0, 2.0, 3.0, float("nan"))], "x double")
-    for method in ("exact", "narrowing"):
-        d = P.describe(df, ["x"], method=method, with_missing=True).collect()[0]
-        assert (d["count"], d["mean"], d["max"], d["missing"]) == (3, 2.0, 3.0, 1)
-        assert (d["p25"], d["p50"], d["p75"]) == (1.5, 2.0, 2.5)
+    d = P.describe(df, ["x"], with_missing=True).collect()[0]
+    assert (d["count"], d["mean"], d["max"], d["missing"]) == (3, 2.0, 3.0, 1)
+    assert (d["p25"], d["p50"], d["p75"]) == (1.5, 2.0, 2.5)
 
 
 def test_winsor_beside_an_all_null_column(spark):

@@ -1,11 +1,13 @@
-"""Exact quantiles by range narrowing and exact stratified splits."""
+"""Exact quantiles, ranks over ranges and exact stratified splits."""
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tabsmith.operators import quantiles as Q
+from tabsmith.operators import rank as RK
 from tabsmith.operators import split as SP
 
 
@@ -16,26 +18,81 @@ def skewed(spark):
     return spark.createDataFrame([(v,) for v in vals], "x double")
 
 
-@pytest.mark.parametrize("probs", [[0.01, 0.25, 0.5, 0.75, 0.99], [0.0, 1.0], [0.3333]])
-def test_narrowing_equals_exact_percentile(spark, skewed, probs):
-    exact = Q.quantiles(skewed, ["x"], probs, method="exact")["x"]
-    narrow = Q.exact_quantiles_narrowing(skewed, "x", probs, n_buckets=8, max_window_rows=200)
-    for p in probs:
-        assert narrow[p] == pytest.approx(exact[p], rel=1e-12, abs=1e-9)
-
+def interpolated(values, p):
+    v = np.sort(np.array(values, float))
+    h = (len(v) - 1) * p
+    lo, hi = int(np.floor(h)), int(np.ceil(h))
+    return v[lo] if v[lo] == v[hi] else (hi - h) * v[lo] + (h - lo) * v[hi]
 
-def test_quantile_row_forced_narrowing(spark, skewed):
-    a = Q.quantile_row(skewed, ["x"], [0.01, 0.99], method="narrowing").collect()[0]["x"]
-    b = Q.quantile_row(skewed, ["x"], [0.01, 0.99], method="exact").collect()[0]["x"]
-    assert a == pytest.approx(b)
 
-
-def test_describe_narrowing_path(spark, skewed):
-    from tabsmith.operators.profile import describe
-    a = describe(skewed, ["x"], method="narrowing").collect()[0]
-    b = describe(skewed, ["x"], method="exact").collect()[0]
-    for k in ("p25", "p50", "p75", "mean", "count"):
-        assert a[k] == pytest.approx(b[k])
+@pytest.mark.parametrize("probs", [[0.01, 0.25, 0.5, 0.75, 0.99], [0.0, 1.0], [0.3333]])
+@pytest.mark.parametrize("setting", [{}, {"sketch_k": 8, "margin": 0.0}, {"sketch_k": 8, "margin": 0.2}])
+def test_quantiles_equal_sorted_values(spark, skewed, probs, setting):
+    """Exact whatever the sketch: poor sketches only make the counted slices thicker."""
+    values = [r.x for r in skewed.collect()]
+    got = Q.quantiles(skewed.withColumn("a.b", -F.col("x")), ["x", "a.b"], probs, **setting)
+    for p in probs:
+        assert got["x"][p] == pytest.approx(interpolated(values, p), rel=1e-12, abs=1e-12)
+        assert got["a.b"][p] == pytest.approx(interpolated([-v for v in values], p), rel=1e-12, abs=1e-12)
+
+
+def test_quantiles_of_many_columns_take_three_scans(spark, collected_plans):
+    """No more jobs for more columns."""
+    rng = random.Random(3)
+    rows = [tuple(rng.gauss(0, 1) for _ in range(12)) for _ in range(3000)]
+    names = [f"c{i}" for i in range(12)]
+    df = spark.createDataFrame(rows, names)
+    with collected_plans(df) as seen:
+        got = Q.quantiles(df, names, [0.1, 0.5, 0.9])
+    for i, c in enumerate(names):
+        assert got[c][0.5] == pytest.approx(interpolated([r[i] for r in rows], 0.5))
+    assert len(seen) <= 3
+
+
+def test_quantile_row_and_empty_columns(spark):
+    df = spark.createDataFrame([(1.0, None, -0.0), (3.0, None, 0.0), (float("nan"), None, 0.0)], "x double, y double, z double")
+    row = Q.quantile_row(df, ["x", "y", "z"], [0.5, 1.0]).collect()[0]
+    assert row["x"] == [2.0, 3.0] and row["y"] == [None, None] and row["z"] == [0.0, 0.0]
+    assert Q.quantiles(df.limit(0), ["x"], [0.5]) == {"x": {0.5: None}}
+
+
+@pytest.mark.parametrize("range_rows", [7, 100_000])
+def test_global_rank_any_type(spark, range_rows):
+    """Ranks over ranges equal a sort: text, dates, NULL keys and groups, ties, a hot group."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), rng.choice(["é", "Z", "a", None, "zz"]), i % 11, i) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, `k.1` string, d int, id int").repartition(5)
+    got = RK.global_rank(df, [F.col("`k.1`").desc_nulls_last(), "d", "id"], ["g"], "place", range_rows).collect()
+    want = {}
+    for g in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, [-b for b in (r[1] or "").encode()] + [1], r[2], r[3]))
+        want.update({r[3]: i for i, r in enumerate(mine, 1)})
+    assert {r.id: r.place for r in got} == want and got[0].__fields__ == ["g", "k.1", "d", "id", "place"]
+    # ties only: every rank once
+    ties = RK.global_rank(df.select("g", F.lit(1).alias("same")), ["same"], [], "place", range_rows).collect()
+    assert sorted(r.place for r in ties) == list(range(1, 601))
+    sums = RK.running_sum(df, ["id"], [], F.when(F.col("d") > 5, F.col("d")), "upto", range_rows).orderBy("id").collect()
+    total = 0
+    for r in sums:
+        total += r.d if r.d > 5 else 0
+        assert r.upto == total
+    assert RK.global_rank(df.limit(0), ["id"]).collect() == []
+
+
+def test_rank_has_no_window_over_a_group(spark):
+    df = spark.createDataFrame([(i % 3, str(i)) for i in range(500)], "g int, k string")
+    from tabsmith.operators import features as FE
+    plans = [RK.global_rank(df, ["k"], ["g"], range_rows=50), RK.global_rank(df, ["k"], range_rows=50),
+             FE.encoding_mapping(df.withColumn("k", F.col("k")), ["k"]), SP.kfold(df, "g", "k", 3, shuffle=False)]
+    for plan in plans:
+        text = plan._jdf.queryExecution().analyzed().toString()
+        assert "Window" not in text or "__range" in text
+
+
+def test_text_keys_split_unshuffled(spark):
+    df = spark.createDataFrame([(f"k{i:04d}", i % 2) for i in range(90)], "id string, label int")
+    got = {r.id: r.fold for r in SP.kfold(df, "label", "id", 3, shuffle=False).collect()}
+    assert all(got[f"k{i:04d}"] == (i // 2) % 3 for i in range(90))
 
 
 def _frame(spark):
@@ -96,13 +153,11 @@ def test_top_k_per_group_hot_group_equals_one_level(spark):
     assert a.count() == 14 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_narrowing_with_infinite_values(spark):
-    vals = [float(i) for i in range(800)] + [float("inf")] * 200
+def test_quantiles_with_infinite_values(spark):
+    vals = [float(i) for i in range(800)] + [float("inf")] * 200 + [float("-inf")] * 10
     df = spark.createDataFrame([(v,) for v in vals], "x double")
-    probs = [0.25, 0.5, 0.9]
-    exact = Q.quantiles(df, ["x"], probs, method="exact")["x"]
-    assert Q.exact_quantiles_narrowing(df, "x", probs, n_buckets=8, max_window_rows=50) == exact
-    assert exact[0.9] == float("inf")
+    got = Q.quantiles(df, ["x"], [0.0, 0.25, 0.5, 0.9], sketch_k=8)["x"]
+    assert got == {0.0: float("-inf"), 0.25: interpolated(vals, 0.25), 0.5: interpolated(vals, 0.5), 0.9: float("inf")}
 
 
 def test_split_keeps_rows_without_label_or_key(spark):
