@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabsmith.operators.features import fold_scalers, scale_by_fold
+
 KINDS = ("gaussian", "bernoulli", "multinomial")
 
 
@@ -28,7 +30,8 @@ def _x(c: str) -> Column:
     return F.col(f"`{c}`").cast("double")
 
 
-def _statistics(df: DataFrame, features: Sequence[str], kind: str, by: Sequence[Column], threshold: float) -> DataFrame:
+def _statistics(df: DataFrame, features: Sequence[str], kind: str, by: Sequence[Column], threshold: float,
+                check: bool = True) -> DataFrame:
     """Rows and per-feature statistics of every group: ``n`` and ``m<i>``, ``v<i>`` (Gaussian) or ``s<i>``."""
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(features):
@@ -38,8 +41,8 @@ def _statistics(df: DataFrame, features: Sequence[str], kind: str, by: Sequence[
             aggs.append(F.count_if(_x(c) > threshold).cast("double").alias(f"s{i}"))
         else:
             # counts cannot be negative; the check is part of the same scan
-            aggs.append(F.sum(F.when(_x(c) < 0, F.raise_error(F.lit(f"negative value in {c}: multinomial needs counts")))
-                              .otherwise(_x(c))).alias(f"s{i}"))
+            error = F.raise_error(F.lit(f"negative value in {c}: multinomial needs counts"))
+            aggs.append(F.sum(F.when(_x(c) < 0, error).otherwise(_x(c)) if check else _x(c)).alias(f"s{i}"))
     return df.groupBy(*by).agg(*aggs)
 
 
@@ -140,19 +143,25 @@ def _merged(parts: list, kind: str, width: int) -> tuple[int, tuple]:
 
 
 def fit(df: DataFrame, features: Sequence[str], kind: str = "gaussian", label: str = "label", fold_col: str | None = None,
-        var_smoothing: float = 1e-9, alpha: float = 1.0, threshold: float = 0.0) -> dict:
+        var_smoothing: float = 1e-9, alpha: float = 1.0, threshold: float = 0.0, scalers: dict | None = None) -> dict:
     """One scan: ``{fold: model of the other folds}``, or ``{None: model of all rows}`` without ``fold_col``.
 
+    ``scalers`` (``features.fold_scalers``) gives each model its inputs as scaled by
+    its own training part: means, variances and sums follow an affine map, so
+    the scan of the raw rows is enough (not for Bernoulli, whose counts do not).
     Rows without a label (or fold) teach nothing; NULL features are left out of
     means and sums."""
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {KINDS}")
+    if scalers and kind == "bernoulli":
+        raise ValueError("counts above a threshold do not follow a scaler")
     df = df.where(F.col(f"`{label}`").isNotNull())
     by = [F.col(f"`{label}`").alias("class")]
     if fold_col is not None:
         df = df.where(F.col(f"`{fold_col}`").isNotNull())
         by.append(F.col(f"`{fold_col}`").alias("fold"))
-    rows = _statistics(df, features, kind, by, threshold).collect()        # folds x classes
+    # raw rows of a scaled fit may be negative; scaled to their own extremes they are not
+    rows = _statistics(df, features, kind, by, threshold, check=not scalers).collect()        # folds x classes
     classes = sorted({r["class"] for r in rows})
     p, groups = len(features), {}
     for r in rows:
@@ -165,6 +174,10 @@ def fit(df: DataFrame, features: Sequence[str], kind: str = "gaussian", label: s
         merged = [_merged([g for (f, c), g in groups.items() if c == k and (fold is None or f != fold)], kind, p)
                   for k in classes]
         n = np.array([m[0] for m in merged], float)
+        if scalers:
+            shift, factor = (np.array([scalers[fold].get(c, (0.0, 1.0))[k] for c in features]) for k in (0, 1))
+            merged = [(m, ((s[0] - shift) * factor, s[1] * factor ** 2) if kind == "gaussian" else ((s[0] - m * shift) * factor,))
+                      for m, s in merged]
         if n.sum():
             out[fold] = _model(kind, classes, n, [m[1] for m in merged], var_smoothing, alpha, threshold)
     return out
@@ -212,10 +225,15 @@ def score(df: DataFrame, models: dict, features: Sequence[str], keep: Sequence[s
 
 
 def cross_validate(df: DataFrame, features: Sequence[str], kind: str = "gaussian", label: str = "label",
-                   fold_col: str = "fold", keep: Sequence[str] = ("id", "label"), **settings) -> DataFrame:
-    """MOD10: out-of-fold ``keep + (fold, prediction, score)`` of one kind."""
-    models = fit(df, features, kind, label, fold_col, **settings)
-    return score(df, models, features, [*keep, fold_col], fold_col)
+                   fold_col: str = "fold", keep: Sequence[str] = ("id", "label"), scale: Sequence[str] = (),
+                   scaler: str = "standard", **settings) -> DataFrame:
+    """MOD10: out-of-fold ``keep + (fold, prediction, score)`` of one kind.
+
+    The columns of ``scale`` are scaled (``scaler``: standard or minmax) with the
+    statistics of each model's own training part, so no fold leaks into it."""
+    scalers = fold_scalers(df, scale, fold_col, scaler) if scale else None
+    models = fit(df, features, kind, label, fold_col, scalers=scalers, **settings)
+    return score(scale_by_fold(df, scalers, fold_col) if scale else df, models, features, [*keep, fold_col], fold_col)
 
 
 def compare(scored: dict[str, DataFrame], label: str = "label", fold_col: str = "fold") -> DataFrame:

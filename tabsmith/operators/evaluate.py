@@ -6,11 +6,11 @@ recall / F1) and can be grouped, e.g. by ``fold``, so all folds are evaluated
 by one query.
 
 AUC and the curves need running sums over scores in descending order.
-Scores are first collapsed to distinct values per group; the running sums
-are then two-level: scores are cut into ranges at approximate quantiles,
-per-range totals give each range its offset (a table of groups × ranges),
-and the window runs only inside ``(group, range)``.  No step puts a whole
-group into one task.
+Scores are first collapsed to distinct values per group (written once, the only
+scan of the scored table); the running sums are then two-level: scores are cut
+into ranges at approximate quantiles, per-range totals give each range its offset
+(a table of groups × ranges), and the window runs only inside ``(group, range)``.
+No step puts a whole group into one task.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsmith.functions import ratio
+from tabsmith.session import written
 
 
 def _groups(group) -> list[str]:
@@ -112,27 +113,37 @@ def _splits(sc: DataFrame, n_buckets: int | None) -> list[float]:
 
 
 def running_sums(sc: DataFrame, g: list[str], n_buckets: int | None = None) -> DataFrame:
-    """For each distinct score (descending): ``tps``, ``fps`` = positives /
-    negatives with score >= s, and ``idx`` = 1-based position in the group.
-
-    ``n_buckets=None`` sizes the score ranges from the number of distinct
-    scores, so the window inside one range stays bounded."""
+    """For each distinct score (descending): ``tps``, ``fps`` = positives / negatives with score >= s, the
+    group's ``all_pos``, ``all_neg``, and ``next_pos``, ``next_neg`` of the next lower score (NULL after the last).
+
+    ``sc`` (``score_counts``) is written once.  A range of scores gives one row of
+    totals with its first score's counts, from which come the offsets and the
+    neighbour beyond its end; what else is needed lies inside (group, range).
+    ``n_buckets=None`` sizes the ranges from the number of distinct scores."""
+    sc = written(sc, "scores")
     splits = _splits(sc, n_buckets)  # ≤ n_buckets values reach the driver
     b = Bucketizer(splits=splits, inputCol="s", outputCol="__b", handleInvalid="keep").transform(sc)
     b = b.withColumn("__b", (F.lit(len(splits)) - F.col("__b")).cast("int"))  # descending ranges
     tot = b.groupBy(*g, "__b").agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__q"),
-                                   F.count(F.lit(1)).alias("__k"))
-    wg = Window.partitionBy(*g).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*g, "__b", F.coalesce(F.sum("__p").over(wg), F.lit(0)).alias("__op"),
-                     F.coalesce(F.sum("__q").over(wg), F.lit(0)).alias("__oq"),
-                     F.coalesce(F.sum("__k").over(wg), F.lit(0)).alias("__ok"))
-    j = b.join(off, g + ["__b"])
-    wb = Window.partitionBy(*g, "__b").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    return j.select(*g, "s", "pos", "neg",
-                    (F.col("__op") + F.sum("pos").over(wb)).alias("tps"),
-                    (F.col("__oq") + F.sum("neg").over(wb)).alias("fps"),
-                    (F.col("__ok") + F.row_number().over(
-                        Window.partitionBy(*g, "__b").orderBy(F.desc("s")))).alias("idx"))
+                                   F.max(F.struct("s", "pos", "neg")).alias("__first"))
+    order = Window.partitionBy(*g).orderBy("__b")
+    before, every = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*g)
+    off = tot.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(g)], F.col("__b").alias("__o"),
+                     F.coalesce(F.sum("__p").over(before), F.lit(0)).alias("__op"),
+                     F.coalesce(F.sum("__q").over(before), F.lit(0)).alias("__oq"),
+                     F.sum("__p").over(every).alias("all_pos"), F.sum("__q").over(every).alias("all_neg"),
+                     F.lead("__first").over(order).alias("__beyond"))
+    same = F.col("__b") == F.col("__o")
+    for i, c in enumerate(g):
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    j = b.join(off, same)
+    inside = Window.partitionBy(*g, "__b").orderBy(F.desc("s"))
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    return j.select(*g, "s", "pos", "neg", "all_pos", "all_neg",
+                    (F.col("__op") + F.sum("pos").over(upto)).alias("tps"),
+                    (F.col("__oq") + F.sum("neg").over(upto)).alias("fps"),
+                    F.coalesce(F.lead("pos").over(inside), F.col("__beyond.pos")).alias("next_pos"),
+                    F.coalesce(F.lead("neg").over(inside), F.col("__beyond.neg")).alias("next_neg"))
 
 
 # ---------------------------------------------------------------- EVL4
@@ -155,31 +166,24 @@ def auc(scored: DataFrame, label: str = "label", score: str = "score", pos_label
 # ---------------------------------------------------------------- EVL5 / EVL6
 def roc_curve(scored: DataFrame, label: str = "label", score: str = "score", pos_label=1,
               group=None, drop_intermediate: bool = True, n_buckets: int | None = None) -> DataFrame:
-    """EVL5: ``(threshold, fpr, tpr)``; starts at (0, 0) with an infinite threshold;
-    with ``drop_intermediate`` collinear points are dropped (second
-    differences of both counts are zero).  Neighbours are found by equi-joins
-    on the position, not by a window over the whole curve."""
+    """EVL5: ``(threshold, fpr, tpr)``; starts at (0, 0) with an infinite threshold.
+
+    With ``drop_intermediate`` collinear points are dropped: those whose step has
+    the same counts as the step to the next lower score, but for the first and
+    the last point."""
     g = _groups(group)
-    sc = score_counts(scored, label, score, pos_label, g)
-    rs = running_sums(sc, g, n_buckets).select(*g, "s", "tps", "fps", "idx")
-    tot = rs.groupBy(*g).agg(F.max("idx").alias("__last"), F.max("tps").alias("__P"),
-                             F.max("fps").alias("__N"))
-    pts = rs.join(tot, g) if g else rs.crossJoin(tot)
+    rs = running_sums(score_counts(scored, label, score, pos_label, g), g, n_buckets)
+    first = (F.col("tps") == F.col("pos")) & (F.col("fps") == F.col("neg"))
     if drop_intermediate:
-        prev = rs.select(*g, (F.col("idx") + 1).alias("idx"), F.col("tps").alias("__tp0"),
-                         F.col("fps").alias("__fp0"))
-        nxt = rs.select(*g, (F.col("idx") - 1).alias("idx"), F.col("tps").alias("__tp2"),
-                        F.col("fps").alias("__fp2"))
-        pts = pts.join(prev, g + ["idx"], "left").join(nxt, g + ["idx"], "left")
-        keep = ((F.col("idx") == 1) | (F.col("idx") == F.col("__last"))
-                | (F.col("__fp2") - 2 * F.col("fps") + F.col("__fp0") != 0)
-                | (F.col("__tp2") - 2 * F.col("tps") + F.col("__tp0") != 0))
-        pts = pts.where(keep)
-    curve = pts.select(*g, F.col("s").alias("threshold"),
-                       ratio("fps", "__N").alias("fpr"), ratio("tps", "__P").alias("tpr"))
-    start = tot.select(*g, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"),
-                       F.lit(0.0).alias("tpr"))
-    return start.unionByName(curve)
+        rs = rs.where(first | F.col("next_pos").isNull() | (F.col("next_pos") != F.col("pos"))
+                      | (F.col("next_neg") != F.col("neg")))
+    curve = rs.select(*g, F.col("s").alias("threshold"), ratio("fps", "all_neg").alias("fpr"), ratio("tps", "all_pos").alias("tpr"),
+                      first.alias("__first"))
+    # the first point of each curve brings its start along: no second pass for the groups
+    point = lambda t, x, y: F.struct(t.alias("threshold"), x.alias("fpr"), y.alias("tpr"))
+    here = point(F.col("threshold"), F.col("fpr"), F.col("tpr"))
+    start = point(F.lit(float("inf")), F.lit(0.0), F.lit(0.0))
+    return curve.select(*g, F.inline(F.when(F.col("__first"), F.array(start, here)).otherwise(F.array(here))))
 
 
 def pr_curve(scored: DataFrame, label: str = "label", score: str = "score", pos_label=1,
@@ -187,16 +191,13 @@ def pr_curve(scored: DataFrame, label: str = "label", score: str = "score", pos_
     """EVL6: ``(threshold, precision, recall)`` at every distinct score, plus the
     closing point (recall 0, precision 1) with a NULL threshold."""
     g = _groups(group)
-    sc = score_counts(scored, label, score, pos_label, g)
-    rs = running_sums(sc, g, n_buckets)
-    tot = rs.groupBy(*g).agg(F.max("tps").alias("__P"))
-    pts = rs.join(tot, g) if g else rs.crossJoin(tot)
-    curve = pts.select(*g, F.col("s").alias("threshold"),
-                       F.coalesce(ratio("tps", F.col("tps") + F.col("fps")), F.lit(0.0)).alias("precision"),
-                       F.when(F.col("__P") == 0, F.lit(1.0)).otherwise(ratio("tps", "__P")).alias("recall"))
-    end = tot.select(*g, F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"),
-                     F.lit(0.0).alias("recall"))
-    return curve.unionByName(end)
+    rs = running_sums(score_counts(scored, label, score, pos_label, g), g, n_buckets)
+    first = (F.col("tps") == F.col("pos")) & (F.col("fps") == F.col("neg"))
+    point = lambda t, x, y: F.struct(t.alias("threshold"), x.alias("precision"), y.alias("recall"))
+    here = point(F.col("s"), F.coalesce(ratio("tps", F.col("tps") + F.col("fps")), F.lit(0.0)),
+                 F.when(F.col("all_pos") == 0, F.lit(1.0)).otherwise(ratio("tps", "all_pos")))
+    end = point(F.lit(None).cast("double"), F.lit(1.0), F.lit(0.0))
+    return rs.select(*g, F.inline(F.when(first, F.array(end, here)).otherwise(F.array(here))))
 
 
 # ---------------------------------------------------------------- EVL7 / EVL8

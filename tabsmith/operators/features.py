@@ -10,13 +10,14 @@
 
 from __future__ import annotations
 
+import math
 from typing import Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.functions import string_or_nan
+from tabsmith.functions import column, number, string_or_nan
 from tabsmith.operators.profile import long_values
 from tabsmith.operators.rank import global_rank
 from tabsmith.session import written
@@ -117,6 +118,53 @@ def minmax_scale(df: DataFrame, cols: Sequence[str], stats: DataFrame | None = N
     return j.withColumns(exprs).drop(*[f"{c}__{k}" for c in cols for k in ("min", "max")])
 
 
+def fold_scalers(df: DataFrame, cols: Sequence[str], fold_col: str = "fold", kind: str = "standard") -> dict:
+    """FE4 / FE5 without leaks: ``{fold: {column: (shift, factor)}}`` fitted on the *other* folds, in one scan.
+
+    ``standard``: the moments of the other folds are put together (parallel-variance
+    formula).  ``minmax``: the extremes of the other folds are the best one, or
+    the second-best where the fold itself holds the best.  A column that is
+    constant on the training part has factor 0; NULL stays NULL."""
+    if kind not in ("standard", "minmax"):
+        raise ValueError("kind must be standard or minmax")
+    aggs = []
+    for i, c in enumerate(cols):
+        x = number(c)
+        aggs += ([F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}")] if kind == "standard"
+                 else [F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")])
+    rows = {r["__fold"]: r for r in df.where(column(fold_col).isNotNull()).groupBy(column(fold_col).alias("__fold")).agg(*aggs).collect()}
+    out: dict = {f: {} for f in rows}
+    for i, c in enumerate(cols):
+        if kind == "standard":
+            for f in rows:
+                parts = [(r[f"n{i}"], r[f"m{i}"], r[f"v{i}"]) for g, r in rows.items() if g != f and r[f"n{i}"]]
+                n = sum(p[0] for p in parts)
+                mean = sum(p[0] * p[1] for p in parts) / n if n else 0.0
+                var = sum(p[0] * (p[2] + (p[1] - mean) ** 2) for p in parts) / n if n else 0.0
+                out[f][c] = (mean, 1 / math.sqrt(var) if var > 0 else 0.0)
+        else:
+            low = sorted((r[f"lo{i}"], str(f), f) for f, r in rows.items() if r[f"lo{i}"] is not None)[:2]
+            high = sorted(((r[f"hi{i}"], str(f), f) for f, r in rows.items() if r[f"hi{i}"] is not None), reverse=True)[:2]
+            for f in rows:
+                lo = next((x for x, _, g in low if g != f), 0.0)
+                hi = next((x for x, _, g in high if g != f), 0.0)
+                out[f][c] = (lo, 1 / (hi - lo) if hi > lo else 0.0)
+    return out
+
+
+def scale_by_fold(df: DataFrame, scalers: dict, fold_col: str = "fold") -> DataFrame:
+    """Every row scaled by the scaler that has not seen its fold; one affine row a fold is broadcast."""
+    cols = list(next(iter(scalers.values()), {}))
+    if not cols:
+        return df
+    kind = df.schema[fold_col].dataType.simpleString()
+    table = df.sparkSession.createDataFrame([(f, [s[c][0] for c in cols], [s[c][1] for c in cols]) for f, s in scalers.items()],
+                                            f"__fold {kind}, __shift array<double>, __factor array<double>")
+    j = df.join(F.broadcast(table), column(fold_col) == F.col("__fold"), "left")
+    return j.withColumns({c: (column(c).cast("double") - F.get("__shift", F.lit(i))) * F.get("__factor", F.lit(i))
+                          for i, c in enumerate(cols)}).drop("__fold", "__shift", "__factor")
+
+
 def binarize(df: DataFrame, cols: Sequence[str], threshold: float = 0.0) -> DataFrame:
     """FE6: ``x > threshold`` as 0.0 / 1.0 (NULL stays NULL)."""
     return df.withColumns({c: (F.col(c) > F.lit(threshold)).cast("double") for c in cols})

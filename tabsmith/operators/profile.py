@@ -167,29 +167,80 @@ def mode(df: DataFrame, col: str) -> DataFrame:
     return b.select(F.col("b.v").alias("mode"), (-F.col("b.nc")).alias("mode_count"))
 
 
+def _as_long(df: DataFrame, c: str) -> Column | None:
+    """A column of whole numbers, dates, times, flags or short decimals as a long that is equal where it is equal."""
+    kind = df.schema[c].dataType
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return column(c).cast("long")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column(c)).cast("long")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(column(c))
+    if isinstance(kind, T.DecimalType) and kind.precision <= 18:
+        return (column(c) * F.lit(10 ** kind.scale).cast("decimal(19,0)")).cast("long")
+    return None
+
+
+def typed_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``(i, l, d, s)``: one row per value of ``cols[i]`` in the field of its own type, missing left out.
+
+    Whole numbers and times are longs, floating numbers doubles (NaN is missing,
+    -0.0 is 0.0), everything else text; no number becomes text."""
+    rows = []
+    for i, c in enumerate(cols):
+        kind, long = df.schema[c].dataType, _as_long(df, c)
+        floating = isinstance(kind, (T.DoubleType, T.FloatType))
+        rows.append(F.struct(
+            F.lit(i).alias("i"), (F.lit(None).cast("long") if long is None else long).alias("l"),
+            (number(c) + F.lit(0.0) if floating else F.lit(None).cast("double")).alias("d"),
+            (column(c).cast("string") if long is None and not floating else F.lit(None).cast("string")).alias("s")))
+    return df.select(_inline(rows)).where("l IS NOT NULL OR d IS NOT NULL OR s IS NOT NULL")
+
+
+#: Integers are counted in bitmaps where these take at most so many bytes a row.
+BITMAP_BYTES = 16
+
+
 def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None,
-                    approx: bool = False) -> DataFrame:
+                    approx: bool = False, bitmap_bytes: int = BITMAP_BYTES) -> DataFrame:
     """AGG12: ``(column, n_unique)`` non-missing distinct counts (NaN is missing,
     -0.0 equals 0.0).
 
-    Exact form: distinct ``(column, value)`` pairs via one shuffle, then a
-    count per column (no ``Expand`` of one distinct-aggregate per column).
+    Exact form: integer-like columns whose values lie dense are counted in bitmaps
+    of 32,768 values each, which merge before the shuffle; all other values are
+    made distinct in their own type by one shuffle, then counted per column.
     ``approx`` uses HLL++ in a single pass.
     """
     cols = list(cols) if cols is not None else df.columns
-    floating = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
-    df = df.select([F.when(F.col(c) == 0, F.lit(0.0)).when(~F.isnan(c), F.col(c)).alias(c)
-                    if c in floating else F.col(c) for c in cols])
+    spark = df.sparkSession
     if approx:
-        wide = df.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)])
-        return wide.select(_inline([F.struct(F.lit(c).alias("column_name"),
-                                             F.col(f"d{i}").alias("n_unique"))
-                                    for i, c in enumerate(cols)]))
-    pairs = long_values(df, cols).where(F.col("value").isNotNull()).distinct()
-    got = pairs.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_unique"))
-    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
-    return (names.join(got, "column_name", "left")
-            .select("column_name", F.coalesce("n_unique", F.lit(0)).cast("bigint").alias("n_unique")))
+        floating = (T.DoubleType, T.FloatType)
+        row = df.agg(*[F.approx_count_distinct(
+            number(c) + F.lit(0.0) if isinstance(df.schema[c].dataType, floating) else column(c)).alias(f"d{i}")
+            for i, c in enumerate(cols)]).first()
+        return spark.createDataFrame([(c, row[i]) for i, c in enumerate(cols)], "column_name string, n_unique bigint")
+    longs = {i: x for i, x in ((i, _as_long(df, c)) for i, c in enumerate(cols)) if x is not None}
+    dense: list[int] = []
+    if longs:
+        row = df.agg(F.count(F.lit(1)).alias("n"), *[f(x).alias(f"{k}{i}") for i, x in longs.items()
+                                                      for k, f in (("lo", F.min), ("hi", F.max))]).first()
+        dense = [i for i in longs if row[f"lo{i}"] is not None
+                 and ((row[f"hi{i}"] - row[f"lo{i}"]) // 32_768 + 1) * 4096 <= bitmap_bytes * row["n"]]
+    rest = [i for i in range(len(cols)) if i not in dense]
+    names = F.array(*map(F.lit, cols))
+    got = spark.createDataFrame([(c, 0) for c in cols], "column_name string, n bigint")
+    if rest:
+        pairs = typed_values(df, [cols[i] for i in rest]).distinct()
+        back = F.element_at(F.array(*map(F.lit, rest)), F.col("i") + 1)
+        got = got.unionByName(pairs.groupBy("i").agg(F.count(F.lit(1)).alias("n")).select(
+            F.element_at(names, back + 1).alias("column_name"), "n"))
+    if dense:
+        bits = df.select(_inline([F.struct(F.lit(i).alias("i"), longs[i].alias("l")) for i in dense])).where("l IS NOT NULL")
+        maps = bits.groupBy("i", F.bitmap_bucket_number("l").alias("b")).agg(
+            F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("l"))).alias("n"))
+        got = got.unionByName(maps.groupBy("i").agg(F.sum("n").alias("n")).select(
+            F.element_at(names, F.col("i") + 1).alias("column_name"), "n"))
+    return got.groupBy("column_name").agg(F.sum("n").alias("n_unique"))
 
 
 def distinct_values(df: DataFrame, cols: Sequence[str] | None = None,

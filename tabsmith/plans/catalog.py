@@ -1134,9 +1134,9 @@ def q_mod15(spark, sf):
     return NB.priors(MDATA.encoded_table(spark, sf))
 
 
-def _nb_scores_sql(kind: str, src: str, name: str) -> str:
+def _nb_scores_sql(kind: str, src: str, name: str, train: str | None = None) -> str:
     """CTE ``<name>`` (id, label, fold, prediction, score): every row of ``src`` (with a fold)
-    scored by the naive Bayes of the other folds.  Also ``<name>_pc``, the statistics."""
+    scored by the naive Bayes of the other folds, or of the rows of ``train`` with its kfold."""
     import math as _m
     stat = {"gaussian": ["avg({c}) AS mean_{c}", "var_pop({c}) AS var_{c}"],
             "bernoulli": ["(count(*) FILTER (WHERE {c} > 0) + 1.0) / (count(*) + 2.0) AS prob_{c}"],
@@ -1151,7 +1151,9 @@ def _nb_scores_sql(kind: str, src: str, name: str) -> str:
     jll = {k: f"ln(prior_{k}) " + " ".join(term.format(k=k, c=c) for c in _FEATS) for k in (0, 1)}
     vmax = "greatest(" + ", ".join(f"var_pop({c})" for c in _FEATS) + ")" if kind == "gaussian" else "0"
     return (
-        f"{name}_tr AS (SELECT k.kfold, t.* FROM (SELECT DISTINCT fold AS kfold FROM {src}) k JOIN {src} t ON t.fold <> k.kfold),\n"
+        f"{name}_tr AS ("
+        + (train or f"SELECT k.kfold, t.* FROM (SELECT DISTINCT fold AS kfold FROM {src}) k JOIN {src} t ON t.fold <> k.kfold")
+        + "),\n"
         f"{name}_pc AS (SELECT kfold, label AS class, count(*) AS n, {cols} FROM {name}_tr GROUP BY kfold, label),\n"
         f"{name}_vm AS (SELECT kfold, count(*) AS total_n, {vmax} AS vmax FROM {name}_tr GROUP BY kfold),\n"
         f"{name}_pw AS (SELECT {name}_pc.kfold, " + ", ".join(
@@ -1217,6 +1219,46 @@ def q_mod10(spark, sf):
     return NB.cross_validate(_folded(spark, sf, 10), _FEATS)
 
 
+def _fold_scaled_sql(cols: list[str], stats: str, scaled: str) -> tuple[str, str]:
+    """CTEs of the unscaled table with folds and every model's own scaler; ``sx``: each row scaled by the scaler
+    that has not seen its fold.  Second: the training rows of every model, scaled by its scaler."""
+    rest = ", ".join(f"CAST(t.{c} AS DOUBLE) AS {c}" for c in _FEATS if c not in cols)
+    x = ", ".join(f"{scaled.format(c=c)} AS {c}" for c in cols) + (f", {rest}" if rest else "")
+    ctes = (f", folds AS ({_rank_sql('enc', k=10)}),\nef AS (SELECT enc.*, folds.fold FROM enc JOIN folds USING (id)),\n"
+            "ks AS (SELECT DISTINCT fold AS kfold FROM ef),\n"
+            "fs AS (SELECT kfold, " + ", ".join(stats.format(c=c) for c in cols) + " FROM ks JOIN ef ON fold <> kfold GROUP BY kfold),\n"
+            f"sx AS (SELECT t.id, t.label, t.fold, {x} FROM ef t JOIN fs ON t.fold = fs.kfold),\n")
+    return ctes, f"SELECT fs.kfold, t.id, t.label, {x} FROM ef t JOIN fs ON t.fold <> fs.kfold"
+
+
+_STD_FOLD = _fold_scaled_sql(MDATA.SCALED, "avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s",
+                             "CASE WHEN {c}_s = 0 THEN 0.0 ELSE (t.{c} - {c}_m) / {c}_s END")
+_MM_FOLD = _fold_scaled_sql(_FEATS, "min({c}) AS {c}_lo, max({c}) AS {c}_hi",
+                            "CASE WHEN {c}_hi = {c}_lo THEN 0.0 ELSE (t.{c} - {c}_lo) * 1.0 / ({c}_hi - {c}_lo) END")
+
+
+def _encoded_folds(spark, sf):
+    return written(MDATA.with_folds(MDATA.encoded_table(spark, sf), 10), "folds")
+
+
+@register("mod10_gaussian_nb_cv10_fold_scaled", WC(
+    _model_sql() + _STD_FOLD[0] + _nb_scores_sql("gaussian", "sx", "sc", _STD_FOLD[1])
+    + f"\nSELECT id, label, fold, prediction, {R('score')} AS score FROM sc"))
+def q_mod10fold(spark, sf):
+    """FE4 + MOD10 with scale_scope = fold: Gaussian NB, 10 folds, numeric features standardised with the
+    statistics of each training part (no leak), out-of-fold scores."""
+    return NB.cross_validate(_encoded_folds(spark, sf), _FEATS, scale=MDATA.SCALED)
+
+
+@register("mod10_multinomial_nb_cv10_fold_minmax", WC(
+    _model_sql() + _MM_FOLD[0] + _nb_scores_sql("multinomial", "sx", "sc", _MM_FOLD[1])
+    + f"\nSELECT id, label, fold, prediction, {R('score')} AS score FROM sc"))
+def q_mod10foldmm(spark, sf):
+    """FE5 + MOD10 with scale_scope = fold: multinomial NB, 10 folds, every feature scaled by the extremes of
+    each training part, out-of-fold scores."""
+    return NB.cross_validate(_encoded_folds(spark, sf), _FEATS, "multinomial", scale=_FEATS, scaler="minmax", alpha=1.0)
+
+
 #: CTE ``mtf`` whose fold 0 is the 20 % test part: its model is the one of the 80 % part.
 _HOLDOUT_SQL = (f", hold AS ({_rank_sql('mt', frac=0.2)}),\n"
                 "mtf AS (SELECT mt.*, CASE WHEN hold.is_test THEN 0 ELSE 1 END AS fold FROM mt JOIN hold USING (id)),\n")

@@ -90,6 +90,35 @@ def test_one_pass_nb_cv_equals_per_fold_fits(spark, mt, kind):
             assert r["score"] == pytest.approx(fast[r["id"]]["score"], abs=1e-9)
 
 
+@pytest.mark.parametrize("kind,scaler", [("gaussian", "standard"), ("multinomial", "minmax")])
+def test_fold_scaled_nb_equals_scaling_each_training_part(spark, kind, scaler):
+    """Affine statistics equal a scaler and a model fitted on each training part in turn."""
+    from tabsmith.operators import features as FE
+    rng = np.random.default_rng(8)
+    rows = [(i, i % 2, i % 4, float(rng.normal() + i % 2), float(rng.integers(0, 9)), 3.0) for i in range(200)]
+    rows.append((999, 1, 2, 50.0, -20.0, 3.0))          # both extremes of one fold
+    df = spark.createDataFrame(rows, "id int, label int, fold int, a double, b double, same double")
+    cols = ["a", "b", "same"]
+    fast = {r["id"]: r for r in NB.cross_validate(df, cols, kind, scale=cols, scaler=scaler).collect()} if kind == "gaussian" else None
+    fit = FE.standardize if scaler == "standard" else FE.minmax_scale
+    stats = FE.standard_stats if scaler == "standard" else FE.minmax_stats
+    scalers = FE.fold_scalers(df, cols, "fold", scaler)
+    for k in range(4):
+        tr, te = df.where(F.col("fold") != k), df.where(F.col("fold") == k)
+        st = stats(tr, cols)
+        want = {r["id"]: r for r in fit(te, cols, st).collect()}
+        for r in FE.scale_by_fold(te, scalers).collect():
+            assert all(r[c] == pytest.approx(want[r["id"]][c], abs=1e-12) for c in cols)
+        models = NB.fit(fit(tr, cols, st), cols, kind)
+        both = NB.fit(df, cols, kind, fold_col="fold", scalers=scalers)[k]
+        assert np.allclose(both.constant, models[None].constant) and np.allclose(both.factor, models[None].factor)
+        if fast:
+            for r in NB.score(fit(te, cols, st), models, cols).collect():
+                assert r["score"] == pytest.approx(fast[r["id"]]["score"], abs=1e-9)
+    with pytest.raises(ValueError):
+        NB.fit(df, cols, "bernoulli", fold_col="fold", scalers=scalers)
+
+
 def test_nb_edges(spark):
     df = spark.createDataFrame([(1, 0, 0, 1.0, 0.0), (2, 1, 0, 0.0, 2.0), (3, 0, 1, 2.0, 0.0), (4, 1, 1, 0.0, 3.0), (5, None, 1, 9.0, 9.0),
                                 (6, 2, 0, None, 1.0)], "id int, label int, fold int, a double, b double")
