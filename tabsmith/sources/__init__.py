@@ -16,41 +16,61 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from tabsmith.functions import NA_VALUES, normalize_nan
+from tabsmith.functions import NA_VALUES, column, normalize_nan
 
 
 def _paths(paths) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
+#: The line of a record that does not fit its columns.
+_BROKEN = "__broken_record"
+
 # One dialect for reading and writing: doubled quotes, blanks kept, "" for an empty text.
 CSV_OPTIONS = dict(quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
+# What counts as a number when no schema says so: no type suffixes, no hexadecimal floats.
+_WHOLE = r"^[+-]?[0-9]+$"
+_NUMBER = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
+
+
 def _typed(df: DataFrame) -> DataFrame:
-    """Text columns as bigint or double where every present value is one (one aggregate, one row back)."""
-    kinds = ("bigint", "double")
-    bad = df.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(k).isNull()).alias(f"{k}{i}")
-                   for i, c in enumerate(df.columns) for k in kinds],
-                 *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(df.columns)]).first()
+    """Text columns as bigint or double where every present value is written as one (one aggregate, one row back)."""
+    kinds = {"bigint": _WHOLE, "double": _NUMBER}
+    fits = lambda c, k: column(c).rlike(kinds[k]) & column(c).try_cast(k).isNotNull()
+    bad = df.agg(*[F.count_if(column(c).isNotNull() & ~fits(c, k)).alias(f"{k}{i}") for i, c in enumerate(df.columns) for k in kinds],
+                 *[F.count(column(c)).alias(f"n{i}") for i, c in enumerate(df.columns)]).first()
     out = []
     for i, c in enumerate(df.columns):
         kind = next((k for k in kinds if bad[f"n{i}"] and bad[f"{k}{i}"] == 0), "string")
-        out.append(F.col(f"`{c}`").try_cast(kind).alias(c))
+        out.append(column(c).try_cast(kind).alias(c))
     return df.select(out)
 
 
+def _whole_records(reader, schema: T.StructType, paths: list[str]) -> DataFrame:
+    """One record a line; a value that goes on over a line break is an error that says what to do."""
+    raw = reader.schema(T.StructType([*schema.fields, T.StructField(_BROKEN, T.StringType())])).option(
+        "columnNameOfCorruptRecord", _BROKEN).csv(paths)
+    quotes = F.length(F.regexp_replace(F.col(_BROKEN), '[^"]', ""))
+    error = F.raise_error(F.concat(F.lit("a quoted value holds a line break, read with multiline=True: "), F.col(_BROKEN)))
+    # the scan wants a column of the file beside the broken record, also for a plain count
+    some = F.coalesce(F.length(column(schema.fields[0].name)), F.lit(0)) >= 0
+    return raw.where(F.when(F.col(_BROKEN).isNotNull() & (quotes % 2 == 1), error).otherwise(some)).drop(_BROKEN)
+
+
 def read_table(spark: SparkSession, paths: str | Sequence[str],
                schema: T.StructType | str | None = None, fmt: str | None = None,
-               na_values: Iterable[str] = NA_VALUES, header: bool = True, multiline: bool = True) -> DataFrame:
+               na_values: Iterable[str] = NA_VALUES, header: bool = True, multiline: bool = False) -> DataFrame:
     """SRC1: read a parquet / CSV / JSON table.
 
     ``paths`` may be a list of candidates: the first that exists is read.
     For CSV, every value in ``na_values`` becomes NULL before typing; without
     a schema a column whose values are all whole numbers becomes bigint, all
-    numbers double, anything else stays text.  Quotes are doubled inside quoted
-    values, which may hold line breaks (``multiline=False`` forbids them, so
-    that one large file can be split between tasks).
+    numbers double, anything else stays text (``1d`` and ``0x1p3`` are texts).
+    Quotes are doubled inside quoted values.  A large file is split between
+    tasks; that presumes one record a line, and a quoted line break is an error
+    unless ``multiline=True`` reads each file in one task.
     """
     ps = _paths(paths)
     for p in ps[:-1]:
@@ -77,13 +97,13 @@ def read_table(spark: SparkSession, paths: str | Sequence[str],
     if schema is not None:
         text_schema = T.StructType([T.StructField(f.name, T.StringType(), True)
                                     for f in schema.fields])
-        raw = reader.schema(text_schema).csv(ps)
     else:
-        raw = reader.csv(ps)
+        text_schema = reader.csv(ps).schema     # the header's names, all text
+    raw = reader.schema(text_schema).csv(ps) if multiline or not text_schema.fields else _whole_records(reader, text_schema, ps)
     na = list(na_values)
     cols = []
     for f in raw.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = column(f.name)
         cleaned = F.when(c.isin(na), F.lit(None)).otherwise(c)
         target = None
         if schema is not None:

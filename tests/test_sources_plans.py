@@ -100,11 +100,45 @@ def test_csv_keeps_quotes_breaks_and_blanks(spark, tmp_path):
     df = spark.createDataFrame(rows, "id long, s string, x double")
     path = str(tmp_path / "q.csv")
     S.write_table(df, path, fmt="csv")
-    back = S.read_table(spark, [str(tmp_path / "absent.csv"), path, str(tmp_path / "never.csv")], fmt="csv")
+    back = S.read_table(spark, [str(tmp_path / "absent.csv"), path, str(tmp_path / "never.csv")], fmt="csv", multiline=True)
     assert [t for _, t in back.dtypes] == ["bigint", "string", "double"]
     assert sorted(map(tuple, back.collect())) == rows
 
 
+def test_csv_types_by_pattern(spark, tmp_path):
+    """Type suffixes and other Java spellings stay text; infinities and exponents are numbers."""
+    rows = [("1d", "1", "1.5", "0x1p3", "inf", "99999999999999999999", "1_0"), ("2f", "+2", "2e3", "1", "-Infinity", "1", "2"),
+            ("3D", "-3", ".5", None, "3.", None, "3")]
+    names = ["suffix", "whole", "number", "hexa", "inf", "long", "grouped"]
+    path = str(tmp_path / "t.csv")
+    S.write_table(spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names)), path, fmt="csv")
+    back = S.read_table(spark, path, fmt="csv")
+    assert dict(back.dtypes) == {"suffix": "string", "whole": "bigint", "number": "double", "hexa": "string", "inf": "double",
+                                 "long": "double", "grouped": "string"}
+    assert sorted(r.suffix for r in back.collect()) == ["1d", "2f", "3D"]
+    assert sorted(r.inf for r in back.collect()) == [float("-inf"), 3.0, float("inf")]
+
+
+def test_csv_is_split_between_tasks(spark, tmp_path):
+    import pytest
+    path = str(tmp_path / "big.csv")
+    S.write_table(spark.range(60_000).select("id", F.lit('a "b", c').alias("s")).repartition(1), path, fmt="csv")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        back = S.read_table(spark, path, fmt="csv", schema="id long, s string")
+        assert back.rdd.getNumPartitions() > 2
+        assert back.count() == 60_000 and back.select("s").distinct().collect()[0].s == 'a "b", c'
+        assert back.where("id IS NULL").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    broken = str(tmp_path / "broken.csv")
+    S.write_table(spark.createDataFrame([(1, "two\nlines"), (2, "x")], "id long, s string"), broken, fmt="csv")
+    with pytest.raises(Exception, match="multiline=True"):
+        S.read_table(spark, broken, fmt="csv", schema="id long, s string").collect()
+    assert S.read_table(spark, broken, fmt="csv", multiline=True).count() == 2
+
+
 def test_domains_of_any_size(spark, tmp_path):
     df = spark.range(1500).select(F.concat(F.lit("v"), "id").alias("v"), "id")
     doc = P.domain_document(df).withColumnRenamed("column_name", "column")
