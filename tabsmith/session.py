@@ -117,4 +117,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     with _free_shuffles(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing will read again: what was made of them is written itself.
+
+    Frames that are still lazily built on them must not be used afterwards."""
+    for table in tables:
+        path = getattr(table, "_written_path", None)
+        if path:
+            jvm = table.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
