@@ -20,19 +20,23 @@ Candidates are checked exactly and without all pairs of a group:
 2. every bucket (one signature) compares its members with one pivot;
 3. components of those links are taken; a bucket whose other members now lie in
    one component needs nothing more;
-4. in the other buckets members of different components are compared, hot
-   buckets in blocks: every pair of blocks is a join key of its own, so no key
-   has more rows than two blocks.  The join condition holds the size ratio, a
-   256-bit parity sketch whose distance never exceeds the true difference, and
-   the eight signatures before the shared one, so only near pairs leave the
-   join, and not once for each bucket they share;
+4. in the other buckets the members outside the largest component are compared
+   with all members of other components, in blocks: every pair of blocks is a
+   join key of its own, so no key has more rows than two blocks, and a cluster
+   is not compared with itself for the sake of an outsider.  The join condition
+   holds the size ratio, a 256-bit parity sketch whose distance never exceeds
+   the true difference, and the eight open buckets of each side before the
+   shared one, so only near pairs leave the join, and not once for each bucket
+   they share;
 5. a 2048-bit sketch settles most remaining pairs, the texts decide the rest:
    first each set against its smallest near partner, then the pairs whose ends
    still lie in different components.
 
-Every step is a shuffle by signature or set id over narrow rows; texts travel
-only for the sets of pairs that both sketches let pass, and are read again from
-the input for the signatures of step 4.
+Every step is a shuffle by signature or set id over narrow rows.  The pivot of a
+signature is a partial aggregate, so a signature that a third of all sets share
+is no group of one task; signatures that one set alone has are dropped before
+anything else.  Texts travel only for the sets of pairs that both sketches let
+pass.  A written table is deleted when the one made of it is written.
 """
 
 from __future__ import annotations
@@ -47,14 +51,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsmith.llm.textops import _M1, mix, shingle_sets, signed, slices
-from tabsmith.session import written
+from tabsmith.session import release, written
 
 #: A side of a join is broadcast only if it has at most so many narrow rows.
 BROADCAST_ROWS = 200_000
 #: Members of one bucket that are compared with as many others in one task.
 BLOCK = 4096
-#: A pair of one bucket is passed over if it agrees on one of so many earlier signatures.
+#: A pair of one bucket is passed over if both sides have one of so many earlier open buckets in common.
 BEFORE = 8
+#: Ids of sets that a task remembers to emit copies once; beyond it starts anew, ``distinct`` settles the rest.
+REMEMBERED = 200_000
+#: Bytes of text that a task unpacks at once.
+UNPACKED = 1 << 20
 #: Bits of the sketch that pairs are checked with before their texts.
 WIDE_BITS = 2048
 _SKETCH = ["s0", "s1", "s2", "s3"]
@@ -126,9 +134,23 @@ def pack_texts(column: pa.Array) -> pa.Array:
     return pa.array([plan.compress((t or "").encode("utf-8")) for t in column.to_pylist()], pa.binary())
 
 
-def unpack_texts(column: pa.Array) -> pa.Array:
+def unpacked(batch: pa.RecordBatch, column: str):
+    """``(row slice, texts)`` in pieces of about ``UNPACKED`` bytes of text, however small they were packed."""
     plan = zstandard.ZstdDecompressor()
-    return pa.array([plan.decompress(t).decode("utf-8") for t in column.to_pylist()], pa.large_string())
+    texts, size, start = [], 0, 0
+    for i, t in enumerate(batch.column(column).to_pylist(), 1):
+        texts.append(plan.decompress(t))
+        size += len(texts[-1])
+        if size >= UNPACKED or i == batch.num_rows:
+            yield batch.slice(start, i - start), pa.array([x.decode("utf-8") for x in texts], pa.large_string())
+            texts, size, start = [], 0, i
+
+
+def fresh(seen: set, ids: list) -> list[int]:
+    """Places of the ids that were not seen before; ``seen`` stays bounded."""
+    if len(seen) > REMEMBERED:
+        seen.clear()
+    return [i for i, x in enumerate(ids) if x is not None and not (x in seen or seen.add(x))]
 
 
 def join_checked(left: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
@@ -150,13 +172,17 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = (both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("c").alias("m"))
                 .select(F.col("a").alias("id"), "m"))
-        step = labels.join(near, "id").select("id", F.col("c").alias("old"), F.least("c", "m").alias("c"))
+        step = labels.select("id", "c").join(near, "id").select("id", F.col("c").alias("old"), F.least("c", "m").alias("c"))
         up = labels.select(F.col("id").alias("c"), F.col("c").alias("top"))
         new = written(step.join(up, "c", "left")
                       .select("id", "old", F.least("c", F.coalesce("top", "c")).alias("c")), "labels")
-        labels = new.select("id", "c")
+        release(labels)
+        labels = new
         if new.filter(F.col("old") != F.col("c")).limit(1).count() == 0:
-            return labels
+            release(both)
+            done = new.select("id", "c")
+            done._written_path = new._written_path
+            return done
 
 
 def _ratio(percent: int, a: str, b: str):
@@ -206,12 +232,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for part in slices(batch, "text"):
                 found = []
-                for s in shingle_sets(part.column("text"), width):
-                    own_id = set_id(s) if len(s) else None
-                    if own_id is not None and int(own_id) not in met:
-                        met.add(int(own_id))
-                        sig, emit = signatures(s, edges, params, n2, subsets)
-                        found.append((own_id, sig[emit]))
+                sets = [s for s in shingle_sets(part.column("text"), width) if len(s)]
+                own = [set_id(s) for s in sets]
+                for i in fresh(met, [int(x) for x in own]):
+                    sig, emit = signatures(sets[i], edges, params, n2, subsets)
+                    found.append((own[i], sig[emit]))
                 if found:
                     sid = np.repeat(np.array([f[0] for f in found], np.uint64), [len(f[1]) for f in found])
                     yield pa.RecordBatch.from_arrays(
@@ -225,17 +250,18 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = written(docs.mapInArrow(to_sets, schema), "sets")
 
     # buckets with at least two different sets, each row with the bucket's pivot
-    bucket = Window.partitionBy("sig")
-    multi = written(docs.select("text").mapInArrow(to_signatures, "sig long, sid long")
-                    .withColumn("piv", F.min("sid").over(bucket)).withColumn("top", F.max("sid").over(bucket))
-                    .filter("piv < top").drop("top").distinct(), "buckets")
+    rows = docs.select("text").mapInArrow(to_signatures, "sig long, sid long")
+    shared = written(rows.groupBy("sig").agg(F.min("sid").alias("piv"), F.max("sid").alias("top"))
+                     .filter("piv < top").select("sig", "piv"), "shared")
+    multi = written(join_checked(rows, shared, "sig").distinct(), "buckets")
+    release(shared)
 
     # the candidates' sizes, sketches and the row that has their text
     wanted = multi.select("sid").distinct()
-    info = written(sets.join(wanted, "sid").groupBy("sid").agg(
+    candidates = written(sets.join(wanted, "sid").groupBy("sid").agg(
         F.min(F.struct("id", "hash")).alias("rep"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in [*_SKETCH, "wide"])), "candidates")
-    wide = info.select("sid", "n", "wide")
-    info = info.drop("wide")
+    wide = candidates.select("sid", "n", "wide")
+    info = candidates.drop("wide")
 
     def with_text(of: DataFrame) -> DataFrame:
         """``of`` (a written narrow table with ``rep``) with the texts; a repeated row comes as often."""
@@ -245,26 +271,28 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def first_texts(batches):
         met: set[int] = set()                # of repeated rows one is enough
         for batch in batches:
-            sid = batch.column("sid").to_pylist()
-            new = [i for i, x in enumerate(sid) if not (x in met or met.add(x))]
+            new = fresh(met, batch.column("sid").to_pylist())
             for part in slices(batch.take(pa.array(new, pa.int64())), "text"):
                 yield pa.RecordBatch.from_arrays([part.column("sid"), pack_texts(part.column("text"))], ["sid", "text"])
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-        return written(with_text(written(info.select("sid", "rep").join(ends, "sid"), "ends"))
-                       .mapInArrow(first_texts, "sid long, text binary").dropDuplicates(["sid"]), "texts")
+        ends = written(info.select("sid", "rep").join(ends, "sid"), "ends")
+        out = written(with_text(ends).mapInArrow(first_texts, "sid long, text binary").dropDuplicates(["sid"]), "texts")
+        release(ends)
+        return out
 
     def verify(batches):
         last: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, "text_b"):
+            for part, texts in unpacked(batch, "text_b"):
                 a, b = part.column("a").to_numpy(), part.column("b").to_numpy()
-                other = shingle_sets(unpack_texts(part.column("text_b")), width)
+                other = shingle_sets(texts, width)
                 keep = np.zeros(len(a), bool)
                 for i, x in enumerate(a.tolist()):
                     if x not in last:
-                        last = {x: shingle_sets(unpack_texts(part.column("text_a").slice(i, 1)), width)[0]}
+                        _, own = next(unpacked(part.slice(i, 1), "text_a"))
+                        last = {x: shingle_sets(own, width)[0]}
                     both = len(np.intersect1d(last[x], other[i], assume_unique=True))
                     keep[i] = 100 * both >= percent * (len(last[x]) + len(other[i]) - both)
                 yield pa.RecordBatch.from_arrays(
@@ -295,12 +323,18 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         texts = texts_of(pairs)
         tried = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         found = proven(tried, texts)
-        comp = components(found if comp is None else edges_of(comp).union(found))
-        ends = [comp.select(F.col("id").alias(k), F.col("c").alias(f"c_{k}")) for k in "ab"]
+        first = components(found if comp is None else edges_of(comp).union(found))
+        release(found, *([] if comp is None else [comp]))
+        ends = [first.select(F.col("id").alias(k), F.col("c").alias(f"c_{k}")) for k in "ab"]
         apart = written(pairs.join(ends[0], "a", "left").join(ends[1], "b", "left")
                         .filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
                         .join(tried, ["a", "b"], "left_anti"), "apart")
-        return components(edges_of(comp).union(proven(apart, texts)))
+        release(pairs)
+        more = proven(apart, texts)
+        release(apart, texts)
+        out = components(edges_of(first).union(more))
+        release(first, more)
+        return out
 
     def named(prefix: str, key: str) -> DataFrame:
         return info.select(F.col("sid").alias(key), *(F.col(c).alias(f"{prefix}{c}") for c in ["n", *_SKETCH]))
@@ -311,63 +345,42 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     comp = links(star)
 
     # buckets whose members, the pivot apart, lie in more than one component
-    rest = (multi.filter("sid <> piv")
+    rest = (multi.filter("sid <> piv").select("sig", "sid")
             .join(comp.withColumnRenamed("id", "sid"), "sid", "left")
             .withColumn("c", F.coalesce("c", "sid")))
-    open_ = written(rest.groupBy("sig").agg(
-        F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.first("piv").alias("piv"))
-        .filter("lo < hi").select("sig", "piv", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "open")
-    # what a member brings to the comparison is joined once per set, not once per signature
-    own = ["sid", "c", "n", *_SKETCH]
-    members = written(rest.join(open_.select("sig"), "sig", "left_semi").select("sid", "c").distinct()
-                      .join(info, "sid"), "members")
-
-    def to_ordered(batches):
-        # a signature and the ones just before it: a pair that agrees there too was met before
-        met: set[int] = set()
-        for batch in batches:
-            sid = batch.column("sid").to_pylist()
-            new = [i for i, x in enumerate(sid) if not (x in met or met.add(x))]
-            for part in slices(batch.take(pa.array(new, pa.int64())), "text"):
-                found = []
-                for s in shingle_sets(part.column("text"), width):
-                    sig, emit = signatures(s, edges, params, n2, subsets)
-                    before = np.zeros((len(sig), BEFORE), np.int64)
-                    known = np.zeros((len(sig), BEFORE), bool)
-                    for j in range(min(BEFORE, len(sig))):
-                        before[j + 1:, j], known[j + 1:, j] = signed(sig)[:-j - 1], emit[:-j - 1]
-                    found.append((signed(sig)[emit], before[emit], known[emit]))
-                if found:
-                    at = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-                    sig, before, known = (np.concatenate(x) for x in zip(*found))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(sig), *(part.column(c).take(at) for c in own),
-                         *(pa.array(np.ascontiguousarray(before[:, j]), mask=~known[:, j]) for j in range(BEFORE))],
-                        ["sig", *own, *past])
-
-    past = [f"p{j}" for j in range(BEFORE)]
-    again = with_text(members).mapInArrow(
-        to_ordered, ", ".join(f"{c} long" for c in ["sig", *own, *past]))
-    again = written(join_checked(again, open_, "sig").filter("sid <> piv").drop("piv").distinct()
-                    .withColumn("at", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")), "open")
-    values = ["n", "c", *_SKETCH, *past]
-    # a pair of blocks (low, high) is one key: the left side is block low, the right side block high
-    left = again.select(F.col("sig").alias("l_sig"), F.col("sid").alias("a"), *(F.col(c).alias(f"l_{c}") for c in values),
-                        F.col("at").alias("l_low"), F.explode(F.sequence("at", F.col("blocks") - 1)).alias("l_high"))
-    right = again.select(F.col("sig").alias("r_sig"), F.col("sid").alias("b"), *(F.col(c).alias(f"r_{c}") for c in values),
-                         F.explode(F.sequence(F.lit(0), F.col("at"))).alias("r_low"), F.col("at").alias("r_high"))
-    met = F.lit(False)
-    for c in past:
-        met = met | F.coalesce(F.col(f"l_{c}") == F.col(f"r_{c}"), F.lit(False))
-    cross = (left.join(right, (F.col("l_sig") == F.col("r_sig")) & (F.col("l_low") == F.col("r_low"))
-                       & (F.col("l_high") == F.col("r_high")) & ((F.col("l_low") < F.col("r_high")) | (F.col("a") < F.col("b")))
-                       & (F.col("l_c") != F.col("r_c")) & close & ~met)
+    parts = written(rest.groupBy("sig", "c").agg(F.count("*").alias("m")), "parts")
+    # one row a bucket: its members, and its largest component
+    open_ = written(parts.groupBy("sig").agg(F.sum("m").alias("m"), F.count("*").alias("n"),
+                                             F.max(F.struct("m", "c")).alias("top"))
+                    .filter("n > 1").select("sig", F.col("top.c").alias("big"),
+                                            F.ceil(F.col("m") / BLOCK).cast("int").alias("all_blocks"),
+                                            F.ceil((F.col("m") - F.col("top.m")) / BLOCK).cast("int").alias("few_blocks")), "open")
+    release(parts)
+    # a set's open buckets in order, each with the ones just before it: a pair that has one of those in common met there
+    before = F.collect_list("sig").over(Window.partitionBy("sid").orderBy("sig").rowsBetween(-BEFORE, -1))
+    members = join_checked(rest, open_, "sig").withColumn("before", before)
+    members = written(members.join(info.drop("rep"), "sid"), "members")
+    release(multi, open_)
+    values = ["n", "c", *_SKETCH, "before"]
+    at = F.xxhash64("sid")
+    left = (members.filter(F.col("c") != F.col("big"))
+            .select("sig", F.col("sid").alias("a"), "big", *(F.col(c).alias(f"l_{c}") for c in values),
+                    F.pmod(at, "few_blocks").alias("low"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("high")))
+    right = members.select(F.col("sig").alias("r_sig"), F.col("sid").alias("b"), *(F.col(c).alias(f"r_{c}") for c in values),
+                           F.explode(F.sequence(F.lit(0), F.col("few_blocks") - 1)).alias("r_low"),
+                           F.pmod(at, "all_blocks").alias("r_high"))
+    once = (F.col("r_c") == F.col("big")) | (F.col("a") < F.col("b"))
+    cross = (left.join(right, (F.col("sig") == F.col("r_sig")) & (F.col("low") == F.col("r_low"))
+                       & (F.col("high") == F.col("r_high")) & (F.col("l_c") != F.col("r_c")) & once
+                       & close & ~F.arrays_overlap("l_before", "r_before"))
              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     comp = links(cross, comp)
+    release(members, candidates)
 
     # the smallest document id of each component, back on every document
     placed = written(sets.select("id", "n", "sid").join(comp.withColumnRenamed("id", "sid"), "sid", "left")
                      .select("id", "n", F.coalesce("c", "sid").alias("c")), "placed")
+    release(sets, comp)
     least = placed.filter("c is not null").groupBy("c").agg(F.min("id").alias("least"))
     return (placed.join(least, "c", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),

@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -374,6 +375,41 @@ def test_jaccard_repeated_and_null_ids(spark):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("block", [5, 4096])
+def test_jaccard_cluster_and_outsiders(spark, monkeypatch, block):
+    """A cluster of near copies, outsiders that share much with it without linking, and a second cluster beside it."""
+    monkeypatch.setattr(partenum, "BLOCK", block)
+    monkeypatch.setattr(partenum, "REMEMBERED", 3)
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(200)]
+
+    def edit(n, base=words):
+        mine = list(base)
+        for at in rng.permutation(len(mine))[:n]:
+            mine[at] = f"e{rng.integers(0, 10**9)}"
+        return " ".join(mine)
+
+    second = edit(16).split()
+    texts = [edit(1) for _ in range(60)] + [edit(14) for _ in range(8)] + [edit(1, second) for _ in range(30)] + [edit(30) for _ in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in partenum.ngram_jaccard_join(docs).collect()}
+    want = components_brute(texts, 4, 85)
+    assert got == dict(enumerate(want)) and len({c for _, c in want}) > 3
+
+
+def test_packed_texts_are_unpacked_in_pieces():
+    """Texts that pack a thousandfold come back a bounded amount at a time."""
+    texts = ["one line of text\n" * 20_000, "", "x", "one line of text\n" * 20_000, "é" * 700_000, "end"] * 3
+    batch = pa.RecordBatch.from_arrays([partenum.pack_texts(pa.array(texts)), pa.array(range(len(texts)))], ["text", "id"])
+    assert sum(len(t) for t in batch.column("text").to_pylist()) < 20_000
+    got, ids = [], []
+    for part, some in partenum.unpacked(batch, "text"):
+        assert part.num_rows == len(some) and sum(map(len, some.to_pylist()[:-1])) < partenum.UNPACKED
+        got += some.to_pylist()
+        ids += part.column("id").to_pylist()
+    assert got == texts and ids == list(range(len(texts)))
+
+
 def test_signatures_share_one():
     """Sets at the similarity limit always share an emitted signature."""
     rng = np.random.default_rng(5)
