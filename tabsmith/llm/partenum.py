@@ -59,6 +59,9 @@ BROADCAST_ROWS = 200_000
 BLOCK = 4096
 #: A pair of one bucket is passed over if both sides have one of so many earlier open buckets in common.
 BEFORE = 8
+#: Above so many members the open buckets are compared in rounds, each with a share of the buckets: the rows
+#: that a round brings together, and the disk they take, are that share.
+ROUND_ROWS, ROUNDS = 1_000_000, 4
 #: Ids of sets that a task remembers to emit copies once; beyond it starts anew, ``distinct`` settles the rest.
 REMEMBERED = 200_000
 #: Bytes of text that a task unpacks at once.
@@ -356,26 +359,35 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                                             F.ceil(F.col("m") / BLOCK).cast("int").alias("all_blocks"),
                                             F.ceil((F.col("m") - F.col("top.m")) / BLOCK).cast("int").alias("few_blocks")), "open")
     release(parts)
-    # a set's open buckets in order, each with the ones just before it: a pair that has one of those in common met there
-    before = F.collect_list("sig").over(Window.partitionBy("sid").orderBy("sig").rowsBetween(-BEFORE, -1))
-    members = join_checked(rest, open_, "sig").withColumn("before", before)
-    members = written(members.join(info.drop("rep"), "sid"), "members")
+    members = written(join_checked(rest, open_, "sig"), "members")
     release(multi, open_)
-    values = ["n", "c", *_SKETCH, "before"]
-    at = F.xxhash64("sid")
-    left = (members.filter(F.col("c") != F.col("big"))
-            .select("sig", F.col("sid").alias("a"), "big", *(F.col(c).alias(f"l_{c}") for c in values),
-                    F.pmod(at, "few_blocks").alias("low"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("high")))
-    right = members.select(F.col("sig").alias("r_sig"), F.col("sid").alias("b"), *(F.col(c).alias(f"r_{c}") for c in values),
-                           F.explode(F.sequence(F.lit(0), F.col("few_blocks") - 1)).alias("r_low"),
-                           F.pmod(at, "all_blocks").alias("r_high"))
+    rounds = ROUNDS if members.count() > ROUND_ROWS else 1
+    # a set's buckets in order, each with the ones just before it: a pair that has one of those in common met there
+    before = F.collect_list("sig").over(Window.partitionBy("sid").orderBy("sig").rowsBetween(-BEFORE, -1))
+    values, at = ["n", "c", *_SKETCH, "before"], F.xxhash64("sid")
     once = (F.col("r_c") == F.col("big")) | (F.col("a") < F.col("b"))
-    cross = (left.join(right, (F.col("sig") == F.col("r_sig")) & (F.col("low") == F.col("r_low"))
-                       & (F.col("high") == F.col("r_high")) & (F.col("l_c") != F.col("r_c")) & once
-                       & close & ~F.arrays_overlap("l_before", "r_before"))
-             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = []
+    for k in range(rounds):
+        some = members.filter(F.pmod(F.xxhash64("sig"), F.lit(rounds)) == k).withColumn("before", before)
+        some = written(some.join(info.drop("rep"), "sid"), "round")
+        left = (some.filter(F.col("c") != F.col("big"))
+                .select("sig", F.col("sid").alias("a"), "big", *(F.col(c).alias(f"l_{c}") for c in values),
+                        F.pmod(at, "few_blocks").alias("low"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("high")))
+        right = some.select(F.col("sig").alias("r_sig"), F.col("sid").alias("b"), *(F.col(c).alias(f"r_{c}") for c in values),
+                            F.explode(F.sequence(F.lit(0), F.col("few_blocks") - 1)).alias("r_low"),
+                            F.pmod(at, "all_blocks").alias("r_high"))
+        found.append(written(left.join(
+            right, (F.col("sig") == F.col("r_sig")) & (F.col("low") == F.col("r_low")) & (F.col("high") == F.col("r_high"))
+            & (F.col("l_c") != F.col("r_c")) & once & close & ~F.arrays_overlap("l_before", "r_before"))
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cross"))
+        release(some)
+    release(members)
+    cross = found[0]
+    for more in found[1:]:
+        cross = cross.union(more)
+    cross = cross.distinct()
     comp = links(cross, comp)
-    release(members, candidates)
+    release(candidates, *found)
 
     # the smallest document id of each component, back on every document
     placed = written(sets.select("id", "n", "sid").join(comp.withColumnRenamed("id", "sid"), "sid", "left")
