@@ -302,11 +302,25 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     [pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
     def near(pairs: DataFrame) -> DataFrame:
-        # the wide sketch settles most pairs before any text is moved
+        # the wide sketch settles most pairs before any text is moved; many pairs take several rounds
         ends = [wide.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), F.col("wide").alias(f"wide_{k}")) for k in "ab"]
         bits = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        return written(pairs.join(ends[0], "a").join(ends[1], "b").filter(
-            bits * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b"), "pairs")
+        pairs = written(pairs, "candidate-pairs")
+        rounds = ROUNDS if pairs.count() > ROUND_ROWS else 1
+        kept = []
+        for k in range(rounds):
+            some = pairs.filter(F.pmod(F.xxhash64("a"), F.lit(rounds)) == k)
+            kept.append(written(some.join(ends[0], "a").join(ends[1], "b").filter(
+                bits * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b"), "pairs"))
+        release(pairs)
+        if rounds == 1:
+            return kept[0]
+        out = kept[0]
+        for more in kept[1:]:
+            out = out.union(more)
+        out = written(out, "pairs")
+        release(*kept)
+        return out
 
     def proven(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         of = texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
