@@ -1,7 +1,7 @@
 """Chat formatting in Spark expressions only.
 
 Turns are collected per conversation as structs and sorted, adjacent turns of
-one role are merged by an array aggregation, and the blocks are concatenated:
+one role are merged by array functions (each block is one slice), and the blocks are concatenated:
 
     <s>[ROLE]user[/ROLE]first text[TURN]second text</s><s>[ROLE]assistant[/ROLE]answer</s>
 
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabsmith.llm.arrays import let, running, texts_at
+
 #: Control strings of the template and their codes inside texts; the first is the escape sign.
 CONTROL = [("~", "~0"), ("<s>", "~1"), ("</s>", "~2"), ("[ROLE]", "~3"), ("[/ROLE]", "~4"), ("[TURN]", "~5"),
            ("[INST]", "~6"), ("[/INST]", "~7")]
@@ -59,15 +61,16 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     chats = chats.select("conv", F.transform("turns", lambda t: F.struct(
         t["role"].alias("role"), escape(t["text"]).alias("text"))).alias("turns"))
 
-    def merge(acc: Column, t: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
-            last["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts"))))
-        new = F.concat(acc, F.array(F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts"))))
-        return F.when((F.size(acc) > 0) & (last["role"] == t["role"]), grown).otherwise(new)
+    def merged(turns: Column) -> Column:
+        # a block begins where the role changes; its texts are the slice up to the next one
+        places = F.sequence(F.lit(0), F.size(turns) - 1)
+        new = F.filter(places, lambda i: (i == 0) | (F.get(turns, i)["role"] != F.get(turns, i - 1)["role"]))
+        return let(new, lambda first: F.transform(first, lambda i, k: F.struct(
+            F.get(turns, i)["role"].alias("role"),
+            F.transform(F.slice(turns, i + 1, F.coalesce(F.get(first, k + 1), F.size(turns)) - i),
+                        lambda t: t["text"]).alias("texts"))))
 
-    blocks = F.aggregate("turns", F.array().cast("array<struct<role:string,texts:array<string>>>"), merge)
-    chats = chats.select("conv", blocks.alias("blocks"))
+    chats = chats.select("conv", let(F.col("turns"), merged).alias("blocks"))
     # template and text pieces in order; a piece under the loss is marked
     chats = chats.select("conv", F.flatten(F.transform("blocks", lambda b: F.concat(
         F.array(F.struct(F.concat(F.lit(OPEN + ROLE), escape(b["role"]), F.lit(END_ROLE)).alias("s"),
@@ -77,15 +80,14 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
             F.struct(t.alias("s"), (b["role"] == learn).alias("m"))))),
         F.array(F.struct(F.lit(CLOSE).alias("s"), F.lit(False).alias("m")))))).alias("pieces"))
 
-    def place(acc: Column, p: Column) -> Column:
-        stop = acc["at"] + F.length(p["s"])
-        here = F.array(F.struct(acc["at"].alias("start"), stop.alias("stop")))
-        return F.struct(stop.alias("at"), F.when(p["m"], F.concat(acc["spans"], here))
-                        .otherwise(acc["spans"]).alias("spans"))
+    def placed(pieces: Column) -> Column:
+        stops = running(F.transform(pieces, lambda p: F.length(p["s"])))
+        at = let(stops, lambda stop: F.transform(pieces, lambda p, i: F.struct(
+            F.coalesce(F.get(stop, i - 1), F.lit(0)).alias("start"), F.get(stop, i).alias("stop"), p["m"].alias("m"))))
+        return F.transform(F.filter(at, lambda x: x["m"]), lambda x: F.struct(
+            x["start"].alias("start"), x["stop"].alias("stop")))
 
-    spans = F.aggregate("pieces", F.struct(
-        F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("spans")),
-        place, lambda a: a["spans"])
+    spans = let(F.col("pieces"), placed)
     return chats.select(
         F.col("conv").alias(conv_col), F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"),
         spans.alias("loss_spans"))
@@ -102,5 +104,4 @@ def read_turns(formatted: Column) -> Column:
 
 def read_loss(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped, nothing between the spans."""
-    return F.array_join(F.transform(spans, lambda s: unescape(
-        F.substring(formatted, s["start"] + 1, s["stop"] - s["start"]))), "")
+    return F.array_join(F.transform(texts_at(formatted, spans), unescape), "")

@@ -16,8 +16,8 @@ secret (an assignment, a hex run or a weak key) does.  Work is linear in the
 candidates, and one scope never holds more than one document.
 
 Positions come from the regular expression itself: each match is taken with the
-gap before it, and running sums of the lengths give starts and ends in code
-points.
+gap before it, and running sums of the lengths (taken in blocks, so a text with
+very many matches is no quadratic row) give starts and ends in code points.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabsmith.llm.arrays import let, running, texts_at
 from tabsmith.session import written
 
 #: Fixed patterns of the base kinds, in the order in which kinds are listed.
@@ -51,16 +52,15 @@ def _matches(text: Column, pattern: str, kind: str, quick: Column, least: int =
     parts = F.arrays_zip(*(F.transform(F.regexp_extract_all(text, F.lit(whole), F.lit(g)), F.length).alias(n)
                            for g, n in ((1, "gap"), (2, "head"), (3, "tail"))))
 
-    def add(acc: Column, p: Column) -> Column:
-        start = acc["at"] + p["gap"]
-        stop = start + p["head"] + p["tail"]
-        here = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), stop.alias("stop")))
-        return F.struct(stop.alias("at"), F.when(p["tail"] >= least, F.concat(acc["found"], here))
-                        .otherwise(acc["found"]).alias("found"))
+    def placed(found: Column) -> Column:
+        stops = running(F.transform(found, lambda p: p["gap"] + p["head"] + p["tail"]))
+        return let(stops, lambda at: F.transform(found, lambda p, i: F.struct(
+            F.lit(kind).alias("kind"), (F.get(at, i) - p["tail"] - p["head"]).alias("start"), F.get(at, i).alias("stop"),
+            p["tail"].alias("tail"))))
 
-    none = F.array().cast(_SPAN)
-    spans = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("found")), add, lambda a: a["found"])
-    return F.when(quick, spans).otherwise(none)
+    spans = F.transform(F.filter(let(parts, placed), lambda p: p["tail"] >= least),
+                        lambda p: F.struct(p["kind"].alias("kind"), p["start"].alias("start"), p["stop"].alias("stop")))
+    return F.when(quick, spans).otherwise(F.array().cast(_SPAN))
 
 
 def find_parts(docs: DataFrame, text_col: str, out_col: str = "parts") -> DataFrame:
@@ -118,15 +118,18 @@ def _linked(rows: DataFrame, reach: int) -> DataFrame:
     # paragraph of a position: how many blank lines end before it
     breaks = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?s)\G(.*?\n[\x20\t\r]*\n)"), F.lit(1)),
                          F.length)
-    ends = F.aggregate(breaks, F.array().cast("array<int>"), lambda a, n: F.concat(
-        a, F.array(n + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)))))
+    ends = running(breaks)
     found = written(found.select(
         *kept, "parts", F.when(weak, F.sha2(F.concat_ws("\n", F.coalesce(F.col("id").cast("string"), F.lit("")), "text"), 256))
         .alias("key"), F.when(weak, ends).alias("ends")), "parts")
 
+    # blank lines are sorted among the candidates and counted on the way
+    lines = F.transform("ends", lambda e: F.struct(F.lit("").alias("kind"), e.alias("start"), e.alias("stop")))
     each = (found.filter("key is not null").dropDuplicates(["key"])
-            .select("key", "ends", F.explode("parts").alias("p"))
-            .select("key", F.size(F.filter("ends", lambda e: e <= F.col("p.start"))).alias("scope"), "p.*"))
+            .select("key", F.explode(F.concat("parts", lines)).alias("p")).select("key", "p.*")
+            .withColumn("scope", F.count_if(F.col("kind") == "").over(
+                Window.partitionBy("key").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)))
+            .filter("kind <> ''"))
     secret = F.col("kind").isin("assign", "hex", "key")
     other = F.col("kind").isin("access", "ident", "endpoint")
     linked = (each.select("*", _near(secret, reach).alias("by_secret"), _near(other, reach).alias("by_other"))
@@ -160,6 +163,19 @@ def digest(spans: Column) -> Column:
         ":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
+def _merged(spans: Column) -> Column:
+    """Spans, sorted by start, with those that overlap or touch as one (start, stop)."""
+    def joined(spans: Column, reached: Column) -> Column:
+        # a cut begins where a span starts behind all before it, and ends where the spans before the next one reach
+        starts = F.when(F.size(spans) > 0, F.sequence(F.lit(0), F.size(spans) - 1)).otherwise(F.array().cast("array<int>"))
+        new = F.filter(starts, lambda i: F.get(spans, i)["start"] > F.coalesce(F.get(reached, i - 1), F.lit(-1)))
+        return let(new, lambda first: F.transform(first, lambda i, k: F.struct(
+            F.get(spans, i)["start"].alias("start"),
+            F.get(reached, F.coalesce(F.get(first, k + 1), F.size(spans)) - 1).alias("stop"))))
+
+    return let(spans, lambda s: let(running(F.transform(s, lambda x: x["stop"]), F.greatest), lambda m: joined(s, m)))
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]",
            reach: int = REACH) -> DataFrame:
     """``docs`` with every secret span of ``text_col`` replaced by ``mark``; overlapping spans by one.
@@ -171,19 +187,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
                        F.col(f"`{text_col}`").alias("body"))
     found = _linked(rows, reach)
 
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
-            last["start"].alias("start"), F.greatest(last["stop"], s["stop"]).alias("stop"))))
-        one = F.array(F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
-        return F.when((F.size(acc) > 0) & (F.coalesce(last["stop"], F.lit(-1)) >= s["start"]), joined).otherwise(
-            F.concat(acc, one))
-
-    cuts = F.aggregate("spans", F.array().cast("array<struct<start:int,stop:int>>"), merge)
-    clean = found.select("row", "body", cuts.alias("cuts"))
-    pieces = F.transform(F.sequence(F.lit(0), F.size("cuts")), lambda i: F.col("body").substr(
-        F.coalesce(F.get(F.col("cuts"), i - 1)["stop"], F.lit(0)) + 1,
-        F.coalesce(F.get(F.col("cuts"), i)["start"], F.length("body"))
-        - F.coalesce(F.get(F.col("cuts"), i - 1)["stop"], F.lit(0))))
+    clean = found.select("row", "body", _merged(F.col("spans")).alias("cuts"))
+    size = F.length("body")
+    kept = let(F.col("cuts"), lambda c: let(size, lambda n: F.transform(F.sequence(F.lit(0), F.size(c)), lambda i: F.struct(
+        F.coalesce(F.get(c, i - 1)["stop"], F.lit(0)).alias("start"), F.coalesce(F.get(c, i)["start"], n).alias("stop")))))
+    pieces = texts_at(F.col("body"), kept)
     text = F.when(F.size("cuts") > 0, F.array_join(pieces, mark)).otherwise(F.col("body"))
     return clean.select(*(text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns))
