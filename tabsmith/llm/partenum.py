@@ -30,7 +30,10 @@ Candidates are checked exactly and without all pairs of a group:
    they share;
 5. a 2048-bit sketch settles most remaining pairs, the texts decide the rest:
    first each set against its smallest near partner, then the pairs whose ends
-   still lie in different components.
+   still lie in different components.  Texts are dealt into blocks and meet in
+   pairs of blocks, so a text is moved and read once for each pair of blocks,
+   however many pairs it is in.  (Sketches cannot part long texts, so a few
+   thousand of those make most of these pairs.)
 
 Every step is a shuffle by signature or set id over narrow rows.  The pivot of a
 signature is a partial aggregate, so a signature that a third of all sets share
@@ -66,8 +69,10 @@ ROUND_ROWS, ROUNDS = 1_000_000, 4
 REMEMBERED = 200_000
 #: Bytes of text that a task unpacks at once.
 UNPACKED = 1 << 20
-#: Bits of the sketch that pairs are checked with before their texts.
-WIDE_BITS = 2048
+#: Bits of the sketch that pairs are checked with before their texts, and of the one made of the texts themselves.
+WIDE_BITS, TEXT_BITS = 2048, 1 << 14
+#: A block of texts that a task compares with another: about so many shingles, and so many sets, at most.
+BLOCK_SHINGLES, BLOCK_SETS = 1 << 21, 2048
 _SKETCH = ["s0", "s1", "s2", "s3"]
 
 
@@ -278,28 +283,43 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for part in slices(batch.take(pa.array(new, pa.int64())), "text"):
                 yield pa.RecordBatch.from_arrays([part.column("sid"), pack_texts(part.column("text"))], ["sid", "text"])
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
+    def texts_of(pairs: DataFrame) -> tuple[DataFrame, int]:
+        """The packed texts of both ends, and the number of blocks that they are compared in."""
         ends = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-        ends = written(info.select("sid", "rep").join(ends, "sid"), "ends")
-        out = written(with_text(ends).mapInArrow(first_texts, "sid long, text binary").dropDuplicates(["sid"]), "texts")
+        ends = written(info.select("sid", "rep", "n").join(ends, "sid"), "ends")
+        size = ends.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("sets")).first()
+        out = written(with_text(ends.drop("n")).mapInArrow(first_texts, "sid long, text binary").dropDuplicates(["sid"]), "texts")
         release(ends)
-        return out
+        return out, max(1, -(-size.n // BLOCK_SHINGLES), -(-size.sets // BLOCK_SETS))
 
     def verify(batches):
-        last: dict[int, np.ndarray] = {}
+        """Rows come by pair of blocks, the texts of a pair of blocks before its pairs."""
+        key, known = None, {}                # set id -> its shingles and their sketch
         for batch in batches:
-            for part, texts in unpacked(batch, "text_b"):
-                a, b = part.column("a").to_numpy(), part.column("b").to_numpy()
-                other = shingle_sets(texts, width)
-                keep = np.zeros(len(a), bool)
-                for i, x in enumerate(a.tolist()):
-                    if x not in last:
-                        _, own = next(unpacked(part.slice(i, 1), "text_a"))
-                        last = {x: shingle_sets(own, width)[0]}
-                    both = len(np.intersect1d(last[x], other[i], assume_unique=True))
-                    keep[i] = 100 * both >= percent * (len(last[x]) + len(other[i]) - both)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+            lo, hi, a, b = (batch.column(c).to_pylist() for c in ("lo", "hi", "a", "b"))
+            packed = [x is None for x in b]
+            kept, i = [], 0
+            while i < len(a):
+                if (lo[i], hi[i]) != key:
+                    key, known = (lo[i], hi[i]), {}
+                end = i + 1
+                while end < len(a) and packed[end] == packed[i] and (lo[end], hi[end]) == key:
+                    end += 1
+                if packed[i]:
+                    for part, texts in unpacked(batch.slice(i, end - i), "text"):
+                        for x, s in zip(part.column("a").to_pylist(), shingle_sets(texts, width)):
+                            known[x] = s, sketch(s, TEXT_BITS).view(np.uint64)
+                else:
+                    for x, y in zip(a[i:end], b[i:end]):
+                        (s, s_bits), (t, t_bits) = known[x], known[y]
+                        n = len(s) + len(t)
+                        if int(np.bitwise_count(s_bits ^ t_bits).sum()) * (100 + percent) > n * (100 - percent):
+                            continue
+                        both = len(np.intersect1d(s, t, assume_unique=True))
+                        if 100 * both >= percent * (n - both):
+                            kept.append((x, y))
+                i = end
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in kept], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def near(pairs: DataFrame) -> DataFrame:
         # the wide sketch settles most pairs before any text is moved; many pairs take several rounds
@@ -322,10 +342,15 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         release(*kept)
         return out
 
-    def proven(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        of = texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
-        on = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
-        return written(pairs.join(of, "b").join(on, "a").select("a", "b", "text_a", "text_b")
+    def proven(pairs: DataFrame, texts: tuple[DataFrame, int]) -> DataFrame:
+        """The pairs that link.  A text travels once for each pair of blocks that has a pair with it, not for each pair."""
+        table, blocks = texts
+        lo, hi = (F.pmod(F.xxhash64(c), F.lit(blocks)) for c in "ab")
+        at = pairs.select(F.least(lo, hi).alias("lo"), F.greatest(lo, hi).alias("hi"), "a", "b")
+        ends = at.select("lo", "hi", F.col("a").alias("sid")).union(at.select("lo", "hi", "b")).distinct()
+        both = (ends.join(table, "sid").select("lo", "hi", F.col("sid").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+                .union(at.withColumn("text", F.lit(None).cast("binary"))))
+        return written(both.repartition("lo", "hi").sortWithinPartitions("lo", "hi", F.asc_nulls_first("b"), "a")
                        .mapInArrow(verify, "a long, b long"), "links")
 
     def links(pairs: DataFrame, comp: DataFrame | None = None) -> DataFrame:
@@ -348,7 +373,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                         .join(tried, ["a", "b"], "left_anti"), "apart")
         release(pairs)
         more = proven(apart, texts)
-        release(apart, texts)
+        release(apart, texts[0])
         out = components(edges_of(first).union(more))
         release(first, more)
         return out
