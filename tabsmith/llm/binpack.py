@@ -7,10 +7,12 @@ documents still to come, and the one with the least cost per token filled is
 opened.  At the end every sequence shrinks to the shortest length that holds
 its contents.
 
-Each task packs the rows of its own partition in groups of at most ``GROUP``
-pieces, so memory is bounded, nothing is shuffled and no key can be hot.  A
-document longer than the longest permitted length is cut into pieces of that
-length and a rest; every token is placed exactly once.
+The narrow (id, size) rows are written, counted and dealt in turn to as many
+partitions as make one group of about ``FULL`` pieces each, whatever files the
+documents lie in; a group holds at most ``GROUP`` pieces, so memory is bounded,
+no key can be hot, and unfinished sequences are a few for each group, not for
+each file.  A document longer than the longest permitted length is cut into
+pieces of that length and a rest; every token is placed exactly once.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabsmith.session import written
+
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Cost of a sequence besides its length: the work that each sequence brings.
 OVERHEAD = 32
-#: Pieces that are packed together.
-GROUP = 50_000
+#: Pieces that are packed together at most, and how many a partition is meant to get.
+GROUP, FULL = 50_000, 45_000
 
 
 def word_count(text: Column) -> Column:
@@ -35,13 +39,15 @@ def word_count(text: Column) -> Column:
 
 
 def _fill(room: int, sizes: list[int], left: dict[int, int]) -> int:
-    """Tokens that still fit into ``room``, largest first, from what is left of each size."""
-    used, taken = 0, 0
+    """Tokens that still fit into ``room``, largest first, from what is left of each size.
+
+    The sizes looked at differ and all fit, so there are fewer than sqrt(2 * room) of them.
+    """
+    used = 0
     i = bisect_left(sizes, room - used + 1) - 1
-    while i >= 0 and used < room and taken < 64:
+    while i >= 0 and used < room:
         n = min(left[sizes[i]], (room - used) // sizes[i])
         used += n * sizes[i]
-        taken += 1
         i = min(i - 1, bisect_left(sizes, room - used + 1) - 1)
     return used
 
@@ -94,11 +100,16 @@ def best_fit(docs: DataFrame, id_col: str = "doc_id", size: Column | None = None
       piece of 0 tokens, placed at the start of its group's first bin.
     * Repeated rows and null ids are packed as they are.  Other columns are
       ignored, whatever their names.  Empty input: no rows.
+    * Inside a group rows come by a hash of id and size, so equal sizes are
+      placed alike in every run over the same partitions.
     """
     capacities = sorted(capacities)
     largest = capacities[-1]
     size = word_count(F.col(text_col)) if size is None else size
-    rows = docs.select(F.col(id_col).alias("id"), F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("long").alias("n"))
+    rows = written(docs.select(F.col(id_col).alias("id"),
+                               F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("long").alias("n")), "sizes")
+    pieces = rows.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("n") / largest)))).first()[0] or 0
+    rows = rows.repartition(max(1, -(-int(pieces) // FULL))).sortWithinPartitions(F.xxhash64("id", "n"), "id", "n")
 
     def run(batches):
         part, group = TaskContext.get().partitionId(), 0
