@@ -8,10 +8,15 @@ mapped to a probability by a logistic curve.
 
 The field learns from labelled documents: all lines carry their document's
 label, and the couplings and neighbours sort out the lines that do not fit.
-The sample is bounded by ``max_docs`` documents, chosen by a hash of the id and
-dealt to a few shards; each shard fits its own numpy model in one task and the
-document scores are averaged.  All documents are scored, whole texts, from the
-text alone.
+The sample is bounded by about ``max_docs`` rows that differ in id or text,
+chosen by hashes and dealt to a few shards; each shard fits its own numpy model
+in one task and the document scores are averaged.  All documents are scored,
+whole texts, from the text alone.
+
+The fit minimises the mean over documents of -log P(labels) / lines, so every
+document counts alike, with a ridge.  For the fit alone, documents of more than
+``CHAIN`` lines are cut into chains of so many (every line still teaches, the
+coupling over a cut does not): a step's recursion is then no longer than that.
 """
 
 from __future__ import annotations
@@ -25,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsmith.llm.nnpu import fold
+from tabsmith.llm.nnpu import fold, one_label, share
 from tabsmith.llm.textops import slices
 from tabsmith.session import written
 
 SHARDS = 4
 MAX_DOCS = 6_000
 THRESHOLD = 0.5
+#: Lines of one chain of the fit.
+CHAIN = 512
 _SYMBOLS = "#*$%&|<>"
 _UPPER = re.compile(r"[^\W\d_a-zß-öø-ÿ]")
 _LOCAL = 12
@@ -67,16 +74,19 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return with_neighbours(x), weight
 
 
-def marginals(score: np.ndarray, couple: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def marginals(score: np.ndarray, couple: np.ndarray, length: np.ndarray,
+              share: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """P(good) of every line, summed pair probabilities, and the log partition of all chains.
 
-    ``score`` holds the lines of all documents one after the other, ``length``
-    the lines of each.  The recursions step through all chains at once, longest
-    first, so finished chains drop off the end.
+    ``score`` holds the lines of all chains one after the other, ``length``
+    the lines of each; the two sums weigh each chain by ``share`` (default 1).
+    The recursions step through all chains at once, longest first, so finished
+    chains drop off the end.
     """
     order = np.argsort(-length, kind="stable")
     first = (np.cumsum(length) - length)[order]
     size = length[order]
+    share = (np.ones(len(length)) if share is None else share)[order]
     alpha = np.zeros((len(score), 2))
     beta = np.zeros((len(score), 2))
     node = np.stack([np.zeros_like(score), score], axis=1)
@@ -101,9 +111,9 @@ def marginals(score: np.ndarray, couple: np.ndarray, length: np.ndarray) -> tupl
     for at in reversed(active):
         b = couple[None] + (node[at] + beta[at])[:, None, :]
         beta[at - 1] = np.logaddexp(b[:, :, 0], b[:, :, 1])
-        pair += np.exp(alpha[at - 1][:, :, None] + b - total[at][:, None, None]).sum(axis=0)
+        pair += np.einsum("c,cij->ij", share[:len(at)], np.exp(alpha[at - 1][:, :, None] + b - total[at][:, None, None]))
     good = np.exp(np.minimum(alpha[:, 1] + beta[:, 1] - total, 0))
-    return good, pair, float(z.sum())
+    return good, pair, float(z @ share)
 
 
 def document_logit(good: np.ndarray, weight: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -114,6 +124,33 @@ def document_logit(good: np.ndarray, weight: np.ndarray, length: np.ndarray) ->
     return np.log(mean / (1 - mean))
 
 
+def chains(length: np.ndarray, longest: int = CHAIN) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the chains that documents of ``length`` lines are cut into, and the document of each."""
+    count = -(-length // longest)
+    doc = np.repeat(np.arange(len(length)), count)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    return np.minimum(longest, length[doc] - place * longest), doc
+
+
+def objective(w: np.ndarray, x: np.ndarray, y: np.ndarray, length: np.ndarray, ridge: float,
+              longest: int = CHAIN) -> tuple[float, np.ndarray]:
+    """Mean of -log P(labels) / lines over the documents plus ridge * |w|^2 / 2, and its gradient.
+
+    ``x`` holds the lines' features of all documents, ``y`` the label of each
+    document, ``w`` the weights and the four couplings [from, to].
+    """
+    size, doc = chains(length, longest)
+    share, label = 1 / length[doc] / len(length), y[doc]
+    score, couple = x @ w[:-4], w[-4:].reshape(2, 2)
+    good, pair, z = marginals(score, couple, size, share)
+    truth, each = np.repeat(label, size).astype(np.float64), np.repeat(share, size)
+    joint = np.zeros((2, 2))
+    for v in (0, 1):
+        joint[v, v] = ((size - 1) * share)[label == v].sum()
+    value = z - (each * truth) @ score - (joint * couple).sum() + ridge * (w @ w) / 2
+    return value, np.concatenate([x.T @ ((good - truth) * each), (pair - joint).ravel()]) + ridge * w
+
+
 def fit_crf(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, steps: int = 120, rate: float = 0.1,
             ridge: float = 1e-3) -> np.ndarray:
     """Parameters of one model: feature means, scales, weights, intercept, couplings (4), curve (2)."""
@@ -121,19 +158,10 @@ def fit_crf(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, steps: int
     x, weight = np.vstack([x for x, _ in docs]), np.concatenate([w for _, w in docs])
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     x = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
-    truth = np.repeat(y, length).astype(np.float64)
-    joint = np.zeros((2, 2))
-    for v in (0, 1):
-        joint[v, v] = (length[y == v] - 1).sum()
-    # each document counts alike, however many lines it has
-    share = np.repeat(1 / length, length)
     w = np.zeros(x.shape[1] + 4)
     m, v2 = np.zeros_like(w), np.zeros_like(w)
-    n = len(docs)
     for k in range(1, steps + 1):
-        good, pair, _ = marginals(x @ w[:-4], w[-4:].reshape(2, 2), length)
-        g = np.concatenate([-(x.T @ ((truth - good) * share)) / n,
-                            -((joint - pair) / max(1, length.sum())).ravel()]) + ridge * w
+        _, g = objective(w, x, y, length, ridge)
         m, v2 = 0.9 * m + 0.1 * g, 0.999 * v2 + 0.001 * g * g
         w -= rate * (m / (1 - 0.9 ** k)) / (np.sqrt(v2 / (1 - 0.999 ** k)) + 1e-8)
     good, _, _ = marginals(x @ w[:-4], w[-4:].reshape(2, 2), length)
@@ -157,17 +185,18 @@ def predict(docs: list[tuple[np.ndarray, np.ndarray]], model: np.ndarray) -> np.
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality", max_docs: int = MAX_DOCS) -> list[np.ndarray]:
-    """One model per shard of at most about ``max_docs`` labelled documents in all.
+    """One model per shard of at most about ``max_docs`` labelled rows in all.
 
-    Rows without an id and null labels teach nothing.  A shard with one label
-    only gives no model; without any model every score is 0.5.
+    Rows without an id and null labels teach nothing, neither do ids with both
+    labels; rows alike in id and text teach once.  A shard with one label only
+    gives no model; without any model (no labels, no documents) every score is 0.5.
     """
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropna().distinct()
-    n = max(1, known.count())
-    known = written(known.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(min(1.0, max_docs / n) * 1_000_000)),
-                    "labelled")               # at most about max_docs rows
-    sample = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
-              .select(F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(SHARDS)).alias("shard"), "y", "text"))
+    known = one_label(labels, id_col, label_col)
+    known = written(known.filter(share(known, max_docs, "id")), "labelled")     # at most about max_docs ids
+    sample = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
+                     .dropDuplicates(["id", "text"]), "labelled-rows")
+    sample = (sample.filter(share(sample, max_docs, "id", "text"))
+              .select(F.pmod(F.xxhash64("id", "text", F.lit("shard")), F.lit(SHARDS)).alias("shard"), "y", "text"))
 
     def to_features(batches):
         for batch in batches:
@@ -218,7 +247,9 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
     Learns only from rows whose id does not fall in the held-out fold (crc32
     modulo 3 is 1).  Repeated rows, null ids and null texts are scored like any
-    other row; columns that clash with the result's are replaced.
+    other row; columns that clash with the result's are replaced.  Empty
+    documents give no rows, empty labels the score 0.5 everywhere.  A very long
+    text is scored whole: its lines are one chain, in memory linear in them.
     """
     learn = fold(id_col, 3) != 1
     models = train(docs.filter(learn), labels.filter(learn), id_col, text_col)

@@ -16,8 +16,8 @@ are numpy models, one per shard of the training sample, each fitted in a task
 of its own; the score of a document is the mean of their probabilities.  A
 document's score depends on its text alone.
 
-The sample is bounded by ``max_positive`` and ``max_unlabelled`` documents,
-chosen by a hash of the id; all documents are scored.
+The sample is bounded by about ``max_positive`` and ``max_unlabelled`` rows that
+differ in id or text, chosen by hashes; all documents are scored.
 """
 
 from __future__ import annotations
@@ -99,10 +99,16 @@ def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 300
     return w
 
 
-def _share(df: DataFrame, bound: int) -> Column:
-    """Keeps about ``bound`` rows by a hash of the id, all rows if there are fewer."""
+def share(df: DataFrame, bound: int, *cols: str) -> Column:
+    """Keeps about ``bound`` rows by a hash of ``cols``, all rows if there are fewer."""
     n = max(1, df.count())
-    return F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(min(1.0, bound / n) * 1_000_000)
+    return F.pmod(F.xxhash64(*cols), F.lit(1_000_000)) < int(min(1.0, bound / n) * 1_000_000)
+
+
+def one_label(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """``(id, y)`` of the ids that have one label, 0 or 1; null ids and labels, and ids with both, are left out."""
+    return (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropna().filter("y in (0, 1)")
+            .groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("top")).filter("y = top").select("id", "y"))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -111,18 +117,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Kept features, the weights of each shard's classifier, and the class prior.
 
     ``docs`` and ``labels`` hold what may be learnt from; rows without an id,
-    and labels that are null, teach nothing.  Without a confirmed document
-    there are no classifiers and the prior is 0.
+    labels that are null, and ids with both labels teach nothing; rows alike in
+    id and text teach once.  Without a confirmed document there are no
+    classifiers and the prior is 0.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropna().distinct()
+    known = one_label(labels, id_col, label_col)
     prior = known.agg(F.avg("y")).first()[0] or 0.0
     prior = min(max(prior, 0.0), 0.95)
     toxic = known.filter("y = 1").select("id")
-    toxic = written(toxic.filter(_share(toxic, max_positive)), "toxic")     # at most about max_positive ids
-    unlabelled = docs.filter(_share(docs, max_unlabelled))
-    sample = written(docs.join(F.broadcast(toxic), "id").withColumn("p", F.lit(1))
-                     .union(unlabelled.withColumn("p", F.lit(0))), "sample")
+    toxic = written(toxic.filter(share(toxic, max_positive, "id")), "toxic")     # at most about max_positive ids
+    confirmed = written(docs.join(F.broadcast(toxic), "id").dropDuplicates(["id", "text"]), "confirmed")
+    confirmed = confirmed.filter(share(confirmed, max_positive, "id", "text"))
+    unlabelled = docs.filter(share(docs, max_unlabelled, "id", "text")).dropDuplicates(["id", "text"])
+    sample = written(confirmed.withColumn("p", F.lit(1)).union(unlabelled.withColumn("p", F.lit(0))), "sample")
 
     def count(batches):
         seen, find = np.zeros((2, HASHES), np.int64), Features()
@@ -161,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return pd.DataFrame({"w": [fit_nnpu(x, positive, prior).tolist()]})
 
     # texts become features before the shuffle: a group holds its documents' feature numbers only
-    models = (sample.select(F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(SHARDS)).alias("shard"), "p", "text")
+    models = (sample.select(F.pmod(F.xxhash64("id", "text", F.lit("shard")), F.lit(SHARDS)).alias("shard"), "p", "text")
               .mapInArrow(to_features, "shard long, p int, f array<int>")
               .groupBy("shard").applyInPandas(fit, T.StructType([T.StructField("w", T.ArrayType(T.DoubleType()))])))
     return kept, [np.array(r.w) for r in models.collect()], prior
@@ -200,6 +208,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Learns only from rows whose id does not fall in the held-out fold
     (crc32 modulo 4 is 2).  Repeated rows, null ids and null texts are scored
     like any other row; columns that clash with the result's are replaced.
+    Empty documents give no rows, empty labels the score 0 everywhere.  A very
+    long text is scored whole, in memory linear in its different words.
     """
     learn = fold(id_col, 4) != 2
     model = train(docs.filter(learn), labels.filter(learn), id_col, text_col)

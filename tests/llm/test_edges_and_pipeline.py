@@ -55,7 +55,8 @@ def test_edge_rows(spark, name):
 def test_edge_results(spark):
     docs = spark.createDataFrame(EDGE, SCHEMA)
     ids = [tuple(r) for r in partenum.ngram_jaccard_join(docs).collect()]
-    assert ids.count((1, 7 - 4 + 1, 1)) == 2 or len([r for r in ids if r[0] == 1]) == 3
+    # 32 words that repeat every four make 4 shingles; six words make 3
+    assert sorted(r for r in ids if r[0] == 1) == [(1, 3, 1), (1, 4, 1), (1, 4, 1)]
     assert (2, 0, 2) in ids and (None, 0, None) in ids
     spans = secrets.scan_secrets(docs).collect()
     assert all(r.spans == [] for r in spans)

@@ -231,6 +231,79 @@ def test_crf_marginals_brute():
     assert np.isclose(z, total) and np.isclose(pair.sum(), (length - 1).sum())
 
 
+def test_crf_gradient_is_of_one_objective():
+    """Against numeric differences, with documents of several chains."""
+    rng = np.random.default_rng(5)
+    length, y = np.array([3, 1, 9, 6]), np.array([1, 0, 0, 1])
+    x, w = rng.normal(size=(19, 4)), rng.normal(size=8)
+    _, g = linecrf.objective(w, x, y, length, 0.1, longest=4)
+    step = 1e-6 * np.eye(8)
+    numeric = [(linecrf.objective(w + e, x, y, length, 0.1, longest=4)[0]
+                - linecrf.objective(w - e, x, y, length, 0.1, longest=4)[0]) / 2e-6 for e in step]
+    assert np.allclose(g, numeric, atol=1e-7)
+
+
+def test_crf_chains():
+    size, doc = linecrf.chains(np.array([3, 8, 4, 9]), 4)
+    assert size.tolist() == [3, 4, 4, 4, 4, 4, 1] and doc.tolist() == [0, 1, 1, 2, 3, 3, 3]
+
+
+def fit_rows(monkeypatch):
+    """The number of rows that each fit's groups get in all."""
+    from pyspark.sql import GroupedData
+    seen, apply = [], GroupedData.applyInPandas
+
+    def recorded(self, *args):
+        seen.append(self._df.count())
+        return apply(self, *args)
+    monkeypatch.setattr(GroupedData, "applyInPandas", recorded)
+    return seen
+
+
+def test_fit_rows_are_bounded(spark, monkeypatch):
+    """One labelled id on thousands of rows, repeated or with other texts, adds no more rows than the bound."""
+    seen = fit_rows(monkeypatch)
+    rows = [(1, f"vile thing {i}") for i in range(4000)] + [(1, "vile thing")] * 3000 + [(2, "kind words")] * 3000
+    rows += [(i, f"kind words {i}") for i in range(3, 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    known = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (3, 0, 0)], "doc_id long, toxic int, quality int")
+    nnpu.train(docs, known, max_positive=200, max_unlabelled=300)
+    linecrf.train(docs, known, max_docs=200)
+    assert len(seen) == 2 and 0 < seen[0] < 1.5 * 500 and 0 < seen[1] < 1.5 * 200
+
+
+def test_ids_with_both_labels_teach_nothing(spark):
+    known = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (2, 1), (3, 0), (None, 1), (4, None), (5, 7)], "doc_id long, toxic int")
+    got = {(r.id, r.y) for r in nnpu.one_label(known, "doc_id", "toxic").collect()}
+    assert got == {(2, 1), (3, 0)}
+
+
+def test_scores_by_hand(spark):
+    """Scores recomputed from the models' numbers, feature by feature and chain by chain."""
+    import zlib
+    kept = {zlib.crc32(b"<vile>") % nnpu.HASHES: 0, zlib.crc32(b"kind>") % nnpu.HASHES: 1}
+    weights = [np.array([2.0, -1.0, 0.5]), np.array([1.0, 0.0, -0.5])]
+    docs = spark.createDataFrame([(1, "Vile, vile!"), (2, "kind and vile"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in nnpu.score(docs, (kept, weights, 0.1)).collect()}
+    curve = lambda *g: np.mean([1 / (1 + np.exp(-v)) for v in g])        # noqa: E731
+    assert np.allclose([got[i] for i in (1, 2, 3)], [curve(2.5, 0.5), curve(1.5, 0.5), curve(0.5, -0.5)])
+
+    rng = np.random.default_rng(8)
+    d = 3 * linecrf._LOCAL
+    model = np.concatenate([rng.normal(size=d), 1 + rng.random(d), rng.normal(size=d + 5), [0.7, -0.2]])
+    text = "A first line.\nsecond | line!!\nsecond | line!!"
+    x, weight = linecrf.line_features(text)
+    line = (x - model[:d]) / model[d:2 * d] @ model[2 * d:3 * d] + model[3 * d]
+    couple, total, good = model[3 * d + 1:-2].reshape(2, 2), 0.0, np.zeros(3)
+    for y in np.ndindex(2, 2, 2):
+        e = np.exp(line @ np.array(y) + couple[y[0], y[1]] + couple[y[1], y[2]])
+        total, good = total + e, good + e * np.array(y)
+    mean = np.clip(good / total @ weight / weight.sum(), 1e-4, 1 - 1e-4)
+    want = 1 / (1 + np.exp(-(0.7 * np.log(mean / (1 - mean)) - 0.2)))
+    got = linecrf.score(spark.createDataFrame([(text,)], "text string"), [model]).first().score
+    assert np.isclose(got, want)
+
+
 # ---------------------------------------------------------- 4 fingerprints
 def test_quartile_brute(spark):
     docs = sorted(rows_of(SF_SMALL), reverse=True)
@@ -348,8 +421,9 @@ def near_copies(seed, groups=6, size=14):
 
 @pytest.mark.parametrize("width, percent, n2, k2, block", [(4, 85, 2, 1, 3), (5, 80, 3, 1, 4096)])
 def test_jaccard_brute(spark, monkeypatch, width, percent, n2, k2, block):
-    """Blocks of three members make most open buckets span several blocks."""
+    """Blocks of three members make most open buckets span several blocks; texts meet in many pairs of blocks."""
     monkeypatch.setattr(partenum, "BLOCK", block)
+    monkeypatch.setattr(partenum, "BLOCK_SETS", 4 if block == 3 else 2048)
     texts = near_copies(width) + [t for _, t in rows_of(SF_SMALL)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in
@@ -381,6 +455,7 @@ def test_jaccard_cluster_and_outsiders(spark, monkeypatch, block):
     monkeypatch.setattr(partenum, "BLOCK", block)
     monkeypatch.setattr(partenum, "REMEMBERED", 3)
     monkeypatch.setattr(partenum, "ROUND_ROWS", 10 if block == 5 else 1_000_000)
+    monkeypatch.setattr(partenum, "BLOCK_SHINGLES", 700 if block == 5 else 1 << 21)
     rng = np.random.default_rng(12)
     words = [f"w{i}" for i in range(200)]
 
