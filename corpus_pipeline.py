@@ -28,12 +28,23 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules and whose host is not rejected."""
+    """Documents that pass the rules and whose host is not rejected.
+
+    Null and empty texts have too few words and go; repeated rows share their
+    verdict; a null source is a host of its own.  Very long texts are counted
+    whole.  No documents: no rows.  Other columns stay as they are, whatever their names.
+    """
     return reject_by_rules(docs, "text", "source")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not scored toxic; learnt from the labels outside the held-out fold."""
+    """Documents that are not scored toxic; learnt from the labels outside the held-out fold.
+
+    Null and empty texts get the classifiers' intercept; rows without an id are
+    scored but teach nothing; repeated rows share their score and teach once.
+    Ids with both labels teach nothing; without a confirmed document all rows
+    stay.  No documents: no rows.  Other columns stay, whatever their names.
+    """
     learn = fold("doc_id", 4) != 2
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train(docs.filter(learn), labels.filter(learn), "doc_id", "text")
@@ -64,7 +75,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets in their texts replaced; ``n_chars`` follows the text."""
+    """All documents, with the secrets in their texts replaced; ``n_chars`` follows the text.
+
+    A null text stays null and keeps its ``n_chars``; repeated rows and rows
+    without an id are treated by their text alone; of spans that overlap the
+    union is replaced.  No documents: no rows.  Other columns stay, whatever their names.
+    """
     out = redact(docs, "doc_id", "text")
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
@@ -73,7 +89,12 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents and their places in the sequences."""
+    """Pieces of all documents and their places in the sequences.
+
+    Null and empty texts are one piece of no words; repeated rows and rows
+    without an id are packed as they are; texts longer than the longest
+    sequence are cut into pieces.  No documents: no rows.  Other columns are dropped.
+    """
     return best_fit(docs, "doc_id", text_col="text")
 
 
