@@ -3,7 +3,7 @@
 1. One aggregate gives every column's count and a mergeable KLL sketch, whose
    quantiles just below and above each wanted rank are the cut points.  Other
    statistics (moments, extremes, missing counts) ride along.
-2. One counting pass over ``(column, bucket)``: rows, smallest and largest value of
+2. One aggregate counts every ``(column, bucket)``: rows, smallest and largest value of
    every bucket between neighbouring cut points.  The buckets cover the whole
    line, so each wanted rank falls into exactly one, whatever the sketch's error;
    a bucket of one value (a value that a third of the rows hold, say) answers at
@@ -66,23 +66,28 @@ def quantiles_with(df: DataFrame, cols: Sequence[str], probs: Sequence[float], e
 
     live = list(cuts)
     if live:
-        long = df.select(F.inline(F.array(*[
-            F.struct(F.lit(i).alias("i"), bucket(i).alias("b"), xs[i].alias("x")) for i in live]))).where("x IS NOT NULL")
-        counted = long.groupBy("i", "b").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        # a generator works on interpreted rows: the counts need none, and the slices are picked inside their arrays
+        marked = df.select(*[e for i in live for e in (xs[i].alias(f"x{i}"), bucket(i).alias(f"b{i}"))])
+        inside = {(i, b): F.when(F.col(f"b{i}") == b, F.col(f"x{i}")) for i in live for b in range(len(cuts[i]) + 1)}
+        counted = marked.agg(*[f(x).alias(f"{name}{i}_{b}") for (i, b), x in inside.items()
+                               for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
         before, open_ = {i: 0 for i in live}, []
-        for r in sorted(counted.collect(), key=lambda r: (r.i, r.b)):        # columns x cut points
-            ranks = sorted({k for pair in wanted[r.i].values() for k in pair if before[r.i] <= k < before[r.i] + r.n})
-            if ranks and r.lo == r.hi:
-                found[r.i].update((k, r.lo) for k in ranks)
+        for i, b in inside:                                                  # columns x cut points
+            n, lo, hi = (counted[f"{name}{i}_{b}"] for name in ("n", "lo", "hi"))
+            ranks = sorted({k for pair in wanted[i].values() for k in pair if before[i] <= k < before[i] + n})
+            if ranks and lo == hi:
+                found[i].update((k, lo) for k in ranks)
             elif ranks:
-                open_.append((r.i, r.b, before[r.i], r.n, ranks))
-            before[r.i] += r.n
+                open_.append((i, b, before[i], n, ranks))
+            before[i] += n
         if open_:
-            keep = None
-            for i, b, _, _, _ in open_:
-                one = (F.col("i") == i) & (F.col("b") == b)
-                keep = one if keep is None else keep | one
-            slices = long.where(keep).groupBy("i", "b", "x").agg(F.count(F.lit(1)).alias("n"))
+            width = len(wide) + 1
+            slots = [i * width + b for i, b, *_ in open_]
+            rows = df.select(F.array(*[F.struct(F.lit(i).alias("i"), bucket(i).alias("b"), xs[i].alias("x"))
+                                       for i in sorted({o[0] for o in open_})]).alias("all"))
+            long = rows.select(F.inline(F.filter(
+                "all", lambda s: s["x"].isNotNull() & (s["i"] * width + s["b"]).isin(slots))))
+            slices = long.groupBy("i", "b", "x").agg(F.count(F.lit(1)).alias("n"))
             ranked = running_sum(slices, ["x"], ["i", "b"], F.col("n"), "upto", rows=sum(n for _, _, _, n, _ in open_))
             picks = df.sparkSession.createDataFrame(
                 [(i, b, k - before_) for i, b, before_, _, ranks in open_ for k in ranks], "i int, b int, k long")

@@ -165,3 +165,17 @@ def test_split_keeps_rows_without_label_or_key(spark):
     for shuffle in (True, False):
         assert SP.kfold(df, "label", "id", 2, shuffle=shuffle).count() == 4
     assert SP.holdout(df, "label", "id").count() == 4
+
+
+def test_counting_pass_unpivots_no_rows(spark, collected_plans):
+    """Only the last pass, over the open slices, may generate rows, and picks them first."""
+    rng = np.random.default_rng(5)
+    rows = [(float(a) if a > -2 else None, float(b)) for a, b in rng.normal(size=(4000, 2))]
+    df = spark.createDataFrame(rows, "a double, b double")
+    with collected_plans(df) as plans:
+        got = Q.quantiles(df, ["a", "b"], [0.25, 0.5, 0.75])
+    made = [p for p in plans if "Generate" in p]
+    assert len(plans) >= 3 and all("filter(" in p for p in made) and len(made) <= 1
+    for c, k in (("a", 0), ("b", 1)):
+        want = np.quantile([r[k] for r in rows if r[k] is not None], [0.25, 0.5, 0.75])
+        assert np.allclose([got[c][p] for p in (0.25, 0.5, 0.75)], want, rtol=1e-12)
