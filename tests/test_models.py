@@ -267,3 +267,14 @@ def test_grid_search_rows_and_best(spark, grown):
         aucs.append(EV.auc(s).first()[0])
     assert pick["auc_mean"] == pytest.approx(sum(aucs) / 3, abs=0.02)
     assert best.score(d).count() == d.count()
+
+
+def test_large_tables_are_dealt_by_rows_not_by_files(spark, tmp_path, monkeypatch):
+    """One file of one row group is one task's rows, however many splits it has."""
+    monkeypatch.setattr(MD, "PARTITION_ROWS", 1000)
+    spark.range(0, 9000, 1, 1).selectExpr("id", "repeat(sha2(string(id), 512), 40) AS t").write.parquet(str(tmp_path / "one"))
+    for deal in (MD.ml_ready, MD.dealt):
+        out = deal(spark.read.parquet(str(tmp_path / "one")))
+        sizes = out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        assert sum(sizes) == 9000 and len(sizes) == 9 and max(sizes) <= 1100
+        assert out.select("id").distinct().count() == 9000
