@@ -12,7 +12,8 @@ such subset of parts, and linked sets share at least one signature.
 Subsets without any shingle would put unrelated sets together.  ``spare`` extra
 groups leave that many more agreeing groups, so a set with at most ``spare``
 groups that have an empty subset never needs those signatures; only the rare
-set with more of them emits all.
+set with more of them emits all.  How many groups have one follows from the
+shingles a part holds, so ``spare`` does too: more where sets are cut finer.
 
 Candidates are checked exactly and without all pairs of a group:
 
@@ -24,10 +25,10 @@ Candidates are checked exactly and without all pairs of a group:
    with all members of other components, in blocks: every pair of blocks is a
    join key of its own, so no key has more rows than two blocks, and a cluster
    is not compared with itself for the sake of an outsider.  The join condition
-   holds the size ratio, a 256-bit parity sketch whose distance never exceeds
+   holds the size ratio, a 1024-bit parity sketch whose distance never exceeds
    the true difference, and the eight open buckets of each side before the
    shared one, so only near pairs leave the join, and not once for each bucket
-   they share;
+   they share (256 bits do for the links to a pivot, which are few);
 5. a 2048-bit sketch settles most remaining pairs, the texts decide the rest:
    first each set against its smallest near partner, then the pairs whose ends
    still lie in different components.  Texts are dealt into blocks and meet in
@@ -35,16 +36,19 @@ Candidates are checked exactly and without all pairs of a group:
    however many pairs it is in.  (Sketches cannot part long texts, so a few
    thousand of those make most of these pairs.)
 
-Every step is a shuffle by signature or set id over narrow rows.  The pivot of a
-signature is a partial aggregate, so a signature that a third of all sets share
-is no group of one task; signatures that one set alone has are dropped before
-anything else.  Texts travel only for the sets of pairs that both sketches let
-pass.  A written table is deleted when the one made of it is written.
+Signatures are made and moved once: a task packs about a million of them, sorted
+and cut into ranges, so a range is a few rows of bytes, and the task of a range
+keeps only the signatures of two sets or more.  A signature that all sets share
+costs its task twelve bytes a set.  Every other step is a shuffle by signature or
+set id over narrow rows.  Texts travel only for the sets of pairs that the
+sketches let pass.  A written table is deleted when the one made of it is written.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
+from math import comb, exp
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +71,11 @@ BEFORE = 8
 ROUND_ROWS, ROUNDS = 1_000_000, 4
 #: Ids of sets that a task remembers to emit copies once; beyond it starts anew, ``distinct`` settles the rest.
 REMEMBERED = 200_000
+#: Signatures that a task packs at once; a range has about as many as that number of shingles gives, and there
+#: are at least and at most so many ranges.
+PACKED, RANGE_SHINGLES, RANGES = 1 << 20, 1 << 21, (1024, 1 << 16)
+#: Rows of one batch of signatures.
+BATCH = 1 << 16
 #: Bytes of text that a task unpacks at once.
 UNPACKED = 1 << 20
 #: Bits of the sketch that pairs are checked with before their texts, and of the one made of the texts themselves.
@@ -74,6 +83,8 @@ WIDE_BITS, TEXT_BITS = 2048, 1 << 14
 #: A block of texts that a task compares with another: about so many shingles, and so many sets, at most.
 BLOCK_SHINGLES, BLOCK_SETS = 1 << 21, 2048
 _SKETCH = ["s0", "s1", "s2", "s3"]
+#: The wide sketch folded to 1024 bits, in words.
+_FOLDED = [f"f{i}" for i in range(16)]
 
 
 def band_edges(percent: int, largest: int = 1 << 40) -> list[int]:
@@ -84,7 +95,7 @@ def band_edges(percent: int, largest: int = 1 << 40) -> list[int]:
     return edges
 
 
-def instance_params(percent: int, k2: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+def instance_params(percent: int, k2: int, n2: int = 2) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """Band edges, and (k, groups, spare) of each instance.
 
     Instance j joins sets of bands j-1 and j, and also those of band j-1 among
@@ -96,7 +107,10 @@ def instance_params(percent: int, k2: int) -> tuple[np.ndarray, list[tuple[int,
         below = edges[j] - 1
         k = (below + edges[j + 1] - 1) * (100 - percent) // (100 + percent)
         need = k // (k2 + 1) + 1
-        spare = 1 + need // 16
+        # groups with an empty subset in the smallest sets, whose parts hold the fewest shingles
+        held = edges[max(j - 1, 0)] / (need * n2)
+        empty = min(1.0, comb(n2, k2) * exp(-held * (n2 - k2)))
+        spare = 1 + min(int(1.5 * need * empty), need // 6)
         out.append((k, need + spare, spare))
     return np.array(edges), out
 
@@ -136,6 +150,44 @@ def sketch(s: np.ndarray, bits: int = 256) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
+def pack_signatures(sig: np.ndarray, sid: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """``(part, sig, sid)``: one row for each of the ``ranges`` of signatures, with 32 bits of each
+    signature inside its range and the set ids, as bytes.  What the lost bits put together is told apart later."""
+    place = (sig >> np.uint64(16)) * np.uint64(ranges)
+    order = np.argsort(place)
+    place = place[order]
+    part = (place >> np.uint64(48)).astype(np.int32)
+    low = ((place >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    sid = sid[order]
+    cut = np.flatnonzero(np.diff(part, prepend=-1))
+    ends = np.append(cut[1:], len(part))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part[cut]), pa.array([low[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary()),
+         pa.array([sid[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary())], ["part", "sig", "sid"])
+
+
+def shared_signatures(part: int, low: np.ndarray, sid: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``(sig, sid, piv)`` of the signatures of one range that several sets have; ``piv`` is the smallest of them."""
+    order = np.argsort(low)
+    low, sid = low[order], sid[order]
+    same = low[1:] == low[:-1]
+    several = np.append(same, False) | np.append(False, same)
+    low, sid = low[several], sid[several]
+    order = np.lexsort((sid, low))
+    low, sid = low[order], sid[order]
+    first = np.append(True, low[1:] != low[:-1])[:len(low)]
+    new = first | np.append(True, sid[1:] != sid[:-1])[:len(low)]      # copies of other tasks emitted it too
+    low, sid, first = low[new], sid[new], first[new]
+    start = np.flatnonzero(first)
+    size = np.diff(np.append(start, len(low)))
+    piv = np.repeat(sid[start], size)
+    many = np.repeat(size > 1, size)
+    low, sid, piv = low[many], sid[many], piv[many]
+    sig = low.astype(np.int64) | (np.int64(part) << np.int64(32))
+    for at in range(0, len(sig), BATCH):
+        yield pa.RecordBatch.from_arrays([pa.array(x[at:at + BATCH]) for x in (sig, sid, piv)], ["sig", "sid", "piv"])
+
+
 def pack_texts(column: pa.Array) -> pa.Array:
     """Texts as zstd frames: candidates' texts are shuffled, so they travel small."""
     plan = zstandard.ZstdCompressor(level=6)
@@ -197,8 +249,8 @@ def _ratio(percent: int, a: str, b: str):
     return F.least(F.col(a), F.col(b)) * 100 >= F.greatest(F.col(a), F.col(b)) * percent
 
 
-def _sketch_close(percent: int, left: str, right: str):
-    bits = sum((F.bit_count(F.col(f"{left}{c}").bitwiseXOR(F.col(f"{right}{c}"))) for c in _SKETCH), F.lit(0))
+def _sketch_close(percent: int, left: str, right: str, words: list[str] = _SKETCH):
+    bits = sum((F.bit_count(F.col(f"{left}{c}").bitwiseXOR(F.col(f"{right}{c}"))) for c in words), F.lit(0))
     return bits * (100 + percent) <= (F.col(f"{left}n") + F.col(f"{right}n")) * (100 - percent)
 
 
@@ -220,7 +272,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                        F.xxhash64(text_col).alias("hash"))
     subsets = [list(c) for c in combinations(range(n2), n2 - k2)]
-    edges, params = instance_params(percent, k2)
+    edges, params = instance_params(percent, k2, n2)
 
     def to_sets(batches):
         for batch in batches:
@@ -237,19 +289,34 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def to_signatures(batches):
         met: set[int] = set()                # ids of the sets of this task: copies emit once
+        found, held = [], 0
         for batch in batches:
             for part in slices(batch, "text"):
-                found = []
                 sets = [s for s in shingle_sets(part.column("text"), width) if len(s)]
                 own = [set_id(s) for s in sets]
                 for i in fresh(met, [int(x) for x in own]):
                     sig, emit = signatures(sets[i], edges, params, n2, subsets)
-                    found.append((own[i], sig[emit]))
-                if found:
-                    sid = np.repeat(np.array([f[0] for f in found], np.uint64), [len(f[1]) for f in found])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(signed(np.concatenate([f[1] for f in found]))), pa.array(signed(sid))],
-                        ["sig", "sid"])
+                    found.append((sig[emit], np.full(int(emit.sum()), own[i]).view(np.int64)))
+                    held += len(found[-1][0])
+                    if held >= PACKED:
+                        yield pack_signatures(*(np.concatenate(x) for x in zip(*found)), ranges)
+                        found, held = [], 0
+        if held:
+            yield pack_signatures(*(np.concatenate(x) for x in zip(*found)), ranges)
+
+    def to_buckets(batches):
+        """Rows come by range."""
+        key, low, sid = None, [], []
+        for batch in batches:
+            for part, x, y in zip(*(batch.column(c).to_pylist() for c in ("part", "sig", "sid"))):
+                if part != key and low:
+                    yield from shared_signatures(key, np.concatenate(low), np.concatenate(sid))
+                    low, sid = [], []
+                key = part
+                low.append(np.frombuffer(x, np.uint32))
+                sid.append(np.frombuffer(y, np.int64))
+        if low:
+            yield from shared_signatures(key, np.concatenate(low), np.concatenate(sid))
 
     schema = docs.select("id", "hash").schema.add("n", "long").add("sid", "long")
     for c in _SKETCH:
@@ -258,11 +325,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = written(docs.mapInArrow(to_sets, schema), "sets")
 
     # buckets with at least two different sets, each row with the bucket's pivot
-    rows = docs.select("text").mapInArrow(to_signatures, "sig long, sid long")
-    shared = written(rows.groupBy("sig").agg(F.min("sid").alias("piv"), F.max("sid").alias("top"))
-                     .filter("piv < top").select("sig", "piv"), "shared")
-    multi = written(join_checked(rows, shared, "sig").distinct(), "buckets")
-    release(shared)
+    shingles = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    ranges = min(max(RANGES[0], shingles // RANGE_SHINGLES), RANGES[1])
+    multi = written(docs.select("text").mapInArrow(to_signatures, "part int, sig binary, sid binary")
+                    .repartition("part").sortWithinPartitions("part")
+                    .mapInArrow(to_buckets, "sig long, sid long, piv long"), "buckets")
 
     # the candidates' sizes, sketches and the row that has their text
     wanted = multi.select("sid").distinct()
@@ -270,6 +337,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.min(F.struct("id", "hash")).alias("rep"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in [*_SKETCH, "wide"])), "candidates")
     wide = candidates.select("sid", "n", "wide")
     info = candidates.drop("wide")
+    half = len(_FOLDED)
+    folded = candidates.select("sid", "n", *(F.get("wide", F.lit(i)).bitwiseXOR(F.get("wide", F.lit(i + half))).alias(f)
+                                             for i, f in enumerate(_FOLDED)))
 
     def with_text(of: DataFrame) -> DataFrame:
         """``of`` (a written narrow table with ``rep``) with the texts; a repeated row comes as often."""
@@ -381,7 +451,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def named(prefix: str, key: str) -> DataFrame:
         return info.select(F.col("sid").alias(key), *(F.col(c).alias(f"{prefix}{c}") for c in ["n", *_SKETCH]))
 
-    close = _ratio(percent, "l_n", "r_n") & _sketch_close(percent, "l_", "r_")
+    ratio = _ratio(percent, "l_n", "r_n")
+    close = ratio & _sketch_close(percent, "l_", "r_")
     star = (multi.filter("sid <> piv").select(F.col("piv").alias("a"), F.col("sid").alias("b")).distinct()
             .join(named("r_", "b"), "b").join(named("l_", "a"), "a").filter(close).select("a", "b"))
     comp = links(star)
@@ -403,12 +474,13 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rounds = ROUNDS if members.count() > ROUND_ROWS else 1
     # a set's buckets in order, each with the ones just before it: a pair that has one of those in common met there
     before = F.collect_list("sig").over(Window.partitionBy("sid").orderBy("sig").rowsBetween(-BEFORE, -1))
-    values, at = ["n", "c", *_SKETCH, "before"], F.xxhash64("sid")
+    values, at = ["n", "c", *_FOLDED, "before"], F.xxhash64("sid")
+    closer = ratio & _sketch_close(percent, "l_", "r_", _FOLDED)
     once = (F.col("r_c") == F.col("big")) | (F.col("a") < F.col("b"))
     found = []
     for k in range(rounds):
         some = members.filter(F.pmod(F.xxhash64("sig"), F.lit(rounds)) == k).withColumn("before", before)
-        some = written(some.join(info.drop("rep"), "sid"), "round")
+        some = written(some.join(folded, "sid"), "round")
         left = (some.filter(F.col("c") != F.col("big"))
                 .select("sig", F.col("sid").alias("a"), "big", *(F.col(c).alias(f"l_{c}") for c in values),
                         F.pmod(at, "few_blocks").alias("low"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("high")))
@@ -417,7 +489,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                             F.pmod(at, "all_blocks").alias("r_high"))
         found.append(written(left.join(
             right, (F.col("sig") == F.col("r_sig")) & (F.col("low") == F.col("r_low")) & (F.col("high") == F.col("r_high"))
-            & (F.col("l_c") != F.col("r_c")) & once & close & ~F.arrays_overlap("l_before", "r_before"))
+            & (F.col("l_c") != F.col("r_c")) & once & closer & ~F.arrays_overlap("l_before", "r_before"))
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cross"))
         release(some)
     release(members)

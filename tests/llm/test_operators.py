@@ -502,6 +502,63 @@ def test_signatures_share_one():
                 assert len(b) == len(a) or sa & sb
 
 
+def test_few_sets_emit_signatures_of_nothing():
+    """Also the smallest sets of an instance rarely have more empty groups than are spared."""
+    rng = np.random.default_rng(6)
+    edges, params = partenum.instance_params(80, 1)
+    band = int(np.searchsorted(edges, 400, "right"))
+    emitted = []
+    for _ in range(60):
+        s = np.unique(rng.integers(0, 2**64, int(edges[band]), dtype=np.uint64))
+        emitted.append(partenum.signatures(s, edges, params, 2, [[0], [1]])[1].all())
+    assert sum(emitted) <= 6
+
+
+@pytest.mark.parametrize("ranges", [1, 1024, 5900])
+def test_shared_signatures_of_packed_ranges(ranges):
+    """Signatures of several tasks, with copies: those of two sets or more, each set once, with the smallest."""
+    rng = np.random.default_rng(7)
+    values = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    tasks = [(values[rng.integers(0, 3000, 2000)], rng.choice([-(2**62), -5, 3, 7, 2**62], 2000)) for _ in range(3)]
+    tasks.append((np.full(500, values[0]), np.arange(500)))             # one very common signature
+    want = {}
+    for sig, sid in tasks:
+        for g, x in zip(sig.tolist(), sid.tolist()):
+            want.setdefault(g, set()).add(x)
+    by_part, found = {}, {}
+    for task in tasks:
+        for part, low, sid in zip(*partenum.pack_signatures(*task, ranges).to_pydict().values()):
+            by_part.setdefault(part, []).append((np.frombuffer(low, np.uint32), np.frombuffer(sid, np.int64)))
+    for part, rows in by_part.items():
+        for batch in partenum.shared_signatures(part, *(np.concatenate(x) for x in zip(*rows))):
+            for sig, sid, piv in zip(*batch.to_pydict().values()):
+                found.setdefault((sig, piv), []).append(sid)
+    assert sorted((min(x), sorted(x)) for x in want.values() if len(x) > 1) == sorted(
+        (piv, sorted(x)) for (_, piv), x in found.items())
+    assert len(by_part) <= ranges and len({sig for sig, _ in found}) == len(found)
+
+
+def test_jaccard_unlike_long_texts_are_no_candidates(spark, monkeypatch):
+    """Long texts with a passage in common share signatures; their sketches part them inside the join."""
+    rng = np.random.default_rng(13)
+    common = [f"c{i}" for i in range(280)]
+    texts = [" ".join(common + [f"u{x}" for x in rng.integers(0, 10**9, 420)]) for _ in range(40)]
+    texts += [texts[0] + " more", texts[1][:-1] + "x"]
+    made, write = {}, partenum.written
+
+    def counted(df, name):
+        out = write(df, name)
+        made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(partenum, "written", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id)
+           for r in partenum.ngram_jaccard_join(docs, width=5, percent=80).collect()}
+    assert got == dict(enumerate(components_brute(texts, 5, 80)))
+    assert sum(made["members"]) > 40 and sum(made["cross"]) <= 4
+
+
 # ------------------------------------------------------------- 9 packing
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(0, 64), max_size=120), st.sampled_from([(64,), (8, 16, 64), (20, 64)]))
