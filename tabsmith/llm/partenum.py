@@ -36,7 +36,7 @@ Candidates are checked exactly and without all pairs of a group:
    however many pairs it is in.  (Sketches cannot part long texts, so a few
    thousand of those make most of these pairs.)
 
-Signatures are made and moved once: a task packs about a million of them, sorted
+Signatures are made and moved once: a task packs some hundred thousand of them, sorted
 and cut into ranges, so a range is a few rows of bytes, and the task of a range
 keeps only the signatures of two sets or more.  A signature that all sets share
 costs its task twelve bytes a set.  Every other step is a shuffle by signature or
@@ -73,11 +73,11 @@ ROUND_ROWS, ROUNDS = 1_000_000, 4
 REMEMBERED = 200_000
 #: Signatures that a task packs at once; a range has about as many as that number of shingles gives, and there
 #: are at least and at most so many ranges.
-PACKED, RANGE_SHINGLES, RANGES = 1 << 20, 1 << 21, (1024, 1 << 16)
+PACKED, RANGE_SHINGLES, RANGES = 1 << 18, 1 << 21, (1024, 1 << 16)
 #: Rows of one batch of signatures.
 BATCH = 1 << 16
-#: Bytes of text that a task unpacks at once.
-UNPACKED = 1 << 20
+#: Bytes of text that a task makes sets of at once, and that it unpacks at once: the kernels take some 50 times that.
+SLICE, UNPACKED = 1 << 18, 1 << 18
 #: Bits of the sketch that pairs are checked with before their texts, and of the one made of the texts themselves.
 WIDE_BITS, TEXT_BITS = 2048, 1 << 14
 #: A block of texts that a task compares with another: about so many shingles, and so many sets, at most.
@@ -276,7 +276,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def to_sets(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 sets = shingle_sets(part.column("text"), width)
                 full = np.array([len(s) > 0 for s in sets], bool)
                 sid = pa.array(signed([set_id(s) if len(s) else 0 for s in sets]), mask=~full)
@@ -291,7 +291,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         met: set[int] = set()                # ids of the sets of this task: copies emit once
         found, held = [], 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 sets = [s for s in shingle_sets(part.column("text"), width) if len(s)]
                 own = [set_id(s) for s in sets]
                 for i in fresh(met, [int(x) for x in own]):
@@ -322,14 +322,14 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     for c in _SKETCH:
         schema = schema.add(c, "long")
     schema = schema.add("wide", T.ArrayType(T.LongType()))
-    sets = written(docs.mapInArrow(to_sets, schema), "sets")
+    sets = written(docs.mapInArrow(to_sets, schema), "sets", small_batches=True)
 
     # buckets with at least two different sets, each row with the bucket's pivot
     shingles = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     ranges = min(max(RANGES[0], shingles // RANGE_SHINGLES), RANGES[1])
     multi = written(docs.select("text").mapInArrow(to_signatures, "part int, sig binary, sid binary")
                     .repartition("part").sortWithinPartitions("part")
-                    .mapInArrow(to_buckets, "sig long, sid long, piv long"), "buckets")
+                    .mapInArrow(to_buckets, "sig long, sid long, piv long"), "buckets", small_batches=True)
 
     # the candidates' sizes, sketches and the row that has their text
     wanted = multi.select("sid").distinct()
@@ -350,7 +350,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         met: set[int] = set()                # of repeated rows one is enough
         for batch in batches:
             new = fresh(met, batch.column("sid").to_pylist())
-            for part in slices(batch.take(pa.array(new, pa.int64())), "text"):
+            for part in slices(batch.take(pa.array(new, pa.int64())), "text", SLICE):
                 yield pa.RecordBatch.from_arrays([part.column("sid"), pack_texts(part.column("text"))], ["sid", "text"])
 
     def texts_of(pairs: DataFrame) -> tuple[DataFrame, int]:
@@ -358,7 +358,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         ends = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
         ends = written(info.select("sid", "rep", "n").join(ends, "sid"), "ends")
         size = ends.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("sets")).first()
-        out = written(with_text(ends.drop("n")).mapInArrow(first_texts, "sid long, text binary").dropDuplicates(["sid"]), "texts")
+        out = written(with_text(ends.drop("n")).mapInArrow(first_texts, "sid long, text binary").dropDuplicates(["sid"]),
+                      "texts", small_batches=True)
         release(ends)
         return out, max(1, -(-size.n // BLOCK_SHINGLES), -(-size.sets // BLOCK_SETS))
 
@@ -421,7 +422,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         both = (ends.join(table, "sid").select("lo", "hi", F.col("sid").alias("a"), F.lit(None).cast("long").alias("b"), "text")
                 .union(at.withColumn("text", F.lit(None).cast("binary"))))
         return written(both.repartition("lo", "hi").sortWithinPartitions("lo", "hi", F.asc_nulls_first("b"), "a")
-                       .mapInArrow(verify, "a long, b long"), "links")
+                       .mapInArrow(verify, "a long, b long"), "links", small_batches=True)
 
     def links(pairs: DataFrame, comp: DataFrame | None = None) -> DataFrame:
         """Components with the proven links of ``pairs``; a pair inside one component moves no text.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,44 +79,51 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Spark's bound on one Arrow batch, 64 MB by default: a task holds a batch in the JVM and again in Python.
+_BATCH_BYTES, SMALL_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "2m"
+
+
 _guard = threading.Lock()
-#: Writes under way, and the session's own choice before the first of them.
-_writes: dict = {"open": 0, "before": None}
+#: By setting, the writes under way and the session's own choice before the first of them.
+_writes: dict = {key: {"open": 0, "before": None} for key in (_FREE_SHUFFLES, _BATCH_BYTES)}
 
 
 @contextmanager
-def _free_shuffles(spark: SparkSession):
-    """Free shuffle files while any write is under way; writes of several threads share the setting."""
+def _while_writing(spark: SparkSession, key: str, value: str):
+    """Hold a setting while any write that needs it is under way; writes of several threads share it."""
+    held = _writes[key]
     with _guard:
-        if _writes["open"] == 0:
-            _writes["before"] = spark.conf.get(_FREE_SHUFFLES, None)
-            spark.conf.set(_FREE_SHUFFLES, "true")
-        _writes["open"] += 1
+        if held["open"] == 0:
+            held["before"] = spark.conf.get(key, None)
+            spark.conf.set(key, value)
+        held["open"] += 1
     try:
         yield
     finally:
         with _guard:
-            _writes["open"] -= 1
-            if _writes["open"] == 0:
-                if _writes["before"] is None:
-                    spark.conf.unset(_FREE_SHUFFLES)
+            held["open"] -= 1
+            if held["open"] == 0:
+                if held["before"] is None:
+                    spark.conf.unset(key)
                 else:
-                    spark.conf.set(_FREE_SHUFFLES, _writes["before"])
+                    spark.conf.set(key, held["before"])
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, small_batches: bool = False) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
     Cuts the lineage: what follows reads finished files, so a lost executor
     never recomputes what stands before.  Nothing reads the shuffle files of the
     write again, so they are freed with it instead of staying on the executors'
     disks until the session ends; the session's own choice is put back after the
-    last write under way.
+    last write under way.  With ``small_batches`` the rows of ``df`` reach its
+    ``mapInArrow`` functions in batches of about ``SMALL_BATCH`` bytes, or of one row.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    with _free_shuffles(spark):
-        df.write.parquet(path)
+    with _while_writing(spark, _FREE_SHUFFLES, "true"):
+        with _while_writing(spark, _BATCH_BYTES, SMALL_BATCH) if small_batches else nullcontext():
+            df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_path = path
     return table

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -13,11 +14,13 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tabsmith.llm import bpe, chat, linecrf, nnpu, partenum, quartile, secrets, textops, warc
 from tabsmith.llm.binpack import CAPACITIES, best_fit, pack
 from tabsmith.llm.hostrules import host_quality, host_verdicts, reject_by_rules
 from tabsmith.llm.queries import REGISTRY
+from tabsmith.session import written
 from tests.conftest import SF_MID, SF_SMALL
 from tests.oracle_harness import compare, duck
 
@@ -538,6 +541,36 @@ def test_shared_signatures_of_packed_ranges(ranges):
     assert len(by_part) <= ranges and len({sig for sig, _ in found}) == len(found)
 
 
+def test_packing_signatures_is_small_beside_an_executor():
+    """What a task packs at once takes a few MB beyond the signatures, not a hundred."""
+    rng = np.random.default_rng(8)
+    sig = rng.integers(0, 2**64, partenum.PACKED, dtype=np.uint64)
+    sid = rng.integers(0, 2**62, partenum.PACKED)
+    partenum.pack_signatures(sig[:9], sid[:9], 1)          # what is imported at the first call does not count
+    tracemalloc.start()
+    packed = partenum.pack_signatures(sig, sid, partenum.RANGES[0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(x) // 4 for x in packed.column("sig").to_pylist()) == partenum.PACKED
+    assert peak < 24 << 20
+
+
+def test_small_batches_while_writing(spark):
+    """Long rows reach Python a bounded amount at a time, one very long row alone; the session's choice is put back."""
+    def seen(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["rows", "bytes"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(0, 3000, 1, 1).select(
+        F.expr("CASE WHEN id = 5 THEN repeat('x', 9000000) ELSE repeat('some text ', 400) END").alias("text"))
+    got = written(docs.mapInArrow(seen, "rows long, bytes long"), "seen", small_batches=True).collect()
+    assert sum(r.rows for r in got) == 3000 and len(got) > 5
+    assert sorted(r.bytes for r in got)[-2] < 3 << 20
+    assert spark.conf.get(key) == before
+
+
 def test_jaccard_unlike_long_texts_are_no_candidates(spark, monkeypatch):
     """Long texts with a passage in common share signatures; their sketches part them inside the join."""
     rng = np.random.default_rng(13)
