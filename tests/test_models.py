@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tabsmith.operators import bayes as NB
 from tabsmith.operators import evaluate as EV
 from tabsmith.operators import forests as FO
+from tabsmith.operators import growth as GR
 from tabsmith.operators import logistic as LG
 from tabsmith.operators import models as MD
 from tabsmith.operators import split as SP
@@ -278,3 +279,94 @@ def test_large_tables_are_dealt_by_rows_not_by_files(spark, tmp_path, monkeypatc
         sizes = out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
         assert sum(sizes) == 9000 and len(sizes) == 9 and max(sizes) <= 1100
         assert out.select("id").distinct().count() == 9000
+
+
+def _nodes(forest):
+    return {r["tree"]: r.asDict() for r in forest.trees.collect()}
+
+
+def test_forest_is_the_same_wherever_nodes_are_split(spark, asm, monkeypatch):
+    """Nodes counted over all partitions, rows moved in several turns, or whole trees in one task: the same trees."""
+    spec = MD.random_forest(5, None, 2, True, seed=-7)
+    want = _nodes(MD.fit_model(spec, asm))
+    monkeypatch.setattr(GR, "TASK_ROWS", 150)
+    monkeypatch.setattr(GR, "MOVED_ROWS", 2000)
+    monkeypatch.setattr(GR, "COUNTED_NODES", 6)
+    assert _nodes(MD.fit_model(spec, asm)) == want and len(want) == 5
+
+
+def test_deep_forest_needs_few_jobs(spark, asm):
+    """Levels are finished inside tasks: 30 of them are not 30 passes over the data."""
+    sc = spark.sparkContext
+    sc.setJobGroup("deep forest", "deep forest")
+    model = MD.fit_model(MD.random_forest(4, None, 1, False), asm)
+    jobs = sc.statusTracker().getJobIdsForGroup("deep forest")
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert model.depth > 12 and len(jobs) < 12
+
+
+def test_subtree_splits_by_brute_force():
+    rng = np.random.default_rng(2)
+    x, y, w = rng.integers(0, 9, (300, 3)).astype(np.uint8), rng.integers(0, 3, 300).astype(np.uint8), rng.integers(1, 4, 300)
+    s = GR.Settings(1, 6, 5, 9, 2, (1.0, 2.5, 0.5), 11, 1.0)
+    heap, feature, cut, total = GR.finish(x, y, w.astype(np.uint8), 1, 0, s)
+    at = {int(h): i for i, h in enumerate(heap)}
+
+    def gini(rows):
+        t = np.bincount(y[rows], w[rows], 3) * s.weights
+        return t.sum(), 1 - ((t / t.sum()) ** 2).sum()
+
+    def check(h, rows):
+        i = at[h]
+        assert total[i].tolist() == np.bincount(y[rows], w[rows], 3).tolist()
+        best = []
+        for f in GR.tried(s, 0, np.array([h]), 3)[0]:
+            for c in range(8):
+                a, b = rows[x[rows, f] <= c], rows[x[rows, f] > c]
+                if w[a].sum() >= 5 and w[b].sum() >= 5:
+                    (n, g), (m, k) = gini(a), gini(b)
+                    best.append((gini(rows)[1] - (n * g + m * k) / (n + m), f, c))
+        top = max((g for g, *_ in best), default=0)
+        if h.bit_length() - 1 == s.depth or top < 1e-12:
+            assert feature[i] == -1
+            return 1
+        assert any(abs(g - top) < 1e-12 and (f, c) == (feature[i], cut[i]) for g, f, c in best)
+        right = x[rows, feature[i]] > cut[i]
+        return 1 + check(2 * h, rows[~right]) + check(2 * h + 1, rows[right])
+
+    assert check(1, np.arange(300)) == len(heap) > 20
+
+
+def test_forest_edges(spark):
+    from pyspark.ml.linalg import Vectors
+    one = spark.createDataFrame([(0, 0, Vectors.dense([1.0, 2.0]))], ["id", "label", "features"])
+    model = MD.fit_model(MD.random_forest(4, 3, 1, True), one)          # some bootstraps are empty
+    assert len(_nodes(model)) == 4 and model.totalNumNodes == 4 and model.featureImportances.toArray().sum() == 0
+    assert [r["scores"] for r in FO.cut_scores(model, one, [FO.Cut(2), FO.Cut(4)], ["id"]).collect()] == [[0.0, 0.0]]
+    for bad in ([(0, None, Vectors.dense([1.0]))], [(0, 0.5, Vectors.dense([1.0]))], [(0, 1.0, Vectors.dense([float("nan")]))]):
+        rows = [(1, 1.0, Vectors.dense([1.0])), *bad]
+        with pytest.raises(Exception):
+            MD.fit_model(MD.random_forest(2, 3), spark.createDataFrame(rows, ["id", "label", "features"]))
+
+
+def test_forest_as_spark_model_scores_the_same(spark, grown):
+    d, full = grown
+    test = d.where("fold = 0")
+    want = {r["id"]: r["score"] for r in MD._score_cols(full.spark_model().transform(test), ["id"]).collect()}
+    got = {r["id"]: r["score"] for r in MD.scored_by(full, test, ["id"]).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert np.allclose(full.spark_model().featureImportances.toArray(), full.featureImportances.toArray())
+
+
+def test_auc_of_lists_equals_auc(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.integers(0, 2)) if i % 17 else None, i % 3, [float(rng.integers(-3, 4)), rng.random() ** 4, rng.normal()])
+            for i in range(800)]
+    rows += [(1, 0, [float("nan"), 0.0, -0.0]), (0, None, [1.0, 0.0, -0.0]), (1, None, [0.5, 0.0, -0.0])]
+    d = spark.createDataFrame(rows, "label int, fold int, scores array<double>")
+    long = d.select("label", "fold", F.posexplode("scores").alias("place", "score"))
+    want = {(r["fold"], r["place"]): r["auc"] for r in EV.auc(long, "label", "score", 1, ["fold", "place"]).collect()}
+    for rows_of_a_range in (EV.LIST_RANGE, 10):
+        monkeypatch.setattr(EV, "LIST_RANGE", rows_of_a_range)
+        got = {(r["fold"], r["place"]): r["auc"] for r in EV.auc_of_lists(d, "label", "scores", 1, "fold").collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
