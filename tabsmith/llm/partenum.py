@@ -58,7 +58,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsmith.llm.textops import _M1, mix, shingle_sets, signed, slices
-from tabsmith.session import release, written
+from tabsmith.session import release, small_batches, written
 
 #: A side of a join is broadcast only if it has at most so many narrow rows.
 BROADCAST_ROWS = 200_000
@@ -322,14 +322,16 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     for c in _SKETCH:
         schema = schema.add(c, "long")
     schema = schema.add("wide", T.ArrayType(T.LongType()))
-    sets = written(docs.mapInArrow(to_sets, schema), "sets", small_batches=True)
+    with small_batches(docs.sparkSession):
+        sets = written(docs.mapInArrow(to_sets, schema), "sets")
 
     # buckets with at least two different sets, each row with the bucket's pivot
     shingles = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     ranges = min(max(RANGES[0], shingles // RANGE_SHINGLES), RANGES[1])
-    multi = written(docs.select("text").mapInArrow(to_signatures, "part int, sig binary, sid binary")
-                    .repartition("part").sortWithinPartitions("part")
-                    .mapInArrow(to_buckets, "sig long, sid long, piv long"), "buckets", small_batches=True)
+    with small_batches(docs.sparkSession):
+        multi = written(docs.select("text").mapInArrow(to_signatures, "part int, sig binary, sid binary")
+                        .repartition("part").sortWithinPartitions("part")
+                        .mapInArrow(to_buckets, "sig long, sid long, piv long"), "buckets")
 
     # the candidates' sizes, sketches and the row that has their text
     wanted = multi.select("sid").distinct()
@@ -358,8 +360,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         ends = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
         ends = written(info.select("sid", "rep", "n").join(ends, "sid"), "ends")
         size = ends.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("sets")).first()
-        out = written(with_text(ends.drop("n")).mapInArrow(first_texts, "sid long, text binary").dropDuplicates(["sid"]),
-                      "texts", small_batches=True)
+        with small_batches(docs.sparkSession):
+            out = written(with_text(ends.drop("n")).mapInArrow(first_texts, "sid long, text binary").dropDuplicates(["sid"]), "texts")
         release(ends)
         return out, max(1, -(-size.n // BLOCK_SHINGLES), -(-size.sets // BLOCK_SETS))
 
@@ -421,8 +423,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         ends = at.select("lo", "hi", F.col("a").alias("sid")).union(at.select("lo", "hi", "b")).distinct()
         both = (ends.join(table, "sid").select("lo", "hi", F.col("sid").alias("a"), F.lit(None).cast("long").alias("b"), "text")
                 .union(at.withColumn("text", F.lit(None).cast("binary"))))
-        return written(both.repartition("lo", "hi").sortWithinPartitions("lo", "hi", F.asc_nulls_first("b"), "a")
-                       .mapInArrow(verify, "a long, b long"), "links", small_batches=True)
+        with small_batches(docs.sparkSession):
+            return written(both.repartition("lo", "hi").sortWithinPartitions("lo", "hi", F.asc_nulls_first("b"), "a")
+                           .mapInArrow(verify, "a long, b long"), "links")
 
     def links(pairs: DataFrame, comp: DataFrame | None = None) -> DataFrame:
         """Components with the proven links of ``pairs``; a pair inside one component moves no text.

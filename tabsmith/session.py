@@ -109,6 +109,13 @@ def _while_writing(spark: SparkSession, key: str, value: str):
                     spark.conf.set(key, held["before"])
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """What is written meanwhile reaches its ``mapInArrow`` functions in batches of about ``SMALL_BATCH`` bytes, or of one row."""
+    with _while_writing(spark, _BATCH_BYTES, SMALL_BATCH):
+        yield
+
+
 def written(df: DataFrame, name: str, small_batches: bool = False) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
